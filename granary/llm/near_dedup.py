@@ -32,6 +32,7 @@ from granary.llm.textkit import common, mix64, shingle_set
 
 BINS, BANDS, ROWS = 128, 25, 5
 BLOCK = 1024
+SENT = 4_000_000  # ids that may be broadcast
 #: A sketch rules a pair out if its estimate is this much below the threshold: over four and a half standard deviations.
 MARGIN = 0.15
 
@@ -155,7 +156,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stored(pairs.distinct(), f"{name}-pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+        if ids.count() <= SENT:  # 8 bytes each; beyond it Spark shuffles both sides
+            ids = F.broadcast(ids)
         sets = given.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, s binary")
         sets = stored(sets.groupBy("id").agg(F.min("s").alias("s")), f"{name}-sets")
         x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
