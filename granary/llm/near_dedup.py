@@ -30,14 +30,15 @@ from granary.llm.components import components
 from granary.llm.shared import grouped, stored
 from granary.llm.textkit import common, mix64, shingle_set
 
-BINS, BANDS, ROWS = 128, 25, 5
+BINS, BANDS, ROWS = 512, 25, 5  # bands use the first coordinates
 BLOCK = 1024
 SENT = 4_000_000  # ids that may be broadcast
 #: A sketch rules a pair out if its estimate is this much below the threshold: over four and a half standard deviations.
-MARGIN = 0.15
+MARGIN = 0.08
 
-_TOP = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
-_ALL = np.arange(BINS)
+_BIN, _ROUND = np.uint64(55), np.uint64(46)  # a key holds bin, round and value from the top
+_TOP = np.arange(BINS, dtype=np.uint64) << _BIN
+_ALL = np.arange(BINS, dtype=np.uint64)
 _SEEDS = mix64(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _POWERS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -48,19 +49,20 @@ def sketch(s: np.ndarray) -> np.ndarray:
     out, open_ = np.zeros(BINS, np.uint64), np.ones(BINS, bool)
     done = 0
     while done < BINS and open_.any():
-        r = min(BINS - done, max(1, 768 // n))
+        r = min(BINS - done, max(1, 6 * BINS // n))
         h = mix64(s[None, :] ^ _SEEDS[done : done + r, None])
-        # bin (7 bits), round (8 bits), value (49 bits): the first key of a bin is its earliest round's least value
-        rounds = np.arange(done, done + r, dtype=np.uint64)[:, None] << np.uint64(49)
-        keys = np.sort(((h & _TOP[-1]) | rounds | ((h << np.uint64(7)) >> np.uint64(15))).ravel())
+        # the first key of a bin is its earliest round's least value
+        rounds = np.arange(done, done + r, dtype=np.uint64)[:, None] << _ROUND
+        keys = np.sort(((h & _TOP[-1]) | rounds | ((h << (np.uint64(64) - _BIN)) >> (np.uint64(64) - _ROUND))).ravel())
         at = np.minimum(np.searchsorted(keys, _TOP), len(keys) - 1)
         got = keys[at]
-        new = open_ & ((got >> np.uint64(57)) == _ALL.astype(np.uint64))
+        new = open_ & ((got >> _BIN) == _ALL)
         out[new] = got[new]
         open_ &= ~new
         done += r
-    for j in np.flatnonzero(open_):
-        out[j] = mix64(s ^ _SEEDS[BINS + j]).min()
+    left = np.flatnonzero(open_)
+    for some in np.array_split(left, -(-len(left) * n // (1 << 20)) or 1):
+        out[some] = mix64(s[None, :] ^ _SEEDS[BINS + some, None]).min(1)
     return mix64(out)
 
 
