@@ -116,17 +116,21 @@ def _confirm(num: int, den: int):
 
 
 def _cross(least: float, ratio: float):
-    """Pairs of different components within a block, or between two blocks, whose sketches and set sizes allow the threshold."""
+    """Pairs of different components within a block, or between two blocks, whose sketches and set sizes allow the threshold; each in the first bucket it shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["key", "i", "j"]):
             ids, comp, n, blk = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "blk"))
             sk = np.frombuffer(b"".join(t.column("sk").to_pylist()), np.uint8).reshape(-1, BINS)
+            bands = np.array(t.column("bands").to_pylist(), np.int64)
+            band = int(np.flatnonzero(bands[0] == t.column("key")[0].as_py())[0])
             i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
             left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
             for r in left:
                 o = right[ids[right] > ids[r]] if i == j else right
                 o = o[(comp[o] != comp[r]) & (np.minimum(n[o], n[r]) >= ratio * np.maximum(n[o], n[r]))]
+                if len(o):
+                    o = o[(bands[o] == bands[r]).argmax(1) == band]
                 if len(o):
                     o = o[(sk[o] == sk[r]).mean(1) >= least]
                 if len(o):
@@ -172,8 +176,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     # What is left: buckets whose members are still in several components.
     placed = members.join(roots.withColumnsRenamed({"node": "rep", "root": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).where("c0 != c1").drop("c0", "c1")
-    blocks = placed.join(mixed, "key").join(classes.select("rep", "n", "sk"), "rep").withColumn("blk", F.expr("cast(pmod(xxhash64(rep), nb) as int)"))
-    blocks = blocks.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "rep", "comp", "n", "sk")
+    blocks = placed.join(mixed, "key").join(classes.select("rep", "n", "sk", "bands"), "rep").withColumn("blk", F.expr("cast(pmod(xxhash64(rep), nb) as int)"))
+    blocks = blocks.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "rep", "comp", "n", "sk", "bands")
     cross = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross(num / den - MARGIN, num / den), "a long, b long")
     second = confirmed(cross, "cross")
     named = lambda c: F.coalesce(c, F.col("x"))
