@@ -176,27 +176,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     return fit(x[is_good], x[~is_good], prior)
 
 
-def _scored(model: Model | None):
+def _scored(model: Model | None, unknown: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column(0)]).reshape(-1, N_FEATURES)
-            s = model.score(x) if model else np.full(len(x), 0.5)
+            s = model.score(x) if model else np.full(len(x), unknown)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64())], [*batch.schema.names[1:], "score"])
 
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, good: float = GOOD, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, good: float = GOOD, sample: int = SAMPLE, unknown: float = 0.5) -> DataFrame:
     """Adds score (0 to 1, higher: better) and predicted (1 from ``good`` up) to every document.
 
     Takes columns doc_id (long) and text; all columns but those two names stay.  Null and empty
-    texts are scored by the features of an empty one.  Without good labels every score is 0.5.  Rows
+    texts are scored by the features of an empty one.  Without good labels every score is ``unknown``.  Rows
     repeat or lack an id freely; equal texts get equal scores.  No rows in, no rows out.
     """
     own = [c for c in docs.columns if c not in ("score", "predicted")]
     given = docs.select(F.col("text").cast("string").alias("_scored_text"), *[F.col(f"`{c}`") for c in own])
     schema = ", ".join([*(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in own), "score double"])
-    scored = given.mapInArrow(_scored(train(docs, labels, sample)), schema)
+    scored = given.mapInArrow(_scored(train(docs, labels, sample), unknown), schema)
     return scored.withColumn("predicted", (F.col("score") >= good).cast("int"))
 
 

@@ -246,7 +246,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(pa.Table.from_batches(rest))
 
 
-def _removed(window: int, out: pa.Schema):
+def _removed(window: int, out: pa.Schema, as_given: bool):
     """Rows sorted by (key, crc, kind): a document's rows, then its spans -> rows with the words left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +263,10 @@ def _removed(window: int, out: pa.Schema):
                 gone[s] += 1
                 gone[min(s + n - 1 + window, len(ws))] -= 1
             gone = np.cumsum(gone)[:-1] > 0
-            kept = b" ".join(w for w, g in zip(ws, gone.tolist(), strict=True) if not g).decode("utf-8", "replace")
+            if as_given and not gone.any():
+                kept = held[0][1] or ""
+            else:
+                kept = b" ".join(w for w, g in zip(ws, gone.tolist(), strict=True) if not g).decode("utf-8", "replace")
             return [pa.RecordBatch.from_arrays([*row.columns, pa.array([kept]), pa.array([len(ws)], pa.int64()), pa.array([int(gone.sum())], pa.int64())], schema=out) for row, _ in held], len(kept)
 
         for batch in batches:
@@ -291,11 +294,12 @@ def _removed(window: int, out: pa.Schema):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, untouched_as_given: bool = False) -> DataFrame:
     """Remove the words of every document that stand in a window repeated anywhere in the table.
 
     Takes columns doc_id (long) and text.  Returns all columns of ``docs``, with three more:
-    kept_text (the words left, joined by one space; '' if none), n_words and n_removed.  Columns of
+    kept_text (the words left, joined by one space; '' if none; with ``untouched_as_given`` texts that lose
+    nothing stay as they are), n_words and n_removed.  Columns of
     those names in ``docs`` are replaced.  Windows are judged on the table as given.  Null and empty
     texts have no words; a text under ``window`` words keeps all; every copy of a row or a text
     counts as another place, and so do overlapping repeats within one text.  Null ids are allowed.
@@ -322,7 +326,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(kept)
-    done = both.mapInArrow(_removed(window, schema), kept)
+    done = both.mapInArrow(_removed(window, schema, untouched_as_given), kept)
     back = {f"c{i}": c for i, c in enumerate(docs.columns) if c != "text"}
     return done.select(*[F.col(a).alias(b) for a, b in back.items()], "kept_text", "n_words", "n_removed") if names else done
 
