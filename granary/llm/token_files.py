@@ -21,6 +21,7 @@ shuffle: only the shards' totals (a row each) are summed to give each document i
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from granary.llm.bpe import chunks
 from granary.llm.shared import stored
 
 BLOCK, SEGMENT = 1024, 1 << 18
-CACHED = 600_000  # words that a worker remembers
+CACHED = 900_000  # words that a worker remembers
 #: Ids per word and bits of each for selectors 1 to 14 (fixed values of Simple-8b); 0 is an escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -144,42 +145,90 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
 _ODD = regex.compile(r"[\x0b\x0c\x1c-\x1f\x85᠎​]")
 
 
+class _Memory:
+    """Ids of strings, in one pool."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.pool = np.empty(1 << 18, np.int32)
+        self.used = 0
+        self.first, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+
+    def add(self, new: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        at = len(self.known)
+        while at + len(new) > len(self.first):
+            self.first, self.count = (np.concatenate([v, np.empty_like(v)]) for v in (self.first, self.count))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.first[at : at + len(new)] = self.used + np.cumsum(n) - n
+        self.count[at : at + len(new)] = n
+        self.used += len(ids)
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+
+    def get(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each string has."""
+        at = np.fromiter(map(self.known.__getitem__, items), np.int64, len(items))
+        n = self.count[at]
+        stop = np.cumsum(n)
+        return self.pool[np.repeat(self.first[at] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)], n
+
+
 class WordCoder:
-    """The tokenizers library with a memory of words, for tokenizers that drop white space and never look across it."""
+    """The tokenizers library with a memory of words, for tokenizers that drop white space and never look across it.
+
+    Words of plain letters, with or without a stop or comma after them, share the letters' ids, and
+    are encoded many at a time: a token that ends in the model's word suffix ends a word.
+    """
 
     def __init__(self, spec: str):
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_padding()
         self.tok.no_truncation()
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        for t, i in self.tok.get_vocab().items():
+            self.ends[i] = bool(suffix) and t.endswith(suffix)
         self._forget()
 
     def _forget(self):
-        self.known: dict[str, int] = {}
-        self.pool = np.empty(1 << 18, np.int32)
-        self.used = 0
-        self.first, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.words, self.letters = _Memory(), _Memory()
+
+    def _slow(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
+        if None not in got.word_ids:
+            return np.array(got.ids, np.int32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(new))
+        each = [self.tok.encode(w, add_special_tokens=False).ids for w in new]  # special tokens have no word
+        return np.array([x for e in each for x in e], np.int32), np.array([len(e) for e in each])
+
+    def _learn_letters(self, new: list[str]) -> None:
+        runs = [new[s : s + 256] for s in range(0, len(new), 256)]
+        for run, got in zip(runs, self.tok.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.int32)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(run) and stop[-1] == len(ids):
+                self.letters.add(run, ids, np.diff(stop, prepend=0))
+            else:
+                self.letters.add(run, *self._slow(run))
 
     def _learn(self, new: list[str]) -> None:
-        for s in range(0, len(new), 512):
-            part = new[s : s + 512]
-            got = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, np.int32)
-            owner = np.array(got.word_ids, np.float64)  # None becomes nan
-            if np.isnan(owner).any():  # special tokens in a word have no word: one by one
-                each = [self.tok.encode(w, add_special_tokens=False).ids for w in part]
-                ids, n = np.array([x for e in each for x in e], np.int32), np.array([len(e) for e in each])
+        plain, cores, other = [], [], []
+        for w in new:
+            core = w[:-1] if w[-1] in ".," else w
+            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                plain.append(w)
+                cores.append(core.lower())
             else:
-                n = np.bincount(owner.astype(np.int64), minlength=len(part))
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            at = len(self.known)
-            while at + len(part) > len(self.first):
-                self.first, self.count = (np.concatenate([v, np.empty_like(v)]) for v in (self.first, self.count))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.first[at : at + len(part)] = self.used + np.cumsum(n) - n
-            self.count[at : at + len(part)] = n
-            self.used += len(ids)
-            self.known.update(zip(part, range(at, at + len(part)), strict=True))
+                other.append(w)
+        for s in range(0, len(other), 512):
+            self.words.add(other[s : s + 512], *self._slow(other[s : s + 512]))
+        if plain:
+            self._learn_letters(list(set(cores).union([".", ","]).difference(self.letters.known)))
+            tails = [w[-1] if w[-1] in ".," else "" for w in plain]
+            parts = [x for c, t in zip(cores, tails, strict=True) for x in ((c, t) if t else (c,))]
+            ids, n = self.letters.get(parts)
+            size = np.array([2 if t else 1 for t in tails])
+            self.words.add(plain, ids, np.add.reduceat(n, np.cumsum(size) - size))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
@@ -188,17 +237,14 @@ class WordCoder:
         for t in texts:
             words += t.split() if not _ODD.search(t) else regex.findall(r"[^ \n]+", t)
             ends.append(len(words))
-        fresh = set(words).difference(self.known)
-        if len(self.known) + len(fresh) > CACHED:
+        fresh = set(words).difference(self.words.known)
+        if len(self.words.known) + len(fresh) > CACHED:
             self._forget()
             fresh = set(words)
         if fresh:
-            self._learn(sorted(fresh))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        n = self.count[at]
-        stop = np.cumsum(n)
-        ids = self.pool[np.repeat(self.first[at] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        return ids, np.diff(np.concatenate([[0], stop])[np.array(ends, np.int64)], prepend=0)
+            self._learn(list(fresh))
+        ids, n = self.words.get(words)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[np.array(ends, np.int64)], prepend=0)
 
 
 _coders: dict[str, WordCoder] = {}
