@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from granary.plans import retrieval_queries
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _m in (retrieval_queries,):
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
