@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.textkit import mix64
 
-K, TUPLE, COORDINATES = 6, 2, 48
+K, TUPLE, COORDINATES = 6, 2, 96
 #: Rows a bucket of neighbouring ids holds, and the most buckets (their cut points are literals in the plan).
 BUCKET_ROWS, MOST_BUCKETS = 1000, 4096
 _PART = 1 << 18  # hashed k-mers held at once
