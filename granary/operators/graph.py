@@ -110,7 +110,7 @@ def crawl(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int =
     kinds = own.select("seed", F.col("dst").alias("url")).union(seeds.select("seed", F.col("seed").alias("url"))).distinct().join(nodes, "url")
     rows = own.select("seed", F.lit("edge").alias("what"), "src", "dst", "pos").union(kinds.select("seed", F.lit("node"), "url", "kind", F.lit(0)))
 
-    def run(key, df: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         e = df[df.what == "edge"].sort_values(["src", "pos"], kind="stable")
         n = df[df.what == "node"]
         out = e.groupby("src", sort=False)["dst"].apply(list).to_dict() if len(e) else {}
