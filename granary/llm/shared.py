@@ -13,13 +13,13 @@ from granary.llm.textkit import np
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares: ``spark.checkpoint.dir``; our own only where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster shares: ``spark.checkpoint.dir``, or the context's; our own only where neither is set (local tests)."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/granary/{spark.sparkContext.applicationId}"
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="granary-"))
+        found = sc.getCheckpointDir()
+    return f"{found.rstrip('/')}/granary/{sc.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
