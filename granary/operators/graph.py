@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 def _kept(df: DataFrame) -> DataFrame:
     """Written to the checkpoint folder of the cluster and read again."""
     spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:  # local tests
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="granary-"))
+        base = sc.getCheckpointDir()
     path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -93,12 +93,12 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts"))
-    corpus = words.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size("ts"), F.lit(0))).alias("avg_len"))
+    n, avg_len = words.agg(F.count("*"), F.avg(F.coalesce(F.size("ts"), F.lit(0)))).first()  # two numbers
     hits = words.select("id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = hits.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(corpus)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    idf = df.select("term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg_len or 1.0)))
     scored = tf.join(idf, "term").select("id", "term", weight.alias("w")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), digits).alias("score"))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

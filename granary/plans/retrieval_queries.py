@@ -32,7 +32,8 @@ def vector_topk_each(spark, d):
 
 def bm25_stats(spark, d):
     df, _, corpus = r.bm25_stats(_table(spark, d, "documents"), "doc_id", "text")
-    return df.crossJoin(F.broadcast(corpus)).select("term", "df", "n", F.round("avg_len", 6).alias("avg_len"))
+    n, avg_len = corpus.first()
+    return df.select("term", "df", F.lit(n).alias("n"), F.round(F.lit(avg_len), 6).alias("avg_len"))
 
 
 def bm25_topk(spark, d):

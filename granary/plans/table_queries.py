@@ -111,8 +111,10 @@ def quote_match(table):
     found = near.join(table("documents").select("doc_id", "text"), "doc_id")
     short = items.where("size(w) < 10").select("item_id", "quote")
     both = found.select("item_id", "doc_id", t.quote_match(F.col("quote"), F.col("text")).alias("match"))
-    rest = table("documents").select("doc_id", "text").join(short, F.contains("text", "quote")).select("item_id", "doc_id", F.lit("exact").alias("match"))
-    return both.union(rest).where("match = 'exact'")
+    if not short.isEmpty():  # passages of a few words leave nothing to meet by; they are few and looked for everywhere
+        rest = table("documents").select("doc_id", "text").join(F.broadcast(short), F.contains("text", "quote"))
+        both = both.union(rest.select("item_id", "doc_id", F.lit("exact").alias("match")))
+    return both.where("match = 'exact'")
 
 
 # --- joins, aggregates, windows ---------------------------------------------------------------
