@@ -5,7 +5,8 @@ also starts anywhere else is removed.
 
 1. Sketch.  Each partition adds its windows to a count-min sketch; partial sketches are merged
    slice by slice on the executors and only one bit per cell ("counted twice or more") reaches
-   the driver, CELLS / 8 bytes for each of DEPTH rows whatever the input is.  A window is counted
+   the driver, CELLS / 8 bytes for each of DEPTH rows whatever the input is (and one more that says
+   "HOT times or more").  A window is counted
    through its anchor, the least-hashed run of GRAM words in it: equal windows have equal anchors
    at equal places, so an anchor's count is never below its window's, and there are eight times
    fewer of them to add.
@@ -15,7 +16,9 @@ also starts anywhere else is removed.
    never results.
 3. Removal.  Marks travel as spans to their document's text.
 
-Skew: equal windows that meet in one flush of a task are sent on once with a doubled weight, and
+Skew: windows travel by their anchor, so that those of one place share a row; an anchor that the
+sketch calls hot, say in a line that a third of all documents have, sends its windows by their own
+hash instead, which all tasks decide alike.  Equal windows that meet in one flush of a task are sent on once with a doubled weight, and
 their own spans are settled at once, so a passage in a third of all documents sends a few rows
 from each task and no group grows with the number of documents.
 """
@@ -35,6 +38,7 @@ from granary.llm.textkit import gram_hashes, mix64, word_hashes, words
 WINDOW = 35
 GRAM = 16
 DEPTH, CELLS, SLICE = 2, 1 << 26, 1 << 20
+HOT = 200  # count of an anchor from which its windows travel one by one
 FLUSH = 1 << 20  # windows held by a task before it sends them on
 
 _ROW_SEEDS = mix64(np.arange(1, DEPTH + 1, dtype=np.uint64))
@@ -71,7 +75,7 @@ def _sketch(window: int, gram: int):
         anchors = np.concatenate(held)
         for row in range(DEPTH):
             cells, counts = np.unique(_cells(anchors, row), return_counts=True)
-            counts = np.minimum(counts, 2).astype(np.uint8)
+            counts = np.minimum(counts, HOT).astype(np.uint8)
             part = cells // SLICE
             for s, e in zip(np.flatnonzero(np.diff(part, prepend=-1)), [*np.flatnonzero(np.diff(part)) + 1, len(part)], strict=True):
                 inside = (cells[s:e] - part[s] * SLICE).astype(np.uint32)
@@ -82,10 +86,10 @@ def _sketch(window: int, gram: int):
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum the partial sketches of each slice; rows come sorted by slice."""
-    last, sums = None, np.zeros(SLICE, np.uint8)
+    last, sums = None, np.zeros(SLICE, np.uint16)
 
     def bits():
-        return pa.RecordBatch.from_pydict({"part": pa.array([last], pa.int32()), "bits": [np.packbits(sums >= 2).tobytes()]})
+        return pa.RecordBatch.from_pydict({"part": pa.array([last], pa.int32()), "bits": [np.packbits(sums >= 2).tobytes()], "hot": [np.packbits(sums >= HOT).tobytes()]})
 
     for batch in batches:
         for part, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -94,18 +98,19 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums[:] = 0
             last = part
             at = np.frombuffer(cells, np.uint32)
-            sums[at] = np.minimum(sums[at] + np.frombuffer(counts, np.uint8), 2)
+            sums[at] = np.minimum(sums[at] + np.frombuffer(counts, np.uint8), HOT)
     if last is not None:
         yield bits()
 
 
 def window_sketch(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """Bits of the merged sketch's cells that are at two or more: DEPTH * CELLS / 8 bytes."""
+    """Bits of the merged sketch's cells that are at two or more, and of those at HOT or more: two rows of DEPTH * CELLS / 8 bytes."""
     parts = texts.select("text").mapInArrow(_sketch(window, gram), "part int, cells binary, counts binary")
-    merged = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_merge, "part int, bits binary")
-    out = np.zeros(DEPTH * CELLS // 8, np.uint8)
+    merged = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_merge, "part int, bits binary, hot binary")
+    out = np.zeros((2, DEPTH * CELLS // 8), np.uint8)
     for r in merged.toLocalIterator():
-        out[r.part * (SLICE // 8) : (r.part + 1) * (SLICE // 8)] = np.frombuffer(r.bits, np.uint8)
+        for row, b in zip(out, (r.bits, r.hot), strict=True):
+            row[r.part * (SLICE // 8) : (r.part + 1) * (SLICE // 8)] = np.frombuffer(b, np.uint8)
     return out
 
 
@@ -174,9 +179,12 @@ def _candidates(bits, window: int, gram: int):
                     continue
                 g, at = _anchors(h, window, gram)
                 used, back = np.unique(at, return_inverse=True)
-                pos = np.flatnonzero(_often(bits.value, g[used])[back])
+                twice, hot = bits.value
+                pos = np.flatnonzero(_often(twice, g[used])[back])
                 if len(pos):
-                    held.append((np.full(len(pos), len(docs)), pos, g[at[pos]], gram_hashes(h, window, seed=7)[pos]))
+                    anchor, own = g[at[pos]], gram_hashes(h, window, seed=7)[pos]
+                    alone = _often(hot, g[used])[back[pos]]
+                    held.append((np.full(len(pos), len(docs)), pos, np.where(alone, mix64(anchor ^ mix64(own)), anchor), own))
                     docs.append((key, crc))
                     n += len(pos)
                     if n >= FLUSH:

@@ -49,10 +49,12 @@ def test_against_brute_force(spark, window):
         assert got[i].c0 == 2 * i and got[i].key == "x"
 
 
-def test_small_flush_and_crowded_sketch(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [200, 2, 20])
+def test_small_flush_and_crowded_sketch(monkeypatch, hot):
     monkeypatch.setattr(sd, "FLUSH", 50)
     monkeypatch.setattr(sd, "CELLS", 64)
     monkeypatch.setattr(sd, "SLICE", 16)
+    monkeypatch.setattr(sd, "HOT", hot)
     assert sd._often.__globals__["CELLS"] == 64
     # in one process: a sketch with far too few cells must lose nothing
     import pyarrow as pa
@@ -60,10 +62,11 @@ def test_small_flush_and_crowded_sketch(spark, monkeypatch):
     given = texts()
     parts = list(sd._sketch(35, 16)(iter([pa.RecordBatch.from_pydict({"text": pa.array(given, pa.string())})])))
     parts = sorted(parts, key=lambda b: b.column(0)[0].as_py())
-    bits = np.zeros(sd.DEPTH * sd.CELLS // 8, np.uint8)
+    bits = np.zeros((2, sd.DEPTH * sd.CELLS // 8), np.uint8)
     for b in sd._merge(iter(parts)):
         p = b.column(0)[0].as_py()
-        bits[p * 2 : p * 2 + 2] = np.frombuffer(b.column(1)[0].as_py(), np.uint8)
+        for row in (0, 1):
+            bits[row, p * 2 : p * 2 + 2] = np.frombuffer(b.column(1 + row)[0].as_py(), np.uint8)
 
     class Held:
         value = bits
