@@ -99,3 +99,10 @@ def numbered(prefix: str, n: Column, digits: int = 3) -> Column:
 def citation(title: Column, year: Column, pages: Column, url: Column) -> Column:
     """'Title. - 2021. Pages 2-3, 5. https://…' from the parts that there are."""
     return F.concat_ws(". ", title, F.concat(F.lit("- "), year.cast("string")), F.when(F.length(pages) > 0, F.concat(F.lit("Pages "), pages)), url)
+
+
+def bitstream_url(url: Column, host: str) -> Column:
+    """A repository's viewer address of a file to its API's content address, or null."""
+    uuid = r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
+    found = F.regexp_extract(F.trim(url), rf"(?i)^https?://(?:www\.)?{host.replace('.', '[.]')}/bitstreams/({uuid})/(?:download|content)(?:[?#]|$)", 1)
+    return F.when(found != "", F.concat(F.lit(f"https://{host}/server/api/core/bitstreams/"), found, F.lit("/content")))

@@ -110,3 +110,15 @@ def select_metrics(table):
     m = table("part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]).alias("ms"))
     asked = m.select("p_brand", "ms", F.posexplode(F.array(F.lit(3), F.lit(1), F.lit(3))).alias("i", "n"))
     return asked.select("p_brand", (F.col("i") + 1).alias("ordinal"), F.try_element_at("ms", F.col("n")).alias("metric"))
+
+
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 3 > 0 THEN 'https://files.example.org/server/api/core/bitstreams/' || {_UUID} || '/content' END AS content_url FROM (SELECT page_id, sha256(url) AS h FROM pages)")
+def bitstream_url(table):
+    """Viewer addresses of files, one third of them not of that form, to content addresses."""
+    h = F.sha2(F.col("url").cast("binary"), 256)
+    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    tail = F.when(F.col("page_id") % 3 == 0, "/view").when(F.col("page_id") % 3 == 1, "/download?x=1").otherwise("/content")
+    return table("pages").select("page_id", t.bitstream_url(F.concat(F.lit("http://www.files.example.org/bitstreams/"), uuid, tail), "files.example.org").alias("content_url"))
