@@ -41,8 +41,8 @@ def test_text(spark):
     df = spark.createDataFrame([(0, "Kenya maize  production\nfell by 12%."), (1, "Kenya maize production fell by 12%."), (2, "rose by"), (3, "agriculture"), (4, " ")], "i int, q string")
     assert [x[0] for x in df.orderBy("i").select(t.quote_match(F.col("q"), F.lit(src))).collect()] == ["exact", "normalized", None, "normalized", None]
     assert column(spark, [1, 12, 1234], lambda x: t.numbered("claim", x), "int") == ["claim_001", "claim_012", "claim_1234"]
-    got = spark.range(1).select(t.citation(F.lit("FAO, Water Report"), F.lit(2021), F.lit("2-3, 5"), F.lit("https://example.org/d1"))).first()[0]
-    assert got == "FAO, Water Report. - 2021. Pages 2-3, 5. https://example.org/d1"
+    got = spark.range(1).select(t.citation(F.lit("Institute, Water Report"), F.lit(2021), F.lit("2-3, 5"), F.lit("https://example.org/d1"))).first()[0]
+    assert got == "Institute, Water Report. - 2021. Pages 2-3, 5. https://example.org/d1"
     h = spark.createDataFrame([({"CONTENT-Type": "Text/HTML"},), ({},)], "h map<string,string>")
     assert [x[0] for x in h.select(t.header_value(F.col("h"), "content-type")).collect()] == ["text/html", None]
 
