@@ -36,13 +36,20 @@ _INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i img ins
 _VOID = set("br img input meta link base area source track param embed col hr wbr".split())
 _HOLDS = _ASIDE | {"div", "section", "article", "main", "header", "body", "html", "ul", "ol", "dl", "table", "figure", "details", "fieldset", "center", "hgroup", "blockquote"}
 #: Words in class, id or role that name what is not the article; the second set only outside of one.
-_NOT = set("ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies share sharing social related recommended recommendations widget pagination pager sidebar sidenav aside complementary nav navbar navigation menu breadcrumb breadcrumbs search contentinfo paywall".split())
-_NOT_OUTSIDE = _NOT | set("header masthead banner footer topbar toolbar copyright skip top bottom".split())
+_NOT = set("ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies share sharing social related recommended recommendations widget pagination pager sidebar sidenav aside complementary nav navbar navigation menu breadcrumb breadcrumbs search contentinfo paywall adsbygoogle adsense adslot adbox adunit topnav mainnav sitenav mainmenu submenu relatedposts commentform".split())
+_NOT_OUTSIDE = _NOT | set("header masthead banner footer topbar toolbar copyright skip top bottom sitefooter pagefooter siteheader pageheader".split())
 _COMMENT = set("comment comments commentlist reply replies disqus respond ad ads advert advertisement promo sponsored related recommended widget".split())
 
 
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
 def _named(attrs: str, words: set[str]) -> bool:
-    return any(not words.isdisjoint(re.split(r"[^a-z0-9]+", m[2].lower())) for m in _ATTR.finditer(attrs))
+    """Whether class, id or role holds one of the words, by itself or as a part of a compound."""
+    for m in _ATTR.finditer(attrs):
+        if not words.isdisjoint(re.split(r"[^a-z0-9]+", m[2].lower())) or not words.isdisjoint(w.lower() for w in _WORD.findall(m[2])):
+            return True
+    return False
 
 
 def lines_of(page: str) -> list[tuple[str, int, int, bool]]:

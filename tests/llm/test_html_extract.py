@@ -45,6 +45,7 @@ LONG = "This stands outside of the article and yet it is a long line of words wi
         ("<article><p>one<br>two\n\t three</p><ul><li>x<li>y</ul><p>cut off in the mid", "one two three\nx\ny\ncut off in the mid"),
         ("just text", "just text"),
         ("a < b and c > d <p>x", "a < b and c > d\nx"),
+        (f"<article>{BODY}<ins class='adsbygoogle'>{LONG}</ins></article><div id='sidebarLeft'><p>{LONG}</p></div><div class='siteFooter'>{LONG}</div>", TEXT),
         ("<nav>only a menu</nav>", ""),
         ("", ""),
         (None, ""),
