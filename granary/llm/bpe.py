@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: The byte-level pattern of public byte-level BPE vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = np.iinfo(np.int64).max
-CACHED = 400_000  # pre-tokens that a worker remembers
+CACHED = 300_000  # pre-tokens that a worker remembers
 CHUNK = 1 << 21  # characters encoded together
 
 

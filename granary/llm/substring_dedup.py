@@ -39,7 +39,7 @@ WINDOW = 35
 GRAM = 16
 DEPTH, CELLS, SLICE = 2, 1 << 26, 1 << 20
 HOT = 200  # count of an anchor from which its windows travel one by one
-FLUSH = 1 << 20  # windows held by a task before it sends them on
+FLUSH = 1 << 19  # windows held by a task before it sends them on
 
 _ROW_SEEDS = mix64(np.arange(1, DEPTH + 1, dtype=np.uint64))
 _PART = np.dtype([("h", "<u8"), ("o", "<u2"), ("w", "u1")])
