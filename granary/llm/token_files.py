@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +37,8 @@ from granary.llm.bpe import chunks
 from granary.llm.shared import stored
 
 BLOCK, SEGMENT = 1024, 1 << 18
-CACHED = 900_000  # words that a worker remembers
+LETTERS, OTHERS = 600_000, 200_000  # letter runs and other words that a worker remembers
+CHUNK = 1 << 22  # characters encoded together
 #: Ids per word and bits of each for selectors 1 to 14 (fixed values of Simple-8b); 0 is an escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -141,10 +142,6 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
     return out
 
 
-#: White space that str.split() and tokenizer patterns may see differently.
-_ODD = regex.compile(r"[\x0b\x0c\x1c-\x1f\x85᠎​]")
-
-
 class _Memory:
     """Ids of strings, in one pool."""
 
@@ -177,8 +174,9 @@ class _Memory:
 class WordCoder:
     """The tokenizers library with a memory of words, for tokenizers that drop white space and never look across it.
 
-    Words of plain letters, with or without a stop or comma after them, share the letters' ids, and
-    are encoded many at a time: a token that ends in the model's word suffix ends a word.
+    Arrow cuts texts at ASCII white space and finds the distinct words.  Words of plain letters, with
+    or without a stop or comma after them, share the letters' ids, and are encoded many at a time: a
+    token that ends in the model's word suffix ends a word.  Other words are encoded as they are.
     """
 
     def __init__(self, spec: str):
@@ -189,10 +187,7 @@ class WordCoder:
         self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
         for t, i in self.tok.get_vocab().items():
             self.ends[i] = bool(suffix) and t.endswith(suffix)
-        self._forget()
-
-    def _forget(self):
-        self.words, self.letters = _Memory(), _Memory()
+        self.others, self.letters = _Memory(), _Memory()
 
     def _slow(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
@@ -211,40 +206,50 @@ class WordCoder:
             else:
                 self.letters.add(run, *self._slow(run))
 
-    def _learn(self, new: list[str]) -> None:
-        plain, cores, other = [], [], []
-        for w in new:
-            core = w[:-1] if w[-1] in ".," else w
+    def _distinct(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all of the distinct words in a row, and how many each has."""
+        plain, cores, tails, other = [], [], [], []
+        for i, w in enumerate(ws):
+            core = w[:-1] if w[-1:] in (".", ",") else w
             if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
-                plain.append(w)
+                plain.append(i)
                 cores.append(core.lower())
-            else:
-                other.append(w)
-        for s in range(0, len(other), 512):
-            self.words.add(other[s : s + 512], *self._slow(other[s : s + 512]))
+                tails.append(w[len(core) :])
+            elif w:
+                other.append(i)
+        wanted = set(cores).union([".", ","])
+        fresh = wanted.difference(self.letters.known)
+        if len(self.letters.known) + len(fresh) > LETTERS:
+            self.letters, fresh = _Memory(), wanted
+        self._learn_letters(list(fresh))
+        named = [ws[i] for i in other]
+        fresh = [w for w in named if w not in self.others.known]
+        if len(self.others.known) + len(fresh) > OTHERS:
+            self.others, fresh = _Memory(), named
+        for s in range(0, len(fresh), 512):
+            self.others.add(fresh[s : s + 512], *self._slow(fresh[s : s + 512]))
+        a, n_a = self.letters.get([x for c, t in zip(cores, tails, strict=True) for x in ((c, t) if t else (c,))])
+        b, n_b = self.others.get(named)
+        n = np.zeros(len(ws), np.int64)
         if plain:
-            self._learn_letters(list(set(cores).union([".", ","]).difference(self.letters.known)))
-            tails = [w[-1] if w[-1] in ".," else "" for w in plain]
-            parts = [x for c, t in zip(cores, tails, strict=True) for x in ((c, t) if t else (c,))]
-            ids, n = self.letters.get(parts)
             size = np.array([2 if t else 1 for t in tails])
-            self.words.add(plain, ids, np.add.reduceat(n, np.cumsum(size) - size))
+            n[plain] = np.add.reduceat(n_a, np.cumsum(size) - size)
+        n[other] = n_b
+        owner = np.repeat(np.concatenate([np.array(plain, np.int64), np.array(other, np.int64)]), np.concatenate([n[plain], n_b]) if len(ws) else 0)
+        return np.concatenate([a, b])[np.argsort(owner, kind="stable")], n
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
-        words: list[str] = []
-        ends = []
-        for t in texts:
-            words += t.split() if not _ODD.search(t) else regex.findall(r"[^ \n]+", t)
-            ends.append(len(words))
-        fresh = set(words).difference(self.words.known)
-        if len(self.words.known) + len(fresh) > CACHED:
-            self._forget()
-            fresh = set(words)
-        if fresh:
-            self._learn(list(fresh))
-        ids, n = self.words.get(words)
-        return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[np.array(ends, np.int64)], prepend=0)
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        ends = split.offsets.to_numpy().astype(np.int64)
+        words = split.values.dictionary_encode()
+        pool, n_each = self._distinct(words.dictionary.to_pylist())
+        at = words.indices.to_numpy()
+        n = n_each[at]
+        stop = np.cumsum(n)
+        first = (np.cumsum(n_each) - n_each)[at]
+        ids = pool[np.repeat(first - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        return ids, np.diff(np.concatenate([[0], stop])[ends])
 
 
 _coders: dict[str, WordCoder] = {}
@@ -272,7 +277,7 @@ def _segments(spec, end_id: int | None):
 
         for batch in batches:
             docs_of = batch.column(0).to_pylist()
-            for at, texts in chunks(batch.column(1)):
+            for at, texts in chunks(batch.column(1), CHUNK):
                 ids, lens = coder.encode(texts)
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(lens), end_id)

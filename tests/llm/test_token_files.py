@@ -40,12 +40,12 @@ def test_each_width(n, bits):
         assert len(words) <= n // per + 1 + n // tf.BLOCK
 
 
-ODD = ["", None, "Hello  World", "don't I'LL", "ΣΑΣ ΟΔΟΣ.", "a\x1cb c\x85d \xa0e ​f", "<|endoftext|> x<|startoftext|>y", "Ǆ é é", "x" * 3000, "12 ٣٤ ½", "İstanbul ﬁ"]
+ODD = ["", None, "Hello  World", "don't I'LL", "ΣΑΣ ΟΔΟΣ.", "a\x1cb c\x85d \xa0e ​f", "<|endoftext|> x<|startoftext|>y", "Ǆ é é", "x" * 3000, "12 ٣٤ ½", "İstanbul ﬁ", " lead., x.. ,y .,", "\x0b\x0ca\x0bb"]
 
 
 def test_against_library(spark, sf):
     tok = Tokenizer.from_file(PATH)
-    rows = [(i * 7 % 11, t, "s") for i, t in enumerate(ODD)]
+    rows = [(i * 7 % 13, t, "s") for i, t in enumerate(ODD)]
     rows += [(r.doc_id + 100, r.text, "s") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows += [(105, "again", "s"), (None, "no id", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(5)
@@ -71,7 +71,8 @@ def test_query(spark, sf):
 
 def test_small_segments_and_cache(spark, monkeypatch):
     coder = tf.WordCoder(open(PATH, encoding="utf-8").read())
-    monkeypatch.setattr(tf, "CACHED", 3)
+    monkeypatch.setattr(tf, "LETTERS", 3)
+    monkeypatch.setattr(tf, "OTHERS", 3)
     texts = [t or "" for t in ODD]
     tok = Tokenizer.from_file(PATH)
     for _ in range(2):
