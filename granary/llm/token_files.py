@@ -22,6 +22,7 @@ shuffle: only the shards' totals (a row each) are summed to give each document i
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +37,9 @@ from tokenizers import Tokenizer
 from granary.llm.bpe import chunks
 from granary.llm.shared import stored
 
+#: Spark runs a task on each core; threads of the library's own would cost each worker memory and spinning.
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
 BLOCK, SEGMENT = 1024, 1 << 18
 LETTERS, OTHERS = 600_000, 200_000  # letter runs and other words that a worker remembers
 CHUNK = 1 << 22  # characters encoded together
