@@ -7,7 +7,8 @@ nothing again; the region from surge to dive with the most text marks the articl
 headers, footers, sidebars, notices, adverts, forms and comments hold text too, so lines inside such
 elements count as empty.  Short paragraphs at an article's ends have flat blocks of their own: the
 region therefore grows to the element that holds it, an article or main element if there is one, or
-else over neighbouring lines with the same parent.
+else over neighbouring lines with the same parent.  An advert or the like between them, however
+long, doesn't end the article: growth steps over dropped lines to the next line of the same holder.
 
 A page is handled by itself, in one pass without a shuffle; each step is linear in its length.
 """
@@ -34,6 +35,8 @@ _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "
 _ASIDE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "datalist"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i img ins del input kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br meta link base area source track param embed col".split())
 _VOID = set("br img input meta link base area source track param embed col hr wbr".split())
+#: Elements that divide a text without being its holder; so do divs beside each other of one class.
+_WITHIN = {"ul", "ol", "dl", "table", "figure", "details", "hgroup", "blockquote", "section", "fieldset", "center"}
 _HOLDS = _ASIDE | {"div", "section", "article", "main", "header", "body", "html", "ul", "ol", "dl", "table", "figure", "details", "fieldset", "center", "hgroup", "blockquote"}
 #: Words in class, id or role that name what is not the article; the second set only outside of one.
 _NOT = set("ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies share sharing social related recommended recommendations widget pagination pager sidebar sidenav aside complementary nav navbar navigation menu breadcrumb breadcrumbs search contentinfo paywall adsbygoogle adsense adslot adbox adunit topnav mainnav sitenav mainmenu submenu relatedposts commentform".split())
@@ -52,9 +55,15 @@ def _named(attrs: str, words: set[str]) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
-    """Blocks of a page in order: (text, number of the element around it, number of the article around it or 0, whether it may be article text)."""
-    out: list[tuple[str, int, int, bool]] = []
+def _class(attrs: str) -> str:
+    return next((m[2].strip("\"'").strip() for m in _ATTR.finditer(attrs) if m[1].lower() == "class"), "")
+
+
+def lines_of(page: str) -> list[tuple[str, int, int, bool, int]]:
+    """Blocks of a page in order: (text, number of the element around it, number of the article around it or 0, whether it may be article text, number of its holder)."""
+    out: list[tuple[str, int, int, bool, int]] = []
+    holders = {0: 0}  # number of an element -> of its holder
+    alike: dict[tuple[int, str], int] = {}  # (holder of the element around it, class) -> holder of divs
     text: list[str] = []
     cuts: list[tuple[str, int | None]] = []  # open inline elements to cut out, and where their text starts
     # open elements: (tag, number, dropped from here on, article number)
@@ -63,7 +72,8 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
 
     opened: Counter[str] = Counter()
 
-    def push(element):
+    def push(element, holder=None):
+        holders[element[1]] = element[1] if holder is None else holder
         stack.append(element)
         opened[element[0]] += 1
 
@@ -75,7 +85,7 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
         text.clear()
         cuts.clear()
         if line:
-            out.append((line, stack[-1][1], stack[-1][3], not stack[-1][2]))
+            out.append((line, stack[-1][1], stack[-1][3], not stack[-1][2], holders[stack[-1][1]]))
 
     while True:
         m = _TAG.search(pos, at)
@@ -133,7 +143,10 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
         drop = dropped or tag in _ASIDE or (tag == "header" and not article) or _named(attrs, _NOT if article else _NOT_OUTSIDE)
         if tag in _HOLDS:
             number += 1
-            push((tag, number, drop, article))
+            holder = holders[stack[-1][1]] if tag in _WITHIN else None
+            if tag == "div" and (name := _class(attrs)):
+                holder = alike.setdefault((holders[stack[-1][1]], name), number)
+            push((tag, number, drop, article), holder)
         elif drop and not dropped:
             number += 1
             push(("p" if tag not in ("li", "td", "th", "tr") else "li", number, True, article))
@@ -141,10 +154,26 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
+def _grow(lines: list, at: int, step: int, around: list[int]) -> int:
+    """The first place from ``at`` on that isn't the article's: lines follow by their parent, and behind dropped lines also by their holder."""
+    parents, holders = {lines[s][1] for s in around}, {lines[s][4] for s in around}
+    stop, crossed = at, False
+    while 0 <= at < len(lines):
+        _, parent, _, ok, holder = lines[at]
+        if not ok:
+            crossed = True
+        elif parent in parents or (crossed and holder in holders):
+            stop = at + step
+        else:
+            break
+        at += step
+    return stop
+
+
 def main_text(page: str | None, span: int = SPAN, threshold: int = THRESHOLD) -> str:
     """The article's blocks, white space inside each turned into single spaces, joined by newlines; '' if there is none."""
     lines = lines_of(page or "")
-    size = [len(t) if ok else 0 for t, _, _, ok in lines]
+    size = [len(t) if ok else 0 for t, _, _, ok, _ in lines]
     if not any(size):
         return ""
     blocks = [sum(size[i : i + span]) for i in range(len(size))]
@@ -163,15 +192,12 @@ def main_text(page: str | None, span: int = SPAN, threshold: int = THRESHOLD) ->
     peak = max((k for k in range(start, end) if size[k]), key=lambda k: (blocks[k], -k))
     article = lines[peak][2]
     if article:
-        kept = [t for t, _, a, ok in lines if ok and a == article]
+        kept = [t for t, _, a, ok, _ in lines if ok and a == article]
     else:
-        around = [s for s in (start, end - 1) if size[s]]
-        parents = {lines[s][1] for s in around} or {lines[peak][1]}
-        while start and lines[start - 1][1] in parents:
-            start -= 1
-        while end < len(lines) and lines[end][1] in parents:
-            end += 1
-        kept = [t for t, _, _, ok in lines[start:end] if ok]
+        around = [s for s in (start, end - 1) if size[s]] or [peak]
+        start = _grow(lines, start - 1, -1, around) + 1
+        end = _grow(lines, end, 1, around)
+        kept = [t for t, _, _, ok, _ in lines[start:end] if ok]
     return "\n".join(kept)
 
 

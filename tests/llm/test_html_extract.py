@@ -56,6 +56,23 @@ def test_pages(page, want):
     assert main_text(page) == want
 
 
+AD = "<div class='ad'><p>Buy this</p><p>Buy that</p><p>Buy all</p><p>Buy now</p></div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div id=content>{BODY}{AD}{BODY}<p>End.</p></div>", f"{TEXT}\n{TEXT}\nEnd."),
+        (f"<body><div id=content><p>Before.</p>{AD}{BODY}{AD}<ul><li>one<li>two</ul><p>Last.</p></div><div id=legal><p>{LONG}</div>", f"Before.\n{TEXT}\none\ntwo\nLast."),
+        (f"<body><div id=content><section>{BODY}</section>{AD}<section>{BODY}</section></div>", f"{TEXT}\n{TEXT}"),
+        (f"<body><div id=content><div class=block>{BODY}</div><aside><p>a<p>b<p>c</aside><div class=block>{BODY}</div></div>", f"{TEXT}\n{TEXT}"),
+        (f"<body><div class=logo>My site</div><nav><p>a<p>b<p>c</nav><div id=content>{BODY}</div><form><p>a<p>b<p>c</form><div id=legal><p>Rights.</div>", TEXT),
+    ],
+)
+def test_dropped_elements_between_do_not_end_the_article(page, want):
+    assert main_text(page) == want
+
+
 def test_long_and_broken_pages_take_linear_time():
     for piece in ("<p>word ", "<div class='x", "<", "</div>", "<b>", "<!--", "&amp;", "<span class=ad>x", "<div><p>text "):
         took = []
