@@ -9,6 +9,8 @@ elements count as empty.  Short paragraphs at an article's ends have flat blocks
 region therefore grows to the element that holds it, an article or main element if there is one, or
 else over neighbouring lines with the same parent.  An advert or the like between them, however
 long, doesn't end the article: growth steps over dropped lines to the next line of the same holder.
+Names say less than tags: a wrapper may be called "top" or "sidebar-layout" and hold the article, so
+an element that is dropped for its name alone comes back if it holds most of the page's prose.
 
 A page is handled by itself, in one pass without a shuffle; each step is linear in its length.
 """
@@ -44,15 +46,31 @@ _NOT_OUTSIDE = _NOT | set("header masthead banner footer topbar toolbar copyrigh
 _COMMENT = set("comment comments commentlist reply replies disqus respond ad ads advert advertisement promo sponsored related recommended widget".split())
 
 
+#: What names adverts, also inside of a sentence.
+_ADS = set("ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion adsbygoogle adsense adslot adbox adunit".split())
+#: Words that don't name wrappers of an article: such elements come back only where there is no other text.
+_CERTAIN = _ADS | _COMMENT - {"related", "recommended", "widget"} | set("cookie cookies consent gdpr notice notices alert popup newsletter subscribe subscription signup login commentform contentinfo footer sitefooter pagefooter".split())
+#: "no-sidebar" or "with-comments" is a page's layout, not a sidebar or comments.
+_LAYOUT = {"has", "have", "no", "non", "not", "with", "without"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PROSE = 40  # least characters of a line of prose, most of them outside of links
+
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _named(attrs: str, words: set[str]) -> bool:
-    """Whether class, id or role holds one of the words, by itself or as a part of a compound."""
+def _names(attrs: str, words: set[str], ids: bool = True) -> set[str]:
+    """The words that class, id or role hold, each by itself or as a part of a compound that doesn't speak of a layout."""
+    found = set()
     for m in _ATTR.finditer(attrs):
-        if not words.isdisjoint(re.split(r"[^a-z0-9]+", m[2].lower())) or not words.isdisjoint(w.lower() for w in _WORD.findall(m[2])):
-            return True
-    return False
+        if not ids and m[1].lower() == "id":
+            continue
+        for token in m[2].strip("\"'").split():
+            for parts in (re.split(r"[^a-z0-9]+", token.lower()), [w.lower() for w in _WORD.findall(token)]):
+                if not words.isdisjoint(parts):
+                    first = next(i for i, w in enumerate(parts) if w in words)
+                    if _LAYOUT.isdisjoint(parts[:first]):
+                        found |= words.intersection(parts)
+    return found
 
 
 def _class(attrs: str) -> str:
@@ -61,13 +79,16 @@ def _class(attrs: str) -> str:
 
 def lines_of(page: str) -> list[tuple[str, int, int, bool, int]]:
     """Blocks of a page in order: (text, number of the element around it, number of the article around it or 0, whether it may be article text, number of its holder)."""
-    out: list[tuple[str, int, int, bool, int]] = []
+    out: list[tuple] = []  # as above, then the element dropped by name around it or -1, and whether most of it is outside of links
     holders = {0: 0}  # number of an element -> of its holder
     alike: dict[tuple[int, str], int] = {}  # (holder of the element around it, class) -> holder of divs
     text: list[str] = []
-    cuts: list[tuple[str, int | None]] = []  # open inline elements to cut out, and where their text starts
-    # open elements: (tag, number, dropped from here on, article number)
-    stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
+    cuts: list[tuple[str, int | None, bool]] = []  # open inline elements to cut out, where their text starts, whether they go even in a sentence
+    alone: list[tuple[int, int]] = []  # texts that go if nothing else stands in their line
+    linked, in_link = 0, False
+    suspects: list[tuple[int, bool, bool]] = []  # elements dropped by name: (such an element around it or -1, certain, whether it may come back)
+    # open elements: (tag, number, dropped by tag from here on, article number, element dropped by name around it or -1)
+    stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, 0, -1)]
     number, at, pos = 0, 0, page
 
     opened: Counter[str] = Counter()
@@ -80,16 +101,29 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool, int]]:
     def pop():
         opened[stack.pop()[0]] -= 1
 
+    def suspect(around, names, may_return):
+        suspects.append((around, not names.isdisjoint(_CERTAIN), may_return))
+        return len(suspects) - 1
+
     def flush():
+        nonlocal linked
+        if alone:
+            ends = [0, *(x for span in alone for x in span), len(text)]
+            if not any(c.isalnum() for s, e in zip(ends[::2], ends[1::2], strict=True) for t in text[s:e] for c in t):
+                text.clear()
         line = " ".join(html.unescape("".join(text)).split())
+        if line:
+            out.append((line, stack[-1][1], stack[-1][3], not stack[-1][2], holders[stack[-1][1]], stack[-1][4], 2 * linked < len(line)))
         text.clear()
         cuts.clear()
-        if line:
-            out.append((line, stack[-1][1], stack[-1][3], not stack[-1][2], holders[stack[-1][1]]))
+        alone.clear()
+        linked = 0
 
     while True:
         m = _TAG.search(pos, at)
         text.append(pos[at : m.start() if m else len(pos)])
+        if in_link:
+            linked += len(text[-1])
         if not m:
             break
         at = m.end()
@@ -106,15 +140,21 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool, int]]:
             text.append(" ")
             continue
         if tag in _INLINE:
-            # what an inline advert holds is cut out of its line when it closes
+            if tag == "a":
+                in_link = not closing
+            # what an inline advert holds is cut out of its line when it closes, what other names hold if it is all of the line
             if closing:
-                if cuts and cuts[-1][0] == tag and (start := cuts.pop()[1]) is not None:
-                    del text[start:]
+                if cuts and cuts[-1][0] == tag:
+                    _, start, ad = cuts.pop()
+                    if start is not None and ad:
+                        del text[start:]
+                    elif start is not None:
+                        alone.append((start, len(text)))
             elif tag not in _VOID:
                 if cuts:
-                    cuts.append((tag, None)) if cuts[-1][0] == tag else None
-                elif not stack[-1][2] and _named(attrs, _NOT):
-                    cuts.append((tag, len(text)))
+                    cuts.append((tag, None, False)) if cuts[-1][0] == tag else None
+                elif not stack[-1][2] and (names := _names(attrs, _NOT)):
+                    cuts.append((tag, len(text), not names.isdisjoint(_ADS)))
             continue
         flush()
         if tag in _VOID:
@@ -130,28 +170,70 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool, int]]:
                     pop()
                 pop()
             continue
-        _, _, dropped, article = stack[-1]
+        _, _, dropped, article, around = stack[-1]
         if tag in ("article", "main") or re.search(r"\brole\s*=\s*[\"']?(?:main|article)\b", attrs, re.I):
             number += 1
             strong = any(e[2] and e[0] in _ASIDE for e in stack)
-            push((tag, number, strong or _named(attrs, _COMMENT) or (article and dropped), number if not article else article))
+            around = around if article else -1
+            if names := _names(attrs, _COMMENT):
+                around = suspect(around, names, True)
+            push((tag, number, strong or bool(article and dropped), number if not article else article, around))
             continue
         if tag in ("body", "html"):
             number += 1
-            push((tag, number, False, 0))
+            push((tag, number, False, 0, -1))
             continue
-        drop = dropped or tag in _ASIDE or (tag == "header" and not article) or _named(attrs, _NOT if article else _NOT_OUTSIDE)
+        drop = dropped or tag in _ASIDE or (tag == "header" and not article)
+        names = set() if drop else _names(attrs, _NOT if article else _NOT_OUTSIDE, tag not in _HEADINGS)
+        if names:
+            around = suspect(around, names, tag in _HOLDS)
         if tag in _HOLDS:
             number += 1
             holder = holders[stack[-1][1]] if tag in _WITHIN else None
             if tag == "div" and (name := _class(attrs)):
                 holder = alike.setdefault((holders[stack[-1][1]], name), number)
-            push((tag, number, drop, article), holder)
-        elif drop and not dropped:
+            push((tag, number, drop, article, around), holder)
+        elif names:
             number += 1
-            push(("p" if tag not in ("li", "td", "th", "tr") else "li", number, True, article))
+            push(("p" if tag not in ("li", "td", "th", "tr") else "li", number, drop, article, around), holders[stack[-1][1]])
     flush()
-    return out
+    back = _returned(suspects, out)
+    return [(t, parent, article, ok and (around < 0 or back[around]), holder) for t, parent, article, ok, holder, around, _ in out]
+
+
+def _returned(suspects: list[tuple[int, bool, bool]], lines: list[tuple]) -> list[bool]:
+    """For each element dropped by name, whether it holds most of the page's prose after all; ones inside of it are judged for themselves."""
+    n = len(suspects)
+    own, prose, many, plain = [0] * n, [0] * n, [0] * n, 0
+    for t, _, _, ok, _, around, mine in lines:
+        if not ok or not mine:
+            continue
+        if around < 0:
+            plain += len(t)
+            continue
+        own[around] += len(t)
+        if len(t) >= PROSE:
+            prose[around] += len(t)
+            many[around] += 1
+    for s in range(n - 1, -1, -1):
+        around, certain, _ = suspects[s]
+        if around >= 0 and not certain:
+            prose[around] += prose[s]
+            many[around] += many[s]
+    back, left = [False] * n, sorted((s for s in range(n) if suspects[s][2] and prose[s]), key=lambda s: (suspects[s][1], -prose[s], s))
+    for _ in range(8):
+        before = len(left)
+        for s in left:
+            around, certain, _ = suspects[s]
+            if around >= 0 and not back[around]:
+                continue
+            if plain < PROSE and (many[s] > 2 or not certain) or not certain and many[s] > 2 and prose[s] > plain:
+                back[s] = True
+                plain += own[s]
+        left = [s for s in left if not back[s]]
+        if len(left) == before:
+            break
+    return back
 
 
 def _grow(lines: list, at: int, step: int, around: list[int]) -> int:

@@ -73,6 +73,22 @@ def test_dropped_elements_between_do_not_end_the_article(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        *[(f"<body><div {w}><h1>T</h1>{BODY}{AD}</div><p>Rights.", f"T\n{TEXT}") for w in ("id='top'", "class='has-sidebar'", "class='page no-sidebar'", "class='with-comments'", "class=hasSidebar", "class='sidebar-layout'")],
+        (f"<body><div id=top><div class=menu><p>{LONG}</div><div id=content>{BODY}</div><div class=comments><p>{LONG}<p>{LONG}<p>{LONG}</div></div>", TEXT),
+        (f"<article>{BODY}<h2 id='recommendations'>Recommendations</h2><h2 id=search>Search</h2><p>End.</p></article>", f"{TEXT}\nRecommendations\nSearch\nEnd."),
+        (f"<article>{BODY}<p>Please <span class='notice'>mind the <b>gap</b></span> here.</p><p><a class=share>Send</a> | <a class=share>Post</a></p></article>", f"{TEXT}\nPlease mind the gap here."),
+        (f"<article>{BODY}</article><div class=comments>{BODY}{BODY}{BODY}</div>", TEXT),
+        (f"<div>{BODY}</div><div class=sidebar>" + f"<p><a href=x>{LONG}</a></p>" * 9 + "</div>", TEXT),
+        ("<div class=menu>Home</div>", ""),
+    ],
+)
+def test_names_alone_drop_no_article(page, want):
+    assert main_text(page) == want
+
+
 def test_long_and_broken_pages_take_linear_time():
     for piece in ("<p>word ", "<div class='x", "<", "</div>", "<b>", "<!--", "&amp;", "<span class=ad>x", "<div><p>text "):
         took = []
