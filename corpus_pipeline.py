@@ -26,15 +26,25 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays, once if its row repeats."""
-    found = stored(near_dedup.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "kept")
-    gone, twice = found.where("NOT kept").select("doc_id"), found.where("kept AND rows > 1").select("doc_id")
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays.
+
+    Rows that share a doc_id are one document if their shingle sets are equal, and of those the
+    least row stays; different texts under one doc_id are documents of their own.
+    """
+    docs = docs.select(*COLUMNS)
+    found = stored(near_dedup.linked(docs).where("doc_id IS NOT NULL").select("doc_id", "s1", "s2", "stays"), "stays")
+    ids = stored(found.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count("*").alias("rows")), "ids")
+    gone, clash = ids.where("NOT stays").select("doc_id"), ids.where("stays AND rows > 1").select("doc_id")
     small = lambda ids: F.broadcast(ids) if ids.count() <= SENT else ids
-    left = docs.select(*COLUMNS).join(small(gone), "doc_id", "left_anti")
-    if twice.count() == 0:
+    left = docs.join(small(gone), "doc_id", "left_anti")
+    if clash.count() == 0:
         return left
-    twice = small(twice)
-    return left.join(twice, "doc_id", "left_anti").union(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    clash = small(clash)
+    keys = ["doc_id", "s1", "s2"]
+    kept = found.where("stays").join(clash, "doc_id", "left_semi").select(*keys).distinct()
+    own = near_dedup.digests(left.join(clash, "doc_id", "left_semi").select(*COLUMNS))
+    one = own.groupBy(*keys).agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).join(kept, keys, "left_semi")
+    return left.join(clash, "doc_id", "left_anti").select(*COLUMNS).union(one.select("doc_id", *[f"row.{c}" for c in COLUMNS[1:]]))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ Rounds stop as soon as all are.  Equal coordinates estimate the Jaccard similari
 as t independent MinHashes do.
 
 Plan: one pass makes a small row per document (set digest, band keys, a byte per coordinate).
-Equal sets form one class, so a thousand copies count once.  Buckets of a band link each class
+Equal sets form one class, told by its digest and numbered when it is written, so a thousand copies
+count once and one doc_id may stand over different sets.  Buckets of a band link each class
 to the smallest in the bucket (a star, never all pairs); those links are confirmed on the full
 shingle sets and merged.  Buckets that still hold several components then compare members of
 different components in blocks of bounded size by their sketches, and the pairs that may reach
@@ -83,19 +84,41 @@ def _sketches(k: int):
                 if len(s) == 0:
                     rows.append((i, 0, 0, 0, None, None))
                     continue
-                d = xxhash.xxh3_128_digest(s.tobytes())
                 sk = sketch(s)
-                rows.append((i, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), band_keys(sk), (sk & np.uint64(255)).astype(np.uint8).tobytes()))
+                rows.append((i, len(s), *_halves(s), band_keys(sk), (sk & np.uint64(255)).astype(np.uint8).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return run
 
 
+def _halves(s: np.ndarray) -> tuple[int, int]:
+    """The 128-bit digest of a set as two longs; zeros for an empty one."""
+    if len(s) == 0:
+        return 0, 0
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
+def _digests(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [_halves(shingle_set(t.as_py(), k)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([g[i] for g in got], pa.int64()) for i in (0, 1))], [*batch.schema.names, "s1", "s2"])
+
+    return run
+
+
+def digests(docs: DataFrame, k: int = 5) -> DataFrame:
+    """Adds s1 and s2, the digest of each text's shingle set, to a table of documents."""
+    return docs.mapInArrow(_digests(k), docs.select("*", F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2")).schema)
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), k).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "s"])
+            sets = [shingle_set(t.as_py(), k) for t in batch.column(0)]
+            got = [_halves(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([*(pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())], ["s1", "s2", "s"])
 
     return run
 
@@ -120,7 +143,7 @@ def _cross(least: float, ratio: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["key", "i", "j"]):
-            ids, comp, n, blk = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "blk"))
+            ids, comp, n, blk = (t.column(c).to_numpy() for c in ("cls", "comp", "n", "blk"))
             sk = np.frombuffer(b"".join(t.column("sk").to_pylist()), np.uint8).reshape(-1, BINS)
             bands = np.array(t.column("bands").to_pylist(), np.int64)
             band = int(np.flatnonzero(bands[0] == t.column("key")[0].as_py())[0])
@@ -150,34 +173,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     equal.  Rows with a null doc_id take no part: component_id is null and they are kept.
     Tables without rows give no rows.
     """
+    found = linked(docs, k, num, den)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of near_duplicates with s1, s2 (the digest of the row's set) and stays in place of kept.
+
+    stays: the row has a null doc_id, no links, or the one set that stands for its component (of the
+    sets under the smallest doc_id the one with the least digest) under that doc_id.  Rows that
+    stay and share doc_id and digest are one document.
+    """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sk = stored(given.mapInArrow(_sketches(k), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sk binary"), "sketches")
     real = sk.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    # One class for each set of shingles, named by its smallest doc_id.
+    # One class for each set of shingles, numbered as it is written; rep is its smallest doc_id.
     classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sk").alias("sk"))
-    classes = stored(classes, "classes")
-    band = classes.select("rep", F.explode("bands").alias("key"))
-    shared_ = band.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    band = classes.select("cls", F.explode("bands").alias("key"))
+    shared_ = band.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("m")).where("m > 1")
     members = stored(band.join(shared_, "key"), "members")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stored(pairs.distinct(), f"{name}-pairs")
-        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-        if ids.count() <= SENT:  # 8 bytes each; beyond it Spark shuffles both sides
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        needed = stored(classes.select("cls", "rep", "s1", "s2").join(needed, "cls", "left_semi"), f"{name}-classes")
+        ids = needed.select(F.col("rep").alias("doc_id")).distinct()
+        if needed.count() <= SENT:  # 8 bytes each; beyond it Spark shuffles both sides
             ids = F.broadcast(ids)
-        sets = given.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "id long, s binary")
-        sets = stored(sets.groupBy("id").agg(F.min("s").alias("s")), f"{name}-sets")
-        x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
+        sets = given.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "s1 long, s2 long, s binary")
+        sets = sets.groupBy("s1", "s2").agg(F.min("s").alias("s"))
+        sets = stored(needed.select("cls", "s1", "s2").join(sets, ["s1", "s2"]).select("cls", "s"), f"{name}-sets")
+        x, y = sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), sets.select(F.col("cls").alias("b"), F.col("s").alias("y"))
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         return stored(both.mapInArrow(_confirm(num, den), "a long, b long"), f"{name}-links")
 
-    first = confirmed(members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")), "hub")
+    first = confirmed(members.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")), "hub")
     roots = stored(components(first), "roots")
     # What is left: buckets whose members are still in several components.
-    placed = members.join(roots.withColumnsRenamed({"node": "rep", "root": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    placed = members.join(roots.withColumnsRenamed({"node": "cls", "root": "comp"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).where("c0 != c1").drop("c0", "c1")
-    blocks = placed.join(mixed, "key").join(classes.select("rep", "n", "sk", "bands"), "rep").withColumn("blk", F.expr("cast(pmod(xxhash64(rep), nb) as int)"))
-    blocks = blocks.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "rep", "comp", "n", "sk", "bands")
+    blocks = placed.join(mixed, "key").join(classes.select("cls", "n", "sk", "bands"), "cls").withColumn("blk", F.expr("cast(pmod(xxhash64(cls), nb) as int)"))
+    blocks = blocks.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "cls", "comp", "n", "sk", "bands")
     cross = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross(num / den - MARGIN, num / den), "a long, b long")
     second = confirmed(cross, "cross")
     named = lambda c: F.coalesce(c, F.col("x"))
@@ -185,11 +222,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     between = between.join(roots.withColumnRenamed("node", "x"), "x", "left").select("a", named(F.col("root")).alias("b")).where("a != b")
     again = stored(components(between), "roots")
     roots = roots.withColumnRenamed("root", "x").join(again.withColumnRenamed("node", "x"), "x", "left").select("node", named(F.col("root")).alias("root")).union(again.join(roots.select("node"), "node", "left_anti"))
-    # Each document: its class if it has copies, then the class's component.
-    several = classes.where("copies > 1").select("s1", "s2", "rep")
-    out = sk.join(several, ["s1", "s2"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # Each class that has copies or links: its component, named by the smallest doc_id and led by one class.
+    nodes = roots.union(roots.select("root", "root")).distinct().withColumnRenamed("node", "cls")
+    several = classes.select("cls", "s1", "s2", "rep", "copies").join(nodes, "cls", "left").where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "cls"))
+    several = stored(several, "several")
+    lead = several.groupBy("root").agg(F.min(F.struct("rep", "s1", "s2")).alias("lead"))
+    several = several.join(lead, "root").select("s1", "s2", F.col("lead.rep").alias("component_id"), ((F.col("lead.s1") == F.col("s1")) & (F.col("lead.s2") == F.col("s2"))).alias("leads"))
+    # Each document: what its class has, or else itself.
+    out = sk.drop("bands", "sk").join(several, ["s1", "s2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    stays = F.coalesce((F.col("doc_id") == F.col("component_id")) & F.coalesce("leads", F.lit(True)), F.lit(True))
+    return out.select("doc_id", "n_shingles", "component_id", "s1", "s2", stays.alias("stays"))
 
 
 def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -74,6 +74,14 @@ def test_empty_and_null(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (4, 4, True), (4, 4, True), (9, 4, False)]
 
 
+def test_different_sets_under_one_id(spark):
+    rng = np.random.default_rng(11)
+    a, b, c = (" ".join(base(rng, 120)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, c), (5, a + " more"), (6, b + " more"), (7, c + " more"), (7, "quite another text"), (8, c), (8, "and one more")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True)] * 3 + [(5, 1, False), (6, 1, False), (7, 1, False), (7, 7, True), (8, 1, False), (8, 8, True)]
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     x = mix64(rng.integers(0, 2**63, 900, dtype=np.uint64))

@@ -4,6 +4,7 @@ import collections
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -98,3 +99,14 @@ def test_nulls_repeats_and_no_rows(spark, tmp_path):
                 assert sorted((r.doc_id or 0) for r in now.collect()) == [0, 1, 3, 4, 5]
         got = {r.doc_id for r in now.collect()}
         assert got <= {None, 1, 2, 5} and (given is not docs) == (not got)
+
+
+def test_documents_that_share_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    texts = [(1, a), (1, b), (1, b.upper()), (1, a + " near"), (2, a), (2, "quite another text"), (3, b + " near"), (4, None), (4, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    for given in (docs, docs.orderBy(F.desc("text"))):
+        got = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, given, "").collect()]
+        firsts = [t for i, t in got if i == 1]
+        assert len(firsts) == 2 and firsts.count(a) + firsts.count(a + " near") == 1 and b.upper() in firsts
+        assert sorted((i or 0, t or "") for i, t in got if i != 1) == [(0, a), (0, a), (2, "quite another text"), (4, "")]
