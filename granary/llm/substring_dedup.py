@@ -14,7 +14,10 @@ also starts anywhere else is removed.
    anchor's hash and the window's own) and those that start in two or more places are marked.
    The sketch only over-counts, so no repeated window is lost; too small a sketch costs traffic,
    never results.
-3. Removal.  Marks travel as spans to their document's text.
+3. Removal.  Marks travel as spans to their row's text.
+
+Rows are told apart by a number that is written with them into the shared folder first, so neither
+equal ids, null ids nor equal texts bring rows together.
 
 Skew: windows travel by their anchor, so that those of one place share a row; an anchor that the
 sketch calls hot, say in a line that a third of all documents have, sends its windows by their own
@@ -25,7 +28,6 @@ from each task and no group grows with the number of documents.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.shared import stored
 from granary.llm.textkit import gram_hashes, mix64, word_hashes, words
 
 WINDOW = 35
@@ -129,7 +132,7 @@ def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, np.flatnonzero(edge == -1) - s
 
 
-_SENT = pa.schema([("anchor", pa.int64()), ("key", pa.int64()), ("crc", pa.int64()), ("start", pa.int32()), ("len", pa.int32()), ("wins", pa.binary())])
+_SENT = pa.schema([("anchor", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("len", pa.int32()), ("wins", pa.binary())])
 
 
 def _candidates(bits, window: int, gram: int):
@@ -156,16 +159,16 @@ def _candidates(bits, window: int, gram: int):
         if len(d):
             cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(p) != 1)) + 1
             for s, e in zip([0, *cut], [*cut, len(d)], strict=True):
-                key, crc = docs[d[s]]
-                row(int(mix64(np.array([key], np.int64).view(np.uint64)).view(np.int64)[0]), key, crc, int(p[s]), int(e - s), None)
+                key = docs[d[s]]
+                row(int(mix64(np.array([key], np.int64).view(np.uint64)).view(np.int64)[0]), key, int(p[s]), int(e - s), None)
         d, p, a, b, w = doc[first], pos[first], anchor[first], h[first], twice[first]
         if len(d):
             cut = np.flatnonzero((np.diff(d) != 0) | (a[1:] != a[:-1]) | (np.diff(p) >= window)) + 1
             for s, e in zip([0, *cut], [*cut, len(d)], strict=True):
                 part = np.empty(e - s, _PART)
                 part["h"], part["o"], part["w"] = b[s:e], p[s:e] - p[s], 1 + w[s:e]
-                key, crc = docs[d[s]]
-                row(int(a[s : s + 1].view(np.int64)[0]), key, crc, int(p[s]), 0, part.tobytes())
+                key = docs[d[s]]
+                row(int(a[s : s + 1].view(np.int64)[0]), key, int(p[s]), 0, part.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SENT, strict=True)], schema=_SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +176,7 @@ def _candidates(bits, window: int, gram: int):
         held: list[tuple] = []
         n = 0
         for batch in batches:
-            for key, crc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
                 h = word_hashes(words(text.as_py()))
                 if len(h) < window:
                     continue
@@ -185,7 +188,7 @@ def _candidates(bits, window: int, gram: int):
                     anchor, own = g[at[pos]], gram_hashes(h, window, seed=7)[pos]
                     alone = _often(hot, g[used])[back[pos]]
                     held.append((np.full(len(pos), len(docs)), pos, np.where(alone, mix64(anchor ^ mix64(own)), anchor), own))
-                    docs.append((key, crc))
+                    docs.append(key)
                     n += len(pos)
                     if n >= FLUSH:
                         yield from send(docs, held)
@@ -196,7 +199,7 @@ def _candidates(bits, window: int, gram: int):
     return run
 
 
-_SPANS = pa.schema([("key", pa.int64()), ("crc", pa.int64()), ("start", pa.int32()), ("len", pa.int32())])
+_SPANS = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("len", pa.int32())])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +233,6 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(t.column("key").to_numpy()[row]),
-                pa.array(t.column("crc").to_numpy()[row]),
                 pa.array((t.column("start").to_numpy()[row] + o[s]).astype(np.int32)),
                 pa.array(np.diff([*s, len(src)]).astype(np.int32)),
             ],
@@ -255,47 +257,48 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _removed(window: int, out: pa.Schema, as_given: bool):
-    """Rows sorted by (key, crc, kind): a document's rows, then its spans -> rows with the words left."""
+    """Rows sorted by (key, kind): a document's row, then its spans -> rows with the words left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # [row as a batch of one, text] of one document
+        held: tuple | None = None  # the row as a batch of one, text
         spans: list = []
         now = None
         made: list[pa.RecordBatch] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
-            ws = words(held[0][1])
+        def flush() -> tuple[pa.RecordBatch, int]:
+            row, text = held
+            ws = words(text)
             gone = np.zeros(len(ws) + 1, np.int32)
             for s, n in spans:
                 gone[s] += 1
                 gone[min(s + n - 1 + window, len(ws))] -= 1
             gone = np.cumsum(gone)[:-1] > 0
             if as_given and not gone.any():
-                kept = held[0][1] or ""
+                kept = text or ""
             else:
                 kept = b" ".join(w for w, g in zip(ws, gone.tolist(), strict=True) if not g).decode("utf-8", "replace")
-            return [pa.RecordBatch.from_arrays([*row.columns, pa.array([kept]), pa.array([len(ws)], pa.int64()), pa.array([int(gone.sum())], pa.int64())], schema=out) for row, _ in held], len(kept)
+            return pa.RecordBatch.from_arrays([*row.columns, pa.array([kept]), pa.array([len(ws)], pa.int64()), pa.array([int(gone.sum())], pa.int64())], schema=out), len(kept)
 
         for batch in batches:
-            key, crc, kind, text, start, n = (batch.column(i).to_pylist() if i != 3 else batch.column(i) for i in range(6))
-            rows = batch.select(list(range(6, batch.num_columns)))
+            key, kind, text, start, n = (batch.column(i).to_pylist() if i != 2 else batch.column(i) for i in range(5))
+            rows = batch.select(list(range(5, batch.num_columns)))
             for i in range(batch.num_rows):
-                if (key[i], crc[i]) != now:
+                if key[i] != now:
                     if held:
                         got, k = flush()
-                        made += got
+                        made.append(got)
                         size += k + 100
                         if size > 1 << 23 or len(made) >= 4096:
                             yield from pa.Table.from_batches(made).combine_chunks().to_batches()
                             made, size = [], 0
-                    held, spans, now = [], [], (key[i], crc[i])
+                    held, spans, now = None, [], key[i]
                 if kind[i] == 0:
-                    held.append((rows.slice(i, 1), text[i].as_py()))
+                    held = rows.slice(i, 1), text[i].as_py()
                 else:
                     spans.append((start[i], n[i]))
         if held:
-            made += flush()[0]
+            made.append(flush()[0])
         if made:
             yield from pa.Table.from_batches(made).combine_chunks().to_batches()
 
@@ -317,26 +320,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, unto
     docs = docs.drop("kept_text", "n_words", "n_removed")
     if gram > window:
         gram = window
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key")
-    crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("crc")
-    text = F.col("text").cast("string").alias("text")
-    bits = spark.sparkContext.broadcast(window_sketch(docs.select(text), window, gram))
-    sent = docs.select(key, crc, text).mapInArrow(_candidates(bits, window, gram), "anchor long, key long, crc long, start int, len int, wins binary")
-    spans = sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated, "key long, crc long, start int, len int")
-    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
     names = [c for c in docs.columns if c != "text"]
-    rows = docs.select(key, crc, F.lit(0).alias("kind"), text, F.lit(0).alias("start"), F.lit(0).alias("len"), *own)
-    marks = spans.select("key", "crc", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("text"), "start", "len", *[F.lit(None).cast(rows.schema[f"c{i}"].dataType).alias(f"c{i}") for i in range(len(docs.columns)) if docs.columns[i] != "text"])
-    both = rows.unionByName(marks).repartition("key", "crc").sortWithinPartitions("key", "crc", "kind")
-    kept = rows.drop("key", "crc", "kind", "text", "start", "len").schema
+    own = {f"c{i}": c for i, c in enumerate(names)}
+    given = stored(docs.select(F.monotonically_increasing_id().alias("key"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(a) for a, c in own.items()]), "numbered")
+    bits = spark.sparkContext.broadcast(window_sketch(given, window, gram))
+    sent = given.select("key", "text").mapInArrow(_candidates(bits, window, gram), "anchor long, key long, start int, len int, wins binary")
+    spans = sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated, "key long, start int, len int")
+    rows = given.select("key", F.lit(0).alias("kind"), "text", F.lit(0).alias("start"), F.lit(0).alias("len"), *own)
+    marks = spans.select("key", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("text"), "start", "len", *[F.lit(None).cast(rows.schema[a].dataType).alias(a) for a in own])
+    both = rows.unionByName(marks).repartition("key").sortWithinPartitions("key", "kind")
+    kept = rows.drop("key", "kind", "text", "start", "len").schema
     for n, t in (("kept_text", "string"), ("n_words", "long"), ("n_removed", "long")):
         kept = kept.add(n, t)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(kept)
     done = both.mapInArrow(_removed(window, schema, untouched_as_given), kept)
-    back = {f"c{i}": c for i, c in enumerate(docs.columns) if c != "text"}
-    return done.select(*[F.col(a).alias(b) for a, b in back.items()], "kept_text", "n_words", "n_removed") if names else done
+    return done.select(*[F.col(a).alias(c) for a, c in own.items()], "kept_text", "n_words", "n_removed")
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

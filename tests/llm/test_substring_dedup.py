@@ -1,6 +1,7 @@
 """Repeated windows against brute force."""
 
 import collections
+import zlib
 
 import numpy as np
 import pytest
@@ -95,3 +96,15 @@ def test_empty_null_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, w), (1, w), (None, w + " tail"), (2, "other " + w), (2, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_text) for r in sd.remove_repeats(df).collect())
     assert got == [(-1, 41, 40, "tail"), (1, 40, 40, ""), (1, 40, 40, ""), (2, 0, 0, ""), (2, 41, 40, "other")]
+
+
+def test_texts_of_one_id_with_equal_crc(spark):
+    # "plumless" and "buckeroo" have the same CRC-32, so have texts that go on equally behind them
+    tail = " ".join(f"t{i}" for i in range(50))
+    head = [f"{w} " + " ".join(f"h{i}" for i in range(20)) for w in ("plumless", "buckeroo")]
+    given = [f"{h} {tail}" for h in head] + [tail]
+    assert zlib.crc32(given[0].encode()) == zlib.crc32(given[1].encode())
+    for i in (None, 1):
+        df = spark.createDataFrame([(i, n, t) for n, t in enumerate(given)], "doc_id long, n int, text string").repartition(2)
+        got = {r.n: (r.n_words, r.n_removed, r.kept_text) for r in sd.remove_repeats(df).collect()}
+        assert got == dict(enumerate(brute(given, 35)))
