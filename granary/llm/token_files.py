@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -41,7 +42,7 @@ from granary.llm.shared import stored
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 BLOCK, SEGMENT = 1024, 1 << 18
-LETTERS, OTHERS = 600_000, 200_000  # letter runs and other words that a worker remembers
+KNOWN = 1_000_000  # words that a worker remembers
 CHUNK = 1 << 22  # characters encoded together
 #: Ids per word and bits of each for selectors 1 to 14 (fixed values of Simple-8b); 0 is an escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -147,51 +148,75 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
 
 
 class _Memory:
-    """Ids of strings, in one pool."""
+    """Ids of strings: Arrow finds a string's place, the ids of all stand in one pool."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
         self.pool = np.empty(1 << 18, np.int32)
-        self.used = 0
-        self.first, self.count = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-
-    def add(self, new: list[str], ids: np.ndarray, n: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        at = len(self.known)
-        while at + len(new) > len(self.first):
-            self.first, self.count = (np.concatenate([v, np.empty_like(v)]) for v in (self.first, self.count))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.first[at : at + len(new)] = self.used + np.cumsum(n) - n
-        self.count[at : at + len(new)] = n
-        self.used += len(ids)
-        self.known.update(zip(new, range(at, at + len(new)), strict=True))
-
-    def get(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each string has."""
-        at = np.fromiter(map(self.known.__getitem__, items), np.int64, len(items))
-        n = self.count[at]
-        stop = np.cumsum(n)
-        return self.pool[np.repeat(self.first[at] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)], n
+        self.ends = np.zeros(1, np.int64)  # where each string's ids end; the first starts at 0
+
+    def places(self, items: pa.Array) -> np.ndarray:
+        """The place of each string, -1 for unknown ones."""
+        return pc.fill_null(pc.index_in(items, value_set=self.words), -1).to_numpy().copy()
+
+    def add(self, new: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
+        used = int(self.ends[-1])
+        if used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(len(self.pool), len(ids)), np.int32)])
+        self.pool[used : used + len(ids)] = ids
+        self.ends = np.concatenate([self.ends, used + np.cumsum(n)])
+        self.words = pa.concat_arrays([self.words, new])
+
+    def get(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the strings at these places in a row, and how many each has."""
+        lists = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.pool[: self.ends[-1]]))
+        got = lists.take(pa.array(places))
+        return got.flatten().to_numpy(), np.diff(got.offsets.to_numpy())
+
+
+#: Normaliser and pre-tokeniser of vocabularies that drop white space and never look across it (fixed values).
+_NORMAL = ["NFC", ("Replace", "\\s+", " "), "Lowercase"]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Latin letters that are one letter when lower-cased too, with or without a stop or comma after them.
+_PLAIN = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+[.,]?$"
+
+
+def _by_words(told: dict) -> bool:
+    """Whether words can be encoded by themselves, lower-cased and apart from a stop or comma."""
+    steps = [(n["type"], n["pattern"].get("Regex"), n["content"]) if n["type"] == "Replace" else n["type"] for n in (told.get("normalizer") or {}).get("normalizers", [])]
+    splits = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    cut = splits and splits[0].get("pattern", {}).get("Regex") == _SPLIT and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True
+    marks = all(not re.search(r"\s", t["content"]) and re.search(r"[^\w.,]", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in told.get("added_tokens", []))
+    return bool(steps == _NORMAL and cut and marks and told["model"].get("end_of_word_suffix"))
 
 
 class WordCoder:
-    """The tokenizers library with a memory of words, for tokenizers that drop white space and never look across it.
+    """The tokenizers library with a memory of words.
 
-    Arrow cuts texts at ASCII white space and finds the distinct words.  Words of plain letters, with
-    or without a stop or comma after them, share the letters' ids, and are encoded many at a time: a
-    token that ends in the model's word suffix ends a word.  Other words are encoded as they are.
+    Arrow cuts texts at ASCII white space, finds the distinct words and those not met before.  Of these,
+    words of plain letters, with or without a stop or comma after them, share the letters' ids, and are
+    encoded many at a time: a token that ends in the model's word suffix ends a word.  Other words
+    are encoded as they are.  Where the vocabulary looks across white space or doesn't lower-case
+    (see _by_words), the library encodes whole texts.
     """
 
     def __init__(self, spec: str):
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_padding()
         self.tok.no_truncation()
-        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        told = json.loads(spec)
+        self.by_words = _by_words(told)
+        suffix = told["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
         for t, i in self.tok.get_vocab().items():
             self.ends[i] = bool(suffix) and t.endswith(suffix)
-        self.others, self.letters = _Memory(), _Memory()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.all, self.letters = _Memory(), _Memory()
+        if self.by_words:
+            self.all.add(pa.array([""]), np.empty(0, np.int32), np.zeros(1, np.int64))
+            self._learn_letters(pa.array([".", ","]))
 
     def _slow(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
@@ -200,60 +225,61 @@ class WordCoder:
         each = [self.tok.encode(w, add_special_tokens=False).ids for w in new]  # special tokens have no word
         return np.array([x for e in each for x in e], np.int32), np.array([len(e) for e in each])
 
-    def _learn_letters(self, new: list[str]) -> None:
-        runs = [new[s : s + 256] for s in range(0, len(new), 256)]
-        for run, got in zip(runs, self.tok.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, np.int32)
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) == len(run) and stop[-1] == len(ids):
-                self.letters.add(run, ids, np.diff(stop, prepend=0))
-            else:
-                self.letters.add(run, *self._slow(run))
-
-    def _distinct(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all of the distinct words in a row, and how many each has."""
-        plain, cores, tails, other = [], [], [], []
-        for i, w in enumerate(ws):
-            core = w[:-1] if w[-1:] in (".", ",") else w
-            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
-                plain.append(i)
-                cores.append(core.lower())
-                tails.append(w[len(core) :])
-            elif w:
-                other.append(i)
-        wanted = set(cores).union([".", ","])
-        fresh = wanted.difference(self.letters.known)
-        if len(self.letters.known) + len(fresh) > LETTERS:
-            self.letters, fresh = _Memory(), wanted
-        self._learn_letters(list(fresh))
-        named = [ws[i] for i in other]
-        fresh = [w for w in named if w not in self.others.known]
-        if len(self.others.known) + len(fresh) > OTHERS:
-            self.others, fresh = _Memory(), named
-        for s in range(0, len(fresh), 512):
-            self.others.add(fresh[s : s + 512], *self._slow(fresh[s : s + 512]))
-        a, n_a = self.letters.get([x for c, t in zip(cores, tails, strict=True) for x in ((c, t) if t else (c,))])
-        b, n_b = self.others.get(named)
-        n = np.zeros(len(ws), np.int64)
-        if plain:
-            size = np.array([2 if t else 1 for t in tails])
-            n[plain] = np.add.reduceat(n_a, np.cumsum(size) - size)
-        n[other] = n_b
-        owner = np.repeat(np.concatenate([np.array(plain, np.int64), np.array(other, np.int64)]), np.concatenate([n[plain], n_b]) if len(ws) else 0)
-        return np.concatenate([a, b])[np.argsort(owner, kind="stable")], n
+    def _learn_letters(self, new: pa.Array) -> None:
+        for t in range(0, len(new), 1 << 14):
+            part = new.slice(t, 1 << 14)
+            words = part.to_pylist()
+            runs = [words[s : s + 256] for s in range(0, len(words), 256)]
+            made = []
+            for run, got in zip(runs, self.tok.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, np.int32)
+                stop = np.flatnonzero(self.ends[ids]) + 1
+                made.append((ids, np.diff(stop, prepend=0)) if len(stop) == len(run) and stop[-1] == len(ids) else self._slow(run))
+            self.letters.add(part, *(np.concatenate(x) for x in zip(*made, strict=True)))
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """The places that new words get."""
+        plain = pc.match_substring_regex(new, _PLAIN)
+        whole = new.filter(plain)
+        if len(whole):
+            core = pc.utf8_lower(pc.utf8_rtrim(whole, characters=".,")).dictionary_encode()
+            place = self.letters.places(core.dictionary)
+            fresh = core.dictionary.filter(pa.array(place < 0))
+            if len(fresh):
+                place[place < 0] = len(self.letters.words) + np.arange(len(fresh))
+                self._learn_letters(fresh)
+            # each word as its letters and its stop (place 0), comma (place 1) or nothing
+            tail = np.where(pc.ends_with(whole, ".").to_numpy(zero_copy_only=False), 0, np.where(pc.ends_with(whole, ",").to_numpy(zero_copy_only=False), 1, -1))
+            both = np.stack([place[core.indices.to_numpy()], tail], 1)
+            ids, n = self.letters.get(both[both >= 0])
+            of = np.zeros(both.shape, np.int64)
+            of[both >= 0] = n
+            self.all.add(whole, ids, of.sum(1))
+        other = new.filter(pc.invert(plain))
+        for s in range(0, len(other), 1 << 14):
+            part = other.slice(s, 1 << 14)
+            words = part.to_pylist()
+            made = [self._slow(words[t : t + 512]) for t in range(0, len(words), 512)]
+            self.all.add(part, *(np.concatenate(x) for x in zip(*made, strict=True)))
+        where = plain.to_numpy(zero_copy_only=False)
+        return len(self.all.words) - len(new) + np.where(where, np.cumsum(where) - 1, len(whole) + np.cumsum(~where) - 1)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
+        if not self.by_words:
+            got = [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.int32), *got]), np.array([len(g) for g in got], np.int64)
         split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
         ends = split.offsets.to_numpy().astype(np.int64)
         words = split.values.dictionary_encode()
-        pool, n_each = self._distinct(words.dictionary.to_pylist())
-        at = words.indices.to_numpy()
-        n = n_each[at]
-        stop = np.cumsum(n)
-        first = (np.cumsum(n_each) - n_each)[at]
-        ids = pool[np.repeat(first - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        return ids, np.diff(np.concatenate([[0], stop])[ends])
+        place = self.all.places(words.dictionary)
+        if len(self.all.words) + int((place < 0).sum()) > KNOWN:
+            self._forget()
+            place = self.all.places(words.dictionary)
+        if (place < 0).any():
+            place[place < 0] = self._learn(words.dictionary.filter(pa.array(place < 0)))
+        ids, n = self.all.get(place[words.indices.to_numpy()])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[ends])
 
 
 _coders: dict[str, WordCoder] = {}
@@ -309,14 +335,17 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = None, name: st
 
     Takes columns doc_id (long) and text; others are ignored.  Each document's ids are followed by
     ``end_id`` if there is one.  Null and empty texts have no other ids.  Rows that share a doc_id
-    stay separate and are ordered by their text; null ids come first.  The tokenizer must drop white
-    space and not look across it.  Returns the written segments as read back (columns SCHEMA).
+    stay separate and are ordered by the xxhash64 of their text, so that they can be dealt to many
+    tasks; equal rows, even a third of all, are dealt freely.  Null ids come first.  Returns the
+    written segments as read back (columns SCHEMA).
     """
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = given.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), "h", "row"]
+    keyed = given.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return stored(ordered.mapInArrow(_segments(spec, end_id), SCHEMA), name)
 
 

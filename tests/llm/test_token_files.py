@@ -49,9 +49,10 @@ def test_against_library(spark, sf):
     rows += [(r.doc_id + 100, r.text, "s") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows += [(105, "again", "s"), (None, "no id", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(5)
+    hashed = {r.text: r.h for r in df.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").collect()}
     got = sorted(tf.read_tokens(tf.write_tokens(df, PATH, 1)).collect(), key=lambda r: r.start)
     at = 0
-    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], (r[1] or "").encode()))
+    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], hashed[r[1]]))
     assert len(got) == len(order)
     for (i, text, _), r in zip(order, got, strict=True):
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, 1]
@@ -71,8 +72,7 @@ def test_query(spark, sf):
 
 def test_small_segments_and_cache(spark, monkeypatch):
     coder = tf.WordCoder(open(PATH, encoding="utf-8").read())
-    monkeypatch.setattr(tf, "LETTERS", 3)
-    monkeypatch.setattr(tf, "OTHERS", 3)
+    monkeypatch.setattr(tf, "KNOWN", 3)
     texts = [t or "" for t in ODD]
     tok = Tokenizer.from_file(PATH)
     for _ in range(2):
@@ -81,5 +81,30 @@ def test_small_segments_and_cache(spark, monkeypatch):
             assert got.tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_other_vocabularies():
+    """One that looks across white space goes to the library whole."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder, tok = tf.WordCoder(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    assert not coder.by_words and tf.WordCoder(open(PATH, encoding="utf-8").read()).by_words
+    texts = [t or "" for t in ODD]
+    ids, n = coder.encode(texts)
+    for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert got.tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_one_id_is_dealt_to_many_tasks(spark):
+    df = spark.range(0, 4000, 1, 8).selectExpr("cast(NULL AS long) AS doc_id", "concat('word ', id) AS text").union(spark.range(0, 4000, 1, 8).selectExpr("7L", "'the same row'"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = tf.write_tokens(df, PATH, 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = made.selectExpr("shard", "explode(doc_ids) AS d").groupBy("d").agg({"shard": "approx_count_distinct"}).collect()
+    assert len(shards) == 2 and all(r[1] > 1 for r in shards)
+    got = tf.read_tokens(made).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 4000 + [7] * 4000
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
 def test_empty(spark):
     assert tf.read_tokens(tf.write_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH, 1), digest=True).count() == 0
