@@ -11,9 +11,10 @@ Plan: one pass makes a small row per document (set digest, band keys, a byte per
 Equal sets form one class, told by its digest and numbered when it is written, so a thousand copies
 count once and one doc_id may stand over different sets.  Buckets of a band link each class
 to the smallest in the bucket (a star, never all pairs); those links are confirmed on the full
-shingle sets and merged.  Buckets that still hold several components then compare members of
-different components in blocks of bounded size by their sketches, and the pairs that may reach
-the threshold are confirmed on full sets too.  So every pair that shares a bucket is either
+shingle sets and merged.  In buckets that still hold several components the members of all but the
+largest are compared with all members of other components, in blocks of bounded size, by set size
+and sketch; the pairs that may reach the threshold are confirmed on full sets too.  A bucket that is
+one component but for a few sends its rows once, not once for each block.  So every pair that shares a bucket is either
 already joined, ruled out by its sketch, or decided exactly.
 """
 
@@ -28,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.components import components
-from granary.llm.shared import grouped, stored
+from granary.llm.shared import grouped, spread_join, stored
 from granary.llm.textkit import common, mix64, shingle_set
 
 BINS, BANDS, ROWS = 512, 25, 5  # bands use the first coordinates
-BLOCK = 1024
+BLOCK = 256  # members or probes of a mixed bucket that meet at once
+HUB = 512  # pairs of one class that meet its set in one task
 SENT = 4_000_000  # ids that may be broadcast
 #: A sketch rules a pair out if its estimate is this much below the threshold: over four and a half standard deviations.
 MARGIN = 0.08
@@ -139,26 +141,33 @@ def _confirm(num: int, den: int):
 
 
 def _cross(least: float, ratio: float):
-    """Pairs of different components within a block, or between two blocks, whose sketches and set sizes allow the threshold; each in the first bucket it shares."""
+    """Pairs of different components of a block of members and one of probes, whose sketches and set sizes allow the threshold; each in the first bucket it shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["key", "i", "j"]):
-            ids, comp, n, blk = (t.column(c).to_numpy() for c in ("cls", "comp", "n", "blk"))
+            ids, comp, n, probe = (t.column(c).to_numpy() for c in ("cls", "comp", "n", "probe"))
+            p, m = np.flatnonzero(probe == 1), np.flatnonzero(probe == 0)
+            if not len(p) or not len(m):
+                continue
             sk = np.frombuffer(b"".join(t.column("sk").to_pylist()), np.uint8).reshape(-1, BINS)
-            bands = np.array(t.column("bands").to_pylist(), np.int64)
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             band = int(np.flatnonzero(bands[0] == t.column("key")[0].as_py())[0])
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-            for r in left:
-                o = right[ids[right] > ids[r]] if i == j else right
-                o = o[(comp[o] != comp[r]) & (np.minimum(n[o], n[r]) >= ratio * np.maximum(n[o], n[r]))]
-                if len(o):
-                    o = o[(bands[o] == bands[r]).argmax(1) == band]
-                if len(o):
-                    o = o[(sk[o] == sk[r]).mean(1) >= least]
-                if len(o):
-                    m = np.full(len(o), ids[r])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(m, ids[o])), pa.array(np.maximum(m, ids[o]))], ["a", "b"])
+            a, b = p[:, None], m[None, :]
+            fit = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) >= ratio * np.maximum(n[a], n[b]))
+            x, y = np.nonzero(fit)
+            x, y = p[x], m[y]
+            found = []
+            for s in range(0, len(x), 1 << 14):
+                u, v = x[s : s + (1 << 14)], y[s : s + (1 << 14)]
+                ok = (bands[u] == bands[v]).argmax(1) == band
+                u, v = u[ok], v[ok]
+                ok = (sk[u] == sk[v]).mean(1) >= least
+                found.append((u[ok], v[ok]))
+            if found:
+                u, v = (ids[np.concatenate(z)] for z in zip(*found, strict=True))
+                if len(u):
+                    both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return run
 
@@ -205,16 +214,29 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
         sets = sets.groupBy("s1", "s2").agg(F.min("s").alias("s"))
         sets = stored(needed.select("cls", "s1", "s2").join(sets, ["s1", "s2"]).select("cls", "s"), f"{name}-sets")
         x, y = sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), sets.select(F.col("cls").alias("b"), F.col("s").alias("y"))
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        # a hub's set may meet a third of all classes: its pairs are dealt to many tasks
+        both = spread_join(spread_join(pairs, y, "b", "a", HUB), x, "a", "b", HUB).select("a", "b", "x", "y")
         return stored(both.mapInArrow(_confirm(num, den), "a long, b long"), f"{name}-links")
 
     first = confirmed(members.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")), "hub")
     roots = stored(components(first), "roots")
-    # What is left: buckets whose members are still in several components.
+    # What is left: buckets whose members are still in several components.  Members of a bucket's largest
+    # component are only met by the others, the probes; both are dealt into blocks of BLOCK.
     placed = members.join(roots.withColumnsRenamed({"node": "cls", "root": "comp"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).where("c0 != c1").drop("c0", "c1")
-    blocks = placed.join(mixed, "key").join(classes.select("cls", "n", "sk", "bands"), "cls").withColumn("blk", F.expr("cast(pmod(xxhash64(cls), nb) as int)"))
-    blocks = blocks.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "cls", "comp", "n", "sk", "bands")
+    placed = stored(placed.select("key", "cls", "comp"), "placed")
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("rows"), F.count("*").alias("comps")).where("comps > 1")
+    mixed = mixed.select("key", F.col("top.comp").alias("largest"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("ni"), F.ceil((F.col("rows") - F.col("top.k")) / BLOCK).cast("int").alias("nj"))
+    mixed = stored(mixed, "mixed")
+    if mixed.isEmpty():
+        return _named_rows(sk, classes, roots)
+    # of a bucket with one component nothing is sent; the others' rows take their sketches along once
+    rows = spread_join(placed, mixed, "key", "cls").join(classes.select("cls", "n", "sk", "bands"), "cls")
+    at = lambda seed, n: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n)).cast("int")
+    kept_ = ["cls", "comp", "n", "sk", "bands"]
+    members_ = rows.select("key", at(1, "ni").alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), F.lit(0).alias("probe"), *kept_)
+    probes = rows.where("comp != largest").select("key", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), at(2, "nj").alias("j"), F.lit(1).alias("probe"), *kept_)
+    blocks = members_.union(probes)
     cross = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross(num / den - MARGIN, num / den), "a long, b long")
     second = confirmed(cross, "cross")
     named = lambda c: F.coalesce(c, F.col("x"))
@@ -222,6 +244,11 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     between = between.join(roots.withColumnRenamed("node", "x"), "x", "left").select("a", named(F.col("root")).alias("b")).where("a != b")
     again = stored(components(between), "roots")
     roots = roots.withColumnRenamed("root", "x").join(again.withColumnRenamed("node", "x"), "x", "left").select("node", named(F.col("root")).alias("root")).union(again.join(roots.select("node"), "node", "left_anti"))
+    return _named_rows(sk, classes, roots)
+
+
+def _named_rows(sk: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``linked`` from (node, root): the class that each linked class was merged into."""
     # Each class that has copies or links: its component, named by the smallest doc_id and led by one class.
     nodes = roots.union(roots.select("root", "root")).distinct().withColumnRenamed("node", "cls")
     several = classes.select("cls", "s1", "s2", "rep", "copies").join(nodes, "cls", "left").where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "cls"))

@@ -1,8 +1,10 @@
 """Near-duplicates against brute force over all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from granary.llm import near_dedup, shared
 from granary.llm.near_dedup import BINS, near_duplicates, sketch
 from granary.llm.textkit import mix64
 
@@ -62,6 +64,32 @@ def test_against_brute_force(spark, corpus, num, den):
     assert rows_of(near_duplicates(df, 5, num, den)) == brute(corpus, 5, num, den)
 
 
+def test_small_blocks_and_hot_keys(spark, corpus, monkeypatch):
+    """Buckets of many blocks, hubs and star centres dealt to many tasks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "HUB", 2)
+    monkeypatch.setattr(shared, "HOT_ROWS", 2)
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    assert rows_of(near_duplicates(df, 5, 80, 100)) == brute(corpus, 5, 80, 100)
+
+
+def test_mixed_bucket_pairs():
+    """Every pair of different components in a block of members and one of probes, in its first shared bucket."""
+    rng = np.random.default_rng(3)
+    sets = [mix64(rng.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(3)]
+    sets += [np.unique(np.concatenate([s[:280], mix64(rng.integers(0, 2**63, 20, dtype=np.uint64))])) for s in sets for _ in range(4)]
+    sk = [sketch(s) for s in sets]
+    key = int(near_dedup.band_keys(sk[0])[0])
+    bands = np.array([near_dedup.band_keys(x) for x in sk])
+    bands[:, 0] = key  # as if all had met in one bucket
+    rows = [{"key": key, "i": 0, "j": 0, "probe": p, "cls": c, "comp": c, "n": len(sets[c]), "sk": (sk[c] & np.uint64(255)).astype(np.uint8).tobytes(), "bands": bands[c].tolist()} for c in range(len(sets)) for p in (0, 1)]
+    got = set()
+    for b in near_dedup._cross(0.72, 0.8)(pa.Table.from_pylist(rows).to_batches()):
+        got |= {(r["a"], r["b"]) for r in b.to_pylist()}
+    assert got == {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if (sk[a] == sk[b]).mean() > 0.72}
+    assert {(0, c) for c in range(3, 7)} <= got
+
+
 def test_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
