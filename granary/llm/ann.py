@@ -2,22 +2,30 @@
 
 (Datar et al., "Locality-sensitive hashing scheme based on p-stable distributions", 2004; Lv et al.,
 "Multi-probe LSH", 2007.)  Vectors are scaled to length one, where the largest cosine is the least
-distance.  In each of TABLES tables HASHES Gaussian projections, shifted and cut into slots of WIDTH,
-name a bucket.  A query visits, beside its own bucket, buckets with some slots one lower or higher,
-in the order of estimated success: the fewest squared distances from the query to the slot borders
-that must be crossed come first.
-
-Index rows and query probes meet by (table, bucket) in one shuffle.  A bucket of more than BLOCK
-rows is dealt into blocks, and its probes go to each, so no bucket is met whole in one task and none
-is cut short.  Inside a task candidates are scored in numpy and only the best K of each query go on;
-the last step merges them per query.  Queries that found fewer than K candidates are searched
-exactly against all rows in blocks.
+distance.  In each of several tables Gaussian projections, shifted and cut into slots, name a bucket.
+A query visits, beside its own bucket, buckets with some slots one lower or higher, in the order of
+estimated success: the fewest squared distances from the query to the slot borders that must be
+crossed come first.
+
+How many buckets a query needs depends on how near its neighbours are, so there are three steps.
+FINE hashing visits few rows.  The chance that it meets a row at a given distance follows from the
+hash functions alone (``success``); a query whose k-th find lies so near that this chance is at least
+SURE is done.  The others search COARSE hashing, whose buckets hold more, and are judged again.  Those
+whose neighbours are too far for it too are searched exactly.  So recall doesn't depend on the data,
+only the share of rows visited does: small where vectors have near neighbours, most of the table where
+they lie about evenly on the sphere and no hashing can tell the nearest from the rest.
+
+Plan: index rows and queries meet in units, (table, part of the buckets), of about UNIT rows; a query
+goes to a unit once with all the buckets it visits there.  A bucket of more than BLOCK rows is dealt
+into blocks and its queries go to each, so no bucket is met whole in one task and none is cut short.
+Inside a task candidates are scored in numpy and only the best k of each query go on.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +35,44 @@ from pyspark.sql import functions as F
 from granary.llm.shared import grouped, stored
 from granary.llm.textkit import mix64
 
-TABLES, HASHES, WIDTH, PROBES = 8, 7, 2.0, 48
-BLOCK = 4096
+
+class Setting(NamedTuple):
+    """Tables, hash functions in each, width of a slot, buckets visited in each table."""
+
+    tables: int
+    hashes: int
+    width: float
+    probes: int
+
+
+FINE, COARSE = Setting(8, 12, 2.0, 64), Setting(8, 7, 2.0, 48)
+SURE = 0.92
+BLOCK, UNIT = 4096, 1 << 16
+PAIRS = 1 << 17  # candidate pairs scored at once
 HELD = 400_000  # candidates a task holds before it keeps each query's best
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 class Hashes:
-    """The projections of all tables; a function of the dimension and the seed alone."""
+    """The projections of all tables; a function of the dimension, the setting and the seed alone."""
 
-    def __init__(self, dim: int, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, seed: int = 20):
+    def __init__(self, dim: int, setting: Setting = COARSE, seed: int = 20):
+        self.tables, self.hashes, self.width, probes = setting
         rng = np.random.default_rng(seed)
-        self.a = rng.normal(size=(dim, tables * hashes))
-        self.b = rng.uniform(0, 1, tables * hashes)
-        self.tables, self.hashes, self.width, self.probes = tables, hashes, width, probes
-        self.moves = np.array(list(itertools.product((0, -1, 1), repeat=hashes)), np.int64)
-        self.odd = mix64(np.arange(1, hashes + 1, dtype=np.uint64)) | np.uint64(1)
+        self.a = rng.normal(size=(dim, self.tables * self.hashes))
+        self.b = rng.uniform(0, 1, self.tables * self.hashes)
+        # moves by one slot; with many hash functions those of up to three of them, the likeliest
+        most = self.hashes if self.hashes <= 8 else 3
+        places = [c for k in range(most + 1) for c in itertools.combinations(range(self.hashes), k)]
+        self.moves = np.zeros((sum(2 ** len(c) for c in places), self.hashes), np.int64)
+        row = 0
+        for c in places:
+            for signs in itertools.product((-1, 1), repeat=len(c)):
+                self.moves[row, list(c)] = signs
+                row += 1
+        self.probes = min(probes, len(self.moves))
+        self.odd = mix64(np.arange(1, self.hashes + 1, dtype=np.uint64)) | np.uint64(1)
 
     def _slots(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = (unit @ self.a / self.width + self.b).reshape(len(unit), self.tables, self.hashes)
@@ -53,6 +82,9 @@ class Hashes:
     def _keys(self, slots: np.ndarray) -> np.ndarray:
         return mix64((slots.view(np.uint64) * self.odd).sum(-1, dtype=np.uint64)).view(np.int64)
 
+    def _costs(self, down: np.ndarray) -> np.ndarray:
+        return (down**2) @ (self.moves == -1).T + ((1 - down) ** 2) @ (self.moves == 1).T
+
     def buckets(self, unit: np.ndarray) -> np.ndarray:
         """(rows, tables): the bucket of each vector in each table."""
         return self._keys(self._slots(unit)[0])
@@ -60,17 +92,52 @@ class Hashes:
     def visits(self, unit: np.ndarray) -> np.ndarray:
         """(rows, tables, probes): the buckets a query visits, likeliest first."""
         slot, down = self._slots(unit)
-        cost = (down**2) @ (self.moves == -1).T + ((1 - down) ** 2) @ (self.moves == 1).T
-        best = np.argsort(cost, axis=2, kind="stable")[:, :, : self.probes]
+        cost = self._costs(down)
+        some = np.argpartition(cost, self.probes - 1, axis=2)[:, :, : self.probes]
+        order = np.argsort(np.take_along_axis(cost, some, 2), axis=2, kind="stable")
+        best = np.take_along_axis(some, order, 2)
         return self._keys(slot[:, :, None, :] + self.moves[best])
 
+    def success(self, samples: int = 400, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, chances): how likely a query's visits meet a vector at a distance, by simulated projections."""
+        rng = np.random.default_rng(seed)
+        down = rng.uniform(size=(samples, self.hashes))
+        cost = self._costs(down)
+        last = np.partition(cost, self.probes - 1, axis=1)[:, self.probes - 1]
+        step = rng.normal(size=(samples, self.hashes)) / self.width
+        at = np.linspace(0, 2, 81)
+        chance = []
+        for d in at:
+            move = np.floor(down + d * step)
+            need = (np.where(move == -1, down, 0) ** 2 + np.where(move == 1, 1 - down, 0) ** 2).sum(1)
+            one = ((np.abs(move).max(1) <= 1) & (np.abs(move).sum(1) <= np.abs(self.moves).sum(1).max()) & (need <= last)).mean()
+            chance.append(1 - (1 - one) ** self.tables)
+        return at, np.minimum.accumulate(chance)
+
+    def least_cosine(self, sure: float) -> float:
+        """The cosine from which a row is met with a chance of at least ``sure``."""
+        at, chance = self.success()
+        far = at[chance >= sure].max(initial=0.0)
+        return 1 - far * far / 2
+
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings the largest component near one: exact, and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row by row, in one fixed order of additions."""
+    x, y = _scaled(x), _scaled(y)
     return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
 
 
@@ -89,7 +156,23 @@ def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def _search(dim: int, k: int):
-    """Rows sorted by (tab, bucket, blk), indexed ones and probes -> each query's best k of what this task saw."""
+    """Rows sorted by (tab, part, blk), indexed ones and queries with the buckets they visit -> each query's best k of what this task saw."""
+
+    def met(key: np.ndarray, visits: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query row, index row) that share a bucket, about PAIRS at a time."""
+        order = np.argsort(key, kind="stable")
+        n = np.array([len(v) for v in visits])
+        want, owner = np.concatenate(visits), np.repeat(np.arange(len(n)), n)
+        lo, hi = np.searchsorted(key[order], want, "left"), np.searchsorted(key[order], want, "right")
+        lo, size, owner = lo[hi > lo], (hi - lo)[hi > lo], owner[hi > lo]
+        run = np.cumsum(size)
+        s = 0
+        while s < len(size):
+            e = max(s + 1, int(np.searchsorted(run, (run[s - 1] if s else 0) + PAIRS, "right")))
+            m = size[s:e]
+            inside = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            yield np.repeat(owner[s:e], m), order[np.repeat(lo[s:e], m) + inside]
+            s = e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -99,22 +182,31 @@ def _search(dim: int, k: int):
             best = _best(*(np.concatenate(x) for x in zip(*held, strict=True)), k)
             return [best], len(best[0]), pa.RecordBatch.from_arrays([pa.array(x) for x in best], schema=_FOUND)
 
-        for t in grouped(batches, ["tab", "bucket", "blk"]):
+        for t in grouped(batches, ["tab", "part", "blk"]):
             probe = t.column("probe").to_numpy() == 1
             if probe.all() or not probe.any():
                 continue
             ids, x = t.column("id").to_numpy(), _matrix(t.column("v").combine_chunks(), dim)
+            unit = _unit(x)
             q, c = np.flatnonzero(probe), np.flatnonzero(~probe)
-            unit = x / np.sqrt((x * x).sum(1))[:, None]
-            for part in np.array_split(q, -(-len(q) * len(c) // (1 << 22)) or 1):
-                s = unit[part] @ unit[c].T
-                s[ids[part][:, None] == ids[c][None, :]] = -9
-                least = np.partition(s, -min(k, len(c)), axis=1)[:, -min(k, len(c))] if len(c) > k else np.full(len(part), -8.0)
-                i, j = np.nonzero((s >= least[:, None] - 1e-9) & (s > -8))  # and what rounding may have put just below
-                if len(i):
-                    found = (ids[part[i]], ids[c[j]], _cosines(x[part[i]], x[c[j]]))
-                    held.append(_best(*found, k))
-                    n += len(held[-1][0])
+            lists = t.column("buckets").combine_chunks()
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            least = np.full(len(q), -8.0)  # each query's k-th best so far
+            for a, b in met(flat[ends[c]], [flat[ends[r] : ends[r + 1]] for r in q]):
+                i, j = q[a], c[b]
+                s = np.einsum("ij,ij->i", unit[i], unit[j])
+                ok = (s >= least[a] - 1e-9) & (ids[i] != ids[j])  # and what rounding may have put just below
+                if not ok.any():
+                    continue
+                a, i, j = a[ok], i[ok], j[ok]
+                found = _best(ids[i], ids[j], _cosines(x[i], x[j]), k)
+                held.append(found)
+                n += len(found[0])
+                whose, first, count = np.unique(found[0], return_index=True, return_counts=True)
+                of = np.full(len(whose), -1)
+                of[np.searchsorted(whose, ids[i])] = a
+                full = count == k
+                least[of[full]] = np.maximum(least[of[full]], found[2][first[full] + k - 1])
             if n > HELD:
                 held, n, batch = out()
                 if n > HELD // 2:
@@ -131,8 +223,7 @@ def _placed(hashes: Hashes, dim: int):
         for batch in batches:
             for s in range(0, batch.num_rows, 2048):
                 part = batch.slice(s, 2048)
-                x = _matrix(part.column(1), dim)
-                b = hashes.buckets(x / np.sqrt((x * x).sum(1))[:, None])
+                b = hashes.buckets(_unit(_matrix(part.column(1), dim)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(b))], ["id", "v", "buckets"])
 
     return run
@@ -141,12 +232,11 @@ def _placed(hashes: Hashes, dim: int):
 def _visits(hashes: Hashes, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 128):
-                part = batch.slice(s, 128)
-                x = _matrix(part.column(1), dim)
-                b = hashes.visits(x / np.sqrt((x * x).sum(1))[:, None]).reshape(len(x) * hashes.tables, hashes.probes)
-                row = np.repeat(np.arange(len(x)), hashes.tables)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(np.tile(np.arange(hashes.tables, dtype=np.int32), len(x))), pa.array(list(b))], ["id", "v", "tab", "visits"])
+            for s in range(0, batch.num_rows, 64):
+                part = batch.slice(s, 64)
+                b = hashes.visits(_unit(_matrix(part.column(1), dim))).reshape(-1, hashes.probes)
+                row = np.repeat(np.arange(part.num_rows), hashes.tables)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(np.tile(np.arange(hashes.tables, dtype=np.int32), part.num_rows)), pa.array(list(b))], ["id", "tab", "visits"])
 
     return run
 
@@ -160,28 +250,42 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -
     return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fit).where(fine)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES) -> DataFrame:
+def candidates(rows: DataFrame, queries: DataFrame, hashes: Hashes, dim: int) -> DataFrame:
+    """Index rows and queries placed in the units where they meet: (tab, part, blk, probe, id, v, buckets).
+
+    A query's row is there once for each unit, with all the buckets that it visits in it.
+    """
+    kind = rows.schema["v"].dataType.simpleString()
+    parts = F.lit(max(1, -(-rows.count() // UNIT)))
+    index = stored(rows.mapInArrow(_placed(hashes, dim), f"id long, v {kind}, buckets array<long>"), "index")
+    index = index.select("id", "v", F.posexplode("buckets").alias("tab", "bucket"))
+    # Blocks of large buckets: at most tables * rows / BLOCK of them.
+    hot = stored(index.groupBy("tab", "bucket").count().where(F.col("count") > BLOCK).select("tab", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot")
+    visits = queries.mapInArrow(_visits(hashes, dim), "id long, tab int, visits array<long>").select("id", "tab", F.explode("visits").alias("bucket"))
+    if hot.isEmpty():
+        index, visits = (d.withColumn("blocks", F.lit(1)) for d in (index, visits))
+    else:
+        index, visits = (d.join(hot, ["tab", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) for d in (index, visits))
+    part = F.pmod("bucket", parts).cast("int").alias("part")
+    placed = index.select("tab", part, F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("blk"), F.lit(0).alias("probe"), "id", "v", F.array("bucket").alias("buckets"))
+    asked = visits.select("tab", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), "id", "bucket").groupBy("tab", "part", "blk", "id").agg(F.collect_list("bucket").alias("buckets"))
+    asked = asked.join(queries.groupBy("id").agg(F.collect_set("v").alias("vs")).withColumn("v", F.explode("vs")).drop("vs"), "id")
+    return placed.union(asked.select("tab", "part", "blk", F.lit(1).alias("probe"), "id", "v", "buckets"))
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, fine: Setting = FINE, coarse: Setting = COARSE, sure: float = SURE) -> DataFrame:
     """Each query's k nearest rows by cosine: query_id, rank, vec_id, score.
 
     Both tables are (id, v) as ``vectors`` gives them.  A row with the query's own id is no
     candidate; rows that share an id count once, at their best score.  Nearest first, ties to the
     smaller id; fewer than k if there are fewer candidates.  Vectors of another length than most of
-    ``rows`` take no part.  No rows or no queries give no rows.
+    ``rows`` take no part.  Components of any finite size are compared without overflow.  No rows or
+    no queries give no rows.
     """
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dim = size.n if size else 1
     rows, queries = rows.where(F.size("v") == dim), queries.where(F.size("v") == dim)
-    kind = rows.schema["v"].dataType.simpleString()
-    h = Hashes(dim, tables, hashes, width, probes)
-    index = stored(rows.mapInArrow(_placed(h, dim), f"id long, v {kind}, buckets array<long>"), "index")
-    index = index.select("id", "v", F.posexplode("buckets").alias("tab", "bucket"))
-    probe = queries.mapInArrow(_visits(h, dim), f"id long, v {kind}, tab int, visits array<long>").select("id", "v", "tab", F.explode("visits").alias("bucket"))
-    # Blocks of large buckets.
-    hot = stored(index.groupBy("tab", "bucket").count().where(F.col("count") > BLOCK).select("tab", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot")
-    one = F.coalesce(F.col("blocks"), F.lit(1))
-    index = index.join(hot, ["tab", "bucket"], "left").select("tab", "bucket", F.pmod(F.xxhash64("id"), one).cast("int").alias("blk"), F.lit(0).alias("probe"), "id", "v")
-    probe = probe.join(hot, ["tab", "bucket"], "left").select("tab", "bucket", F.explode(F.sequence(F.lit(0), one - 1)).alias("blk"), F.lit(1).alias("probe"), "id", "v")
-    keys = ["tab", "bucket", "blk"]
+    keys = ["tab", "part", "blk"]
     found_schema = "query_id long, vec_id long, score double"
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
@@ -189,19 +293,28 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLE
         once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return once.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    met = index.union(probe).repartition(*keys).sortWithinPartitions(*keys)
-    found = stored(ranked(met.mapInArrow(_search(dim, k), found_schema)), "found")
-    # Queries that met too few: exactly, against all rows in blocks.
-    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
-    few = stored(queries.join(full, "id", "left_anti"), "few")
-    n = few.count()
-    if n == 0:
-        return found
-    blocks = max(1, rows.count() // BLOCK)
-    whole = rows.select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"), F.lit(0).alias("probe"), "id", "v")
-    asked = few.select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), F.lit(1).alias("probe"), "id", "v")
-    rest = whole.union(asked).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_search(dim, k), found_schema)
-    return found.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").union(ranked(rest))
+    def search(met: DataFrame) -> DataFrame:
+        return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_search(dim, k), found_schema)
+
+    done, left = [], queries
+    for setting in (fine, coarse):
+        h = Hashes(dim, setting)
+        found = stored(ranked(search(candidates(rows, left, h, dim))), "found")
+        near = found.where((F.col("rank") == k) & (F.col("score") >= h.least_cosine(sure))).select("query_id")
+        done.append(found.join(near, "query_id", "left_semi").select("query_id", "rank", "vec_id", "score"))
+        left = stored(left.join(near.withColumnRenamed("query_id", "id"), "id", "left_anti"), "left")
+        if left.isEmpty():
+            break
+    else:  # exactly, against all rows in blocks
+        blocks = max(1, -(-rows.count() // BLOCK))
+        one = [F.lit(0).alias("tab"), F.lit(0).alias("part")]
+        whole = rows.select(*one, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"), F.lit(0).alias("probe"), "id", "v", F.array(F.lit(0).cast("long")).alias("buckets"))
+        asked = left.select(*one, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), F.lit(1).alias("probe"), "id", "v", F.array(F.lit(0).cast("long")).alias("buckets"))
+        done.append(ranked(search(whole.union(asked))))
+    out = done[0]
+    for d in done[1:]:
+        out = out.union(d)
+    return out
 
 
 def op9_ann(spark, sf_dir: str) -> DataFrame:

@@ -53,15 +53,56 @@ def test_hot_bucket_and_few_candidates(spark, monkeypatch):
     ids = rng.permutation(400)
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, v array<double>")
     want = brute(ids, x, ids[ids % 20 == 0], 5)
-    for probes in (32, 1):  # with one probe many queries meet too few and are searched exactly
+    # with narrow slots and one probe no find is sure, so all queries are searched exactly
+    for fine, coarse in ((ann.Setting(2, 7, 0.8, 32), ann.Setting(2, 7, 1.6, 32)), (ann.Setting(2, 7, 0.05, 1), ann.Setting(1, 7, 0.05, 1))):
         got = {}
-        for r in ann.nearest(df, df.where("id % 20 = 0"), 5, tables=2, probes=probes, width=1.6 if probes > 1 else 0.05).collect():
+        for r in ann.nearest(df, df.where("id % 20 = 0"), 5, fine, coarse).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
         assert all(len(v) == 5 for v in got.values())
         hot = set(ids[:300].tolist())
         for q in want:
-            if q in hot or probes == 1 and q not in hot:
+            if q in hot or fine.probes == 1:
                 assert [v for _, v in sorted(got[q])] == [v for v, _ in want[q]]
+        hits = sum(len({v for _, v in got[q]} & {v for v, _ in want[q]}) for q in want)
+        assert hits >= 0.9 * 5 * len(want)
+
+
+def test_few_rows_are_visited_where_neighbours_are_near():
+    """50,000 vectors in clusters: the fine hashing visits under a fifth of the rows and finds over nine tenths."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1000, 64))[rng.integers(0, 1000, 50_000)] + 0.5 * rng.normal(size=(50_000, 64))
+    u, q = ann._unit(x), np.arange(0, 50_000, 500)
+    s = u[q] @ u.T
+    s[np.arange(len(q)), q] = -9
+    best = np.argsort(-s, axis=1)[:, :5]
+    h = ann.Hashes(64, ann.FINE)
+    keys, visits = h.buckets(u), h.visits(u[q])
+    seen = np.array([np.any([np.isin(keys[:, t], visits[i, t]) for t in range(h.tables)], axis=0) for i in range(len(q))])
+    assert seen.mean() < 0.2
+    assert np.take_along_axis(seen, best, 1).mean() > 0.9
+    assert np.take_along_axis(s, best, 1)[:, 4].mean() > h.least_cosine(ann.SURE)  # so these queries are done
+
+
+def test_chance_of_success():
+    """The simulated chance against what hashing pairs at that distance gives."""
+    rng = np.random.default_rng(4)
+    for setting, cosine in ((ann.FINE, 0.75), (ann.COARSE, 0.35)):
+        h = ann.Hashes(64, setting)
+        a = ann._unit(rng.normal(size=(300, 64)))
+        b = rng.normal(size=(300, 64))
+        b = ann._unit(b - (a * b).sum(1)[:, None] * a)
+        b = cosine * a + np.sqrt(1 - cosine**2) * b
+        met = (h.visits(a) == h.buckets(b)[:, :, None]).any((1, 2)).mean()
+        at, chance = h.success()
+        assert met == pytest.approx(np.interp(np.sqrt(2 - 2 * cosine), at, chance), abs=0.06)
+
+
+def test_large_and_tiny_components(spark):
+    rows = [(0, [1e200, 0.0]), (50, [1e200, 5e199]), (1, [3e-310, 3e-310]), (2, [1e-200, 0.0])]
+    v = ann.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(v, v.where("id % 50 = 0")).collect()}
+    assert got[0, 50] == pytest.approx(2 / 5**0.5) and got[0, 1] == pytest.approx(0.5**0.5) and got[0, 2] == 1.0
+    assert got[50, 1] == pytest.approx(3 / 10**0.5)
 
 
 def test_bad_vectors(spark):
