@@ -17,6 +17,7 @@ A page is handled by itself, in one pass without a shuffle; each step is linear
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import Counter
@@ -30,12 +31,14 @@ SPAN = 3
 THRESHOLD = 86  # characters in a block where text surges, or the page's largest block if that is less
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"<]*+\"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>", re.S)
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-#: Elements whose content is not text.
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "select", "canvas", "audio", "video"}
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: Elements whose content is not text: to their end tag, or the page's end.
+_RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
+#: The same, but nested ones are closed one by one, and one that is never closed hides nothing.
+_HIDDEN = {"noscript", "template", "svg", "object", "select", "canvas", "audio", "video", "annotation", "annotation-xml"}
 #: Elements that are not part of an article wherever they stand; ``header`` only outside of one.
 _ASIDE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head", "datalist"}
-_INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i img ins del input kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br meta link base area source track param embed col".split())
+_INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i img ins del input kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br meta link base area source track param embed col math mi mn mo ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mtable mtr mtd mpadded menclose mfenced semantics".split())
 _VOID = set("br img input meta link base area source track param embed col hr wbr".split())
 #: Elements that divide a text without being its holder; so do divs beside each other of one class.
 _WITHIN = {"ul", "ol", "dl", "table", "figure", "details", "hgroup", "blockquote", "section", "fieldset", "center"}
@@ -52,6 +55,8 @@ _ADS = set("ad ads adv advert advertisement adverts advertising sponsor sponsore
 _CERTAIN = _ADS | _COMMENT - {"related", "recommended", "widget"} | set("cookie cookies consent gdpr notice notices alert popup newsletter subscribe subscription signup login commentform contentinfo footer sitefooter pagefooter".split())
 #: "no-sidebar" or "with-comments" is a page's layout, not a sidebar or comments.
 _LAYOUT = {"has", "have", "no", "non", "not", "with", "without"}
+#: And so is "comments-open".
+_STATE = {"open", "opened", "closed", "enabled", "disabled", "allowed", "on", "off"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PROSE = 40  # least characters of a line of prose, most of them outside of links
 
@@ -68,7 +73,7 @@ def _names(attrs: str, words: set[str], ids: bool = True) -> set[str]:
             for parts in (re.split(r"[^a-z0-9]+", token.lower()), [w.lower() for w in _WORD.findall(token)]):
                 if not words.isdisjoint(parts):
                     first = next(i for i, w in enumerate(parts) if w in words)
-                    if _LAYOUT.isdisjoint(parts[:first]):
+                    if _LAYOUT.isdisjoint(parts[:first]) and _STATE.isdisjoint(parts[first + 1 : first + 2]):
                         found |= words.intersection(parts)
     return found
 
@@ -77,6 +82,12 @@ def _class(attrs: str) -> str:
     return next((m[2].strip("\"'").strip() for m in _ATTR.finditer(attrs) if m[1].lower() == "class"), "")
 
 
+@functools.cache
+def _ends(tag: str) -> re.Pattern:
+    """Start and end tags of one element."""
+    return re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>?", re.I)
+
+
 def lines_of(page: str) -> list[tuple[str, int, int, bool, int]]:
     """Blocks of a page in order: (text, number of the element around it, number of the article around it or 0, whether it may be article text, number of its holder)."""
     out: list[tuple] = []  # as above, then the element dropped by name around it or -1, and whether most of it is outside of links
@@ -92,6 +103,22 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool, int]]:
     number, at, pos = 0, 0, page
 
     opened: Counter[str] = Counter()
+    endless: set[str] = set()  # hidden elements that no end tag follows any more
+
+    def hidden_end(tag: str, at: int) -> int:
+        """Behind the end tag of a hidden element that opens before ``at``, or ``at`` if none follows."""
+        depth, last = 1, at
+        if tag not in endless:
+            for m in _ends(tag).finditer(pos, at):
+                if not m[1]:
+                    depth += not m[0].rstrip(">").endswith("/")
+                    continue
+                depth, last = depth - 1, m.end()
+                if not depth:
+                    return last
+        if last == at:
+            endless.add(tag)
+        return last
 
     def push(element, holder=None):
         holders[element[1]] = element[1] if holder is None else holder
@@ -136,6 +163,10 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool, int]]:
             if not attrs.rstrip().endswith("/"):
                 at = end.end() if end else len(pos)
             continue
+        if tag in _HIDDEN:
+            if not closing and not attrs.rstrip().endswith("/"):
+                at = hidden_end(tag, at)
+            continue
         if tag == "br":
             text.append(" ")
             continue
@@ -227,7 +258,7 @@ def _returned(suspects: list[tuple[int, bool, bool]], lines: list[tuple]) -> lis
             around, certain, _ = suspects[s]
             if around >= 0 and not back[around]:
                 continue
-            if plain < PROSE and (many[s] > 2 or not certain) or not certain and many[s] > 2 and prose[s] > plain:
+            if plain < PROSE and (many[s] > 2 or not certain or not plain) or not certain and many[s] > 2 and prose[s] > plain:
                 back[s] = True
                 plain += own[s]
         left = [s for s in left if not back[s]]
@@ -274,7 +305,12 @@ def main_text(page: str | None, span: int = SPAN, threshold: int = THRESHOLD) ->
     peak = max((k for k in range(start, end) if size[k]), key=lambda k: (blocks[k], -k))
     article = lines[peak][2]
     if article:
-        kept = [t for t, _, a, ok, _ in lines if ok and a == article]
+        # all articles of the page that hold at least a third as much as the largest
+        sizes: Counter[int] = Counter()
+        for n, (_, _, a, _, _) in zip(size, lines, strict=True):
+            sizes[a] += n
+        most = max(n for a, n in sizes.items() if a)
+        kept = [t for t, _, a, ok, _ in lines if ok and a and (a == article or 3 * sizes[a] >= most and sizes[a] >= threshold)]
     else:
         around = [s for s in (start, end - 1) if size[s]] or [peak]
         start = _grow(lines, start - 1, -1, around) + 1

@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from granary.llm.html_extract import extract, main_text
+from granary.llm.html_extract import extract, lines_of, main_text
 
 
 def by_structure(page):
@@ -56,6 +56,42 @@ def test_pages(page, want):
     assert main_text(page) == want
 
 
+P = [" ".join(f"This is sentence {i} of {name} part, with as many words as one needs." for i in range(4)) for name in ("the first", "the other")]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        *(f"<nav><a href=/>Home</a></nav><{t}><p>{P[0]}</p><p>{P[1]}</p></{t.split()[0]}><footer>foot</footer>" for t in ('div class="content has-sidebar"', 'article class="post comments-open"', 'article class="post no-comments"', 'div class="social-science"', 'div class="article top-story"', 'div data-id="menu-article"', "div class='comments'")),
+        f"<div><section><p>{P[0]}</p></section><aside>advert text</aside><section><p>{P[1]}</p></section></div>",
+        f"<div><section><p>{P[0]}</p></section><div class=promo>advert text</div><section><p>{P[1]}</p></section></div>",
+        f"<article><p>{P[0]}</p></article><article><p>{P[1]}</p></article><article class=comment><p>{P[0] * 3}</p></article>",
+        f"<article><p>{P[0]}</p><svg><svg><text>a</text></svg><text>b</text></svg><p>{P[1]}</p></article>",
+        *(f"<article><p>{P[0]}</p><{t}><p>{P[1]}</p></article>" for t in ("svg", "object", "select", "video", "template", "canvas")),
+    ],
+)
+def test_names_and_open_elements_lose_no_paragraph(page):
+    assert main_text(f"<html><body>{page}</body></html>") == "\n".join(P)
+
+
+def test_formulas_stay():
+    assert main_text(f"<article><p>{P[0]}</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> here.</p></article>") == f"{P[0]}\nSo x=2 here."
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_plain_line_blocks(spark, sf):
+    """The densest run of lines, found the plain way, is part of what is kept."""
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        lines = [(t, len(t) if ok else 0) for t, _, _, ok, _ in lines_of(r.html)]
+        sums = [sum(n for _, n in lines[i : i + 3]) for i in range(len(lines))]
+        at = sums.index(max(sums))
+        kept = main_text(r.html).split("\n")
+        assert all(t in kept for t, n in lines[at : at + 3] if n)
+        surge = next(i for i in range(len(lines)) if sums[i] >= min(86, max(sums)))
+        dive = next((i for i in range(at, len(lines)) if sums[i] == 0), len(lines))
+        assert [t for t, n in lines[surge:dive] if n and t in kept] == [t for t, n in lines[surge:dive] if n]
+
+
 AD = "<div class='ad'><p>Buy this</p><p>Buy that</p><p>Buy all</p><p>Buy now</p></div>"
 
 
