@@ -11,7 +11,13 @@ document whose size fits what is then missing best.
 U is a hash of the document's id, so reruns agree and nothing is drawn.  The beginning of the
 ranking is found without putting a source in order: ranks fall into CELLS slices of the unit
 interval, slices are summed per source (one partial sum a slice and task), and only the slice that
-holds the boundary is ordered row by row, a CELLS-th part of a source.
+holds the boundary is ordered row by row, a CELLS-th part of a source.  Documents with l_i = 1 have a
+slice of their own, which never holds the boundary: their words are at most R.
+
+Texts are read for their sizes once; what goes on is a row of a few numbers for each document, and
+documents meet their copies by id, source and a hash of the text.  Tables with a row for each source
+are broadcast while there are at most SOURCES of them, else Spark shuffles; only in ``targets`` they
+pass through one task, sorted and spilled by Spark.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from granary.llm.shared import stored
 WEIGHTS = (5, 2, 1)
 MOST = 3  # a target is at most so many times its source
 CELLS = 4096
+SOURCES = 100_000  # sources whose rows, some dozens of bytes each, may be broadcast
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -61,17 +68,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     Takes columns doc_id, text and source.  Size is the number of words (runs of anything but ASCII
     white space), 0 for null texts.  Columns of the added names are replaced.  A null source is one
     source, the last.  Documents without words take none.  Rows that share an id have equal ranks
-    and go by size, and where that is equal too either may be taken.  No rows in, no rows out.
+    and go by size; those of one id, source and size are taken together, so all of them have the same
+    copies.  No rows in, no rows out.
     """
-    added = ["size", "source_size", "target", "copies", "taken", "_row"]
+    added = ["size", "source_size", "target", "copies", "taken", "_h", "_n"]
     docs = docs.drop(*added)
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
-    slim = sized.select("doc_id", "source", "size")
-    decided = copies(slim, weights, most)
-    # Rows of one id, source and size share their copies, so ids may repeat.
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"x.{c}")) for c in ("doc_id", "source", "size")]
-    out = sized.alias("d").join(decided.alias("x"), same[0] & same[1] & same[2], "left")
-    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("d.size").alias("size"), "x.source_size", "x.target", "x.copies", (F.col("d.size") * F.col("x.copies")).alias("taken"))
+    sized = stored(docs.select("doc_id", "source", *_text_key(), words_of(F.col("text")).alias("size")), "sizes")
+    decided = copies(sized.select("doc_id", "source", "size"), weights, most)
+    keys = ["doc_id", "source", "_h", "_n"]
+    met = _met(sized.distinct(), decided, ["doc_id", "source", "size"]).select(*[F.col(f"d.{c}") for c in (*keys, "size")], "x.source_size", "x.target", "x.copies")
+    out = _met(docs.select("*", *_text_key()), met, keys)
+    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], "x.size", "x.source_size", "x.target", "x.copies", (F.col("x.size") * F.col("x.copies")).alias("taken"))
+
+
+def words_of(text: Column) -> Column:
+    """Number of runs of anything but ASCII white space; 0 for null."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def _text_key() -> list[Column]:
+    """What tells texts of one id and source apart without counting their words: a hash and the length."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("_h"), F.coalesce(F.length(text), F.lit(-1)).alias("_n")]
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join as d and x on columns that may be null."""
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(f"d.{c}").eqNullSafe(F.col(f"x.{c}"))
+    return left.alias("d").join(right.alias("x"), on, "left")
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SOURCES else df
 
 
 def copies(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -84,20 +114,21 @@ def copies(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
     aimed = aimed.withColumn("whole", whole).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
     aimed = stored(aimed.withColumnRenamed("source", "s"), "targets")
+    sources = aimed.count()
     on = F.col("source").eqNullSafe(F.col("s"))
     chance = F.when(F.col("sq") > 0, F.least(F.lit(1.0), F.col("missing") * F.col("size") / F.col("sq"))).otherwise(0.0)
     u = unit(F.col("doc_id"))
-    ranked = slim.join(F.broadcast(aimed), on).drop("s").withColumn("chance", chance)
+    ranked = slim.join(_sent(aimed, sources), on).drop("s").withColumn("chance", chance)
     # Q = odds of U over odds of the chance; Q / (1 + Q) keeps the order and lies in the unit interval.
     q = F.when(F.col("chance") >= 1, F.lit(0.0)).when(F.col("chance") <= 0, F.lit(1.0)).otherwise(u * (1 - F.col("chance")) / (u * (1 - F.col("chance")) + (1 - u) * F.col("chance")))
-    ranked = ranked.withColumn("q", q).withColumn("cell", F.least(F.lit(CELLS - 1), F.floor(F.col("q") * CELLS)).cast("int"))
+    ranked = ranked.withColumn("q", q).withColumn("cell", F.when(F.col("chance") >= 1, F.lit(-1)).otherwise(F.least(F.lit(CELLS - 1), F.floor(F.col("q") * CELLS))).cast("int"))
     able = (F.col("size") > 0) & (F.col("missing") > 0) & (F.col("chance") > 0)
     words = F.col("size") * F.col("rows")
     cells = ranked.where(able).groupBy("source", "missing", "cell").agg(F.sum(words).alias("in_cell"))
     run = Window.partitionBy("source").orderBy("cell")  # at most CELLS rows a source
     cells = cells.withColumn("upto", F.sum("in_cell").over(run)).withColumn("start", F.col("upto") - F.col("in_cell"))
     edge = cells.where((F.col("start") <= F.col("missing")) & (F.col("upto") > F.col("missing"))).select(F.col("source").alias("s"), F.col("cell").alias("edge"), "start")
-    edge = F.broadcast(stored(edge, "edges"))
+    edge = _sent(stored(edge, "edges"), sources)
     placed = ranked.join(edge, on, "left").drop("s")
     taken = able & (F.col("edge").isNull() | (F.col("cell") < F.col("edge")))
     # Row by row in the slice of the boundary.
@@ -112,9 +143,9 @@ def copies(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     marked = placed.withColumn("sure", taken).alias("p").join(firsts.alias("f"), key[0] & key[1] & key[2], "left").select("p.*", (F.col("sure") | F.coalesce(F.col("f.fits"), F.lit(False))).alias("chosen"))
     # a document with a certain place is never among those left
     near = F.struct(F.abs(words - F.col("gap")).alias("off"), F.col("q"), F.col("doc_id"), F.col("size"))
-    left = marked.where(able & ~F.col("chosen")).join(F.broadcast(gap), on).drop("s").where(F.abs(words - F.col("gap")) < F.col("gap"))
+    left = marked.where(able & ~F.col("chosen")).join(_sent(gap, sources), on).drop("s").where(F.abs(words - F.col("gap")) < F.col("gap"))
     last = left.groupBy("source").agg(F.min(near).alias("x")).select(F.col("source").alias("s"), F.col("x.doc_id").alias("last_id"), F.col("x.size").alias("last_size"))
-    done = marked.join(F.broadcast(last), on, "left")
+    done = marked.join(_sent(last, sources), on, "left")
     extra = F.col("chosen") | F.coalesce((F.col("last_size") == F.col("size")) & F.col("last_id").eqNullSafe(F.col("doc_id")), F.lit(False))
     number = F.when(F.col("size") > 0, F.col("whole") + extra.cast("int")).otherwise(0)
     return done.select("doc_id", "source", "size", "source_size", "target", F.least(F.lit(most), number).cast("int").alias("copies"))
