@@ -4,7 +4,8 @@
 positives are documents labelled good; the unlabelled set is web text as it comes.  With the class
 prior p the risk of a classifier is p R_P(+) + max(0, R_U(-) - p R_P(-)): the second term
 estimates the risk on negatives without any, and is kept from going below zero.  The prior is
-estimated as the share of good ones among the labels that may be learnt from.
+estimated as the share of good ones among the labels that may be learnt from: of the bad ones only
+their number is used.
 
 Features are computed on executors from whole texts, and describe form alone: shares of character
 classes, case, symbols at word ends, repetition of words, pairs and lines, lengths.  Two bounded
@@ -144,14 +145,15 @@ def fold(doc_id) -> F.Column:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(t.as_py()).tolist() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["good", "x"])
+        rows = [features(t.as_py()).tolist() for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["good", "doc_id", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on at most ``sample`` good documents and as many unlabelled ones, none of them held out.
 
-    Labels other than 0 and 1 and null ids don't count.  None if nothing is labelled good.
+    Labels other than 0 and 1 and null ids don't count.  An id that stands over several rows counts
+    once, by the least of its texts' features.  None if nothing is labelled good.
     """
     chance = F.xxhash64("doc_id", F.lit(11))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
@@ -163,8 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = known.where("quality = 1").select("doc_id").distinct().orderBy(chance, "doc_id").limit(sample).select("doc_id", F.lit(1).alias("good"))
     web = texts.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).select("doc_id").distinct().orderBy(chance, "doc_id").limit(sample).select("doc_id", F.lit(0).alias("good"))
-    rows = texts.join(F.broadcast(chosen.union(web)), "doc_id").select("good", "text").mapInArrow(_feature_rows, "good int, x array<double>")
-    got = rows.toArrow()
+    rows = texts.join(F.broadcast(chosen.union(web)), "doc_id").select("good", "doc_id", "text").mapInArrow(_feature_rows, "good int, doc_id long, x array<double>")
+    # one row for each chosen id, however many rows it has: at most 2 * sample come to the driver
+    got = rows.groupBy("good", "doc_id").agg(F.min("x").alias("x")).select("good", "x").toArrow()
     if not got.num_rows:
         return None
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
