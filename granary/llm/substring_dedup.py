@@ -42,6 +42,7 @@ WINDOW = 35
 GRAM = 16
 DEPTH, CELLS, SLICE = 2, 1 << 26, 1 << 20
 HOT = 200  # count of an anchor from which its windows travel one by one
+COUNTED = 1 << 22  # anchors a task holds before it sends its counts on
 FLUSH = 1 << 19  # windows held by a task before it sends them on
 
 _ROW_SEEDS = mix64(np.arange(1, DEPTH + 1, dtype=np.uint64))
@@ -67,15 +68,21 @@ def _anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndar
 def _sketch(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        n = 0
         for batch in batches:
             for text in batch.column(0):
                 h = word_hashes(words(text.as_py()))
                 if len(h) >= window:
                     g, at = _anchors(h, window, gram)
                     held.append(g[np.unique(at)])
-        if not held:
-            return
-        anchors = np.concatenate(held)
+                    n += len(held[-1])
+                    if n >= COUNTED:
+                        yield from counted(np.concatenate(held))
+                        held, n = [], 0
+        if held:
+            yield from counted(np.concatenate(held))
+
+    def counted(anchors: np.ndarray) -> Iterator[pa.RecordBatch]:
         for row in range(DEPTH):
             cells, counts = np.unique(_cells(anchors, row), return_counts=True)
             counts = np.minimum(counts, HOT).astype(np.uint8)
