@@ -11,10 +11,11 @@ Plan: one pass makes a small row per document (set digest, band keys, a byte per
 Equal sets form one class, told by its digest and numbered when it is written, so a thousand copies
 count once and one doc_id may stand over different sets.  Buckets of a band link each class
 to the smallest in the bucket (a star, never all pairs); those links are confirmed on the full
-shingle sets and merged.  In buckets that still hold several components the members of all but the
+shingle sets, in units of bounded size that hold each set once, and merged.  In buckets that still hold several components the members of all but the
 largest are compared with all members of other components, in blocks of bounded size, by set size
-and sketch; the pairs that may reach the threshold are confirmed on full sets too.  A bucket that is
-one component but for a few sends its rows once, not once for each block.  So every pair that shares a bucket is either
+and sketch; the pairs that may reach the threshold are confirmed on full sets too, unit by unit.  A
+bucket that is one component but for a few sends its rows once, not once for each block, and a unit
+gives only the links that join its classes, never all its pairs.  So every pair that shares a bucket is either
 already joined, ruled out by its sketch, or decided exactly.
 """
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.components import components
@@ -33,8 +34,9 @@ from granary.llm.shared import grouped, spread_join, stored
 from granary.llm.textkit import common, mix64, shingle_set
 
 BINS, BANDS, ROWS = 512, 25, 5  # bands use the first coordinates
-BLOCK = 256  # members or probes of a mixed bucket that meet at once
-HUB = 512  # pairs of one class that meet its set in one task
+BLOCK = 256  # members, or probes, of a unit: classes that meet at once
+SHINGLES = 1 << 13  # a class of so many shingles weighs as much as two
+LARGEST, OTHER, PROBE = 0, 1, 2  # a member of a bucket's largest component, another member, a probe
 SENT = 4_000_000  # ids that may be broadcast
 #: A sketch rules a pair out if its estimate is this much below the threshold: over four and a half standard deviations.
 MARGIN = 0.08
@@ -126,34 +128,52 @@ def _sets(k: int):
 
 
 def _confirm(num: int, den: int):
+    """Rows sorted by unit and kind (a unit's pairs, then the sets in them) -> links that join what the unit's pairs join."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
-            keep = []
-            for i in range(batch.num_rows):
-                p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
+        for t in grouped(batches, ["u1", "u2", "u3"]):
+            sets = {c: np.frombuffer(s.as_buffer(), np.uint64) for c, s in zip(t.column("cls").to_pylist()[1:], t.column("s").combine_chunks()[1:], strict=True)}
+            root = {c: c for c in sets}
+
+            def find(x):
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            links = []
+            for a, b in zip(t.column("a")[0].as_py(), t.column("b")[0].as_py(), strict=True):
+                if find(a) == find(b):
+                    continue
+                p, q = sets[a], sets[b]
                 c = common(p, q)
-                keep.append(den * c >= num * (len(p) + len(q) - c))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+                if den * c >= num * (len(p) + len(q) - c):
+                    links.append((a, b))
+                    root[find(b)] = find(a)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
     return run
 
 
+_UNITS = pa.schema([("u1", pa.int64()), ("u2", pa.int32()), ("u3", pa.int32()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+
+
 def _cross(least: float, ratio: float):
-    """Pairs of different components of a block of members and one of probes, whose sketches and set sizes allow the threshold; each in the first bucket it shares."""
+    """A row for each unit, a block of members and one of probes: the pairs of different components whose sketches and set sizes allow the threshold, each in the first bucket it shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["key", "i", "j"]):
-            ids, comp, n, probe = (t.column(c).to_numpy() for c in ("cls", "comp", "n", "probe"))
-            p, m = np.flatnonzero(probe == 1), np.flatnonzero(probe == 0)
+            ids, comp, n, kind = (t.column(c).to_numpy() for c in ("cls", "comp", "n", "kind"))
+            p, m = np.flatnonzero(kind == PROBE), np.flatnonzero(kind != PROBE)
             if not len(p) or not len(m):
                 continue
             sk = np.frombuffer(b"".join(t.column("sk").to_pylist()), np.uint8).reshape(-1, BINS)
             bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-            band = int(np.flatnonzero(bands[0] == t.column("key")[0].as_py())[0])
+            unit = [t.column(c)[0].as_py() for c in ("key", "i", "j")]
+            band = int(np.flatnonzero(bands[0] == unit[0])[0])
             a, b = p[:, None], m[None, :]
-            fit = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) >= ratio * np.maximum(n[a], n[b]))
+            # two that are probes both meet in two units and count in one
+            fit = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) >= ratio * np.maximum(n[a], n[b])) & ((kind[b] == LARGEST) | (ids[a] < ids[b]))
             x, y = np.nonzero(fit)
             x, y = p[x], m[y]
             found = []
@@ -164,10 +184,9 @@ def _cross(least: float, ratio: float):
                 ok = (sk[u] == sk[v]).mean(1) >= least
                 found.append((u[ok], v[ok]))
             if found:
-                u, v = (ids[np.concatenate(z)] for z in zip(*found, strict=True))
-                if len(u):
-                    both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                u, v = (ids[np.concatenate(z)].tolist() for z in zip(*found, strict=True))
+                if u:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*unit, u, v), _UNITS, strict=True)], schema=_UNITS)
 
     return run
 
@@ -199,45 +218,52 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     # One class for each set of shingles, numbered as it is written; rep is its smallest doc_id.
     classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sk").alias("sk"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    band = classes.select("cls", F.explode("bands").alias("key"))
-    shared_ = band.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    # A class weighs one, and more if its set is large, so that what a unit holds is bounded.
+    weight = (1 + F.floor(F.col("n") / SHINGLES)).cast("long").alias("wt")
+    band = classes.select("cls", weight, F.explode("bands").alias("key"))
+    shared_ = band.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("m"), F.sum("wt").alias("of_key")).where("m > 1")
+    shared_ = shared_.withColumn("of_hub", F.sum("of_key").over(Window.partitionBy("hub")))  # a hub has a bucket in each band
     members = stored(band.join(shared_, "key"), "members")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = stored(pairs.distinct(), f"{name}-pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        needed = stored(classes.select("cls", "rep", "s1", "s2").join(needed, "cls", "left_semi"), f"{name}-classes")
+    def confirmed(units: DataFrame, name: str) -> DataFrame:
+        """Links of units (u1, u2, u3, lists a and b of pairs), decided on full sets; what a unit's pairs join stays joined."""
+        units = stored(units, f"{name}-units")
+        within = units.select("u1", "u2", "u3", F.explode(F.array_distinct(F.concat("a", "b"))).alias("cls"))
+        needed = stored(classes.select("cls", "rep", "s1", "s2").join(within.select("cls").distinct(), "cls", "left_semi"), f"{name}-classes")
         ids = needed.select(F.col("rep").alias("doc_id")).distinct()
         if needed.count() <= SENT:  # 8 bytes each; beyond it Spark shuffles both sides
             ids = F.broadcast(ids)
         sets = given.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "s1 long, s2 long, s binary")
         sets = sets.groupBy("s1", "s2").agg(F.min("s").alias("s"))
         sets = stored(needed.select("cls", "s1", "s2").join(sets, ["s1", "s2"]).select("cls", "s"), f"{name}-sets")
-        x, y = sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), sets.select(F.col("cls").alias("b"), F.col("s").alias("y"))
-        # a hub's set may meet a third of all classes: its pairs are dealt to many tasks
-        both = spread_join(spread_join(pairs, y, "b", "a", HUB), x, "a", "b", HUB).select("a", "b", "x", "y")
+        none = F.lit(None).cast("array<long>")
+        rows = spread_join(within, sets, "cls", "u1").select("u1", "u2", "u3", F.lit(1).alias("kind"), none.alias("a"), none.alias("b"), "cls", "s")
+        heads = units.select("u1", "u2", "u3", F.lit(0).alias("kind"), "a", "b", F.lit(None).cast("long").alias("cls"), F.lit(None).cast("binary").alias("s"))
+        both = heads.union(rows).repartition("u1", "u2", "u3").sortWithinPartitions("u1", "u2", "u3", "kind")
         return stored(both.mapInArrow(_confirm(num, den), "a long, b long"), f"{name}-links")
 
-    first = confirmed(members.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")), "hub")
+    star = members.where("cls != hub").select("hub", "cls", F.pmod(F.xxhash64("cls"), F.ceil(F.col("of_hub") / BLOCK)).cast("int").alias("part")).distinct()
+    star = star.groupBy("hub", "part").agg(F.collect_list("cls").alias("b")).select(F.col("hub").alias("u1"), F.col("part").alias("u2"), F.lit(0).alias("u3"), F.transform("b", lambda _: F.col("hub")).alias("a"), "b")
+    first = confirmed(star, "hub")
     roots = stored(components(first), "roots")
     # What is left: buckets whose members are still in several components.  Members of a bucket's largest
     # component are only met by the others, the probes; both are dealt into blocks of BLOCK.
     placed = members.join(roots.withColumnsRenamed({"node": "cls", "root": "comp"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    placed = stored(placed.select("key", "cls", "comp"), "placed")
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("rows"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = mixed.select("key", F.col("top.comp").alias("largest"), F.ceil(F.col("rows") / BLOCK).cast("int").alias("ni"), F.ceil((F.col("rows") - F.col("top.k")) / BLOCK).cast("int").alias("nj"))
+    placed = stored(placed.select("key", "cls", "comp", "wt"), "placed")
+    parts = placed.groupBy("key", "comp").agg(F.sum("wt").alias("k"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+    mixed = mixed.select("key", F.col("top.comp").alias("largest"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ni"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("nj"))
     mixed = stored(mixed, "mixed")
     if mixed.isEmpty():
         return _named_rows(sk, classes, roots)
-    # of a bucket with one component nothing is sent; the others' rows take their sketches along once
     rows = spread_join(placed, mixed, "key", "cls").join(classes.select("cls", "n", "sk", "bands"), "cls")
     at = lambda seed, n: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n)).cast("int")
-    kept_ = ["cls", "comp", "n", "sk", "bands"]
-    members_ = rows.select("key", at(1, "ni").alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), F.lit(0).alias("probe"), *kept_)
-    probes = rows.where("comp != largest").select("key", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), at(2, "nj").alias("j"), F.lit(1).alias("probe"), *kept_)
-    blocks = members_.union(probes)
-    cross = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross(num / den - MARGIN, num / den), "a long, b long")
+    own = ["cls", "comp", "n", "sk", "bands"]
+    kind = F.when(F.col("comp") == F.col("largest"), LARGEST).otherwise(OTHER)
+    met = rows.select("key", at(1, "ni").alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), kind.alias("kind"), *own)
+    probes = rows.where("comp != largest").select("key", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), at(2, "nj").alias("j"), F.lit(PROBE).alias("kind"), *own)
+    blocks = met.union(probes).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    cross = blocks.mapInArrow(_cross(num / den - MARGIN, num / den), "u1 long, u2 int, u3 int, a array<long>, b array<long>")
     second = confirmed(cross, "cross")
     named = lambda c: F.coalesce(c, F.col("x"))
     between = second.select(F.col("a").alias("x"), "b").join(roots.withColumnRenamed("node", "x"), "x", "left").select(named(F.col("root")).alias("a"), F.col("b").alias("x"))

@@ -67,7 +67,7 @@ def test_against_brute_force(spark, corpus, num, den):
 def test_small_blocks_and_hot_keys(spark, corpus, monkeypatch):
     """Buckets of many blocks, hubs and star centres dealt to many tasks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 2)
-    monkeypatch.setattr(near_dedup, "HUB", 2)
+    monkeypatch.setattr(near_dedup, "SHINGLES", 40)
     monkeypatch.setattr(shared, "HOT_ROWS", 2)
     df = spark.createDataFrame(corpus, "doc_id long, text string")
     assert rows_of(near_duplicates(df, 5, 80, 100)) == brute(corpus, 5, 80, 100)
@@ -82,10 +82,11 @@ def test_mixed_bucket_pairs():
     key = int(near_dedup.band_keys(sk[0])[0])
     bands = np.array([near_dedup.band_keys(x) for x in sk])
     bands[:, 0] = key  # as if all had met in one bucket
-    rows = [{"key": key, "i": 0, "j": 0, "probe": p, "cls": c, "comp": c, "n": len(sets[c]), "sk": (sk[c] & np.uint64(255)).astype(np.uint8).tobytes(), "bands": bands[c].tolist()} for c in range(len(sets)) for p in (0, 1)]
-    got = set()
-    for b in near_dedup._cross(0.72, 0.8)(pa.Table.from_pylist(rows).to_batches()):
-        got |= {(r["a"], r["b"]) for r in b.to_pylist()}
+    rows = [{"key": key, "i": 0, "j": 0, "kind": p, "cls": c, "comp": c, "n": len(sets[c]), "sk": (sk[c] & np.uint64(255)).astype(np.uint8).tobytes(), "bands": bands[c].tolist()} for c in range(len(sets)) for p in (near_dedup.OTHER, near_dedup.PROBE)]
+    (unit,) = near_dedup._cross(0.72, 0.8)(pa.Table.from_pylist(rows).to_batches())
+    got = list(zip(unit.column("a")[0].as_py(), unit.column("b")[0].as_py(), strict=True))
+    assert len(got) == len(set(got))
+    got = set(got)
     assert got == {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if (sk[a] == sk[b]).mean() > 0.72}
     assert {(0, c) for c in range(3, 7)} <= got
 
