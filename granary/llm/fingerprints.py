@@ -7,17 +7,21 @@ which they stand in the text, and hashed together.  Two fingerprints agree in a
 they chose the same k-mers in the same order, which makes the share of equal coordinates fall with
 the edit distance, where a MinHash sees only sets.
 
-Pairs of neighbours in id order come from one range-like shuffle: ids alone give cut points and
-each bucket's largest id (a row a bucket); texts then move once, sorted by id, and each bucket also
-gets the rows that follow it.  No text is joined, collected or put in order by one task.
+Pairs of neighbours in id order come from one range-like shuffle.  Keys alone (id, hash of the text,
+place in the table) are put in order first, and every BUCKET_ROWS-th of them starts a bucket; texts
+then move once, each to its bucket, and a bucket's first row to the bucket before as well.  Keys differ
+even where ids or whole rows repeat, so no id is a bucket of its own.  No text is joined, collected
+or put in order by one task.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +29,9 @@ from pyspark.sql import functions as F
 from granary.llm.textkit import mix64
 
 K, TUPLE, COORDINATES = 6, 2, 96
-#: Rows a bucket of neighbouring ids holds, and the most buckets (their cut points are literals in the plan).
-BUCKET_ROWS, MOST_BUCKETS = 1000, 4096
+#: Rows a bucket of neighbours holds, and the most starts of buckets that are broadcast, 32 bytes each:
+#: beyond BUCKET_ROWS * MOST_BUCKETS rows, a quarter of a billion, buckets grow, to a million rows each at 10^12.
+BUCKET_ROWS, MOST_BUCKETS = 256, 1 << 20
 _PART = 1 << 18  # hashed k-mers held at once
 
 _MULT = (mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -144,37 +149,56 @@ _NAMES = [x.split()[0] for x in _MADE.split(", ")]
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
+def _every(step: int):
+    """Every step-th row of a partition, from its first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            yield batch.take(pa.array(range(-seen % step, batch.num_rows, step), pa.int64()))
+            seen += batch.num_rows
+
+    return run
+
+
+def _key(doc_id: int | None, h: int, row: int) -> tuple:
+    """A row's place in the order: falling ids, null ids last, then hash and place in the table."""
+    return doc_id is None, -(doc_id or 0), h, row
+
+
 def compare_with_next(docs: DataFrame, k: int = K, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Fingerprints of each whole text and of its edited text, and their likeness to each other and to the next text.
 
     Takes columns doc_id (long) and text; others are ignored; null texts count as ''.  The next
     document is the one that follows in descending doc_id, after the last the first; rows that share
-    a doc_id follow one another in the order of their texts; null ids come last.  The edited text is
-    the text with its last floor(n / 2) code points replaced by the first as many (or all) of the
-    next.  One row is its own next.  Returns doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next.  No rows in, no rows out.
+    a doc_id follow one another in the order of the xxhash64 of their texts; null ids come last.  The
+    edited text is the text with its last floor(n / 2) code points replaced by the first as many (or
+    all) of the next.  One row is its own next.  Returns doc_id, n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited, near_next.  No rows in, no rows out.  ``docs`` is read twice and
+    must give its rows in the same order, as a table does.
     """
-    least = -(2**63)
-    given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = given.select("key")
-    buckets = min(MOST_BUCKETS, max(64, ids.count() // bucket_rows))
-    cuts = sorted({int(c) for c in ids.stat.approxQuantile("key", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}) if ids.take(1) else []
-    # bucket 0 has the largest ids; a row a bucket comes back here
-    def bucket(c):
-        return F.lit(len(cuts)) - F.expr(f"size(filter(array({', '.join(f'{x}L' if x != least else 'cast(-9223372036854775808 as bigint)' for x in cuts) or 'cast(null as bigint)'}), x -> x < key))") if cuts else F.lit(0)
-
-    tops = {r.b: r.top for r in ids.groupBy(bucket(F.col("key")).alias("b")).agg(F.max("key").alias("top")).collect()}
-    present = sorted(tops)
-    before = {tops[b]: present[i - 1] for i, b in enumerate(present)}  # each bucket's largest id also goes to the bucket before
-    placed = given.withColumn("b", bucket(F.col("key")))
-    if before:
-        back = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("key")]
-        places = F.when(back.isNull(), F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("guest")))).otherwise(F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("guest")), F.struct(back.alias("b"), F.lit(1).alias("guest"))))
-        placed = placed.select(F.inline(places), "key", "text")
-    else:
-        placed = placed.withColumn("guest", F.lit(0))
-    rows = placed.select("b", F.when(F.col("key") != least, F.col("key")).alias("doc_id"), "guest", "text", "key")
-    rows = rows.repartition("b").sortWithinPartitions("b", "guest", F.col("key").desc(), "text").drop("key")
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    keys, order = given.select("doc_id", "h", "row"), [F.col("doc_id").desc_nulls_last(), "h", "row"]
+    step = max(bucket_rows, -(-keys.count() // MOST_BUCKETS))
+    starts = keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_every(step), keys.schema).toArrow()
+    told = spark.sparkContext.broadcast(sorted(map(_key, *(c.to_pylist() for c in starts.columns))))
+
+    @F.pandas_udf("b int, before int")
+    def place(doc_id: pd.Series, null: pd.Series, h: pd.Series, row: pd.Series) -> pd.DataFrame:
+        all_ = told.value
+        found = []
+        for d, none, x, r in zip(doc_id.tolist(), null.tolist(), h.tolist(), row.tolist(), strict=True):
+            key = _key(None if none else d, x, r)
+            b = bisect.bisect_right(all_, key) - 1
+            found.append((b, (b - 1) % len(all_) if all_[b] == key else -1))
+        return pd.DataFrame(found, columns=["b", "before"])
+
+    rows = given.withColumn("at", place(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "h", "row"))
+    here, guest = F.struct(F.col("at.b").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("at.before").alias("b"), F.lit(1).alias("guest"))
+    rows = rows.select(F.inline(F.when(F.col("at.before") < 0, F.array(here)).otherwise(F.array(here, guest))), "doc_id", "text", "h", "row")
+    rows = rows.repartition("b").sortWithinPartitions("b", "guest", *order).select("b", "doc_id", "guest", "text")
     return rows.mapInArrow(_compare(k), _MADE)
 
 

@@ -46,9 +46,9 @@ def test_sees_order_and_edits():
     assert fp.likeness(f, fp.fingerprint(text)) == 1
 
 
-def expected(rows):
-    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0]), reverse=True)
-    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), (r[1] or "").encode()))
+def expected(rows, df):
+    hashed = {(r.text or ""): r.h for r in df.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1] or ""]))
     out = []
     for i, (d, t) in enumerate(order):
         t, n = t or "", order[(i + 1) % len(order)][1] or ""
@@ -61,19 +61,25 @@ def expected(rows):
 def test_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(7)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert sorted(map(tuple, fp.compare_with_next(docs, bucket_rows=3).collect()), key=repr) == expected(rows)
+    assert sorted(map(tuple, fp.compare_with_next(docs, bucket_rows=3).collect()), key=repr) == expected(rows, docs)
+
+
+def test_one_id_is_dealt_to_many_buckets(spark):
+    df = spark.range(0, 300, 1, 4).selectExpr("cast(NULL AS long) AS doc_id", "concat('text number ', id) AS text").union(spark.range(0, 300, 1, 4).selectExpr("5L", "'the same row'"))
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    assert sorted(map(tuple, fp.compare_with_next(df, bucket_rows=7).collect()), key=repr) == expected(rows, df)
 
 
 def test_edge_cases(spark):
     schema = "doc_id long, text string, key long, b int"
     for rows in (
         [(5, "only one row here")],
-        [(1, None), (2, ""), (3, "x"), (3, "x"), (3, "y"), (None, "no id at all"), (-7, "é" * 40), (2**62, "long " * 5000)],
+        [(1, None), (2, ""), (3, "x"), (3, "x"), (3, "y"), (None, "no id at all"), (-7, "é" * 40), (2**62, "long " * 5000), (-(2**63), "least"), (2**63 - 1, "largest")],
         [(9, "same text")] * 5,
         [(None, "a text"), (None, None)],
     ):
         df = spark.createDataFrame([(*r, 1, 2) for r in rows], schema)
-        assert sorted(map(tuple, fp.compare_with_next(df).collect()), key=repr) == expected(rows), rows
+        assert sorted(map(tuple, fp.compare_with_next(df).collect()), key=repr) == expected(rows, df), rows
     assert fp.compare_with_next(spark.createDataFrame([], schema)).count() == 0
     got = fp.fingerprints(spark.createDataFrame([(1, None, 0, 0), (2, "ab", 0, 0)], schema)).collect()
     assert {r.doc_id: r.fingerprint for r in got} == {1: "0" * 16 * fp.COORDINATES, 2: fp.as_text(fp.fingerprint("ab"))}
