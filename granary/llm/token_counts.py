@@ -1,12 +1,13 @@
 """Token counts under a unigram model by dynamic programming shared over a trie.
 
-The distinct pre-tokens of a run of documents go into a trie.  At each of its nodes the forward
-score, the best sum of piece scores over the ways to cut the path up to that node, is computed once,
-however many pre-tokens share the prefix; a node that ends a pre-token keeps how many pieces its
-best cut has.  The documents' counts are then sums of the stored terminal counts.
+The distinct pre-tokens of the documents that a worker meets go into a trie, which it keeps from
+batch to batch and task to task.  Each node holds its forward score, the best sum of piece scores over
+the ways to cut the path up to it, computed once when the node is made, however many pre-tokens share
+the prefix; the ends of pre-tokens also store how many pieces the best cut has.  The documents'
+counts are then sums of the stored terminal counts.  A trie of over NODES nodes is started anew: that
+bounds a worker's memory and costs time only.
 
-Walking sorted pre-tokens visits the trie depth first, so only the current path is held: scores of a
-shared prefix are those already on the path.  All work stays in one Arrow pass, without a shuffle.
+All work stays in one Arrow pass, without a shuffle.
 
 The model is a vocabulary of pieces with scores, log probabilities by rank (Zipf's law over the
 vocabulary's own order).  A character that no piece covers falls back to one piece per byte.
@@ -14,6 +15,7 @@ vocabulary's own order).  A character that no piece covers falls back to one pie
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from granary.llm.bpe import chunks
 
 SPACE = "▁"
-CACHED = 400_000
+NODES = 1_000_000
 #: Score of one fallback byte: below every piece's.
 _BYTE = -30.0
 _GAP = re.compile(r"[\x20\x09-\x0D]+")
@@ -47,48 +49,56 @@ def load_pieces(path: str) -> list[str]:
 
 
 class Trie:
-    """Terminal counts of distinct pre-tokens; forward scores are shared over common prefixes."""
+    """Forward scores at the nodes, piece counts at the ends of the pre-tokens put in."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
-        self.counts: dict[str, int] = {}
-        self.nodes = 0  # forward scores computed so far
+        self._start()
+
+    def _start(self) -> None:
+        self.child: dict[int, int] = {}  # node << 21 | character -> node
+        self.best, self.pieces = [0.0], [0]  # by node; 0 is the root
+        self.ends: dict[str, int] = {}  # terminal counts
 
     def insert(self, words: list[str]) -> None:
-        """Store the count of every word given; words in sorted order share the most."""
-        scores, longest, counts = self.scores, self.longest, self.counts
-        best, pieces, last = [0.0], [0], ""
+        """Put in words; in sorted order a word starts from the node where it leaves the one before."""
+        scores, longest, child, best, pieces = self.scores, self.longest, self.child, self.best, self.pieces
+        path, last = [0], ""
         for w in words:
             n = min(len(w), len(last))
             d = 0
             while d < n and w[d] == last[d]:
                 d += 1
-            del best[d + 1 :], pieces[d + 1 :]
+            del path[d + 1 :]
+            node = path[-1]
             for end in range(d + 1, len(w) + 1):
-                width = len(w[end - 1].encode("utf-8", "surrogatepass"))
-                top, k = best[end - 1] + _BYTE * width, pieces[end - 1] + width
-                for start in range(max(0, end - longest), end):
-                    s = scores.get(w[start:end])
-                    if s is not None:
-                        s += best[start]
-                        c = pieces[start] + 1
-                        if s > top or s == top and c < k:
-                            top, k = s, c
-                best.append(top)
-                pieces.append(k)
-            self.nodes += len(w) - d
-            counts[w] = pieces[-1]
+                key = node << 21 | ord(w[end - 1])
+                node = child.get(key)
+                if node is None:
+                    width = len(w[end - 1].encode("utf-8", "surrogatepass"))
+                    before = path[-1]
+                    top, k = best[before] + _BYTE * width, pieces[before] + width
+                    for start in range(max(0, end - longest), end):
+                        s = scores.get(w[start:end])
+                        if s is not None:
+                            s += best[path[start]]
+                            c = pieces[path[start]] + 1
+                            if s > top or s == top and c < k:
+                                top, k = s, c
+                    node = child[key] = len(best)
+                    best.append(top)
+                    pieces.append(k)
+                path.append(node)
+            self.ends[w] = pieces[path[-1]]
             last = w
 
     def lookup(self, words: list[str]) -> np.ndarray:
         """Counts of all words, new ones inserted first."""
-        fresh = set(words).difference(self.counts)
-        if len(self.counts) + len(fresh) > CACHED:
-            self.counts.clear()
-            fresh = set(words)
-        self.insert(sorted(fresh))
-        return np.fromiter(map(self.counts.__getitem__, words), np.int64, len(words))
+        if len(self.best) > NODES:
+            self._start()
+        self.insert(sorted(set(words).difference(self.ends)))
+        return np.fromiter(map(self.ends.__getitem__, words), np.int64, len(words))
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -96,16 +106,15 @@ def pre_tokens(text: str) -> list[str]:
     return [SPACE + w for w in _GAP.split(text) if w]
 
 
-_tries: dict[int, Trie] = {}
+_tries: dict[str, Trie] = {}
 
 
-def _count(spec):
+def _count(name: str, spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = spec.value
-        if hash(tuple(pieces)) not in _tries:
+        if name not in _tries:
             _tries.clear()
-            _tries[hash(tuple(pieces))] = Trie(rank_scores(pieces))
-        trie = _tries[hash(tuple(pieces))]
+            _tries[name] = Trie(rank_scores(spec.value))
+        trie = _tries[name]
         for batch in batches:
             for at, texts in chunks(batch.column(0)):
                 words: list[str] = []
@@ -129,7 +138,8 @@ def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
     own = [c for c in docs.columns if c not in ("text", "n_words", "n_tokens")]
     given = docs.select(F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in own])
     spec = docs.sparkSession.sparkContext.broadcast(list(pieces))
-    return given.mapInArrow(_count(spec), ", ".join([*(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in own), "n_words long, n_tokens long"]))
+    name = hashlib.sha256("\0".join(pieces).encode("utf-8", "surrogatepass")).hexdigest()
+    return given.mapInArrow(_count(name, spec), ", ".join([*(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in own), "n_words long, n_tokens long"]))
 
 
 def op7_token_counts(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

@@ -41,7 +41,10 @@ def test_against_plain(words):
 def test_prefixes_are_computed_once():
     t = tc.Trie(tc.rank_scores(PIECES))
     t.lookup(["abab", "ababa", "ababb", "abab", "b"])
-    assert t.nodes == 4 + 1 + 1 + 1
+    made = len(t.best) - 1
+    assert made == 4 + 1 + 1 + 1
+    t.lookup(["ababab", "ba"])  # later words start from the nodes that are there
+    assert len(t.best) - 1 == made + 1 + 1
 
 
 @pytest.fixture(scope="module")
@@ -59,7 +62,7 @@ def test_table(spark, sf, pieces):
 
 
 def test_edge_cases(spark, pieces, monkeypatch):
-    monkeypatch.setattr(tc, "CACHED", 2)
+    monkeypatch.setattr(tc, "NODES", 2)
     df = spark.createDataFrame([(1, None, 3), (1, "", 3), (2, " \t\n", 3), (None, "x" * 3000, 3), (5, "a b a", 3), (5, "a b a", 3)], "doc_id long, text string, n_words int")
     got = sorted((r.doc_id or -1, r.n_words) for r in tc.count_tokens(df, pieces).collect())
     assert got == [(-1, 1), (1, 0), (1, 0), (2, 0), (5, 3), (5, 3)]
