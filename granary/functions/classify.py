@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Patterns that mark a client-rendered page (fixed values).
-SPA_MARKS = r"id=[\"'](?:root|app|__next)[\"']|ng-app|data-reactroot|enable javascript"
+#: What marks a client-rendered page: an empty mount point, an empty custom element, or one of these texts (fixed values).
+EMPTY_MOUNT = r"""(?i)<div[^>]*\bid=["'](root|app|__next|___gatsby|_r_)["'][^>]*>\s*</div>"""
+EMPTY_ELEMENT = r"(?i)<([a-z][a-z0-9]*-[a-z0-9-]*)\b[^>]*>\s*</\1>"
+SPA_TEXTS = ("data-reactroot", "ng-version=", "<app-root", "__next_f", "data-v-app", "__sveltekit", "q:container", "astro-island")
+#: Addresses whose bodies are files (fixed value).
+DOWNLOAD = r"(?i)(?:/download(?:\?|$))|(?:/bitstreams/)|(?:\.pdf(?:\?|$))"
+LINK, SCRIPT = r"(?i)<a\b[^>]*\bhref\s*=", r"(?i)<script\b"
 
 
 def _head(body: Column, n: int = 512) -> Column:
@@ -40,15 +45,23 @@ def content_type(body: Column, suffix: Column, header: Column) -> Column:
 
 def visible_length(body: Column) -> Column:
     """Characters left without scripts, styles, tags and repeated white space."""
-    x = F.regexp_replace(body, r"(?is)<script.*?</script>|<style.*?</style>", " ")
-    return F.length(F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " ")))
+    x = F.regexp_replace(body, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
+    return F.length(F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]+>", " "), r"\s+", " ")))
 
 
-def spa_shell(body: Column, marks: str = SPA_MARKS) -> Column:
+def spa_mark(body: Column) -> Column:
+    """An empty mount point, an empty custom element or a text that client-side frameworks leave."""
+    low = F.lower(body)
+    found = F.regexp_like(low, F.lit(EMPTY_MOUNT)) | F.regexp_like(low, F.lit(EMPTY_ELEMENT))
+    for text in SPA_TEXTS:
+        found = found | F.contains(low, F.lit(text))
+    return found
+
+
+def spa_shell(body: Column) -> Column:
     """A page that a client fills in: little visible text with a mark, or scripts without links."""
-    seen, links = visible_length(body), F.regexp_count(body, F.lit(r"(?i)<a\s[^>]*href\s*="))
-    scripts, marked = F.regexp_count(body, F.lit(r"(?i)<script")), F.regexp_like(F.lower(body), F.lit(marks))
-    return F.when(~looks_like_html(body) | ((seen >= 500) & (links >= 3)), False).when(marked & (seen < 300), True).otherwise((scripts >= 3) & (links == 0) & (seen < 300))
+    seen, links, scripts = visible_length(body), F.regexp_count(body, F.lit(LINK)), F.regexp_count(body, F.lit(SCRIPT))
+    return F.when(~looks_like_html(body) | ((seen >= 500) & (links >= 3)), False).when(spa_mark(body) & (seen < 300), True).otherwise((scripts >= 3) & (links == 0) & (seen < 300))
 
 
 def viewer_shell(body: Column) -> Column:
@@ -75,5 +88,18 @@ def successful(body: Column, status: Column, by_browser: Column) -> Column:
 
 def fetch_route(body: Column, url: Column, failed: Column) -> Column:
     """Which fetcher is next for a body from the plain one: 'raw', 'rendered' or 'done'."""
-    download = F.regexp_like(url, F.lit(r"(?i)\.(pdf|docx?|pptx?|zip)([?#]|$)|/bitstream/|/download"))
+    download = F.regexp_like(url, F.lit(DOWNLOAD))
     return F.when(failed, "raw").when(spa_shell(body) & download, "raw").when(spa_shell(body), "rendered").when(useless(body), "raw").otherwise("done")
+
+
+def may_be_pdf(url: Column, header: Column) -> Column:
+    """Whether a response is worth reading for a PDF, by its content type or address."""
+    u, h = F.lower(url), F.coalesce(F.lower(header), F.lit(""))
+    named = F.endswith(u, F.lit(".pdf")) | F.contains(u, F.lit(".pdf?")) | (F.contains(u, F.lit("/bitstreams/")) & F.endswith(F.rtrim(u, F.lit("/")), F.lit("/content")))
+    return F.contains(h, F.lit("application/pdf")) | F.contains(h, F.lit("octet-stream")) | F.coalesce(named, F.lit(False))
+
+
+def reliable_choice(api_body: Column, http_failed: Column, http_body: Column, url: Column) -> Column:
+    """Which of the fetchers' bodies is taken, in order: 'api' if it is a PDF, else 'http' if it is good, else what a browser gives, 'raw' or 'rendered'."""
+    route = fetch_route(http_body, url, http_failed)
+    return F.when(F.coalesce(F.startswith(api_body, F.lit("%PDF")), F.lit(False)), "api").when(route == "done", "http").otherwise(route)

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Typographic marks and what stands for them in a quote match; the soft hyphen goes (fixed values).
+MARKS = {"‘": "'", "’": "'", "“": '"', "”": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-"}
+SOFT_HYPHEN = "\u00ad"
+
+
+@F.pandas_udf(StringType())
+def nfkc(c: pd.Series) -> pd.Series:
+    """Unicode compatibility composition; Spark has no such function."""
+    return c.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
 
-#: Typographic marks and what stands for them in a quote match (fixed values).
-MARKS = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "–": "-", "—": "-", "−": "-", "‐": "-", "‑": "-", "‒": "-"}
-SOFT_HYPHEN = "­"
+@F.pandas_udf(StringType())
+def casefold(c: pd.Series) -> pd.Series:
+    """Unicode case folding, which also makes ß and ss equal."""
+    return c.map(lambda x: x if x is None else x.casefold())
+
+
+@F.pandas_udf(StringType())
+def general4(c: pd.Series) -> pd.Series:
+    """A number in at most four significant digits, as C's %.4g has it; Java's keeps trailing zeros."""
+    return c.map(lambda x: None if x is None or x != x else f"{x:.4g}")
 
 
 def squeeze(c: Column) -> Column:
@@ -16,8 +38,8 @@ def squeeze(c: Column) -> Column:
 
 
 def normalize_query(c: Column) -> Column:
-    """Trimmed, lower case, white space squeezed."""
-    return squeeze(F.lower(c))
+    """Trimmed, case folded, white space squeezed."""
+    return squeeze(casefold(c))
 
 
 def normalize_title(c: Column) -> Column:
@@ -26,19 +48,30 @@ def normalize_title(c: Column) -> Column:
 
 
 def normalize_quote(c: Column) -> Column:
-    """For comparing quotations: marks to ASCII, soft hyphens dropped, words joined over hyphenated line ends, then blanks squeezed.
+    """For comparing quotations: compatibility forms and marks to plain ones, soft hyphens dropped, words joined over hyphenated line ends, blanks and line ends to single blanks.
 
     A hyphen before a carriage return and line feed isn't joined, as line ends are made plain later.
     """
-    x = F.translate(c, "".join(MARKS) + SOFT_HYPHEN, "".join(MARKS.values()))
-    x = F.regexp_replace(x, r"(\w)-\n(\w)", "$1$2")
-    return squeeze(F.regexp_replace(x, r"\r\n?", "\n"))
+    x = F.translate(nfkc(c), "".join(MARKS) + SOFT_HYPHEN, "".join(MARKS.values()))
+    x = F.regexp_replace(x, r"(?U)(\w)-\n(\w)", "$1$2")
+    x = F.regexp_replace(F.regexp_replace(x, r"\r\n?", "\n"), r"[ \t]+", " ")
+    return F.regexp_replace(F.regexp_replace(x, r"\n+", " "), r"(?U)^\s+|\s+$", "")
 
 
 def quote_match(quote: Column, source: Column) -> Column:
-    """'exact' if the quote stands in the source, 'normalized' if its normal form stands in the source's, else null; null for blank quotes."""
+    """'exact' if the quote stands in the source, 'normalized' if its normal form stands in the source's, else null; null for empty ones."""
     q, s = normalize_quote(quote), normalize_quote(source)
-    return F.when(q == "", None).when(F.contains(source, quote), "exact").when(F.contains(s, q), "normalized")
+    return F.when((quote == "") | (source == ""), None).when(F.contains(source, quote), "exact").when(F.contains(s, q), "normalized")
+
+
+def country_key(c: Column) -> Column:
+    """A country's name for comparing: compatibility forms to plain ones, no marks around it, case folded."""
+    return casefold(F.regexp_replace(F.replace(nfkc(c), F.lit("’"), F.lit("'")), r"^[ \t\r\n,.;:()\[\]{}]+|[ \t\r\n,.;:()\[\]{}]+$", ""))
+
+
+def short_country(name: Column) -> Column:
+    """A country's name up to the first comma or bracket, case folded."""
+    return casefold(F.regexp_extract(name, r"^[^,(\[]*", 0))
 
 
 def too_broad(c: Column, least: int = 3) -> Column:
@@ -106,3 +139,21 @@ def bitstream_url(url: Column, host: str) -> Column:
     uuid = r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
     found = F.regexp_extract(F.trim(url), rf"(?i)^https?://(?:www\.)?{host.replace('.', '[.]')}/bitstreams/({uuid})/(?:download|content)(?:[?#]|$)", 1)
     return F.when(found != "", F.concat(F.lit(f"https://{host}/server/api/core/bitstreams/"), found, F.lit("/content")))
+
+
+def expanded_urls(url: Column, searches: Column, placeholder: str = "{search}") -> Column:
+    """An address once for each (encoded) search, or itself without searches; an error where only one of placeholder and searches is there."""
+    some, marked = F.coalesce(F.size(searches), F.lit(0)) > 0, F.contains(url, F.lit(placeholder))
+    fine = F.when(some, F.transform(searches, lambda s: F.replace(url, F.lit(placeholder), s))).otherwise(F.array(url))
+    return F.when(some == marked, fine).otherwise(F.raise_error(F.concat(F.lit("searches and placeholder don't agree: "), url)).cast("array<string>"))
+
+
+def extension(kind: Column) -> Column:
+    """'.pdf' and the like from a file type."""
+    return F.concat(F.lit("."), F.lower(kind))
+
+
+@F.pandas_udf(StringType())
+def decoded(c: pd.Series) -> pd.Series:
+    """Bytes as UTF-8 text, wrong ones replaced."""
+    return c.map(lambda x: None if x is None else bytes(x).decode("utf-8", "replace"))

@@ -5,23 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import example_leaked, normalize_query, normalize_quote, numbered, quote_match, too_broad
+from granary.functions.text import casefold, country_key, example_leaked, normalize_query, normalize_quote, numbered, quote_match, short_country, too_broad
 
-QUANTITY = r"[0-9]+(\.[0-9]+)?\s?%|\b[0-9]{4}\b|[0-9]+ (million|thousand|tons|tonnes|hectares)"
+from granary.operators.store import kept
 
+#: What counts as a quantity in a statement (fixed values); a year alone doesn't.
+QUANTITIES = (
+    r"\d+(?:[.,]\d+)?\s*%",
+    r"\d+(?:[.,]\d+)?\s*(?:percent|per\s*cent)\b",
+    r"\d+(?:[.,]\d+)?\s*(?:ha\b|hectares?\b|acres?\b|km²|km2\b)",
+    r"\d+(?:[.,]\d+)?\s*(?:tonnes?\b|tons?\b|kg\b|mt\b)",
+    r"\d+(?:[.,]\d+)?\s*(?:million|billion)\b",
+    r"(?:fell|rose|increased|decreased|declined|dropped|grew|lost|loss(?:es)?)\s+(?:by\s+)?\d",
+    r"\d+(?:[.,]\d+)?\s*(?:heads?\b|animals?\b|cattle\b|livestock\b|people\b|farmers?\b|households?\b)",
+)
 
-def filter_queries(queries: DataFrame, executed: DataFrame, country: Column, iso3: Column) -> DataFrame:
+
+def quantitative(text: Column) -> Column:
+    """Whether a statement holds a quantity."""
+    return F.regexp_like(text, F.lit("(?i)" + "|".join(QUANTITIES)))
+
+
+def country_implied(query: Column, name: Column, iso3: Column) -> Column:
+    """The code, the name or its part before a comma or bracket stands in a query, whatever the case."""
+    q, short = casefold(query), short_country(name)
+    return F.contains(q, casefold(iso3)) | F.contains(q, casefold(name)) | ((short != "") & F.contains(q, short))
+
+
+def filter_queries(queries: DataFrame, executed: DataFrame, country: Column, iso3: Column, open_gaps: Column | None = None) -> DataFrame:
     """(batch, pos, query) worth asking: not empty, naming the country, three words or more, not asked before.
 
-    Only accepted ones count as seen, so the dedupe comes after the other filters.
+    With ``open_gaps`` (an array) a query must also have target_gap_ids (a column), and one of those
+    that are open unless none is.  A column purpose is "coverage" where blank.  Only accepted ones
+    count as seen, so the dedupe comes after the other filters.
     """
-    short = F.regexp_extract(country, r"^[^,(\[]*", 0)
     q = queries.withColumn("norm", normalize_query(F.col("query")))
-    named = F.contains("norm", F.lower(iso3)) | F.contains("norm", F.lower(country)) | F.contains("norm", F.lower(F.trim(short)))
-    q = q.where((F.col("norm") != "") & ~too_broad(F.col("norm")) & named)
+    q = q.where((F.col("norm") != "") & ~too_broad(F.col("query")) & country_implied(F.col("query"), country, iso3))
+    if open_gaps is not None:
+        some = F.coalesce(F.size("target_gap_ids"), F.lit(0)) > 0
+        q = q.where(some & ((F.size(open_gaps) == 0) | F.arrays_overlap("target_gap_ids", open_gaps)))
     q = q.join(executed.select(normalize_query(F.col("query")).alias("norm")).distinct(), "norm", "left_anti")
     w = Window.partitionBy("batch", "norm").orderBy("pos")
-    return q.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("batch", "pos", F.trim("query").alias("query"))
+    q = q.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumn("query", F.trim("query"))
+    more = [c for c in ("target_gap_ids",) if c in q.columns]
+    purpose = [F.coalesce(F.nullif(F.trim("purpose"), F.lit("")), F.lit("coverage")).alias("purpose")] if "purpose" in q.columns else []
+    return q.select("batch", "pos", "query", *purpose, *more)
 
 
 def validate_mentions(mentions: DataFrame, texts: DataFrame, countries: DataFrame) -> DataFrame:
@@ -29,9 +57,8 @@ def validate_mentions(mentions: DataFrame, texts: DataFrame, countries: DataFram
 
     Names meet the country table (name, iso3) with and without a leading article.
     """
-    clean = lambda c: F.regexp_replace(F.lower(F.trim(F.translate(c, "’.,;:", "'"))), r"\s+", " ")
-    dim = countries.select(clean(F.col("name")).alias("_k"), F.col("iso3").alias("_iso"))
-    m = mentions.withColumn("_k1", clean(F.col("official_name"))).withColumn("_k2", F.regexp_replace("_k1", "^the ", ""))
+    dim = countries.select(country_key(F.col("name")).alias("_k"), F.col("iso3").alias("_iso"))
+    m = mentions.withColumn("_k1", country_key(F.col("official_name"))).withColumn("_k2", F.regexp_replace("_k1", "^the ", ""))
     m = m.join(dim.select(F.col("_k").alias("_k1"), F.col("_iso").alias("_i1")), "_k1", "left").join(dim.select(F.col("_k").alias("_k2"), F.col("_iso").alias("_i2")), "_k2", "left")
     m = m.join(texts.select("id", "text"), "id", "left").withColumn("iso3", F.coalesce("_i1", "_i2"))
     blank = F.trim("substring") == ""
@@ -39,6 +66,51 @@ def validate_mentions(mentions: DataFrame, texts: DataFrame, countries: DataFram
     return m.select("id", "pos", "substring", "official_name", "iso3", reasons.alias("reasons"))
 
 
+PASSAGES_SENT = 2_000_000  # passages whose hashes, 16 bytes each, may be broadcast
+SHORT_AT_ONCE = 500  # passages of one or two words that a scan looks for
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+
+
+def quoted(passages: DataFrame, docs: DataFrame, passage_id: str, doc_id: str, text: str) -> DataFrame:
+    """(passage_id, doc_id, match): which text holds which passage word for word (exact) or after normalisation.
+
+    A passage's inner words, up to eight, are hashed and met by equality with the runs of as many
+    words in the texts, and only those pairs are looked at in full: its first and last word may be
+    cut from longer ones.  Passages of one or two words have none inside; they are looked for in
+    scans of SHORT_AT_ONCE each, and match exactly only.  Empty passages match nothing.
+    """
+    items = passages.select(F.col(passage_id).alias("_p"), F.col(text).alias("_q"), _words(F.col(text)).alias("_w")).where(F.col(text) != "")
+    run = F.least(F.lit(8), F.size("_w") - 2)
+    h = lambda words: F.xxhash64(F.array_join(words, " "))
+    hashed = kept(items.where(F.size("_w") > 2).select("_p", "_q", run.alias("_n"), h(F.slice("_w", F.lit(2), run)).alias("_h")), "passages")
+    lengths = [r[0] for r in hashed.select("_n").distinct().collect()]  # at most eight numbers
+    told = F.broadcast(hashed.select("_n", "_h").distinct()) if hashed.count() <= PASSAGES_SENT else hashed.select("_n", "_h").distinct()
+    found = docs.select(F.col(doc_id).alias("_d")).limit(0).select("_d", F.lit(None).cast(passages.schema[passage_id].dataType).alias("_p"), F.lit("").alias("match"))
+    if lengths:
+        none = F.array().cast("array<struct<_n:int,_h:bigint>>")
+
+        def runs(n: int) -> Column:
+            made = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.struct(F.lit(n).alias("_n"), h(F.slice("_w", i, n)).alias("_h")))
+            return F.when(F.size("_w") >= n, made).otherwise(none)
+
+        each = docs.select(F.col(doc_id).alias("_d"), _words(F.col(text)).alias("_w")).select("_d", F.inline(F.concat(*[runs(n) for n in lengths])))
+        near = each.join(told, ["_n", "_h"], "left_semi").distinct().join(hashed, ["_n", "_h"]).select("_d", "_p", "_q").distinct()
+        met = near.join(docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")), "_d")
+        found = found.union(met.select("_d", "_p", quote_match(F.col("_q"), F.col("_t")).alias("match")).where("match IS NOT NULL"))
+    short = items.where(F.size("_w") <= 2).select("_p", "_q")
+    parts = -(-short.count() // SHORT_AT_ONCE)
+    for i in range(parts):
+        some = [(r["_p"], r["_q"]) for r in short.where(F.pmod(F.xxhash64("_p"), F.lit(parts)) == i).collect()]
+        if some:
+            asked = F.array(*[F.struct(F.lit(a).alias("_p"), F.lit(b).alias("_q")) for a, b in some])
+            hits = docs.select(F.col(doc_id).alias("_d"), F.explode(F.filter(asked, lambda x: F.contains(F.col(text), x["_q"]))).alias("_x"))
+            found = found.union(hits.select("_d", F.col("_x._p").cast(passages.schema[passage_id].dataType), F.lit("exact")))
+    return found.select(F.col("_p").alias(passage_id), F.col("_d").alias(doc_id), "match")
+
+
 def validate_claims(claims: DataFrame, sources: DataFrame, known: DataFrame, example: Column) -> DataFrame:
     """Claims (pos, source_id, quote, country_specific, text) with match, reason and claim_id.
 
@@ -91,7 +163,7 @@ def verdict_action(verdict: Column, attempt: Column, most: Column) -> Column:
 
 def answer_status(statements: DataFrame, key: str, text: str) -> DataFrame:
     """cannot_answer without statements, answered with a quantity in one, else high_level_answer."""
-    hit = F.regexp_like(F.col(text), F.lit(QUANTITY))
+    hit = quantitative(F.col(text))
     return statements.groupBy(key).agg(F.when(F.count(text) == 0, "cannot_answer").when(F.bool_or(hit), "answered").otherwise("high_level_answer").alias("status"))
 
 

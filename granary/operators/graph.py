@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder of the cluster and read again."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:  # local tests
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="granary-"))
-        base = sc.getCheckpointDir()
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from granary.operators.store import kept
 
 
 def links(pages: DataFrame, url: str, body: str) -> DataFrame:
@@ -40,6 +27,26 @@ def resolved(edges: DataFrame) -> DataFrame:
     return edges.withColumn("dst", join("url", "href"))
 
 
+def links_in_body(pages: DataFrame, candidates: DataFrame, page: str, body: str) -> DataFrame:
+    """(page, url, title) candidates -> (page, url, title, reasons): url_not_in_body, title_not_in_body; none where both stand in it word for word.
+
+    A page's candidates are gathered first, so its body is joined once.  A blank title isn't looked
+    for; candidates of unknown pages have no body to stand in.
+    """
+    each = candidates.groupBy(page).agg(F.collect_set(F.struct("url", "title")).alias("_c"))
+    met = each.join(pages.select(page, F.coalesce(F.col(body), F.lit("")).alias("_body")), page, "left").withColumn("_body", F.coalesce("_body", F.lit("")))
+    no_url = lambda c: ~F.coalesce(F.contains(F.col("_body"), c["url"]), F.lit(False))
+    no_title = lambda c: (F.trim(F.coalesce(c["title"], F.lit(""))) != "") & ~F.contains(F.col("_body"), F.coalesce(c["title"], F.lit("")))
+    reasons = lambda c: F.array_compact(F.array(F.when(no_url(c), "url_not_in_body"), F.when(no_title(c), "title_not_in_body")))
+    return met.select(page, F.inline(F.transform("_c", lambda c: F.struct(c["url"].alias("url"), c["title"].alias("title"), reasons(c).alias("reasons")))))
+
+
+def discovered(found: DataFrame, visited: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parent, url, pos) links of a round -> pages not visited yet with their first parent, and the edges of all parents."""
+    first = found.groupBy("url").agg(F.min(F.struct("parent", "pos")).alias("_p")).join(visited.select("url"), "url", "left_anti")
+    return first.select("url", F.col("_p.parent").alias("parent")), found.select(F.col("parent").alias("src"), F.col("url").alias("dst")).distinct()
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(src, dst, type) once each, and each one's reverse with the side it is seen from."""
     once = edges.select("src", "dst", "type").distinct()
@@ -53,13 +60,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> Da
     end.  Frontiers are tables in the shared folder; the driver sees only whether one is empty.
     """
     edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    front = _kept(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
+    front = kept(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
     met = [front]
     for depth in range(1, most_rounds + 1):
         step = front.join(edges, front.node == edges.src).select("seed", F.col("dst").alias("node")).distinct()
         for m in met:
             step = step.join(m.select("seed", "node"), ["seed", "node"], "left_anti")
-        front = _kept(step.withColumn("depth", F.lit(depth)))
+        front = kept(step.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         met.append(front)
@@ -67,7 +74,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> Da
             whole = met[0]
             for m in met[1:]:
                 whole = whole.unionByName(m)
-            met = [_kept(whole)]
+            met = [kept(whole)]
     out = met[0]
     for m in met[1:]:
         out = out.unionByName(m)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.store import kept
+
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -17,15 +19,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine in double precision; null if either vector is zero."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
 def vector_topk(rows: DataFrame, query: list[float], k: int, id_col: str, vec_col: str, keep: Column | None = None, digits: int = 6) -> DataFrame:
-    """The k rows nearest to one query by inner product: (id, score); ties to the smaller id.
+    """The k rows nearest to one query by cosine: (id, score); ties to the smaller id.
 
     A top-k node: each task keeps k rows, no full sort and no shuffle of vectors.
     """
     if keep is not None:
         rows = rows.where(keep)
     q = F.array(*[F.lit(float(x)) for x in query])
-    return rows.select(id_col, F.round(dot(F.col(vec_col), q), digits).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    scored = rows.select(id_col, F.round(cosine(F.col(vec_col), q), digits).alias("score")).where("score IS NOT NULL")
+    return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
 def overlaps(column: str, wanted: list[str] | None) -> Column | None:
@@ -33,40 +41,66 @@ def overlaps(column: str, wanted: list[str] | None) -> Column | None:
     return F.arrays_overlap(F.col(column), F.array(*[F.lit(w) for w in wanted])) if wanted else None
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-
-
-def _block_topk(k: int, digits: int):
-    def run(table: pa.Table) -> pa.Table:
-        probe = table.column("probe").to_numpy()
-        ids = table.column("id").to_numpy()
-        x = table.column("v").combine_chunks()
-        x = x.flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
-        q, c = np.flatnonzero(probe == 1), np.flatnonzero(probe == 0)
-        if not len(q) or not len(c):
-            return _FOUND.empty_table()
-        s = np.round(x[q] @ x[c].T, digits)
-        s[ids[q][:, None] == ids[c][None, :]] = -np.inf
-        order = np.argsort(ids[c], kind="stable")
-        top = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-        r = np.repeat(np.arange(len(q)), top.shape[1])
-        got = s[r, top.ravel()]
-        ok = np.isfinite(got)
-        return pa.table([ids[q][r][ok], ids[c][top.ravel()][ok], got[ok]], schema=_FOUND)
+_FOUND = "query_id long, id long, score double"
+QUERIES_AT_ONCE = 4096  # queries that are sent to every task, with their vectors and filters
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
+
+
+def _scan(asked, k: int, digits: int, filtered: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q, wanted = asked.value
+        q = _unit(q)
+        best_s, best_i = np.full((len(qid), 0), -np.inf), np.zeros((len(qid), 0), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                s = np.round(q @ _unit(x).T, digits)
+                s[(qid[:, None] == ids[None, :]) | np.isnan(s)] = -np.inf
+                if filtered:
+                    labels = [set(v or ()) for v in part.column(2).to_pylist()]
+                    for r, w in enumerate(wanted):
+                        if w:
+                            s[r, [w.isdisjoint(v) for v in labels]] = -np.inf
+                best_s, best_i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(ids, s.shape)], 1)
+                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
+                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
+        ok = np.isfinite(best_s)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ok.sum(1))), pa.array(best_i[ok]), pa.array(best_s[ok])], ["query_id", "id", "score"])
 
     return run
 
 
-def vector_topk_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, block: int = 2048, digits: int = 6) -> DataFrame:
-    """Every query's k nearest rows but itself: (query_id, rank, id, score), in blocks of queries against blocks of rows.
+def vector_topk_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, digits: int = 6, label_col: str | None = None, wanted_col: str | None = None, at_once: int = QUERIES_AT_ONCE) -> DataFrame:
+    """Every query's k nearest rows by cosine, but itself: (query_id, rank, id, score); ties to the smaller id.
 
-    A task holds one block of each; each pair of blocks sends on k rows a query.
+    With ``label_col`` (an array of the rows) and ``wanted_col`` (an array of the queries) only rows
+    with one of a query's wanted labels count; a query that wants none is not filtered.  Exact: each
+    block of ``at_once`` queries is sent to all tasks, which scan their rows once and send k rows a
+    query on, so vectors are never shuffled.  Zero vectors are near nothing.
     """
-    n_rows, n_queries = rows.count(), queries.count()
-    rb, qb = max(1, -(-n_rows // block)), max(1, -(-n_queries // block))
-    one = lambda df, n, other, probe, mine: df.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("rb" if mine == "qb" else "qb"), F.lit(probe).alias("probe"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).select("qb", "rb", "probe", "id", "v")
-    both = one(rows, rb, qb, 0, "rb").union(one(queries, qb, rb, 1, "qb"))
-    found = both.groupBy("qb", "rb").applyInArrow(_block_topk(k, digits), "query_id long, id long, score double")
+    filtered = label_col is not None and wanted_col is not None
+    blocks = max(1, -(-queries.count() // at_once))
+    cols = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), *([F.col(wanted_col).alias("w")] if filtered else [])]
+    dealt = queries.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_b"), *cols)
+    given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), *([F.col(label_col).alias("labels")] if filtered else []))
+    found = None
+    for b in range(blocks):
+        t = dealt.where(F.col("_b") == b).toArrow()
+        if not t.num_rows:
+            continue
+        v = np.array(t.column("v").to_pylist(), np.float64)
+        wanted = [set(w or ()) for w in t.column("w").to_pylist()] if filtered else None
+        asked = rows.sparkSession.sparkContext.broadcast((t.column("id").to_numpy(), v, wanted))
+        part = given.mapInArrow(_scan(asked, k, digits, filtered), _FOUND)
+        found = part if found is None else found.union(part)
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], _FOUND)
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
@@ -85,25 +119,55 @@ def bm25_stats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     return postings.groupBy("term").agg(F.count("*").alias("df")), postings, corpus
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
+TERMS_SENT = 1_000_000  # query terms that may be broadcast
+_END = "\u0000"  # a term that no text has: one stands for each document
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = 1.2, b: float = 0.75, digits: int = 6, label_col: str | None = None, wanted_col: str | None = None, least: float | None = None) -> DataFrame:
     """Each query's k best documents: (query_id, rank, id, score).
 
-    Only terms of some query are kept of the postings, before anything is grouped; document and
-    corpus lengths come from all documents.  Queries without words find nothing.
+    With ``label_col`` (an array of the documents) and ``wanted_col`` (an array of the queries) only
+    documents with one of a query's wanted labels are found; a query that wants none is not filtered,
+    and statistics are always the whole corpus's.  ``least`` leaves out lower scores.  Texts are cut
+    into terms once: only terms of some query, and one row for each document's length, are kept and
+    stored.  Queries without words find nothing.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts"))
-    n, avg_len = words.agg(F.count("*"), F.avg(F.coalesce(F.size("ts"), F.lit(0)))).first()  # two numbers
-    hits = words.select("id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = hits.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    filtered = label_col is not None and wanted_col is not None
+    asked = queries.select(F.col(query_id).alias("query_id"), *([F.col(wanted_col).alias("wanted")] if filtered else []), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
+    terms = kept(asked.select("term").distinct().union(docs.sparkSession.createDataFrame([(_END,)], "term string")), "terms")
+    if terms.count() <= TERMS_SENT:
+        terms = F.broadcast(terms)
+    labels = [F.col(label_col).alias("labels")] if filtered else []
+    words = docs.select(F.col(id_col).alias("id"), *labels, F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("ts"))
+    hits = words.select("id", *(["labels"] if filtered else []), F.size("ts").alias("len"), F.explode(F.concat("ts", F.array(F.lit(_END)))).alias("term")).join(terms, "term", "left_semi")
+    tf = kept(hits.groupBy("id", *(["labels"] if filtered else []), "len", "term").agg(F.count("*").alias("tf")), "postings")
+    n, avg_len = tf.where(F.col("term") == _END).agg(F.coalesce(F.sum("tf"), F.lit(0)), F.avg("len")).first()  # two numbers
+    tf = tf.where(F.col("term") != _END)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg_len or 1.0)))
-    scored = tf.join(idf, "term").select("id", "term", weight.alias("w")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), digits).alias("score"))
+    met = tf.join(idf, "term").select("id", *(["labels"] if filtered else []), "term", weight.alias("w")).join(asked, "term")
+    if filtered:
+        met = met.where((F.coalesce(F.size("wanted"), F.lit(0)) == 0) | F.arrays_overlap("labels", "wanted"))
+    scored = met.groupBy("query_id", "id").agg(F.round(F.sum("w"), digits).alias("score"))
+    if least is not None:
+        scored = scored.where(F.col("score") >= least)
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def hybrid(rows: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, vec_col: str, weights: tuple[float, float] = (1.0, 1.0), label_col: str | None = None, wanted_col: str | None = None) -> DataFrame:
+    """Each query's k best rows by both searches: (query_id, rank, id, score), vector and words each limited to k, fused by weighted ranks.
+
+    Queries have the rows' columns; both searches look for rows of the same table, with the same
+    filter.  A query whose text is blank finds nothing on either side.
+    """
+    asked = queries.where(F.regexp_like(F.col(text_col), F.lit(r"\S")))
+    near = vector_topk_each(rows, asked, k, id_col, vec_col, label_col=label_col, wanted_col=wanted_col)
+    words = bm25_topk(rows, asked, k, id_col, text_col, id_col, text_col, label_col=label_col, wanted_col=wanted_col)
+    return rank_fusion([(near, weights[0]), (words, weights[1])], k)
+
+
 def rank_fusion(lists: list[tuple[DataFrame, float]], k: int, constant: int = 60, digits: int = 9) -> DataFrame:
     """Weighted reciprocal ranks summed over ranked lists (query_id, rank, id): (query_id, rank, id, score); what a list lacks counts nothing."""
     parts = [df.select("query_id", "id", (F.lit(float(w)) / (constant + F.col("rank"))).alias("s")) for df, w in lists]

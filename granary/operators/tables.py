@@ -99,3 +99,27 @@ def year_between(year: Column, start: int | None, end: int | None, first: int =
     if a > b:
         raise ValueError(f"start year {a} is after end year {b}")
     return year.between(a, b)
+
+
+def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, chunk_index, chunk_text): a document's lines as chunks; blank ones go, and the index counts them all the same."""
+    lines = docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("chunk_index", "chunk_text"))
+    return lines.where(F.regexp_like("chunk_text", F.lit(r"\S")))
+
+
+def status_report(results: DataFrame, keys: list[str], order: list[str], by: str, status: str, error: str) -> DataFrame:
+    """(by, ok, errors, others, messages): the latest result of each key, counted, with the distinct errors in order."""
+    last = latest(results, keys, order)
+    s = F.col(status)
+    return last.groupBy(by).agg(F.count_if(s == "completed").alias("ok"), F.count_if(s == "failed").alias("errors"), F.count_if(~s.isin("completed", "failed")).alias("others"), F.array_sort(F.collect_set(F.when(s == "failed", F.col(error)))).alias("messages"))
+
+
+def completed(results: DataFrame, key: str, step: str, seq: str, steps: int) -> DataFrame:
+    """(key, done): whether the latest result of each of a document's ``steps`` steps is completed."""
+    last = latest(results.select(key, step, seq, "status"), [key, step], [seq])
+    return last.groupBy(key).agg((F.count_if(F.col("status") == "completed") == steps).alias("done"))
+
+
+def corpus_counts(docs: DataFrame, source: str, kind: str, text: str, size: str) -> DataFrame:
+    """(source, kind, chunks, texts, chars): rows, distinct texts (by 128 bits of each) and characters; a missing source is '(none)'."""
+    return docs.groupBy(F.coalesce(source, F.lit("(none)")).alias(source), kind).agg(F.count("*").alias("chunks"), F.countDistinct(F.md5(F.col(text).cast("binary"))).alias("texts"), F.sum(size).alias("chars"))

@@ -24,6 +24,26 @@ def claim(tasks: DataFrame, capacity: int, order: list[str], stage: str = "stage
     return got.withColumns({"status": F.lit("running"), "attempts": F.col("attempts") + 1})
 
 
+def claim_within(tasks: DataFrame, limit: int, order: list[str], stage: str = "stage_name", most: int = 3) -> DataFrame:
+    """As ``claim``, with ``limit`` less a stage's running tasks as its capacity."""
+    running = tasks.where("status = 'running'").groupBy(stage).agg(F.count("*").alias("_running"))
+    got = claim(tasks, limit, order, stage, most).join(running, stage, "left")  # the most a stage may take
+    w = Window.partitionBy(stage).orderBy(*order)
+    return got.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.lit(limit) - F.coalesce("_running", F.lit(0))).drop("_n", "_running")
+
+
+def heartbeat(beats: DataFrame, new: DataFrame) -> DataFrame:
+    """(executor_id, updated_at) upserted: the latest beat of each worker."""
+    return beats.unionByName(new).groupBy("executor_id").agg(F.max("updated_at").alias("updated_at"))
+
+
+def active_counts(tasks: DataFrame, run: str, node: str = "node") -> DataFrame:
+    """(run, what, value, n): a run's tasks that aren't done, by node and by status."""
+    live = tasks.where(~F.col("status").isin(*DONE))
+    one = lambda c, what: live.groupBy(run, F.lit(what).alias("what"), F.col(c).alias("value")).agg(F.count("*").alias("n"))
+    return one(node, "node").union(one("status", "status"))
+
+
 def outcome(result: Column, attempts: Column, raised: Column, most: int = 3) -> Column:
     """A task's next status: completed; a failed result retries while attempts are left; an exception or any other result fails."""
     return F.when(raised, "failed").when(result == "completed", "completed").when((result == "failed") & (attempts < most), "retrying").otherwise("failed")

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 @query(
-    r"WITH q AS (SELECT conv_id AS batch, turn AS pos, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm, trim(text) AS query, role FROM conversations), "
+    r"WITH q AS (SELECT conv_id AS batch, turn AS pos, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS norm, trim(text) AS query, role FROM conversations), "
     r"x AS (SELECT DISTINCT norm FROM q WHERE role <> 'user'), "
     r"g AS (SELECT * FROM q WHERE role = 'user' AND norm <> '' AND len(regexp_extract_all(norm, '\S+')) >= 3 AND contains(norm, 'the') AND norm NOT IN (SELECT norm FROM x)) "
     r"SELECT batch, pos, query FROM g QUALIFY row_number() OVER (PARTITION BY batch, norm ORDER BY pos) = 1"
@@ -35,6 +35,20 @@ def filter_queries(table):
     return e.filter_queries(c.where("role = 'user'").drop("role"), c.where("role != 'user'").select("query"), F.lit("The, Republic of"), F.lit("THE, REPUBLIC"))
 
 
+@query(
+    r"WITH q AS (SELECT conv_id AS batch, turn AS pos, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS norm, trim(text) AS query, CASE turn % 3 WHEN 0 THEN ['gap_' || conv_id % 4, 'gap_9'] WHEN 1 THEN ['gap_' || conv_id % 7] ELSE [] END AS gaps FROM conversations) "
+    r"SELECT batch, pos, query, CASE WHEN pos % 2 = 0 THEN 'coverage' ELSE 'detail' END AS purpose FROM q WHERE norm <> '' AND len(regexp_extract_all(query, '\S+')) >= 3 AND contains(norm, 'the') AND list_has_any(gaps, ['gap_1', 'gap_2']) QUALIFY row_number() OVER (PARTITION BY batch, norm ORDER BY pos) = 1"
+)
+def filter_followups(table):
+    """Turns as follow-up queries with gaps of their own, two gaps being open; a blank purpose is coverage."""
+    c = table("conversations")
+    none, n = F.array().cast("array<string>"), lambda k: F.concat(F.lit("gap_"), (F.col("conv_id") % k).cast("string"))
+    gaps = F.when(F.col("turn") % 3 == 0, F.array(n(4), F.lit("gap_9"))).when(F.col("turn") % 3 == 1, F.array(n(7))).otherwise(none)
+    q = c.select(F.col("conv_id").alias("batch"), F.col("turn").alias("pos"), F.col("text").alias("query"), F.when(F.col("turn") % 2 == 0, " ").otherwise("detail").alias("purpose"), gaps.alias("target_gap_ids"))
+    out = e.filter_queries(q, c.where("role = 'nobody'").select(F.col("text").alias("query")), F.lit("The, Republic of"), F.lit("THE, REPUBLIC"), F.array(F.lit("gap_1"), F.lit("gap_2")))
+    return out.select("batch", "pos", "query", "purpose")
+
+
 @query(
     "WITH m AS (SELECT doc_id, d.n_nationkey AS nk, n_name FROM documents, nation d WHERE doc_id % 25 = n_nationkey), "
     "r AS (SELECT doc_id, 0 AS pos, n_name AS substring, CASE WHEN doc_id % 2 = 0 THEN 'The ' || n_name ELSE n_name || ' Land' END AS official_name, text FROM m JOIN documents USING (doc_id)) "
@@ -51,22 +65,27 @@ def validate_mentions(table):
 
 
 _CLAIMS = (
-    "c AS (SELECT doc_id % 10 AS batch, doc_id AS pos, CASE WHEN doc_id % 11 = 0 THEN -1 ELSE doc_id END AS source_id, "
+    "b AS (SELECT doc_id % 10 AS batch, doc_id AS pos, CASE WHEN doc_id % 11 = 0 THEN -1 ELSE doc_id END AS source_id, "
     "CASE WHEN doc_id % 7 = 0 THEN 'nowhere in it' ELSE substr(text, 1, 40) END AS quote, doc_id % 5 <> 0 AS specific, text FROM documents), "
+    "c AS (SELECT * FROM b UNION ALL SELECT batch, pos + 1000000, source_id, quote, specific, text FROM b WHERE pos % 6 = 0), "
 )
 
 
 @query(
     f"WITH {_CLAIMS} s AS (SELECT c.*, d.text AS source FROM c LEFT JOIN documents d ON c.source_id = d.doc_id), "
-    "y AS (SELECT *, CASE WHEN source IS NULL THEN 'unknown_source_id' WHEN trim(regexp_replace(quote, '\\s+', ' ', 'g')) = '' OR NOT contains(source, quote) THEN 'substring_validation_failed' WHEN NOT specific THEN 'not_country_specific' END AS reason FROM s) "
-    "SELECT coalesce(reason, 'accepted') AS reason, batch, count(*) AS n, count(*) FILTER (WHERE reason IS NULL) AS ids FROM y GROUP BY ALL"
+    "e AS (SELECT *, CASE WHEN source IS NULL THEN 'unknown_source_id' WHEN quote = '' OR NOT contains(source, quote) THEN 'substring_validation_failed' WHEN NOT specific THEN 'not_country_specific' END AS early FROM s), "
+    "y AS (SELECT *, early IS NULL AND (source_id % 13 = 0 OR row_number() OVER (PARTITION BY source_id, quote ORDER BY early IS NOT NULL, pos) > 1) AS dup FROM e), "
+    "z AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN dup THEN 'duplicate_claim' WHEN pos % 9 = 0 AND length(trim(substr(text, 1, 60))) >= 40 THEN 'metric_example_leak' END AS reason FROM y) "
+    "SELECT coalesce(reason, 'accepted') AS reason, batch, count(*) AS n, count(*) FILTER (WHERE reason IS NULL) AS ids FROM z GROUP BY ALL"
 )
 def validate_claims(table):
-    """A quotation from each document as a claim, some of them unknown, made up or not of the country; reasons counted by batch."""
+    """A quotation from each document as a claim: some unknown, made up, not of the country, made twice or known before, or leaking an example; reasons counted by batch."""
     d = table("documents").select("doc_id", "text")
     c = d.select((F.col("doc_id") % 10).alias("batch"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 11 == 0, F.lit(-1)).otherwise(F.col("doc_id")).alias("source_id"), F.when(F.col("doc_id") % 7 == 0, "nowhere in it").otherwise(F.substring("text", 1, 40)).alias("quote"), (F.col("doc_id") % 5 != 0).alias("country_specific"), "text")
-    known = d.limit(0).select(F.col("text").alias("fingerprint"))
-    out = e.validate_claims(c, d.select(F.col("doc_id").alias("source_id"), "text"), known, F.lit("x"))
+    c = c.union(c.where("pos % 6 = 0").withColumn("pos", F.col("pos") + 1000000))
+    known = d.where("doc_id % 13 = 0").select(F.concat_ws("::", "doc_id", t.normalize_quote(F.substring("text", 1, 40))).alias("fingerprint"))
+    example = F.when(F.col("pos") % 9 == 0, F.substring("text", 1, 60))
+    out = e.validate_claims(c, d.select(F.col("doc_id").alias("source_id"), "text"), known, example)
     return out.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason"), "batch").agg(F.count("*").alias("n"), F.count("claim_id").alias("ids"))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.functions import classify as c
 from granary.functions import text as t
 from granary.operators import evidence as e
+from granary.operators import report as rp
 from granary.operators import tables as tb
 from granary.sources import files
 
@@ -25,7 +27,7 @@ def query(sql: str | None = None):
 
 
 @query(
-    "SELECT page_id, CASE WHEN page_id % 7 = 0 OR length(html) < 512 THEN 'raw' ELSE 'done' END AS route, length(html) >= 512 AND (page_id % 5 = 0 OR page_id % 3 > 0) AS successful, "
+    "SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'api' WHEN page_id % 7 = 0 OR length(html) < 512 THEN 'raw' WHEN page_id % 6 = 0 AND page_id % 4 = 0 THEN 'raw' WHEN page_id % 6 = 0 THEN 'rendered' ELSE 'http' END AS choice, CASE WHEN page_id % 4 = 0 AND page_id % 6 = 0 THEN true ELSE page_id % 5 = 0 END AS pdf, CASE WHEN page_id % 7 = 0 OR length(html) < 512 THEN 'raw' ELSE 'done' END AS route, length(html) >= 512 AND (page_id % 5 = 0 OR page_id % 3 > 0) AS successful, "
     "CASE WHEN page_id % 4 = 0 THEN 'PDF' ELSE 'HTML' END AS kind FROM pages"
 )
 def fetch_route(table):
@@ -34,7 +36,11 @@ def fetch_route(table):
     headers = F.create_map(F.lit("Content-TYPE"), F.when(F.col("page_id") % 4 == 0, "Application/PDF").otherwise("Text/HTML; charset=utf-8"))
     status = F.when(F.col("page_id") % 3 == 0, 404).otherwise(200)
     kind = c.content_type(html, t.url_suffix(F.col("url")), t.header_value(headers, "content-type"))
-    return p.select("page_id", c.fetch_route(html, F.col("url"), F.col("page_id") % 7 == 0).alias("route"), c.successful(html, status, F.col("page_id") % 5 == 0).alias("successful"), kind.alias("kind"))
+    shell = F.when(F.col("page_id") % 6 == 0, F.concat(F.lit("<html><body><div id='app'></div><!--"), F.lpad(F.lit(""), 600, "-"), F.lit("--></body></html>"))).otherwise(html)
+    address = F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit("/bitstreams/1/content/"))).otherwise(F.col("url"))
+    choice = c.reliable_choice(F.when(F.col("page_id") % 9 == 0, F.concat(F.lit("%PDF"), "url")), F.col("page_id") % 7 == 0, shell, address)
+    pdf = c.may_be_pdf(F.when(F.col("page_id") % 6 == 0, address).otherwise(F.col("url")), F.when(F.col("page_id") % 5 == 0, "Application/Octet-Stream"))
+    return p.select("page_id", choice.alias("choice"), pdf.alias("pdf"), c.fetch_route(html, F.col("url"), F.col("page_id") % 7 == 0).alias("route"), c.successful(html, status, F.col("page_id") % 5 == 0).alias("successful"), kind.alias("kind"))
 
 
 @query(
@@ -81,25 +87,27 @@ def map_difference(table):
 
 
 @query(
-    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE false END AS ok FROM documents"
+    "WITH x AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS a, contains(text, 'http') OR lang = 'de' AND doc_id % 2 = 0 AS bad FROM documents) "
+    "SELECT doc_id, CASE WHEN bad THEN doc_id % 3 = 0 ELSE len(list_distinct(a)) = len(a) END AS ok FROM x"
 )
 def detection_check(table):
-    """Detections hold exactly one of codes with as many spans, or an error."""
-    arr = lambda n: F.array(*[F.lit("x")] * n)
-    k = F.col("doc_id") % 4
-    codes = F.when(k == 0, arr(2)).when(k == 1, arr(2))
-    spans = F.when(k == 0, arr(2)).when(k == 1, arr(1))
-    error = F.when(k == 2, "failed")
-    return table("documents").select("doc_id", e.detections_ok(codes, spans, error).alias("ok"))
+    """The distinct numbers of a text as codes and all of them as spans, or an error; some have an error beside them."""
+    numbers = F.regexp_extract_all(F.col("text"), F.lit("[0-9]+"), F.lit(0))
+    bad = F.contains("text", F.lit("http")) | ((F.col("lang") == "de") & (F.col("doc_id") % 2 == 0))
+    out = ~bad | (F.col("doc_id") % 3 != 0)
+    d = table("documents").select("doc_id", F.when(out, F.array_distinct(numbers)).alias("codes"), F.when(out, numbers).alias("spans"), F.when(bad, "failed").alias("error"))
+    return d.select("doc_id", e.detections_ok(F.col("codes"), F.col("spans"), F.col("error")).alias("ok"))
 
 
 @query(
-    "SELECT DISTINCT 'https://example.org/search?q=' || replace(replace(replace(url_encode(p_name || ' ' || p_type), '+', '%20'), '*', '%2A'), '%7E', '~') || '&brand=' || url_encode(p_brand) AS url FROM part"
+    "SELECT DISTINCT 'https://example.org/search?q=' || replace(replace(replace(url_encode(p_name || ' ' || p_type), '+', '%20'), '*', '%2A'), '%7E', '~') || '&brand=' || url_encode(p_brand) AS url FROM part UNION SELECT DISTINCT 'https://example.org/' || url_encode(p_brand) FROM part"
 )
 def expand_search_urls(table):
-    """A URL with a placeholder, once for each search, encoded."""
+    """A brand's address with a placeholder, once for each of its searches, and one without searches."""
     search = F.concat(t.percent_encode(F.concat_ws(" ", "p_name", "p_type")), F.lit("&brand="), t.percent_encode(F.col("p_brand")))
-    return table("part").select(F.replace(F.lit("https://example.org/search?q={search}"), F.lit("{search}"), search).alias("url")).distinct()
+    b = table("part").groupBy("p_brand").agg(F.collect_set(search).alias("searches"))
+    some = b.select(F.explode(t.expanded_urls(F.lit("https://example.org/search?q={search}"), F.col("searches"))).alias("url"))
+    return some.union(b.select(F.explode(t.expanded_urls(F.concat(F.lit("https://example.org/"), t.percent_encode(F.col("p_brand"))), F.lit(None).cast("array<string>"))))).distinct()
 
 
 @query(
@@ -107,9 +115,9 @@ def expand_search_urls(table):
 )
 def select_metrics(table):
     """Metrics by position from 1, in the order asked for, repeats kept."""
-    m = table("part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]).alias("ms"))
-    asked = m.select("p_brand", "ms", F.posexplode(F.array(F.lit(3), F.lit(1), F.lit(3))).alias("i", "n"))
-    return asked.select("p_brand", (F.col("i") + 1).alias("ordinal"), F.try_element_at("ms", F.col("n")).alias("metric"))
+    m = table("part").select("p_brand", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("n"), F.col("p_name").alias("metric"))
+    asked = m.select("p_brand").distinct().select("p_brand", F.posexplode(F.array(F.lit(3), F.lit(1), F.lit(3))).alias("i", "n"))
+    return rp.selected(m, "p_brand", "n", asked, strict=False).select("p_brand", (F.col("i") + 1).alias("ordinal"), "metric")
 
 
 _UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from granary.functions import classify as c
 from granary.functions import text as t
+from granary.operators import evidence as ev
 from granary.operators import graph as g
-from granary.operators import retrieval as r
+from granary.operators import lookups as lk
 from granary.operators import tables as tb
 from granary.operators import tasks as tk
 
@@ -35,19 +36,43 @@ def content_kind(table):
     return table("pages").select("page_id", c.content_kind(F.col("html")).alias("kind"))
 
 
-_SEEN = "length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')))"
-
-
-@query(f"SELECT page_id, {_SEEN} AS seen, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href\\s*=')) AS links, len(regexp_extract_all(html, '(?i)<script')) AS scripts, CASE WHEN {_SEEN} >= 500 AND len(regexp_extract_all(html, '(?i)<a\\s[^>]*href\\s*=')) >= 3 THEN false WHEN regexp_matches(lower(html), 'id=[\"''](root|app|__next)[\"'']|ng-app|data-reactroot|enable javascript') AND {_SEEN} < 300 THEN true ELSE len(regexp_extract_all(html, '(?i)<script')) >= 3 AND len(regexp_extract_all(html, '(?i)<a\\s[^>]*href\\s*=')) = 0 AND {_SEEN} < 300 END AS shell FROM pages")
+#: Pages and what their addresses make of a client-rendered page, one in six as it is.
+_SHELLS = """CASE page_id % 6
+WHEN 0 THEN html
+WHEN 1 THEN '<!doctype html><html><body><div class="x" id="' || CASE page_id % 5 WHEN 0 THEN 'root' WHEN 1 THEN 'main' WHEN 2 THEN '__next' WHEN 3 THEN '_r_' ELSE '___gatsby' END || '"> </div><p>' || url || '</p></body></html>'
+WHEN 2 THEN '<!doctype html><html><body><div id="root">' || url || '</div></body></html>'
+WHEN 3 THEN '<html><body><my-list class="x"></my-' || CASE page_id % 5 WHEN 0 THEN 'menu' ELSE 'list' END || '><a href="' || url || '">x</a></body></html>'
+WHEN 4 THEN '<html ' || CASE page_id % 5 WHEN 0 THEN 'data-v-app' WHEN 1 THEN 'Q:Container' ELSE 'lang="x"' END || '><body>' || url || '</body></html>'
+ELSE '<html><script>1</script><script src="' || url || '"></script><SCRIPT>' || CASE page_id % 5 WHEN 0 THEN '</script>' ELSE '</script><script></script>' END || '</html>' END"""
+
+
+@query(
+    f"WITH p AS (SELECT page_id, lower({_SHELLS}) AS h FROM pages), "
+    "x AS (SELECT page_id, h, length(trim(regexp_replace(regexp_replace(regexp_replace(h, '(?s)<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS seen, "
+    "len(regexp_extract_all(h, '<a\\b[^>]*\\bhref\\s*=')) AS links, len(regexp_extract_all(h, '<script\\b')) AS scripts, "
+    "regexp_matches(h, '<div[^>]*\\bid=[\"\'\'](root|app|__next|___gatsby|_r_)[\"\'\'][^>]*>\\s*</div>') "
+    "OR len(list_filter(list_zip(regexp_extract_all(h, '<([a-z][a-z0-9]*-[a-z0-9-]*)\\b[^>]*>\\s*</([a-z][a-z0-9-]*)>', 1), regexp_extract_all(h, '<([a-z][a-z0-9]*-[a-z0-9-]*)\\b[^>]*>\\s*</([a-z][a-z0-9-]*)>', 2)), lambda z: z[1] = z[2])) > 0 "
+    "OR len(list_filter(['data-reactroot', 'ng-version=', '<app-root', '__next_f', 'data-v-app', '__sveltekit', 'q:container', 'astro-island'], lambda m: contains(h, m))) > 0 AS mark FROM p) "
+    "SELECT page_id, seen, links, scripts, CASE WHEN seen >= 500 AND links >= 3 THEN false WHEN mark AND seen < 300 THEN true ELSE scripts >= 3 AND links = 0 AND seen < 300 END AS shell FROM x"
+)
 def spa_shell(table):
+    """Client-rendered pages among pages and what is made of their addresses."""
     html = F.col("html")
-    return table("pages").select("page_id", c.visible_length(html).cast("long").alias("seen"), F.regexp_count(html, F.lit(r"(?i)<a\s[^>]*href\s*=")).cast("long").alias("links"), F.regexp_count(html, F.lit(r"(?i)<script")).cast("long").alias("scripts"), c.spa_shell(html).alias("shell"))
+    made = table("pages").select("page_id", F.expr(_SHELLS).alias("html"))
+    return made.select("page_id", c.visible_length(html).cast("long").alias("seen"), F.regexp_count(html, F.lit(c.LINK)).cast("long").alias("links"), F.regexp_count(html, F.lit(c.SCRIPT)).cast("long").alias("scripts"), c.spa_shell(html).alias("shell"))
+
+
+_VIEWERS = "CASE WHEN page_id % 5 = 0 THEN '<html><link href=\"' || CASE page_id % 2 WHEN 0 THEN 'chrome-extension://x/' ELSE '' END || 'pdf_embedder.css\">' || html WHEN page_id % 5 = 1 THEN '%PDF' || url ELSE html END"
 
 
-@query("SELECT CASE WHEN length(html) < 512 THEN 'useless' ELSE 'useful' END AS verdict, count(*) AS n, sum(length(html))::BIGINT AS chars FROM pages WHERE NOT contains(substr(html, 1, 2048), 'pdf_embedder.css') GROUP BY 1")
+@query(
+    f"WITH p AS (SELECT {_VIEWERS} AS h FROM pages) "
+    "SELECT CASE WHEN starts_with(h, '%PDF') THEN 'useful' WHEN length(h) < 512 OR contains(substr(h, 1, 2048), 'pdf_embedder.css') OR contains(substr(h, 1, 2048), 'chrome-extension://') THEN 'useless' ELSE 'useful' END AS verdict, count(*) AS n, sum(length(h))::BIGINT AS chars FROM p GROUP BY 1"
+)
 def useless_body(table):
+    """Pages, a fifth of them behind a browser's PDF viewer and a fifth small PDFs."""
     v = F.when(c.useless(F.col("html")), "useless").otherwise("useful")
-    return table("pages").groupBy(v.alias("verdict")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars"))
+    return table("pages").select(F.expr(_VIEWERS).alias("html")).groupBy(v.alias("verdict")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars"))
 
 
 @query("SELECT page_id, url, nullif(regexp_extract(lower(regexp_replace(url, '[?#].*$', '')), '\\.(pdf|html|htm|docx|doc|pptx|ppt)$', 1), '') AS suffix, substr(sha256(url), 1, 16) AS url_hash, replace(replace(replace(replace(url_encode(url), '+', '%20'), '*', '%2A'), '%7E', '~'), ' ', '%20') AS encoded FROM pages")
@@ -61,60 +86,71 @@ def link_extract(table):
     return g.links(table("pages"), "url", "html").withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("SELECT page_id, count(*) AS links, count(*) FILTER (WHERE contains(html, h)) AS in_body FROM (SELECT page_id, html, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)) AS h FROM pages) GROUP BY page_id")
+_HREFS = "regexp_extract_all(html, '(?i)<a\\s[^>]*href\\s*=\\s*[\"\'\']([^\"\'\']*)[\"\'\']', 1)"
+
+
+@query(
+    f"WITH h AS (SELECT page_id, unnest({_HREFS}) AS url FROM pages), t AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages), "
+    "k AS (SELECT page_id, url, NULL AS title FROM h UNION SELECT h.page_id + 1, url, title FROM h JOIN t USING (page_id)), "
+    "x AS (SELECT page_id, contains(coalesce(html, ''), k.url) AS u, coalesce(title, '') = '' OR contains(coalesce(html, ''), title) AS t FROM k LEFT JOIN pages p USING (page_id)) "
+    "SELECT page_id, count(*) AS links, count(*) FILTER (WHERE NOT u) AS bad_url, count(*) FILTER (WHERE NOT t) AS bad_title FROM x GROUP BY page_id"
+)
 def link_validate(table):
-    found = table("pages").select("page_id", "html", F.explode(F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)<a\s[^>]*href\s*=\s*["']([^"']*)["']"""), F.lit(1))).alias("h"))
-    return found.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.contains("html", "h")).alias("in_body"))
+    """Each page's links, and those of the page before it with that page's title, looked for in its body."""
+    p = table("pages")
+    hrefs = p.select("page_id", F.explode(F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)<a\s[^>]*href\s*=\s*["']([^"']*)["']"""), F.lit(1))).alias("url"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"))
+    others = hrefs.select((F.col("page_id") + 1).alias("page_id"), "url", "title")
+    out = g.links_in_body(p, hrefs.select("page_id", "url", F.lit(None).cast("string").alias("title")).union(others), "page_id", "html")
+    return out.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.array_contains("reasons", "url_not_in_body")).alias("bad_url"), F.count_if(F.array_contains("reasons", "title_not_in_body")).alias("bad_title"))
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS query, len(regexp_extract_all(text, '\\S+')) < 3 AS too_broad FROM conversations QUALIFY row_number() OVER (PARTITION BY query ORDER BY conv_id, turn) = 1")
+@query("SELECT conv_id, turn, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g')) AS query, len(regexp_extract_all(text, '\\S+')) < 3 AS too_broad FROM conversations QUALIFY row_number() OVER (PARTITION BY query ORDER BY conv_id, turn) = 1")
 def normalize_query_dedupe(table):
     rows = table("conversations").select("conv_id", "turn", t.normalize_query(F.col("text")).alias("query"), t.too_broad(F.col("text")).alias("too_broad"))
     return tb.first_seen(rows, ["query"], ["conv_id", "turn"]).select("conv_id", "turn", "query", "too_broad")
 
 
-@query("WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\\n]+[.!?]') AS s FROM documents) SELECT doc_id, bool_or(regexp_matches(x, '[0-9]+(\\.[0-9]+)?\\s?%|[0-9]{4}|[0-9]+ (million|thousand|tons)')) AS quantitative FROM d, unnest(s) AS u(x) GROUP BY doc_id")
+#: The rule in DuckDB's pattern language.
+_QUANTITY = "'(?i)[0-9]+([.,][0-9]+)?\\s*(%|(percent|per\\s*cent)\\b|(ha\\b|hectares?\\b|acres?\\b|km²|km2\\b)|(tonnes?|tons?|kg|mt)\\b|(million|billion)\\b|(heads?|animals?|cattle|livestock|people|farmers?|households?)\\b)|(fell|rose|increased|decreased|declined|dropped|grew|lost|loss|losses)\\s+(by\\s+)?[0-9]'"
+#: Units after each document's numbers, since its own text has hardly any.
+_UNITS = "text || ' It ' || CASE doc_id % 8 WHEN 0 THEN 'fell by ' WHEN 1 THEN 'was ' ELSE 'had ' END || n_chars || CASE doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN ' per cent' WHEN 2 THEN '%' WHEN 3 THEN ' km²' WHEN 4 THEN ' Tonnes' WHEN 5 THEN ' tonnage' WHEN 6 THEN ' in 1997' ELSE ',5 million' END || '.'"
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, regexp_extract_all(CASE WHEN n_chars % 3 = 0 THEN {_UNITS} ELSE text END, '[^.!?\\n]+[.!?]') AS s FROM documents) SELECT doc_id, bool_or(regexp_matches(x, {_QUANTITY})) AS quantitative FROM d, unnest(s) AS u(x) GROUP BY doc_id"
+)
 def quantitative_flag(table):
-    s = F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"[^.!?\n]+[.!?]"), F.lit(0)))
-    hit = F.regexp_like("x", F.lit(r"[0-9]+(\.[0-9]+)?\s?%|[0-9]{4}|[0-9]+ (million|thousand|tons)"))
-    return table("documents").select("doc_id", s.alias("x")).groupBy("doc_id").agg(F.bool_or(hit).alias("quantitative"))
+    """Whether any sentence of a document holds a quantity; a third of them end with a figure."""
+    d = table("documents").select("doc_id", F.expr(f"CASE WHEN n_chars % 3 = 0 THEN {_UNITS} ELSE text END").alias("text"))
+    s = d.select("doc_id", F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"[^.!?\n]+[.!?]"), F.lit(0))).alias("x"))
+    return s.groupBy("doc_id").agg(F.bool_or(ev.quantitative(F.col("x"))).alias("quantitative"))
 
 
-@query("WITH d AS (SELECT doc_id, count(*) FILTER (WHERE x IS NOT NULL) AS n, bool_or(regexp_matches(x, '[0-9]')) AS q FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) GROUP BY doc_id) SELECT CASE WHEN n = 0 THEN 'cannot_answer' WHEN q THEN 'answered' ELSE 'high_level_answer' END AS status, count(*) AS docs FROM d GROUP BY 1")
+@query(
+    f"WITH d AS (SELECT doc_id, unnest(string_split(CASE WHEN doc_id % 9 = 0 THEN '' WHEN n_chars % 3 = 0 THEN {_UNITS} ELSE text END, chr(10))) AS x FROM documents), "
+    f"s AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(x, '\\S')) AS n, bool_or(regexp_matches(x, '\\S') AND regexp_matches(x, {_QUANTITY})) AS q FROM d GROUP BY doc_id) "
+    "SELECT CASE WHEN n = 0 THEN 'cannot_answer' WHEN q THEN 'answered' ELSE 'high_level_answer' END AS status, count(*) AS docs FROM s GROUP BY 1"
+)
 def status_class(table):
-    lines = table("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x"))
-    per = lines.groupBy("doc_id").agg(F.count("x").alias("n"), F.bool_or(F.regexp_like("x", F.lit("[0-9]"))).alias("q"))
-    return per.groupBy(F.when(F.col("n") == 0, "cannot_answer").when(F.col("q"), "answered").otherwise("high_level_answer").alias("status")).agg(F.count("*").alias("docs"))
+    """Documents' lines as a report's statements: its status by whether there are any and whether one is quantitative."""
+    lines = table("documents").select("doc_id", F.explode(F.split(F.expr(f"CASE WHEN doc_id % 9 = 0 THEN '' WHEN n_chars % 3 = 0 THEN {_UNITS} ELSE text END"), "\n", -1)).alias("x"))
+    said = lines.select("doc_id", F.when(F.regexp_like("x", F.lit(r"\S")), F.col("x")).alias("x"))
+    return ev.answer_status(said, "doc_id", "x").groupBy("status").agg(F.count("*").alias("docs"))
 
 
 @query("SELECT doc_id, i - 1 AS chunk_index, length(l[i]) AS n_chars, sha256(l[i]) AS chunk_sha256 FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS x(i) WHERE regexp_matches(l[i], '\\S')")
 def doc_chunks(table):
     """Lines as chunks; blank ones go, and the index counts them all the same."""
-    lines = table("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "x")).where(F.regexp_like("x", F.lit(r"\S")))
-    return lines.select("doc_id", F.col("i").cast("long").alias("chunk_index"), F.length("x").cast("long").alias("n_chars"), F.sha2(F.col("x").cast("binary"), 256).alias("chunk_sha256"))
+    x = F.col("chunk_text")
+    return tb.chunked(table("documents"), "doc_id", "text").select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length(x).cast("long").alias("n_chars"), F.sha2(x.cast("binary"), 256).alias("chunk_sha256"))
 
 
-@query("SELECT item_id, doc_id, 'exact' AS match FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+@query("SELECT item_id, doc_id, 'exact' AS match FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT 100000 + item_id, array_to_string(string_split(text, ' ')[2:CASE item_id % 3 WHEN 0 THEN 3 ELSE 5 END], ' ') FROM benchmark WHERE item_id % 2 = 0) b JOIN documents d ON contains(d.text, b.text)")
 def quote_match(table):
-    """Which document holds which benchmark passage word for word.
-
-    Containment is a theta join; a passage's first eight words are hashed and met by equality
-    with every run of eight words in the documents, and only those pairs are looked at in full.
-    """
-    grams = lambda col: F.expr(f"transform(sequence(0, size({col}) - 8), i -> xxhash64(array_join(slice({col}, i + 1, 8), ' ')))")
-    words = lambda x: F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")
-    # the second to ninth words, since the first may be cut from a longer one
-    items = table("benchmark").select("item_id", F.col("text").alias("quote"), words(F.col("text")).alias("w"))
-    long = items.where("size(w) >= 10").select("item_id", "quote", F.xxhash64(F.array_join(F.slice("w", 2, 8), " ")).alias("h"))
-    docs = table("documents").select("doc_id", words(F.col("text")).alias("w")).where("size(w) >= 8").select("doc_id", F.explode(F.array_distinct(grams("w"))).alias("h"))
-    near = docs.join(long, "h").select("doc_id", "item_id", "quote").distinct()
-    found = near.join(table("documents").select("doc_id", "text"), "doc_id")
-    short = items.where("size(w) < 10").select("item_id", "quote")
-    both = found.select("item_id", "doc_id", t.quote_match(F.col("quote"), F.col("text")).alias("match"))
-    if not short.isEmpty():  # passages of a few words leave nothing to meet by; they are few and looked for everywhere
-        rest = table("documents").select("doc_id", "text").join(F.broadcast(short), F.contains("text", "quote"))
-        both = both.union(rest.select("item_id", "doc_id", F.lit("exact").alias("match")))
-    return both.where("match = 'exact'")
+    """Which document holds which benchmark passage, or a few words of one, word for word."""
+    b = table("benchmark").select("item_id", "text")
+    few = b.where("item_id % 2 = 0").select((F.col("item_id") + 100000).alias("item_id"), F.array_join(F.slice(F.split("text", " "), F.lit(2), F.when(F.col("item_id") % 3 == 0, 2).otherwise(4)), " ").alias("text"))
+    return ev.quoted(b.union(few), table("documents"), "item_id", "doc_id", "text").where("match = 'exact'")
 
 
 # --- joins, aggregates, windows ---------------------------------------------------------------
@@ -216,14 +252,19 @@ def first_seen_dedupe(table):
 
 @query("SELECT coalesce(source, '(none)') AS source, lang, count(*) AS chunks, count(DISTINCT text) AS texts, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ALL")
 def corpus_stats(table):
-    return table("documents").groupBy(F.coalesce("source", F.lit("(none)")).alias("source"), "lang").agg(F.count("*").alias("chunks"), F.countDistinct("text").alias("texts"), F.sum("n_chars").alias("chars"))
+    return tb.corpus_counts(table("documents"), "source", "lang", "text", "n_chars")
 
 
-@query("WITH l AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY ALL) SELECT event_type, count(*) FILTER (WHERE v >= 50) AS ok, count(*) FILTER (WHERE v < 10) AS errors, count(*) FILTER (WHERE v >= 10 AND v < 50) AS others FROM l GROUP BY 1")
+@query(
+    "WITH l AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS v FROM events GROUP BY ALL) "
+    "SELECT event_type, count(*) FILTER (WHERE v >= 50) AS ok, count(*) FILTER (WHERE v < 10) AS errors, count(*) FILTER (WHERE v >= 10 AND v < 50) AS others, coalesce(string_agg(DISTINCT 'value ' || floor(v)::INT, '; ' ORDER BY 'value ' || floor(v)::INT) FILTER (WHERE v < 10), '') AS messages FROM l GROUP BY 1"
+)
 def stage_report(table):
-    last = tb.latest(table("events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"])
+    """The latest result of each user and kind of event: counts by outcome, and the distinct errors."""
     v = F.col("value")
-    return last.groupBy("event_type").agg(F.count_if(v >= 50).alias("ok"), F.count_if(v < 10).alias("errors"), F.count_if((v >= 10) & (v < 50)).alias("others"))
+    status = F.when(v >= 50, "completed").when(v < 10, "failed").otherwise("running")
+    e = table("events").select("user_id", "event_type", "ts", "event_id", status.alias("status"), F.concat(F.lit("value "), F.floor(v).cast("int").cast("string")).alias("error"))
+    return tb.status_report(e, ["user_id", "event_type"], ["ts", "event_id"], "event_type", "status", "error").withColumn("messages", F.array_join("messages", "; "))
 
 
 @query("WITH p AS (SELECT p_brand, list({'name': p_type, 'exclusive': p_size = 50} ORDER BY p_partkey) AS s FROM part GROUP BY 1) SELECT p_brand, CASE WHEN len(list_filter(s, lambda x: x.exclusive)) > 0 THEN list_transform(list_filter(s, lambda x: x.exclusive), lambda x: x.name) ELSE list_concat(['default'], list_transform(s, lambda x: x.name)) END AS sources FROM p")
@@ -243,11 +284,13 @@ def timeseries_long(table):
     return out.where(tb.year_between(F.col("year"), 1993, 1997)).select("o_custkey", F.col("year").cast("long").alias("year"), "value")
 
 
-@query("SELECT n_name, upper(substr(n_name, 1, 3)) AS iso3, r_name, count(s_suppkey) AS suppliers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
+@query("SELECT s_suppkey, upper(substr(n_name, 1, 3)) || n_nationkey AS iso3, CASE WHEN n_nationkey % 2 = 0 THEN 'The ' || n_name ELSE n_name END AS country FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def country_dimension(table):
-    """Rows against a small dimension by key."""
-    n = table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.join(table("supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name", F.upper(F.substring("n_name", 1, 3)).alias("iso3"), "r_name").agg(F.count("s_suppkey").alias("suppliers"))
+    """Suppliers' country codes, in lower case, to official names, or plain ones where there are none."""
+    code = F.concat(F.upper(F.substring("n_name", 1, 3)), F.col("n_nationkey").cast("string"))
+    n = table("nation").select("n_nationkey", code.alias("iso3"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("The "), "n_name")).alias("official"))
+    s = table("supplier").join(n.select("n_nationkey", F.lower("iso3").alias("iso3")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "iso3")
+    return lk.country_names(s, n).withColumn("iso3", F.upper("iso3"))
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, min((value >= 10)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS ok FROM events) WHERE ok = 1")

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators.graph import _kept
+from granary.operators.store import kept
 from granary.operators.tasks import eligible, outcome
 
 TASK = "id string, parent_id string, run_id string, node string, document_id string, status string, attempts int, error string"
@@ -61,12 +61,12 @@ def submit(flow: Workflow, docs: DataFrame, context: dict | None = None) -> Data
 
 def run(flow: Workflow, tasks: DataFrame, docs: DataFrame, most: int = 3, rounds: int = 200) -> tuple[DataFrame, DataFrame]:
     """Rounds until no task is left to claim: (tasks, documents), both read from the shared folder."""
-    tasks, docs = _kept(tasks), _kept(docs)
+    tasks, docs = kept(tasks), kept(docs)
     for _ in range(rounds):
         ready = tasks.where(eligible(F.col("status"), F.col("attempts"), most))
         if ready.isEmpty():
             return tasks, docs
-        claimed = _kept(ready.withColumn("attempts", F.col("attempts") + 1))
+        claimed = kept(ready.withColumn("attempts", F.col("attempts") + 1))
         done, changed = None, docs
         for node in flow.nodes:  # in order: two tasks of a round on one document see each other's changes
             mine = claimed.where(F.col("node") == node.name)
@@ -77,17 +77,17 @@ def run(flow: Workflow, tasks: DataFrame, docs: DataFrame, most: int = 3, rounds
                     out = out.withColumn(c, kind)
             routes = F.array(*[F.struct(F.expr(p).alias("hit"), F.array(*[F.lit(t) for t in ts]).alias("to")) for p, ts in node.rules]) if node.rules else None
             hits = F.flatten(F.transform(F.filter(routes, lambda x: x["hit"]), lambda x: x["to"])) if node.rules else F.expr("cast(array() AS array<string>)")
-            out = _kept(out.withColumn("_to", hits))
+            out = kept(out.withColumn("_to", hits))
             status = outcome(F.col("stage_status"), F.col("attempts"), F.lit(False), most)
             part = mine.join(out.select("document_id", "stage_status", "stage_error", "_to"), "document_id").withColumn("status", status).withColumn("error", F.when(F.col("status") != "completed", F.coalesce("stage_error", F.lit("Stage failed"))))
             done = part if done is None else done.unionByName(part)
             changed = changed.join(out.select("document_id"), "document_id", "left_anti").unionByName(out.select(*docs.columns))
-        done = _kept(done)
+        done = kept(done)
         child = done.where("status = 'completed'").select(F.explode("_to").alias("child"), "id", "run_id", "document_id")
         child = child.select(F.sha2(F.concat_ws("/", "id", "child").cast("binary"), 256).substr(1, 24).alias("id"), F.col("id").alias("parent_id"), "run_id", F.col("child").alias("node"), "document_id", F.lit("scheduled").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"))
         names = [x.split()[0] for x in TASK.split(", ")]
-        tasks = _kept(tasks.join(claimed.select("id"), "id", "left_anti").select(*names).unionByName(done.select(*names)).unionByName(child.select(*names)))
-        docs = _kept(changed)
+        tasks = kept(tasks.join(claimed.select("id"), "id", "left_anti").select(*names).unionByName(done.select(*names)).unionByName(child.select(*names)))
+        docs = kept(changed)
     raise RuntimeError(f"tasks left after {rounds} rounds")
 
 
@@ -99,13 +99,13 @@ def pipeline(docs: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataF
     the latest isn't recorded again.
     """
     schema = "document_id string, step string, seq int, status string, error string"
-    results = _kept(docs.sparkSession.createDataFrame([], schema) if results is None else results)
+    results = kept(docs.sparkSession.createDataFrame([], schema) if results is None else results)
     for name, stage in steps:
         last = results.where(F.col("step") == name).groupBy("document_id").agg(F.max_by(F.struct("status", "error"), "seq").alias("l"), F.max("seq").alias("n"))
         todo = docs.join(last.where("l.status = 'completed'"), "document_id", "left_anti")
         got = stage(todo).join(last, "document_id", "left")
         new = got.where(~(F.col("status").eqNullSafe(F.col("l.status")) & F.col("error").eqNullSafe(F.col("l.error"))))
-        results = _kept(results.unionByName(new.select("document_id", F.lit(name).alias("step"), (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("seq"), "status", "error")))
+        results = kept(results.unionByName(new.select("document_id", F.lit(name).alias("step"), (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("seq"), "status", "error")))
     return results
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators.tables import resolve_sources
+from granary.functions.classify import successful
+from granary.operators.store import kept
+from granary.operators.tables import map_difference, resolve_sources
 
 _SOURCE = "struct<name string, exclusive boolean>"
 USE_CASE = f"name string, description string, data_sources array<{_SOURCE}>, metrics array<struct<name string, description string, example string, unit string, data_sources array<{_SOURCE}>>>"
@@ -30,23 +32,76 @@ def report_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), F.col("value").alias("text"))
 
 
+#: A document's titles, the first that is there counts, and bulky fields that aren't kept (fixed values).
+TITLES = ("title", "title_english", "title_original", "subtitle_english", "subtitle_original")
+DROPPED = ("key_concepts", "organizations")
+
+
 def external_document(raw: DataFrame) -> DataFrame:
-    """JSON text of a fetched document (document_id, body) -> one row a page (document_id, title, page_no, text), or one with error.
+    """JSON text of a fetched document (document_id, body) -> one row a page, or one with error.
 
-    The id must match and document, handle_url, a title and chunks must be there; pages count from 1.
+    (document_id, url, title, metadata, nested, page_no, text, error).  The id must match and
+    document, handle_url, a title and chunks must be there; pages count from 1.  metadata and nested
+    (its own entry "metadata") are maps of JSON text without bulky fields, and nested without what
+    the metadata say too; null where nothing is left.
     """
-    shape = "document_id string, handle_url string, document struct<title string, name string, dc_title string>, chunks array<struct<content string, page_num int>>"
-    d = raw.select("document_id", F.from_json("body", shape).alias("d"))
-    title = F.coalesce(*[F.nullif(F.trim(f"d.document.{c}"), F.lit("")) for c in ("title", "name", "dc_title")])
+    shape = "document_id string, document map<string,string>, chunks array<struct<content string>>"
+    d = raw.select("document_id", F.from_json("body", shape).alias("d")).withColumn("m", F.col("d.document"))
+    own = lambda k: F.nullif(F.element_at("m", k), F.lit(""))
+    title = F.coalesce(*[own(k) for k in TITLES])
     error = (
-        F.when(F.col("d.document").isNull(), "document missing")
-        .when(~F.col("d.document_id").eqNullSafe(F.col("document_id")), "document_id differs")
-        .when(F.col("d.handle_url").isNull(), "handle_url missing")
+        F.when(~F.col("d.document_id").eqNullSafe(F.col("document_id")), "document_id differs")
+        .when(F.coalesce(F.cardinality("m"), F.lit(0)) < 1, "document missing")
+        .when(own("handle_url").isNull(), "handle_url missing")
         .when(title.isNull(), "title missing")
         .when(F.coalesce(F.size("d.chunks"), F.lit(0)) < 1, "chunks missing")
     )
-    pages = F.when(error.isNull(), F.col("d.chunks"))
-    return d.select("document_id", title.alias("title"), error.alias("error"), F.posexplode_outer(pages).alias("i", "c")).select("document_id", "title", "error", (F.col("i") + 1).alias("page_no"), F.col("c.content").alias("text"))
+    top = F.map_filter("m", lambda k, _: ~k.isin(*DROPPED, "metadata"))
+    nested = map_difference(F.from_json(F.element_at("m", "metadata"), "map<string,string>"), F.col("metadata"), DROPPED)
+    d = d.select("document_id", own("handle_url").alias("url"), title.alias("title"), "m", F.when(F.cardinality(top) > 0, top).alias("metadata"), error.alias("error"), F.when(error.isNull(), F.col("d.chunks")).alias("pages"))
+    d = d.withColumn("nested", nested)
+    rows = d.select("document_id", "url", "title", "metadata", "nested", "error", F.posexplode_outer("pages").alias("i", "c"))
+    return rows.select("document_id", "url", "title", "metadata", "nested", (F.col("i") + 1).alias("page_no"), F.when(F.col("i").isNotNull(), F.coalesce("c.content", F.lit(""))).alias("text"), "error")
+
+
+def write_reports(reports: DataFrame, folder: str) -> None:
+    """(number, text) -> files NNNN.md in a folder that all executors share (a local path or any file system that pyarrow knows); each task writes its own."""
+
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        held, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        held.create_dir(base, recursive=True)
+        for r in rows:
+            with held.open_output_stream(f"{base.rstrip('/')}/{r.number:04d}.md") as f:
+                f.write((r.text or "").encode("utf-8"))
+
+    reports.select("number", "text").foreachPartition(write)
+
+
+def write_bodies(bodies: DataFrame, folder: str) -> DataFrame:
+    """(id, body as text or bytes, suffix) -> (id, path): every body in a file <folder>/<id><suffix>, written by the task that holds it.
+
+    Null bodies are written as empty files; ids that repeat leave the last one written.
+    """
+    schema = "id string, path string"
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        held, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        held.create_dir(base, recursive=True)
+        for batch in batches:
+            paths = []
+            for i, body, suffix in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                with held.open_output_stream(f"{base.rstrip('/')}/{i}{suffix or ''}") as f:
+                    f.write(body or b"")
+                paths.append(f"{folder.rstrip('/')}/{i}{suffix or ''}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["id", "path"])
+
+    given = bodies.select(F.col("id").cast("string").alias("id"), F.col("body").cast("binary").alias("body"), F.col("suffix").cast("string").alias("suffix"))
+    return kept(given.mapInArrow(write, schema), "bodies")
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -66,17 +121,14 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
         return
     keep = old.join(new.select("part").distinct(), "part", "left_semi").join(new.select("document_id").distinct(), "document_id", "left_anti")
     both = keep.select(*chunks.columns, "part").unionByName(new)
-    from granary.operators.graph import _kept
-
-    _kept(both).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    kept(both).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def fetch_cached(wanted: DataFrame, cache: DataFrame, fetch) -> tuple[DataFrame, DataFrame]:
     """Bodies for wanted urls: cached successes first, ``fetch`` (urls -> url, body, status) for the rest; (results, new cache)."""
     known = cache.where("successful")
     miss = wanted.select("url").distinct().join(known.select("url"), "url", "left_anti")
-    from granary.functions.classify import successful
-
-    got = fetch(miss).withColumn("successful", successful(F.col("body"), F.col("status"), F.lit(False)))
+    # fetched once: both results read what was stored
+    got = kept(fetch(miss).withColumn("successful", successful(F.col("body"), F.col("status"), F.lit(False))), "fetched")
     fresh = cache.join(got.select("url"), "url", "left_anti").unionByName(got.select(*cache.columns))
     return wanted.join(fresh, "url", "left"), fresh
