@@ -31,6 +31,13 @@ def test_content(spark):
     shell = "<!doctype html><html><body><div id='root'></div><script></script></body></html>"
     links = "<html>" + "<a href='x'>word word word</a>" * 60 + "</html>"
     assert column(spark, [shell, "%PDF", "not html", links], c.spa_shell) == [True, False, False, False]
+    one = lambda x: f"<!doctype html><html><body>{x}</body></html>"
+    marks = ["<div id='root'>text of the server</div>", "<my-app class='x'> </my-app>", "<my-app>text</my-app>", "<div data-v-app></div>", "<div id='main'></div>", "<script>1</script>" * 3, "<script>1</script>" * 3 + "<a href='x'>y</a>"]
+    assert column(spark, [one(x) for x in marks], c.spa_shell) == [False, True, False, True, False, True, False]
+    urls = spark.createDataFrame([("http://x/a.pdf?y", None), ("http://x/bitstreams/1/content/", None), ("http://x/y", "application/PDF; q"), ("http://x/y", None)], "u string, h string")
+    assert [r[0] for r in urls.select(c.may_be_pdf(F.col("u"), F.col("h"))).collect()] == [True, True, True, False]
+    kept_ = ["%PDF", "", '{"a": 1}', "  [1]", "<html>small</html>", "plain bytes"]
+    assert column(spark, kept_, c.acceptable_capture) == [True, False, False, False, False, True]
 
 
 def test_text(spark):
@@ -39,7 +46,16 @@ def test_text(spark):
     assert column(spark, ["  A\n b ", "  "], t.normalize_title) == ["A b", None]
     src = "Kenya maize  production\nfell by 12%. The agri-\nculture sector"
     df = spark.createDataFrame([(0, "Kenya maize  production\nfell by 12%."), (1, "Kenya maize production fell by 12%."), (2, "rose by"), (3, "agriculture"), (4, " ")], "i int, q string")
-    assert [x[0] for x in df.orderBy("i").select(t.quote_match(F.col("q"), F.lit(src))).collect()] == ["exact", "normalized", None, "normalized", None]
+    assert [x[0] for x in df.orderBy("i").select(t.quote_match(F.col("q"), F.lit(src))).collect()] == ["exact", "normalized", None, "normalized", "exact"]
+    assert column(spark, ["ﬁve\u00adteen “marks”\u2014and  more\n\n", "a\u00a0b", "agri-\r\nculture"], t.normalize_quote) == ['fiveteen "marks"-and more', "a b", "agri- culture"]
+    assert column(spark, ["Straße  A", "ＡＢＣ x"], t.normalize_query) == ["strasse a", "ａｂｃ x"]
+    assert column(spark, [" Côte d’Ivoire.", "(The  Gambia)"], t.country_key) == ["côte d'ivoire", "the  gambia"]
+    assert column(spark, [20.5, 123456.0, 0.00001234, 7.0, None], t.general4, "double") == ["20.5", "1.235e+05", "1.234e-05", "7", None]
+    assert column(spark, [bytearray(b"ab\xff"), None], t.decoded, "binary") == ["ab\ufffd", None]
+    labels = {"archive": "archive", "Main_Repository": "Repository"}
+    assert column(spark, ["Archive", "main repository", "other", None], lambda x: t.origin_label(x, labels)) == ["archive", "Repository", "other", None]
+    with pytest.raises(Exception, match="don't agree"):
+        spark.range(1).select(t.expanded_urls(F.lit("http://x/{search}"), F.lit(None).cast("array<string>"))).collect()
     assert column(spark, [1, 12, 1234], lambda x: t.numbered("claim", x), "int") == ["claim_001", "claim_012", "claim_1234"]
     got = spark.range(1).select(t.citation(F.lit("Institute, Water Report"), F.lit(2021), F.lit("2-3, 5"), F.lit("https://example.org/d1"))).first()[0]
     assert got == "Institute, Water Report. - 2021. Pages 2-3, 5. https://example.org/d1"
@@ -139,8 +155,33 @@ def test_mentions(spark):
 
 
 def test_answer_status(spark):
-    df = spark.createDataFrame([("a", None), ("b", "Heavy rains began in October"), ("c", "More than 35% of fields")], "k string, t string")
+    df = spark.createDataFrame([("a", None), ("b", "In 1997 heavy rains began."), ("c", "More than 35% of fields")], "k string, t string")
     assert {r.k: r.status for r in ev.answer_status(df, "k", "t").collect()} == {"a": "cannot_answer", "b": "high_level_answer", "c": "answered"}
+    said = ["2,5 per cent", "12 km² of land", "3 Tonnes", "tonnage 3", "5 billion", "Yields fell by 3", "losses 4", "40 households", "in 2020 and 2021", "10 hay"]
+    assert column(spark, said, ev.quantitative) == [True, True, True, False, True, True, True, True, False, False]
+
+
+def test_fetch_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def fetch(urls):
+        def go(batches):
+            for b in batches:
+                calls.add(b.num_rows)
+                yield b
+
+        return urls.mapInArrow(go, urls.schema).select("url", F.lit("x" * 600).alias("body"), F.lit(200).alias("status"))
+
+    cache = spark.createDataFrame([("a", "y" * 600, 200, True)], "url string, body string, status int, successful boolean")
+    got, fresh = files.fetch_cached(spark.createDataFrame([("a",), ("b",), ("c",)], "url string"), cache, fetch)
+    assert got.count() == 3 and fresh.where("successful").count() == 3 and calls.value == 2
+
+
+def test_quoted(spark):
+    docs = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog again"), (2, "catalogues of foxes"), (3, "")], "d long, text string")
+    p = spark.createDataFrame([(10, "ick brown fox jumps over the la"), (11, "cat"), (12, "of fox"), (13, "brown  fox jumps over"), (14, ""), (15, "nothing like it here")], "p long, text string")
+    got = sorted(map(tuple, ev.quoted(p, docs, "p", "d", "text").collect()))
+    assert got == [(10, 1, "exact"), (11, 2, "exact"), (12, 2, "exact"), (13, 1, "normalized")]
 
 
 def test_hybrid(spark):
@@ -159,10 +200,22 @@ def test_sources(spark, tmp_path):
     (tmp_path / "0012.md").write_text("# T\n\nno heading")
     (tmp_path / "notes.md").write_text("other")
     got = rp.parsed_sections(files.report_files(spark, str(tmp_path)), "name", "text").orderBy("number").collect()
-    assert [(s.number, s.title, s.body.strip()) for s in got] == [(1, "First", "body\nmore"), (2, "Second", "x"), (12, "", "no heading")]
-    raw = spark.createDataFrame([("d", json.dumps({"document_id": "d", "handle_url": "h", "document": {"name": "N"}, "chunks": [{"content": "Chunk A"}, {"content": "Chunk B"}]})), ("e", json.dumps({"document_id": "x", "handle_url": "h", "document": {}, "chunks": []}))], "document_id string, body string")
-    got = [(x.document_id, x.title, x.page_no, x.text, x.error) for x in files.external_document(raw).orderBy("document_id", "page_no").collect()]
-    assert got == [("d", "N", 1, "Chunk A", None), ("d", "N", 2, "Chunk B", None), ("e", None, None, None, "document_id differs")]
+    assert [(s.number, s.title, s.body) for s in got] == [(1, "First", "## 1. First\n\nbody\nmore\n## 2. Second\nx"), (12, "Metric 12", "## 12. Metric 12\nno heading")]
+    whole = rp.combined(files.report_files(spark, str(tmp_path)).withColumn("k", F.lit(1)), "k", "name", "text").first().report
+    assert whole == "# T\n\n## 1. First\n\nbody\nmore\n## 2. Second\nx\n\n## 12. Metric 12\nno heading\n"
+    files.write_reports(spark.createDataFrame([(3, "## 3. x"), (14, "ä")], "number int, text string"), str(tmp_path / "out"))
+    assert sorted((r.name, r.text) for r in files.report_files(spark, str(tmp_path / "out")).collect()) == [("0003.md", "## 3. x"), ("0014.md", "ä")]
+    got = files.write_bodies(spark.createDataFrame([("a", "text", ".html"), ("b", None, None)], "id string, body string, suffix string"), f"file://{tmp_path}/bodies").collect()
+    assert {r.id: r.path for r in got} == {"a": f"file://{tmp_path}/bodies/a.html", "b": f"file://{tmp_path}/bodies/b"}
+    assert (tmp_path / "bodies" / "a.html").read_text() == "text"
+    doc = {"title": "", "title_original": "N", "handle_url": "h", "organizations": ["x"], "lang": "en", "metadata": {"lang": "en", "extra": "y", "key_concepts": "z"}}
+    body = lambda i, d, c: json.dumps({"document_id": i, "document": d, "chunks": c})
+    chunks = [{"content": "Chunk A"}, {"content": None}]
+    rows = [("d", body("d", doc, chunks)), ("e", body("x", doc, chunks)), ("f", body("f", {}, chunks)), ("g", body("g", {"handle_url": "h"}, chunks)), ("h", body("h", {"title": "t"}, chunks)), ("i", body("i", doc, [])), ("j", "no json")]
+    got = files.external_document(spark.createDataFrame(rows, "document_id string, body string")).orderBy("document_id", "page_no").collect()
+    assert [(x.document_id, x.title, x.page_no, x.text) for x in got if x.error is None] == [("d", "N", 1, "Chunk A"), ("d", "N", 2, "")]
+    assert got[0].nested == {"extra": "y"} and got[0].metadata.keys() == {"title", "title_original", "handle_url", "lang"}
+    assert [(x.document_id, x.error) for x in got[2:]] == [("e", "document_id differs"), ("f", "document missing"), ("g", "title missing"), ("h", "handle_url missing"), ("i", "chunks missing"), ("j", "document_id differs")]
     path = str(tmp_path / "chunks")
     one = spark.createDataFrame([("d", 99, "old"), ("e", 0, "keep")], "document_id string, i int, t string")
     files.write_chunks(one, path)
