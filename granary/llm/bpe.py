@@ -39,11 +39,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _check(told: dict) -> None:
+    """ValueError for a vocabulary file that isn't plain byte-level BPE: other options would give other ids."""
+    pre, model = told.get("pre_tokenizer") or {}, told["model"]
+    wrong = [
+        told.get("normalizer") is not None and "a normalizer",
+        (pre.get("type"), pre.get("use_regex", True), bool(pre.get("add_prefix_space"))) != ("ByteLevel", True, False) and "another pre-tokenizer",
+        model.get("type", "BPE") != "BPE" and "another model",
+        *(bool(model.get(k)) and k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")),
+        any(t.get(k) for t in told.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized")) and "options of added tokens",
+    ]
+    if found := [w for w in wrong if w]:
+        raise ValueError(f"not a plain byte-level BPE vocabulary: {', '.join(found)}")
+
+
 class Coder:
     """Encoder and decoder for one vocabulary."""
 
     def __init__(self, spec: str):
         told = json.loads(spec)
+        _check(told)
         model, letters = told["model"], byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -190,7 +205,7 @@ class Coder:
         words: list[str] = []
         ends = []
         for t in texts:
-            if self.marks and "<" in t and self.marks.search(t):
+            if self.marks and any(s in t for s in self.special):
                 for p in self.marks.split(t):
                     words += [p] if p in self.special else self.cut.findall(p)
             else:

@@ -1,6 +1,7 @@
 """Encoding and decoding against the tokenizers library."""
 
 import hashlib
+import json
 
 import numpy as np
 import public_tokenizers
@@ -76,3 +77,21 @@ def test_columns_nulls_and_empty(spark):
     back = bpe.decode(bpe.encode(df, PATH), PATH).collect()
     assert sorted((r["a b"], r.n_tokens, r.text) for r in back) == [(7, 0, ""), (7, 0, ""), (8, 2, "some text")]
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_special_tokens_of_any_look():
+    told = json.loads(open(PATH, encoding="utf-8").read())
+    told["added_tokens"] += [{**told["added_tokens"][0], "id": 50257 + i, "content": c} for i, c in enumerate(["[CLS]", "endoftext", "[CLS] x"])]
+    spec = json.dumps(told)
+    tok, coder = Tokenizer.from_str(spec), bpe.Coder(spec)
+    texts = ["a [CLS] b", "endoftext", "no endoftextual [CLS] x[CLS]", "<|endoftext|>[CLS]", "plain"]
+    for t, got in zip(texts, coder.encode(texts), strict=True):
+        assert got.tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert coder.decode(got) == tok.decode(got.tolist(), skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}])
+def test_other_vocabularies_are_refused(change):
+    told = json.loads(open(PATH, encoding="utf-8").read())
+    with pytest.raises(ValueError, match="plain byte-level"):
+        bpe.Coder(json.dumps(told | change))

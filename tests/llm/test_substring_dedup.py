@@ -108,3 +108,23 @@ def test_texts_of_one_id_with_equal_crc(spark):
         df = spark.createDataFrame([(i, n, t) for n, t in enumerate(given)], "doc_id long, n int, text string").repartition(2)
         got = {r.n: (r.n_words, r.n_removed, r.kept_text) for r in sd.remove_repeats(df).collect()}
         assert got == dict(enumerate(brute(given, 35)))
+
+
+def test_null_ids_and_repeated_rows(spark):
+    """Texts under one id with the same checksum keep apart, and a row that repeats is cut in all its copies."""
+    import itertools
+
+
+    seen, pair = {}, None
+    for n in itertools.count():
+        c = zlib.crc32(t := f"text number {n} of many, told apart by nothing but its number {n * n}".encode())
+        if c in seen:
+            pair = [seen[c].decode(), t.decode()]
+            break
+        seen[c] = t
+    long = " ".join(f"w{i}" for i in range(40))
+    many = spark.range(0, 20_000, 1, 8).selectExpr("5L AS doc_id", f"'{long} tail' AS text")
+    df = many.union(spark.createDataFrame([(None, pair[0]), (None, pair[1]), (None, None)], "doc_id long, text string"))
+    got = sd.remove_repeats(df).groupBy("doc_id", "kept_text", "n_words", "n_removed").count().collect()
+    want = {(None, pair[0], len(pair[0].split()), 0, 1), (None, pair[1], len(pair[1].split()), 0, 1), (None, "", 0, 0, 1), (5, "", 41, 41, 20_000)}
+    assert {tuple(r) for r in got} == want
