@@ -158,20 +158,44 @@ def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
 def _search(dim: int, k: int):
     """Rows sorted by (tab, part, blk), indexed ones and queries with the buckets they visit -> each query's best k of what this task saw."""
 
-    def met(key: np.ndarray, visits: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query row, index row) that share a bucket, about PAIRS at a time."""
+    def met(key: np.ndarray, rows: np.ndarray, visits: list, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query row, index row, cosine) of pairs that share a bucket, about PAIRS at a time; rows and asked are unit vectors."""
         order = np.argsort(key, kind="stable")
+        key, rows = key[order], rows[order]
         n = np.array([len(v) for v in visits])
         want, owner = np.concatenate(visits), np.repeat(np.arange(len(n)), n)
-        lo, hi = np.searchsorted(key[order], want, "left"), np.searchsorted(key[order], want, "right")
-        lo, size, owner = lo[hi > lo], (hi - lo)[hi > lo], owner[hi > lo]
-        run = np.cumsum(size)
-        s = 0
+        by = np.argsort(want, kind="stable")
+        want, owner = want[by], owner[by]
+        first = np.flatnonzero(np.diff(want, prepend=~want[:1]) != 0)
+        count = np.diff([*first, len(want)])
+        lo, hi = np.searchsorted(key, want[first], "left"), np.searchsorted(key, want[first], "right")
+        some = hi > lo
+        first, count, lo, size = first[some], count[some], lo[some], (hi - lo)[some]
+        large = count * size >= 64
+        held, held_n = [], 0
+        for f, k, at, m in zip(*(v[large].tolist() for v in (first, count, lo, size)), strict=True):
+            for s in range(f, f + k, max(1, PAIRS // m)):
+                q = owner[s : min(f + k, s + max(1, PAIRS // m))]
+                held.append((np.repeat(q, m), np.tile(order[at : at + m], len(q)), (asked[q] @ rows[at : at + m].T).ravel()))
+                held_n += len(q) * m
+                if held_n >= PAIRS:
+                    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    held, held_n = [], 0
+        if held:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        # small buckets, many at a time
+        each = np.repeat(np.flatnonzero(~large), count[~large])
+        if not len(each):
+            return
+        inside = np.arange(len(each)) - np.repeat(np.cumsum(count[~large]) - count[~large], count[~large])
+        owner, lo, size = owner[first[each] + inside], lo[each], size[each]
+        run, s = np.cumsum(size), 0
         while s < len(size):
             e = max(s + 1, int(np.searchsorted(run, (run[s - 1] if s else 0) + PAIRS, "right")))
             m = size[s:e]
-            inside = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            yield np.repeat(owner[s:e], m), order[np.repeat(lo[s:e], m) + inside]
+            at = np.repeat(lo[s:e], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            q = np.repeat(owner[s:e], m)
+            yield q, order[at], np.einsum("ij,ij->i", asked[q], rows[at])
             s = e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +216,8 @@ def _search(dim: int, k: int):
             lists = t.column("buckets").combine_chunks()
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
             least = np.full(len(q), -8.0)  # each query's k-th best so far
-            for a, b in met(flat[ends[c]], [flat[ends[r] : ends[r + 1]] for r in q]):
+            for a, b, s in met(flat[ends[c]], unit[c], [flat[ends[r] : ends[r + 1]] for r in q], unit[q]):
                 i, j = q[a], c[b]
-                s = np.einsum("ij,ij->i", unit[i], unit[j])
                 ok = (s >= least[a] - 1e-9) & (ids[i] != ids[j])  # and what rounding may have put just below
                 if not ok.any():
                     continue
