@@ -158,8 +158,8 @@ def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
 def _search(dim: int, k: int):
     """Rows sorted by (tab, part, blk), indexed ones and queries with the buckets they visit -> each query's best k of what this task saw."""
 
-    def met(key: np.ndarray, rows: np.ndarray, visits: list, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query row, index row, cosine) of pairs that share a bucket, about PAIRS at a time; rows and asked are unit vectors."""
+    def met(key: np.ndarray, rows: np.ndarray, visits: list, asked: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query row, index row, cosine) of pairs that share a bucket and reach the query's least, from about PAIRS pairs at a time; rows and asked are unit vectors."""
         order = np.argsort(key, kind="stable")
         key, rows = key[order], rows[order]
         n = np.array([len(v) for v in visits])
@@ -176,7 +176,9 @@ def _search(dim: int, k: int):
         for f, k, at, m in zip(*(v[large].tolist() for v in (first, count, lo, size)), strict=True):
             for s in range(f, f + k, max(1, PAIRS // m)):
                 q = owner[s : min(f + k, s + max(1, PAIRS // m))]
-                held.append((np.repeat(q, m), np.tile(order[at : at + m], len(q)), (asked[q] @ rows[at : at + m].T).ravel()))
+                score = asked[q] @ rows[at : at + m].T
+                a, b = np.nonzero(score >= least[q][:, None])
+                held.append((q[a], order[at + b], score[a, b]))
                 held_n += len(q) * m
                 if held_n >= PAIRS:
                     yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
@@ -216,9 +218,9 @@ def _search(dim: int, k: int):
             lists = t.column("buckets").combine_chunks()
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
             least = np.full(len(q), -8.0)  # each query's k-th best so far
-            for a, b, s in met(flat[ends[c]], unit[c], [flat[ends[r] : ends[r + 1]] for r in q], unit[q]):
+            for a, b, s in met(flat[ends[c]], unit[c], [flat[ends[r] : ends[r + 1]] for r in q], unit[q], least):
                 i, j = q[a], c[b]
-                ok = (s >= least[a] - 1e-9) & (ids[i] != ids[j])  # and what rounding may have put just below
+                ok = (s >= least[a]) & (ids[i] != ids[j])
                 if not ok.any():
                     continue
                 a, i, j = a[ok], i[ok], j[ok]
@@ -229,7 +231,7 @@ def _search(dim: int, k: int):
                 of = np.full(len(whose), -1)
                 of[np.searchsorted(whose, ids[i])] = a
                 full = count == k
-                least[of[full]] = np.maximum(least[of[full]], found[2][first[full] + k - 1])
+                least[of[full]] = np.maximum(least[of[full]], found[2][first[full] + k - 1] - 1e-9)  # less what rounding may do
             if n > HELD:
                 held, n, batch = out()
                 if n > HELD // 2:
