@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.operators.tables import latest
+
 
 def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """A folder of Parquet files as a stream, ``files`` a batch."""
@@ -22,8 +26,31 @@ def first_only(events: DataFrame, keys: list[str], time: str, late: str = "1 hou
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def drained(spark: SparkSession, stream: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all there is, into a table in memory."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def live_heartbeats(beats: DataFrame) -> DataFrame:
+    """(executor_id, updated_at): each worker's latest beat so far, one row a worker in the state."""
+    return beats.groupBy("executor_id").agg(F.max("updated_at").alias("updated_at"))
+
+
+def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Work off all there is, ``step`` (a batch's rows, its number) for each batch.
+
+    A batch may come again after a failure, with the same number: steps write by number or by key.
+    """
+    q = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+
+
+def upsert_step(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
+    """A step that keeps the latest row of each key in the table at ``path``, one folder for each batch number.
+
+    A batch merges the table before it with its own rows into a new folder, so a batch that comes
+    again writes the same folder anew and nothing else is touched.
+    """
+
+    def step(rows: DataFrame, number: int) -> None:
+        spark, new = rows.sparkSession, rows
+        if number > 0:
+            new = spark.read.schema(rows.schema).parquet(f"{path}/{number - 1}").unionByName(rows)
+        latest(new, keys, [order]).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return step

@@ -234,12 +234,35 @@ def test_pipeline_records_once(spark):
     assert sorted((x.document_id, x.seq, x.status) for x in fixed.where("step = 's'").collect()) == [("a", 1, "failed"), ("a", 2, "completed"), ("b", 1, "completed")]
 
 
+def drained(spark, stream, mode, name, checkpoint):
+    """Run a stream over all there is, into a table in memory."""
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
 def test_streaming(spark, sf, tmp_path):
     from granary.streaming import queue as q
 
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(3).write.parquet(f"{tmp_path}/in")
-    live = q.drained(spark, q.live_progress(q.event_stream(spark, f"{tmp_path}/in"), "event_type"), "complete", "live", f"{tmp_path}/c1")
+    live = drained(spark, q.live_progress(q.event_stream(spark, f"{tmp_path}/in"), "event_type"), "complete", "live", f"{tmp_path}/c1")
     assert {r.event_type: r.events for r in live.collect()} == {r.event_type: r["count"] for r in events.groupBy("event_type").count().collect()}
-    first = q.drained(spark, q.first_only(q.event_stream(spark, f"{tmp_path}/in"), ["event_id"], "ts", "3650 days"), "append", "firsts", f"{tmp_path}/c2")
+    first = drained(spark, q.first_only(q.event_stream(spark, f"{tmp_path}/in"), ["event_id"], "ts", "3650 days"), "append", "firsts", f"{tmp_path}/c2")
     assert first.count() == events.select("event_id").distinct().count()
+    beats = q.event_stream(spark, f"{tmp_path}/in").select(F.col("user_id").alias("executor_id"), F.col("ts").alias("updated_at"))
+    want = {r.user_id: r.t for r in events.groupBy("user_id").agg(F.max("ts").alias("t")).collect()}
+    assert {r.executor_id: r.updated_at for r in drained(spark, q.live_heartbeats(beats), "complete", "beats", f"{tmp_path}/c3").collect()} == want
+    q.each_batch(beats, q.upsert_step(f"{tmp_path}/held", ["executor_id"], "updated_at"), f"{tmp_path}/c4")
+    assert {r.executor_id: r.updated_at for r in spark.read.parquet(f"{tmp_path}/held/2").collect()} == want
+
+
+def test_context_and_cascade(spark):
+    df = spark.createDataFrame([(["a", "b"], {"a": "1"}), (["a"], None)], "r array<string>, c map<string,string>")
+    assert [r[0] for r in df.select(tk.missing_context(F.col("r"), F.col("c"))).collect()] == [["b"], ["a"]]
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
+    pending = spark.createDataFrame([("b", "p", "failed"), ("c", "p", "completed"), ("c", "q", "created"), ("y", "p", "failed")], "document_id string, pipeline string, status string")
+    got = wf.cascade(edges, pending, spark.createDataFrame([("a",)], "document_id string")).collect()
+    assert sorted(map(tuple, got)) == [("b", "p"), ("c", "q")]
+    links = spark.createDataFrame([("https://x.org/a/b", "../c?d#e"), ("https://x.org/a", "//y.org/z"), ("https://x.org", None)], "url string, href string")
+    assert [r.dst for r in g.resolved(links).collect()] == ["https://x.org/c?d#e", "https://y.org/z", None]
