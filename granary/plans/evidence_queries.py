@@ -142,34 +142,25 @@ def citations(table):
     return p.select("p_partkey", rp.metric_route(sources).alias("route"), cite.alias("citation"))
 
 
-def golden_workflow() -> wf.Workflow:
-    """first: counter + 1, back to itself while under 3; second: counter + 2, odd back to first, even to third and fourth; third: value + 4; fourth: value + 9."""
-    plus = lambda col, n: lambda df: df.withColumn(col, F.col(col) + n)
-    return wf.Workflow(
-        "golden",
-        [
-            wf.Node("first", plus("counter", 1), [("counter < 3", ["first"]), ("counter >= 3", ["second"])]),
-            wf.Node("second", plus("counter", 2), [("counter % 2 = 1", ["first"]), ("counter % 2 = 0", ["third", "fourth"])]),
-            wf.Node("third", plus("value", 4)),
-            wf.Node("fourth", plus("value", 9)),
-        ],
-        ["first"],
-    )
+def halving() -> wf.Workflow:
+    """shrink: size halved, back to itself while over 4, then to tag, with count beside it if even; tag: value + 1; count: value + 10."""
+    plus = lambda n: lambda df: df.withColumn("value", F.col("value") + n)
+    half = lambda df: df.withColumn("size", F.floor(F.col("size") / 2))
+    to = [("size > 4", ["shrink"]), ("size <= 4 AND size % 2 = 1", ["tag"]), ("size <= 4 AND size % 2 = 0", ["tag", "count"])]
+    return wf.Workflow("halving", [wf.Node("shrink", half, to), wf.Node("tag", plus(1)), wf.Node("count", plus(10))], ["shrink"])
 
 
 @query(
-    "WITH RECURSIVE w(document_id, node, counter, n) AS (SELECT doc_id, 'first', doc_id % 4 + 1, 1 FROM documents UNION ALL "
-    "SELECT document_id, CASE WHEN node = 'first' AND counter < 3 THEN 'first' WHEN node = 'first' THEN 'second' ELSE 'first' END, "
-    "CASE WHEN node = 'first' AND counter >= 3 THEN counter + 2 ELSE counter + 1 END, n + 1 FROM w WHERE node = 'first' OR counter % 2 = 1) "
-    "SELECT document_id, max(counter) AS counter, 13 AS value, count(*) + 2 AS tasks, 'completed' AS status FROM w GROUP BY 1"
+    "WITH RECURSIVE w(document_id, size) AS (SELECT doc_id, n_chars % 50 // 2 FROM documents UNION ALL SELECT document_id, size // 2 FROM w WHERE size > 4) "
+    "SELECT document_id, min(size) AS size, CASE WHEN min(size) % 2 = 1 THEN 1 ELSE 11 END AS value, count(*) + CASE WHEN min(size) % 2 = 1 THEN 1 ELSE 2 END AS tasks, 'completed' AS status FROM w GROUP BY 1"
 )
 def workflow_run(table):
-    """A cyclic workflow over all documents, from counters 0 to 3."""
-    docs = table("documents").select(F.col("doc_id").cast("string").alias("document_id"), (F.col("doc_id") % 4).alias("counter"), F.lit(0).cast("long").alias("value"))
-    flow = golden_workflow()
+    """A cyclic workflow over all documents, from what is left of their lengths."""
+    docs = table("documents").select(F.col("doc_id").cast("string").alias("document_id"), (F.col("n_chars") % 50).alias("size"), F.lit(0).cast("long").alias("value"))
+    flow = halving()
     tasks, docs = wf.run(flow, wf.submit(flow, docs), docs)
     per = tasks.groupBy("document_id").agg(F.count("*").alias("tasks"), F.max("status").alias("status"))
-    return docs.join(per, "document_id").select(F.col("document_id").cast("long").alias("document_id"), "counter", "value", "tasks", "status")
+    return docs.join(per, "document_id").select(F.col("document_id").cast("long").alias("document_id"), "size", "value", "tasks", "status")
 
 
 @query(

@@ -14,7 +14,7 @@ from granary.operators import retrieval as r
 from granary.operators import tables as tb
 from granary.operators import tasks as tk
 from granary.plans import workflow as wf
-from granary.plans.evidence_queries import golden_workflow
+from granary.plans.evidence_queries import halving
 from granary.sources import files
 
 
@@ -93,14 +93,14 @@ def test_queue(spark):
 
 
 def test_workflow(spark):
-    docs = spark.createDataFrame([("d0", 0, 0), ("d1", 0, 0)], "document_id string, counter int, value int")
-    flow = golden_workflow()
+    docs = spark.createDataFrame([("d0", 21, 0), ("d1", 7, 0)], "document_id string, size int, value int")
+    flow = halving()
     tasks, out = wf.run(flow, wf.submit(flow, docs), docs)
-    assert {(r.counter, r.value) for r in out.collect()} == {(8, 13)}
+    assert {(r.document_id, r["size"], r.value) for r in out.collect()} == {("d0", 2, 11), ("d1", 3, 1)}
     assert {r.status for r in tasks.collect()} == {"completed"}
     assert {r.status for r in tk.run_status(tasks).collect()} == {"completed"}
-    last = tasks.where("node IN ('third', 'fourth')").groupBy("document_id").agg(F.countDistinct("parent_id").alias("n")).collect()
-    assert {r.n for r in last} == {1}
+    last = tasks.where("node IN ('tag', 'count')").groupBy("document_id").agg(F.countDistinct("parent_id").alias("n"), F.count("*").alias("m")).collect()
+    assert {(r.document_id, r.n, r.m) for r in last} == {("d0", 1, 2), ("d1", 1, 1)}
     with pytest.raises(ValueError):
         wf.Workflow("x", [wf.Node("a", lambda d: d, [("true", ["b"])])], ["a"])
     with pytest.raises(ValueError, match="query"):
