@@ -37,6 +37,12 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def sentences(c: Column) -> Column:
+    """Runs of a line's characters up to and with a stop, question or exclamation mark; linear in the text, however long a line is."""
+    pieces = F.split(F.regexp_replace(c, r"([.!?])", "$1\u0001"), "[\u0001\\n]")
+    return F.filter(pieces, lambda x: (F.length(x) > 1) & F.regexp_like(F.right(x, F.lit(1)), F.lit("[.!?]")))
+
+
 def normalize_query(c: Column) -> Column:
     """Trimmed, case folded, white space squeezed."""
     return squeeze(casefold(c))

@@ -122,7 +122,7 @@ _UNITS = "text || ' It ' || CASE doc_id % 8 WHEN 0 THEN 'fell by ' WHEN 1 THEN '
 def quantitative_flag(table):
     """Whether any sentence of a document holds a quantity; a third of them end with a figure."""
     d = table("documents").select("doc_id", F.expr(f"CASE WHEN n_chars % 3 = 0 THEN {_UNITS} ELSE text END").alias("text"))
-    s = d.select("doc_id", F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"[^.!?\n]+[.!?]"), F.lit(0))).alias("x"))
+    s = d.select("doc_id", F.explode(t.sentences(F.col("text"))).alias("x"))
     return s.groupBy("doc_id").agg(F.bool_or(ev.quantitative(F.col("x"))).alias("quantitative"))
 
 
