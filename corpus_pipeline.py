@@ -54,13 +54,20 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
+    """Every document as many times as the mix takes it.
+
+    Null and wordless texts are taken no times and go.  A null source is a source of its own.  Rows
+    of one id, source and size are taken alike; rows without an id rank by their size.
+    """
     mixed = mixing.mix(docs.select(*COLUMNS)).where("copies > 0")
     return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    """Token ids of every text."""
+    """Token ids of every text: doc_id, source, ids, n_tokens.
+
+    Null and empty texts have no ids.  Rows repeat, and lack an id or a source, freely.
+    """
     if vocabulary is None:
         import public_tokenizers
 
