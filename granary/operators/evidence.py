@@ -84,8 +84,8 @@ def quoted(passages: DataFrame, docs: DataFrame, passage_id: str, doc_id: str, t
     """
     items = passages.select(F.col(passage_id).alias("_p"), F.col(text).alias("_q"), _words(F.col(text)).alias("_w")).where(F.col(text) != "")
     run = F.least(F.lit(8), F.size("_w") - 2)
-    h = lambda words: F.xxhash64(F.array_join(words, " "))
-    hashed = kept(items.where(F.size("_w") > 2).select("_p", "_q", run.alias("_n"), h(F.slice("_w", F.lit(2), run)).alias("_h")), "passages")
+    hashes = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    hashed = kept(items.where(F.size("_w") > 2).select("_p", "_q", run.alias("_n"), F.xxhash64(hashes(F.slice("_w", F.lit(2), run))).alias("_h")), "passages")
     lengths = [r[0] for r in hashed.select("_n").distinct().collect()]  # at most eight numbers
     told = F.broadcast(hashed.select("_n", "_h").distinct()) if hashed.count() <= PASSAGES_SENT else hashed.select("_n", "_h").distinct()
     found = docs.select(F.col(doc_id).alias("_d")).limit(0).select("_d", F.lit(None).cast(passages.schema[passage_id].dataType).alias("_p"), F.lit("").alias("match"))
@@ -93,10 +93,10 @@ def quoted(passages: DataFrame, docs: DataFrame, passage_id: str, doc_id: str, t
         none = F.array().cast("array<struct<_n:int,_h:bigint>>")
 
         def runs(n: int) -> Column:
-            made = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.struct(F.lit(n).alias("_n"), h(F.slice("_w", i, n)).alias("_h")))
+            made = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.struct(F.lit(n).alias("_n"), F.xxhash64(F.slice("_w", i, n)).alias("_h")))
             return F.when(F.size("_w") >= n, made).otherwise(none)
 
-        each = docs.select(F.col(doc_id).alias("_d"), _words(F.col(text)).alias("_w")).select("_d", F.inline(F.concat(*[runs(n) for n in lengths])))
+        each = docs.select(F.col(doc_id).alias("_d"), hashes(_words(F.col(text))).alias("_w")).select("_d", F.inline(F.concat(*[runs(n) for n in lengths])))
         near = each.join(told, ["_n", "_h"], "left_semi").distinct().join(hashed, ["_n", "_h"]).select("_d", "_p", "_q").distinct()
         met = near.join(docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")), "_d")
         found = found.union(met.select("_d", "_p", quote_match(F.col("_q"), F.col("_t")).alias("match")).where("match IS NOT NULL"))
