@@ -99,7 +99,8 @@ def quoted(passages: DataFrame, docs: DataFrame, passage_id: str, doc_id: str, t
         each = docs.select(F.col(doc_id).alias("_d"), hashes(_words(F.col(text))).alias("_w")).select("_d", F.inline(F.concat(*[runs(n) for n in lengths])))
         near = each.join(told, ["_n", "_h"], "left_semi").distinct().join(hashed, ["_n", "_h"]).select("_d", "_p", "_q").distinct()
         met = near.join(docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")), "_d")
-        found = found.union(met.select("_d", "_p", quote_match(F.col("_q"), F.col("_t")).alias("match")).where("match IS NOT NULL"))
+        # stored before it is filtered, so that the normal forms aren't computed for every text below the join
+        found = found.union(kept(met.select("_d", "_p", quote_match(F.col("_q"), F.col("_t")).alias("match")), "quoted").where("match IS NOT NULL"))
     short = items.where(F.size("_w") <= 2).select("_p", "_q")
     parts = -(-short.count() // SHORT_AT_ONCE)
     for i in range(parts):
