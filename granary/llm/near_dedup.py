@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.llm import shared
 from granary.llm.components import components
 from granary.llm.shared import grouped, spread_join, stored
 from granary.llm.textkit import common, mix64, shingle_set
@@ -280,9 +281,21 @@ def _named_rows(sk: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFram
     several = classes.select("cls", "s1", "s2", "rep", "copies").join(nodes, "cls", "left").where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "cls"))
     several = stored(several, "several")
     lead = several.groupBy("root").agg(F.min(F.struct("rep", "s1", "s2")).alias("lead"))
-    several = several.join(lead, "root").select("s1", "s2", F.col("lead.rep").alias("component_id"), ((F.col("lead.s1") == F.col("s1")) & (F.col("lead.s2") == F.col("s2"))).alias("leads"))
-    # Each document: what its class has, or else itself.
-    out = sk.drop("bands", "sk").join(several, ["s1", "s2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    led = (F.col("lead.s1") == F.col("s1")) & (F.col("lead.s2") == F.col("s2"))
+    several = several.join(lead, "root").select("s1", "s2", F.col("lead.rep").alias("component_id"), led.alias("leads"), "copies")
+    # Each document: what its class has, or else itself.  Rows without a set or an id meet nothing, and
+    # those of a class with very many copies meet it where they are.
+    rows, keys = sk.drop("bands", "sk"), ["s1", "s2"]
+    takes_part = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    hot = several.where(F.col("copies") > shared.HOT_ROWS)  # at most rows / HOT_ROWS classes
+    some, none = rows.where(takes_part), [F.lit(None).cast(t).alias(c) for c, t in (("component_id", "long"), ("leads", "boolean"))]
+    several = several.drop("copies")
+    if hot.isEmpty():
+        met = some.join(several, keys, "left")
+    else:
+        hot = F.broadcast(stored(hot.drop("copies"), "hot"))
+        met = some.join(hot, keys).unionByName(some.join(hot.select(*keys), keys, "left_anti").join(several, keys, "left"))
+    out = met.unionByName(rows.where(~takes_part).select("*", *none)).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     stays = F.coalesce((F.col("doc_id") == F.col("component_id")) & F.coalesce("leads", F.lit(True)), F.lit(True))
     return out.select("doc_id", "n_shingles", "component_id", "s1", "s2", stays.alias("stays"))
 
