@@ -152,6 +152,7 @@ def _confirm(num: int, den: int):
                     root[find(b)] = find(a)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -15,7 +15,6 @@ rows of a few dozen numbers, whatever the size of the corpus.  Scoring is one pa
 
 from __future__ import annotations
 
-import operator
 import unicodedata
 from collections.abc import Iterator
 
@@ -46,6 +45,7 @@ def _class_table() -> np.ndarray:
 
 _TABLE = _class_table()
 _LETTERS, _UPPER, _BLANK, _NEWLINE = 3, 1, _CLASSES.index("blank"), _CLASSES.index("newline")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 N_FEATURES = 3 * len(_CLASSES) + 15
 
 
@@ -70,7 +70,9 @@ def features(text: str | None) -> np.ndarray:
     letters = max(1, counts[:_LETTERS].sum())
     lines = [x for x in text.split("\n") if x]
     nl = max(1, len(lines))
-    pairs = list(zip(words, words[1:]))  # noqa: B905
+    # words by their hashes: no copies of them, however long the text
+    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    distinct, pairs = len(np.unique(h)), len(np.unique(h[:-1] * _ODD + h[1:]))
     short = np.array([len(w) for w in words] or [0])
     out[3 * k :] = [
         np.log1p(n) / 10,
@@ -80,10 +82,10 @@ def features(text: str | None) -> np.ndarray:
         short.max() / 100,
         counts[_UPPER] / letters,
         sum(map(str.isupper, words)) / m,
-        sum(map(operator.eq, words, words[1:])) / m,
-        len(set(words)) / m,
-        len(set(pairs)) / max(1, len(pairs)),
-        np.log1p(len(set(words))) / 10,
+        (h[1:] == h[:-1]).sum() / m,
+        distinct / m,
+        pairs / max(1, len(words) - 1),
+        np.log1p(distinct) / 10,
         len(set(lines)) / nl,
         np.log1p(n / nl) / 10,
         1 - letters / n,

@@ -42,8 +42,8 @@ WINDOW = 35
 GRAM = 16
 DEPTH, CELLS, SLICE = 2, 1 << 26, 1 << 20
 HOT = 200  # count of an anchor from which its windows travel one by one
-COUNTED = 1 << 22  # anchors a task holds before it sends its counts on
-FLUSH = 1 << 19  # windows held by a task before it sends them on
+COUNTED = 1 << 21  # anchors a task holds before it sends its counts on
+FLUSH = 1 << 18  # windows held by a task before it sends them on
 
 _ROW_SEEDS = mix64(np.arange(1, DEPTH + 1, dtype=np.uint64))
 _PART = np.dtype([("h", "<u8"), ("o", "<u2"), ("w", "u1")])
@@ -202,6 +202,8 @@ def _candidates(bits, window: int, gram: int):
                         docs, held, n = [], [], 0
         if held:
             yield from send(docs, held)
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -308,6 +310,8 @@ def _removed(window: int, out: pa.Schema, as_given: bool):
             made.append(flush()[0])
         if made:
             yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+        made.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 
