@@ -35,7 +35,7 @@ from granary.llm.shared import grouped, spread_join, stored
 from granary.llm.textkit import common, mix64, shingle_set
 
 BINS, BANDS, ROWS = 512, 25, 5  # bands use the first coordinates
-BLOCK = 256  # members, or probes, of a unit: classes that meet at once
+BLOCK = 128  # members, or probes, of a unit: classes that meet at once
 SHINGLES = 1 << 13  # a class of so many shingles weighs as much as two
 LARGEST, OTHER, PROBE = 0, 1, 2  # a member of a bucket's largest component, another member, a probe
 SENT = 4_000_000  # ids that may be broadcast
