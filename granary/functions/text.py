@@ -87,7 +87,7 @@ def too_broad(c: Column, least: int = 3) -> Column:
 
 def example_leaked(text: Column, example: Column, least: int = 40, head: int = 80) -> Column:
     """A trimmed example of ``least`` characters or more whose first ``head`` occur in the text."""
-    e = F.trim(example)
+    e = F.regexp_replace(example, r"(?U)^\s+|\s+$", "")
     return F.coalesce((F.length(e) >= least) & F.contains(text, F.substring(e, 1, head)), F.lit(False))
 
 

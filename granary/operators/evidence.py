@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import casefold, country_key, example_leaked, normalize_query, normalize_quote, numbered, quote_match, short_country, too_broad
 
-from granary.operators.store import kept
-
 #: What counts as a quantity in a statement (fixed values); a year alone doesn't.
 QUANTITIES = (
     r"\d+(?:[.,]\d+)?\s*%",
@@ -66,68 +64,24 @@ def validate_mentions(mentions: DataFrame, texts: DataFrame, countries: DataFram
     return m.select("id", "pos", "substring", "official_name", "iso3", reasons.alias("reasons"))
 
 
-PASSAGES_SENT = 2_000_000  # passages whose hashes, 16 bytes each, may be broadcast
-SHORT_AT_ONCE = 500  # passages of one or two words that a scan looks for
-
-
-def _words(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-
-
-def quoted(passages: DataFrame, docs: DataFrame, passage_id: str, doc_id: str, text: str) -> DataFrame:
-    """(passage_id, doc_id, match): which text holds which passage word for word (exact) or after normalisation.
-
-    A passage's inner words, up to eight, are hashed and met by equality with the runs of as many
-    words in the texts, and only those pairs are looked at in full: its first and last word may be
-    cut from longer ones.  Passages of one or two words have none inside; they are looked for in
-    scans of SHORT_AT_ONCE each, and match exactly only.  Empty passages match nothing.
-    """
-    items = passages.select(F.col(passage_id).alias("_p"), F.col(text).alias("_q"), _words(F.col(text)).alias("_w")).where(F.col(text) != "")
-    run = F.least(F.lit(8), F.size("_w") - 2)
-    hashes = lambda words: F.transform(words, lambda w: F.xxhash64(w))
-    hashed = kept(items.where(F.size("_w") > 2).select("_p", "_q", run.alias("_n"), F.xxhash64(hashes(F.slice("_w", F.lit(2), run))).alias("_h")), "passages")
-    lengths = [r[0] for r in hashed.select("_n").distinct().collect()]  # at most eight numbers
-    told = F.broadcast(hashed.select("_n", "_h").distinct()) if hashed.count() <= PASSAGES_SENT else hashed.select("_n", "_h").distinct()
-    found = docs.select(F.col(doc_id).alias("_d")).limit(0).select("_d", F.lit(None).cast(passages.schema[passage_id].dataType).alias("_p"), F.lit("").alias("match"))
-    if lengths:
-        none = F.array().cast("array<struct<_n:int,_h:bigint>>")
-
-        def runs(n: int) -> Column:
-            made = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.struct(F.lit(n).alias("_n"), F.xxhash64(F.slice("_w", i, n)).alias("_h")))
-            return F.when(F.size("_w") >= n, made).otherwise(none)
-
-        each = docs.select(F.col(doc_id).alias("_d"), hashes(_words(F.col(text))).alias("_w")).select("_d", F.inline(F.concat(*[runs(n) for n in lengths])))
-        near = each.join(told, ["_n", "_h"], "left_semi").distinct().join(hashed, ["_n", "_h"]).select("_d", "_p", "_q").distinct()
-        met = near.join(docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")), "_d")
-        # stored before it is filtered, so that the normal forms aren't computed for every text below the join
-        found = found.union(kept(met.select("_d", "_p", quote_match(F.col("_q"), F.col("_t")).alias("match")), "quoted").where("match IS NOT NULL"))
-    short = items.where(F.size("_w") <= 2).select("_p", "_q")
-    parts = -(-short.count() // SHORT_AT_ONCE)
-    for i in range(parts):
-        some = [(r["_p"], r["_q"]) for r in short.where(F.pmod(F.xxhash64("_p"), F.lit(parts)) == i).collect()]
-        if some:
-            asked = F.array(*[F.struct(F.lit(a).alias("_p"), F.lit(b).alias("_q")) for a, b in some])
-            hits = docs.select(F.col(doc_id).alias("_d"), F.explode(F.filter(asked, lambda x: F.contains(F.col(text), x["_q"]))).alias("_x"))
-            found = found.union(hits.select("_d", F.col("_x._p").cast(passages.schema[passage_id].dataType), F.lit("exact")))
-    return found.select(F.col("_p").alias(passage_id), F.col("_d").alias(doc_id), "match")
-
-
 def validate_claims(claims: DataFrame, sources: DataFrame, known: DataFrame, example: Column) -> DataFrame:
-    """Claims (pos, source_id, quote, country_specific, text) with match, reason and claim_id.
+    """Claims (batch, pos, source_id, quote, country_specific) with match, reason and claim_id.
 
     The first reason that applies, in this order: unknown_source_id, substring_validation_failed,
-    not_country_specific, duplicate_claim, metric_example_leak.  A claim's fingerprint is its source
-    and normal quotation.  Numbers go to claims that pass all but the last rule, so a leaked example
-    uses up its number.
+    not_country_specific, duplicate_claim, metric_example_leak (the example stands in the quotation).
+    A claim's fingerprint is its source and normal quotation; it is a duplicate of known ones and of
+    the first that is accepted, not of leaked ones before that.  Numbers go to claims that pass all but
+    the last rule, so a leaked example uses up its number.
     """
     c = claims.join(sources.select("source_id", F.col("text").alias("_source")), "source_id", "left")
     c = c.withColumn("match", quote_match(F.col("quote"), F.col("_source"))).withColumn("_f", F.concat_ws("::", "source_id", normalize_quote(F.col("quote"))))
     c = c.join(known.select(F.col("fingerprint").alias("_f"), F.lit(True).alias("_known")).distinct(), "_f", "left")
     early = F.when(F.col("_source").isNull(), "unknown_source_id").when(F.col("match").isNull(), "substring_validation_failed").when(~F.col("country_specific"), "not_country_specific")
-    c = c.withColumn("_early", early)
-    w = Window.partitionBy("_f").orderBy(F.col("_early").isNotNull(), "pos")
-    c = c.withColumn("_dup", F.col("_early").isNull() & (F.coalesce(F.col("_known"), F.lit(False)) | (F.row_number().over(w) > 1)))
-    c = c.withColumn("reason", F.coalesce("_early", F.when(F.col("_dup"), "duplicate_claim").when(example_leaked(F.col("text"), example), "metric_example_leak")))
+    c = c.withColumn("_early", early).withColumn("_leak", example_leaked(F.col("quote"), example))
+    fine = F.col("_early").isNull() & ~F.col("_leak")
+    first = F.min(F.when(fine, F.col("pos"))).over(Window.partitionBy("_f"))
+    c = c.withColumn("_dup", F.coalesce(F.col("_known"), F.col("pos") > first, F.lit(False)))
+    c = c.withColumn("reason", F.coalesce("_early", F.when(F.col("_dup"), "duplicate_claim").when(F.col("_leak"), "metric_example_leak")))
     counted = c.where(F.col("reason").isNull() | (F.col("reason") == "metric_example_leak"))
     run = Window.partitionBy("batch").orderBy("pos")
     ids = counted.select("batch", "pos", F.row_number().over(run).alias("n"))

@@ -66,25 +66,26 @@ def validate_mentions(table):
 
 _CLAIMS = (
     "b AS (SELECT doc_id % 10 AS batch, doc_id AS pos, CASE WHEN doc_id % 11 = 0 THEN -1 ELSE doc_id END AS source_id, "
-    "CASE WHEN doc_id % 7 = 0 THEN 'nowhere in it' ELSE substr(text, 1, 40) END AS quote, doc_id % 5 <> 0 AS specific, text FROM documents), "
+    "CASE WHEN doc_id % 7 = 0 THEN 'nowhere in it' ELSE substr(text, 1, 60) END AS quote, doc_id % 5 <> 0 AS specific, text FROM documents), "
     "c AS (SELECT * FROM b UNION ALL SELECT batch, pos + 1000000, source_id, quote, specific, text FROM b WHERE pos % 6 = 0), "
 )
 
 
 @query(
     f"WITH {_CLAIMS} s AS (SELECT c.*, d.text AS source FROM c LEFT JOIN documents d ON c.source_id = d.doc_id), "
-    "e AS (SELECT *, CASE WHEN source IS NULL THEN 'unknown_source_id' WHEN quote = '' OR NOT contains(source, quote) THEN 'substring_validation_failed' WHEN NOT specific THEN 'not_country_specific' END AS early FROM s), "
-    "y AS (SELECT *, early IS NULL AND (source_id % 13 = 0 OR row_number() OVER (PARTITION BY source_id, quote ORDER BY early IS NOT NULL, pos) > 1) AS dup FROM e), "
-    "z AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN dup THEN 'duplicate_claim' WHEN pos % 9 = 0 AND length(trim(substr(text, 1, 60))) >= 40 THEN 'metric_example_leak' END AS reason FROM y) "
+    "e AS (SELECT *, CASE WHEN source IS NULL THEN 'unknown_source_id' WHEN quote = '' OR NOT contains(source, quote) THEN 'substring_validation_failed' WHEN NOT specific THEN 'not_country_specific' END AS early, CASE pos % 9 WHEN 0 THEN substr(source, 1, 50) WHEN 1 THEN substr(source, 61, 60) END AS ex FROM s), "
+    r"l AS (SELECT *, length(regexp_replace(ex, '^\s+|\s+$', '', 'g')) >= 40 AND contains(quote, substr(regexp_replace(ex, '^\s+|\s+$', '', 'g'), 1, 80)) IS TRUE AS leak FROM e), "
+    "y AS (SELECT *, source_id % 13 = 0 OR coalesce(pos > min(pos) FILTER (early IS NULL AND NOT coalesce(leak, false)) OVER (PARTITION BY source_id, quote), false) AS dup FROM l), "
+    "z AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN dup THEN 'duplicate_claim' WHEN leak THEN 'metric_example_leak' END AS reason FROM y) "
     "SELECT coalesce(reason, 'accepted') AS reason, batch, count(*) AS n, count(*) FILTER (WHERE reason IS NULL) AS ids FROM z GROUP BY ALL"
 )
 def validate_claims(table):
-    """A quotation from each document as a claim: some unknown, made up, not of the country, made twice or known before, or leaking an example; reasons counted by batch."""
+    """A quotation from each document as a claim: some unknown, made up, not of the country, made twice or known before, or leaking an example (which also stands in texts whose quotation lacks it); reasons counted by batch."""
     d = table("documents").select("doc_id", "text")
-    c = d.select((F.col("doc_id") % 10).alias("batch"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 11 == 0, F.lit(-1)).otherwise(F.col("doc_id")).alias("source_id"), F.when(F.col("doc_id") % 7 == 0, "nowhere in it").otherwise(F.substring("text", 1, 40)).alias("quote"), (F.col("doc_id") % 5 != 0).alias("country_specific"), "text")
+    c = d.select((F.col("doc_id") % 10).alias("batch"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 11 == 0, F.lit(-1)).otherwise(F.col("doc_id")).alias("source_id"), F.when(F.col("doc_id") % 7 == 0, "nowhere in it").otherwise(F.substring("text", 1, 60)).alias("quote"), (F.col("doc_id") % 5 != 0).alias("country_specific"), "text")
     c = c.union(c.where("pos % 6 = 0").withColumn("pos", F.col("pos") + 1000000))
-    known = d.where("doc_id % 13 = 0").select(F.concat_ws("::", "doc_id", t.normalize_quote(F.substring("text", 1, 40))).alias("fingerprint"))
-    example = F.when(F.col("pos") % 9 == 0, F.substring("text", 1, 60))
+    known = d.where("doc_id % 13 = 0").select(F.concat_ws("::", "doc_id", t.normalize_quote(F.substring("text", 1, 60))).alias("fingerprint"))
+    example = F.when(F.col("pos") % 9 == 0, F.substring("text", 1, 50)).when(F.col("pos") % 9 == 1, F.substring("text", 61, 60))
     out = e.validate_claims(c, d.select(F.col("doc_id").alias("source_id"), "text"), known, example)
     return out.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason"), "batch").agg(F.count("*").alias("n"), F.count("claim_id").alias("ids"))
 

@@ -9,6 +9,7 @@ from granary.functions import text as t
 from granary.operators import evidence as ev
 from granary.operators import graph as g
 from granary.operators import lookups as lk
+from granary.operators import quotes
 from granary.operators import tables as tb
 from granary.operators import tasks as tk
 
@@ -145,12 +146,34 @@ def doc_chunks(table):
     return tb.chunked(table("documents"), "doc_id", "text").select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length(x).cast("long").alias("n_chars"), F.sha2(x.cast("binary"), 256).alias("chunk_sha256"))
 
 
-@query("SELECT item_id, doc_id, 'exact' AS match FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT 100000 + item_id, array_to_string(string_split(text, ' ')[2:CASE item_id % 3 WHEN 0 THEN 3 ELSE 5 END], ' ') FROM benchmark WHERE item_id % 2 = 0) b JOIN documents d ON contains(d.text, b.text)")
+_PASSAGES = """SELECT item_id, text AS q FROM benchmark
+UNION ALL SELECT 100000 + item_id, array_to_string(string_split(text, ' ')[2:CASE item_id % 3 WHEN 0 THEN 3 ELSE 5 END], ' ') FROM benchmark WHERE item_id % 2 = 0
+UNION ALL SELECT 200000 + item_id, replace(text, ' ', '  ') FROM benchmark WHERE item_id % 4 = 1
+UNION ALL SELECT 300000 + item_id, regexp_replace(text, '([a-z]{3})([a-z]{3})', '\\1-' || chr(10) || '\\2', 'g') FROM benchmark WHERE item_id % 4 = 2
+UNION ALL SELECT 400000 + item_id, replace(replace(text, 'a', 'a' || chr(173)), 'fi', chr(64257)) FROM benchmark WHERE item_id % 4 = 3
+UNION ALL SELECT 500000 + item_id, string_split(text, ' ')[3] FROM benchmark WHERE item_id % 20 = 7"""
+_PLAIN = "trim(regexp_replace(regexp_replace(replace(replace(regexp_replace({}, '(\\w)-\\n(\\w)', '\\1\\2', 'g'), chr(173), ''), chr(64257), 'fi'), '[ \\t]+', ' ', 'g'), '\\n+', ' ', 'g'))"
+
+
+@query(
+    f"WITH p AS (SELECT item_id, q, {_PLAIN.format('q')} AS nq FROM ({_PASSAGES}) AS x), d AS MATERIALIZED (SELECT doc_id, text, {_PLAIN.format('text')} AS s FROM documents) "
+    "SELECT item_id, doc_id, CASE WHEN contains(text, q) THEN 'exact' ELSE 'normalized' END AS match FROM p JOIN d ON contains(text, q) OR contains(s, nq)"
+)
 def quote_match(table):
-    """Which document holds which benchmark passage, or a few words of one, word for word."""
+    """Which document holds which passage, word for word or normalised: benchmark items as they are, some words of them, and with other blanks, hyphenated lines, soft hyphens and ligatures."""
     b = table("benchmark").select("item_id", "text")
-    few = b.where("item_id % 2 = 0").select((F.col("item_id") + 100000).alias("item_id"), F.array_join(F.slice(F.split("text", " "), F.lit(2), F.when(F.col("item_id") % 3 == 0, 2).otherwise(4)), " ").alias("text"))
-    return ev.quoted(b.union(few), table("documents"), "item_id", "doc_id", "text").where("match = 'exact'")
+    some = lambda when, base, text: b.where(when).select((F.col("item_id") + base).alias("item_id"), text.alias("text"))
+    x, words = F.col("text"), F.split("text", " ")
+    parts = [
+        some("item_id % 2 = 0", 100000, F.array_join(F.slice(words, F.lit(2), F.when(F.col("item_id") % 3 == 0, 2).otherwise(4)), " ")),
+        some("item_id % 4 = 1", 200000, F.replace(x, F.lit(" "), F.lit("  "))),
+        some("item_id % 4 = 2", 300000, F.regexp_replace(x, "([a-z]{3})([a-z]{3})", "$1-\n$2")),
+        some("item_id % 4 = 3", 400000, F.replace(F.replace(x, F.lit("a"), F.lit("a\u00ad")), F.lit("fi"), F.lit("\ufb01"))),
+        some("item_id % 20 = 7", 500000, F.get(words, F.lit(2))),
+    ]
+    for part in parts:
+        b = b.union(part)
+    return quotes.quoted(b, table("documents"), "item_id", "doc_id", "text")
 
 
 # --- joins, aggregates, windows ---------------------------------------------------------------

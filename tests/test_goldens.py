@@ -10,6 +10,7 @@ from granary.functions import text as t
 from granary.operators import evidence as ev
 from granary.operators import graph as g
 from granary.operators import report as rp
+from granary.operators import quotes
 from granary.operators import retrieval as r
 from granary.operators import tables as tb
 from granary.operators import tasks as tk
@@ -139,11 +140,11 @@ def test_titles(spark):
 def test_claims(spark):
     sources = spark.createDataFrame([("s1", "Maize production in Kenya fell by 12%. " + "long example text " * 8)], "source_id string, text string")
     ex = "long example text " * 4
-    rows = [(0, "no", "Maize", True, "c"), (1, "s1", "rose", True, "c"), (2, "s1", "Maize", False, "c"), (3, "s1", "Maize  production", True, ex * 2), (4, "s1", "fell by 12%", True, "c"), (5, "s1", "fell  by 12%", True, "c")]
+    rows = [(0, "no", "Maize", True, "c"), (1, "s1", "rose", True, "c"), (2, "s1", "Maize", False, "c"), (3, "s1", "Maize  production", True, ex * 2), (6, "s1", ex.strip(), True, "c"), (7, "s1", ex.strip(), True, "c"), (8, "s1", "long  example", True, "c"), (4, "s1", "fell by 12%", True, "c"), (5, "s1", "fell  by 12%", True, "c")]
     claims = spark.createDataFrame([("b", *x) for x in rows], "batch string, pos int, source_id string, quote string, country_specific boolean, text string")
     known = spark.createDataFrame([], "fingerprint string")
     got = [(r.reason, r.claim_id) for r in ev.validate_claims(claims, sources, known, F.lit(ex)).orderBy("pos").collect()]
-    assert got == [("unknown_source_id", None), ("substring_validation_failed", None), ("not_country_specific", None), ("metric_example_leak", None), (None, "claim_002"), ("duplicate_claim", None)]
+    assert got == [("unknown_source_id", None), ("substring_validation_failed", None), ("not_country_specific", None), (None, "claim_001"), (None, "claim_002"), ("duplicate_claim", None), ("metric_example_leak", None), ("metric_example_leak", None), (None, "claim_005")]
 
 
 def test_mentions(spark):
@@ -180,7 +181,7 @@ def test_fetch_once(spark):
 def test_quoted(spark):
     docs = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog again"), (2, "catalogues of foxes"), (3, "")], "d long, text string")
     p = spark.createDataFrame([(10, "ick brown fox jumps over the la"), (11, "cat"), (12, "of fox"), (13, "brown  fox jumps over"), (14, ""), (15, "nothing like it here")], "p long, text string")
-    got = sorted(map(tuple, ev.quoted(p, docs, "p", "d", "text").collect()))
+    got = sorted(map(tuple, quotes.quoted(p, docs, "p", "d", "text").collect()))
     assert got == [(10, 1, "exact"), (11, 2, "exact"), (12, 2, "exact"), (13, 1, "normalized")]
 
 
