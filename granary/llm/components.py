@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from granary.llm.shared import spread_join, stored
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges of longs, a != b -> (node, root): root is the smallest node reachable; roots themselves are left out.
 
-    Stops when a large-star and a small-star round leave the edges unchanged, which are then stars.
+    Goes on until a large-star and a small-star round leave the edges unchanged, which are then stars;
+    that takes about as many rounds as the logarithm of the nodes.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if seen == before or not seen[0]:
             break

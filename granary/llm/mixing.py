@@ -5,19 +5,22 @@ target of T words takes floor(T / S) certain copies of every document.  The word
 R = T mod S, come from a sample without replacement: document i has inclusion probability
 l_i = min(1, R * size_i / sum size^2), proportional to its size, so that the expected words are R.
 Documents are ranked by random odds over inclusion odds, U / (1 - U) : l / (1 - l); those with
-l_i = 1 come first, certain.  The sample is the ranking's beginning that fits R words, and one more
-document whose size fits what is then missing best.
+l_i = 1 come first, certain.  The sample is the ranking's beginning that fits R words, and up to MORE
+further documents of different sizes: each the largest that fits what is then missing, and the last
+the nearest to it.
 
-U is a hash of the document's id, so reruns agree and nothing is drawn.  The beginning of the
+U is a hash of the document's id and text, so reruns agree and nothing is drawn.  Rows of equal id,
+source and text are one unit of several rows, of which as many are taken as fit.  The beginning of the
 ranking is found without putting a source in order: ranks fall into CELLS slices of the unit
 interval, slices are summed per source (one partial sum a slice and task), and only the slice that
-holds the boundary is ordered row by row, a CELLS-th part of a source.  Documents with l_i = 1 have a
+holds the boundary is ordered unit by unit, a CELLS-th part of a source.  Documents with l_i = 1 have a
 slice of their own, which never holds the boundary: their words are at most R.
 
-Texts are read for their sizes once; what goes on is a row of a few numbers for each document, and
-documents meet their copies by id, source and a hash of the text.  Tables with a row for each source
-are broadcast while there are at most SOURCES of them, else Spark shuffles; only in ``targets`` they
-pass through one task, sorted and spilled by Spark.
+Texts are read twice, for their sizes and digests and for the rows that are returned; what goes on
+is a row of a few numbers for each unit, and documents meet their copies by id, source and digest.
+Rows of a unit that is taken in part are numbered by their place in a stored table, file by file.
+Tables with a row for each source are broadcast while there are at most SOURCES of them, else Spark
+shuffles; only in ``targets`` they pass through one task, sorted and spilled by Spark.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from granary.llm.shared import stored
 WEIGHTS = (5, 2, 1)
 MOST = 3  # a target is at most so many times its source
 CELLS = 4096
+MORE = 4  # documents that may fill a source's gap after the ranking's beginning
 SOURCES = 100_000  # sources whose rows, some dozens of bytes each, may be broadcast
 
 
@@ -57,9 +61,13 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def unit(doc_id: Column) -> Column:
-    """A number in (0, 1) from the md5 of an id's text: 48 bits and a half."""
-    return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 48)
+def unit(doc_id: Column, digest: Column) -> Column:
+    """A number in (0, 1) from the md5 of an id's text and a text's digest: 48 bits and a half."""
+    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.lower(F.hex(digest)))
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 48)
+
+
+_UNIT = ["doc_id", "source", "_h"]
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -67,18 +75,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 
     Takes columns doc_id, text and source.  Size is the number of words (runs of anything but ASCII
     white space), 0 for null texts.  Columns of the added names are replaced.  A null source is one
-    source, the last.  Documents without words take none.  Rows that share an id have equal ranks
-    and go by size; those of one id, source and size are taken together, so all of them have the same
-    copies.  No rows in, no rows out.
+    source, the last.  Documents without words take none.  Rows may share an id, lack it, or repeat:
+    they are told apart by their texts, and of equal rows as many are taken as fit.  No rows in, no
+    rows out.
+    """
+    docs = docs.drop("size", "source_size", "target", "copies", "taken", "_h", "_whole", "_some", "_rows")
+    sized = docs.select("doc_id", "source", _digest(), words_of(F.col("text")).alias("size"))
+    units = stored(chosen(sized, weights, most), "units")
+    out = _met(docs.select("*", _digest()), units, _UNIT)
+    more = ["size", "source_size", "target", "_whole", "_some", "_rows"]
+    out = out.select(*[F.col(f"d.`{c}`") for c in docs.columns], "d._h", *[f"x.{c}" for c in more])
+    in_part = F.col("_some").between(F.lit(1), F.col("_rows") - 1)
+    if units.where(in_part).isEmpty():
+        told = out.withColumn("copies", F.col("_whole") + (F.col("_some") > 0).cast("int"))
+    else:
+        told = out.where(~in_part).withColumn("copies", F.col("_whole") + (F.col("_some") > 0).cast("int"))
+        told = told.unionByName(_numbered(stored(out.where(in_part), "in-part")).withColumn("copies", F.col("_whole") + (F.col("_number") <= F.col("_some")).cast("int")).drop("_number"))
+    copies = F.when(F.col("size") > 0, F.least(F.lit(most), F.col("copies"))).otherwise(0).cast("int")
+    return told.withColumn("copies", copies).select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _numbered(table: DataFrame) -> DataFrame:
+    """Rows of a stored table with ``_number``, from 1 within their unit: by file, and by place in it.
+
+    A unit's rows are only ordered within a file, so a unit of very many rows is numbered by many tasks.
     """
-    added = ["size", "source_size", "target", "copies", "taken", "_h", "_n"]
-    docs = docs.drop(*added)
-    sized = stored(docs.select("doc_id", "source", *_text_key(), words_of(F.col("text")).alias("size")), "sizes")
-    decided = copies(sized.select("doc_id", "source", "size"), weights, most)
-    keys = ["doc_id", "source", "_h", "_n"]
-    met = _met(sized.distinct(), decided, ["doc_id", "source", "size"]).select(*[F.col(f"d.{c}") for c in (*keys, "size")], "x.source_size", "x.target", "x.copies")
-    out = _met(docs.select("*", *_text_key()), met, keys)
-    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], "x.size", "x.source_size", "x.target", "x.copies", (F.col("x.size") * F.col("x.copies")).alias("taken"))
+    placed = table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    keys = [F.col(c) for c in _UNIT]
+    per = placed.groupBy(*keys, "_file").agg(F.count("*").alias("_here"))
+    before = Window.partitionBy(*keys).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    per = per.withColumn("_start", F.coalesce(F.sum("_here").over(before), F.lit(0))).drop("_here")
+    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_file").orderBy("_place")))
+    met = _met(ranked, per, [*_UNIT, "_file"])
+    return met.select(*[F.col(f"d.`{c}`") for c in table.columns], (F.col("x._start") + F.col("d._rank")).alias("_number"))
 
 
 def words_of(text: Column) -> Column:
@@ -86,10 +115,9 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _text_key() -> list[Column]:
-    """What tells texts of one id and source apart without counting their words: a hash and the length."""
-    text = F.col("text").cast("string")
-    return [F.xxhash64(text).alias("_h"), F.coalesce(F.length(text), F.lit(-1)).alias("_n")]
+def _digest() -> Column:
+    """What tells texts of one id and source apart; null texts are empty."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias("_h")
 
 
 def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,13 +128,23 @@ def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.alias("d").join(right.alias("x"), on, "left")
 
 
+def _left_anti(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(f"d.{c}").eqNullSafe(F.col(f"x.{c}"))
+    return left.alias("d").join(right.alias("x"), on, "left_anti")
+
+
 def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SOURCES else df
 
 
-def copies(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(doc_id, source, size) -> the distinct such rows with source_size, target and copies."""
-    slim = stored(slim.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "sizes")
+def chosen(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """(doc_id, source, _h, size) of all rows -> the distinct ones with source_size, target and _rows, how many there are.
+
+    ``_whole`` is how often each row is taken for certain, ``_some`` how many of them are taken once more.
+    """
+    slim = stored(sized.groupBy(*_UNIT, "size").agg(F.count("*").alias("rows")), "sizes")
     total = F.sum(F.col("size") * F.col("rows")).cast("long")
     squares = F.sum(F.col("size").cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)") * F.col("rows")).cast("double")
     per = slim.groupBy("source").agg(total.alias("source_size"), squares.alias("sq"))
@@ -117,7 +155,7 @@ def copies(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     sources = aimed.count()
     on = F.col("source").eqNullSafe(F.col("s"))
     chance = F.when(F.col("sq") > 0, F.least(F.lit(1.0), F.col("missing") * F.col("size") / F.col("sq"))).otherwise(0.0)
-    u = unit(F.col("doc_id"))
+    u = unit(F.col("doc_id"), F.col("_h"))
     ranked = slim.join(_sent(aimed, sources), on).drop("s").withColumn("chance", chance)
     # Q = odds of U over odds of the chance; Q / (1 + Q) keeps the order and lies in the unit interval.
     q = F.when(F.col("chance") >= 1, F.lit(0.0)).when(F.col("chance") <= 0, F.lit(1.0)).otherwise(u * (1 - F.col("chance")) / (u * (1 - F.col("chance")) + (1 - u) * F.col("chance")))
@@ -130,25 +168,33 @@ def copies(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     edge = cells.where((F.col("start") <= F.col("missing")) & (F.col("upto") > F.col("missing"))).select(F.col("source").alias("s"), F.col("cell").alias("edge"), "start")
     edge = _sent(stored(edge, "edges"), sources)
     placed = ranked.join(edge, on, "left").drop("s")
-    taken = able & (F.col("edge").isNull() | (F.col("cell") < F.col("edge")))
-    # Row by row in the slice of the boundary.
-    row = Window.partitionBy("source").orderBy("q", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sure = able & (F.col("edge").isNull() | (F.col("cell") < F.col("edge")))
+    # Unit by unit in the slice of the boundary: all rows of those that fit, and what fits of the next.
+    row = Window.partitionBy("source").orderBy("q", "size", "doc_id", "_h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = placed.where(able & (F.col("cell") == F.col("edge"))).withColumn("upto", F.col("start") + F.sum(words).over(row))
-    inside = inside.withColumn("fits", F.col("upto") <= F.col("missing"))
-    fitting = stored(inside.select("doc_id", "source", "size", "fits", F.when(F.col("fits"), F.col("upto")).otherwise(F.col("start")).alias("sum"), "missing"), "boundary")
-    gap = fitting.groupBy("source").agg((F.max("missing") - F.max("sum")).alias("gap")).withColumnRenamed("source", "s")
-    # One more document, of those left, whose size fits the gap best, if that is nearer than none.
-    key = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("doc_id", "source", "size")]
-    firsts = fitting.where("fits").select("doc_id", "source", "size", F.lit(True).alias("fits"))
-    marked = placed.withColumn("sure", taken).alias("p").join(firsts.alias("f"), key[0] & key[1] & key[2], "left").select("p.*", (F.col("sure") | F.coalesce(F.col("f.fits"), F.lit(False))).alias("chosen"))
-    # a document with a certain place is never among those left
-    near = F.struct(F.abs(words - F.col("gap")).alias("off"), F.col("q"), F.col("doc_id"), F.col("size"))
-    left = marked.where(able & ~F.col("chosen")).join(_sent(gap, sources), on).drop("s").where(F.abs(words - F.col("gap")) < F.col("gap"))
-    last = left.groupBy("source").agg(F.min(near).alias("x")).select(F.col("source").alias("s"), F.col("x.doc_id").alias("last_id"), F.col("x.size").alias("last_size"))
-    done = marked.join(_sent(last, sources), on, "left")
-    extra = F.col("chosen") | F.coalesce((F.col("last_size") == F.col("size")) & F.col("last_id").eqNullSafe(F.col("doc_id")), F.lit(False))
-    number = F.when(F.col("size") > 0, F.col("whole") + extra.cast("int")).otherwise(0)
-    return done.select("doc_id", "source", "size", "source_size", "target", F.least(F.lit(most), number).cast("int").alias("copies"))
+    room = F.floor((F.col("missing") - (F.col("upto") - words)) / F.col("size"))
+    inside = inside.withColumn("fit", F.greatest(F.lit(0), F.least(F.col("rows"), room)).cast("long"))
+    fitting = stored(inside.select(*_UNIT, "start", "missing", "fit", (F.col("fit") * F.col("size")).alias("words")), "boundary")
+    gap = fitting.groupBy("source").agg((F.max("missing") - F.max("start") - F.sum("words")).alias("gap")).withColumnRenamed("source", "s")
+    # A few more documents, of those left: each the largest that fits the gap, the last the nearest, if that is nearer than none.
+    firsts = fitting.where("fit > 0").select(*_UNIT, "fit")
+    marked = _met(placed.withColumn("sure", sure), firsts, _UNIT).select("d.*", F.when(F.col("d.sure"), F.col("d.rows")).otherwise(F.coalesce("x.fit", F.lit(0))).alias("some"))
+    gap = stored(gap, "gaps")
+    able_left = marked.where(able & (F.col("some") < F.col("rows"))).join(_sent(gap, sources), on).drop("s").where(F.col("size") < 2 * F.col("gap"))
+    left = stored(able_left.groupBy("source", "size").agg(F.min(F.struct("q", "doc_id", "_h")).alias("x")), "left")  # a row for each size
+    lasts = None
+    for i in range(MORE):
+        off = F.abs(F.col("size") - F.col("gap"))
+        near = F.min(F.struct(off.alias("off"), F.col("x"), F.col("size"))).alias("n")
+        fits = left.join(_sent(gap, sources), on).drop("s").where(F.col("size") <= F.col("gap") if i < MORE - 1 else off < F.col("gap"))
+        last = stored(fits.groupBy("source").agg(near).select("source", F.col("n.x.doc_id").alias("doc_id"), F.col("n.x._h").alias("_h"), F.col("n.size").alias("last_size")), "last")
+        lasts = last if lasts is None else lasts.union(last)
+        gap = stored(gap.join(_sent(last, sources), on, "left").select("s", (F.col("gap") - F.coalesce("last_size", F.lit(0))).alias("gap")), "gaps")
+        left = _left_anti(left, last.select("source", F.col("last_size").alias("size")), ["source", "size"])
+    more = lasts.select(*_UNIT, F.lit(1).alias("more"))
+    done = _met(marked, F.broadcast(more) if sources <= SOURCES else more, _UNIT)
+    cols = [F.col(f"d.{c}") for c in (*_UNIT, "size", "source_size", "target")]
+    return done.select(*cols, F.col("d.whole").alias("_whole"), (F.col("d.some") + F.coalesce("x.more", F.lit(0))).alias("_some"), F.col("d.rows").alias("_rows"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
@@ -158,11 +204,17 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_mixing": op8_mixing}
-_U = "(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0"
+_U = "(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || h), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0"
+_ROUNDS = "".join(
+    f"l{i} AS (SELECT source, min({{'off': abs(size - gap), 'x': x, 'size': size}}) AS n FROM c{i} WHERE {'size <= gap' if i < MORE - 1 else 'abs(size - gap) < gap'} GROUP BY source), "
+    f"c{i + 1} AS (SELECT c.source, c.size, gap - coalesce(l.n.size, 0) AS gap, c.x FROM c{i} c LEFT JOIN l{i} l ON c.source IS NOT DISTINCT FROM l.source WHERE c.size IS DISTINCT FROM l.n.size),\n"
+    for i in range(MORE)
+)
+_LASTS = " UNION ALL ".join(f"SELECT source, n.x.doc_id AS doc_id, n.x.h AS h FROM l{i}" for i in range(MORE))
 SQL: dict[str, str] = {
     "op8_mixing": f"""
-WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
-slim AS (SELECT doc_id, source, size, count(*) AS n FROM d GROUP BY ALL),
+WITH RECURSIVE d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS h, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+slim AS (SELECT doc_id, source, h, size, count(*) AS n FROM d GROUP BY ALL),
 per AS (SELECT source, sum(size * n)::BIGINT AS source_size, sum(size::HUGEINT * size * n)::DOUBLE AS sq FROM slim GROUP BY source),
 w AS (SELECT *, [5, 2, 1][1 + ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3)::INT] AS w, {MOST} * source_size AS top FROM per),
 lv AS (SELECT *, row_number() OVER o AS i, (sum(source_size) OVER () - coalesce(sum(top) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS lft, (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS wl FROM w WINDOW o AS (ORDER BY top::DOUBLE / w, source IS NULL, source)),
@@ -170,13 +222,15 @@ held AS (SELECT *, top * wl < lft * w AS h FROM lv),
 t AS (SELECT source, source_size, sq, CASE WHEN h THEN top::DOUBLE ELSE (SELECT arg_min(lft, i) FROM held WHERE NOT h)::DOUBLE * w / (SELECT arg_min(wl, i) FROM held WHERE NOT h) END AS target FROM held),
 a AS (SELECT *, CASE WHEN source_size > 0 THEN least({MOST}, floor(target / source_size))::INT ELSE 0 END AS whole FROM t),
 m AS (SELECT *, target - whole * source_size AS missing FROM a),
-c AS (SELECT s.doc_id, s.source, s.size, s.n, m.source_size, m.target, m.whole, m.missing, CASE WHEN sq > 0 THEN least(1.0, missing * size / sq) ELSE 0.0 END AS chance, {_U} AS u FROM slim s JOIN m ON s.source IS NOT DISTINCT FROM m.source),
+c AS (SELECT s.doc_id, s.source, s.h, s.size, s.n, m.source_size, m.target, m.whole, m.missing, CASE WHEN sq > 0 THEN least(1.0, missing * size / sq) ELSE 0.0 END AS chance, {_U} AS u FROM slim s JOIN m ON s.source IS NOT DISTINCT FROM m.source),
 q AS (SELECT *, CASE WHEN chance >= 1 THEN 0.0 WHEN chance <= 0 THEN 1.0 ELSE u * (1 - chance) / (u * (1 - chance) + (1 - u) * chance) END AS q, size > 0 AND missing > 0 AND chance > 0 AS able FROM c),
-r AS (SELECT *, sum(CASE WHEN able THEN size * n ELSE 0 END) OVER (PARTITION BY source ORDER BY able DESC, q, size, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM q),
-f AS (SELECT *, able AND upto <= missing AS chosen FROM r),
-g AS (SELECT source, max(missing) - coalesce(max(upto) FILTER (WHERE chosen), 0) AS gap FROM f GROUP BY source),
-l AS (SELECT f.source, first(doc_id ORDER BY abs(size * n - gap), q, doc_id) AS last_id, first(size ORDER BY abs(size * n - gap), q, doc_id) AS last_size FROM f JOIN g ON f.source IS NOT DISTINCT FROM g.source WHERE able AND NOT chosen AND abs(size * n - gap) < gap GROUP BY f.source),
-x AS (SELECT f.*, CASE WHEN f.size > 0 THEN least({MOST}, whole + (chosen OR coalesce(last_size = f.size AND last_id IS NOT DISTINCT FROM f.doc_id, false))::INT) ELSE 0 END AS copies FROM f LEFT JOIN l ON f.source IS NOT DISTINCT FROM l.source)
-SELECT d.doc_id, d.size, x.source_size, x.target, d.size * x.copies AS taken FROM d JOIN x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.source IS NOT DISTINCT FROM x.source AND d.size = x.size
+r AS (SELECT *, sum(CASE WHEN able THEN size * n ELSE 0 END) OVER (PARTITION BY source ORDER BY able DESC, q, size, doc_id, h ROWS UNBOUNDED PRECEDING) AS upto FROM q),
+f AS (SELECT *, CASE WHEN able THEN greatest(0, least(n, floor((missing - (upto - size * n)) / size)))::BIGINT ELSE 0 END AS fit FROM r),
+g AS (SELECT source, max(missing) - sum(fit * size) AS gap FROM f GROUP BY source),
+c0 AS (SELECT f.source, size, any_value(gap) AS gap, min({{'q': q, 'doc_id': doc_id, 'h': h}}) AS x FROM f JOIN g ON f.source IS NOT DISTINCT FROM g.source WHERE able AND fit < n GROUP BY f.source, size),
+{_ROUNDS}
+x AS (SELECT f.*, fit + (l.h IS NOT NULL)::INT AS k FROM f LEFT JOIN ({_LASTS}) l ON f.source IS NOT DISTINCT FROM l.source AND f.doc_id IS NOT DISTINCT FROM l.doc_id AND f.h = l.h),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, h) AS i FROM d)
+SELECT e.doc_id, e.size, x.source_size, x.target, e.size * CASE WHEN e.size > 0 THEN least({MOST}, whole + (i <= k)::INT) ELSE 0 END AS taken FROM e JOIN x ON e.doc_id IS NOT DISTINCT FROM x.doc_id AND e.source IS NOT DISTINCT FROM x.source AND e.h = x.h
 """
 }

@@ -57,7 +57,7 @@ def test_table(spark):
 
 
 def test_ranking_is_pareto(spark):
-    """Chosen documents are the beginning of the order by Q that fits, and one more at most."""
+    """Chosen documents are the beginning of the order by Q that fits, and a few more at most."""
     rng = np.random.default_rng(1)
     rows = [(i, "w " * int(n), "abc"[i % 3]) for i, n in enumerate(rng.integers(1, 400, 600))]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -69,14 +69,15 @@ def test_ranking_is_pareto(spark):
         sq = sum(r["size"] ** 2 for r in part)
 
         def q(r):
-            u = (int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            text = hashlib.md5(("w " * r["size"]).encode()).hexdigest()
+            u = (int(hashlib.md5(f"{r['doc_id']}:{text}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
             p = min(1, missing * r["size"] / sq)
             return 0 if p >= 1 else (u / (1 - u)) / (p / (1 - p)) if p else np.inf
 
         order = sorted(part, key=q)
         got = [r["copies"] > whole for r in order]
         fits = (np.cumsum([r["size"] for r in order]) <= missing).sum() if missing else 0
-        assert all(got[:fits]) and sum(got[fits:]) <= 1
+        assert all(got[:fits]) and sum(got[fits:]) <= mixing.MORE
 
 
 def test_edge_cases(spark):
@@ -89,3 +90,31 @@ def test_edge_cases(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     empty = [r.asDict() for r in mixing.mix(df.where("text IS NULL")).collect()]
     assert [(r["size"], r["taken"], r["target"]) for r in empty] == [(0, 0, 0.0)]
+
+
+@pytest.mark.parametrize("ids", [None, 7])
+def test_equal_rows_are_taken_in_part(spark, ids):
+    """A thousand rows of one id, source and size: the mix takes as many as its target needs, whether their texts differ or not."""
+    for text in (lambda i: "w " * 40, lambda i: f"v{i} " + "w " * 39):
+        rows = [(ids, text(i), "a", i % 3) for i in range(1000)] + [(10_000 + i, "x " * 50, "b", 0) for i in range(300)] + [(20_000 + i, "y " * 60, "c", 0) for i in range(900)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int").repartition(5)
+        out = [r.asDict() for r in mixing.mix(df, weights=(1, 2, 5)).collect()]
+        of = {s: sum(r["taken"] for r in out if r["source"] == s) for s in "abc"}
+        want = {r["source"]: r["target"] for r in out}
+        assert 0 < want["a"] < 40_000 and all(abs(of[s] - want[s]) <= 30 for s in "abc")
+        again = mixing.mix(df.repartition(3), weights=(1, 2, 5)).groupBy("source").sum("taken").collect()
+        assert {r[0]: r[1] for r in again} == of
+
+
+def test_equal_rows_against_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(None, "w " * (3 + i % 2), "a") for i in range(400)] + [(i % 5, "x y z", "b") for i in range(200)] + [(9, f"q{i % 7} r", None) for i in range(300)] + [(i, None, "a") for i in range(3)] + [(i, "only words here", "c") for i in range(40)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).write.parquet(f"{path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.SQL['op8_mixing']})").fetchall()
+    got = mixing.op8_mixing(spark, path).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
+    assert len({r[4] for r in want if r[0] is None}) > 1
