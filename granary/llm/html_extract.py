@@ -6,11 +6,13 @@ lines from it on.  Text surges where a block rises over the threshold and dives
 nothing again; the region from surge to dive with the most text marks the article.  Menus,
 headers, footers, sidebars, notices, adverts, forms and comments hold text too, so lines inside such
 elements count as empty.  Short paragraphs at an article's ends have flat blocks of their own: the
-region therefore grows to the element that holds it, an article or main element if there is one, or
-else over neighbouring lines with the same parent.  An advert or the like between them, however
+region therefore grows to the element that holds most of it, an article or main element if there is one
+(and then to the page's other articles), or else over neighbouring lines with the same parent.  An advert or the like between them, however
 long, doesn't end the article: growth steps over dropped lines to the next line of the same holder.
 Names say less than tags: a wrapper may be called "top" or "sidebar-layout" and hold the article, so
-an element that is dropped for its name alone comes back if it holds most of the page's prose.
+an element that is dropped for its name alone comes back if it holds most of the page's prose, and an
+ordinary word within a longer name ("recommended-dose") drops nothing.  Readers' comments are told by
+name, or by being articles within an article.
 
 A page is handled by itself, in one pass without a shuffle; each step is linear in its length.
 """
@@ -44,9 +46,9 @@ _VOID = set("br img input meta link base area source track param embed col hr wb
 _WITHIN = {"ul", "ol", "dl", "table", "figure", "details", "hgroup", "blockquote", "section", "fieldset", "center"}
 _HOLDS = _ASIDE | {"div", "section", "article", "main", "header", "body", "html", "ul", "ol", "dl", "table", "figure", "details", "fieldset", "center", "hgroup", "blockquote"}
 #: Words in class, id or role that name what is not the article; the second set only outside of one.
-_NOT = set("ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies share sharing social related recommended recommendations widget pagination pager sidebar sidenav aside complementary nav navbar navigation menu breadcrumb breadcrumbs search contentinfo paywall adsbygoogle adsense adslot adbox adunit topnav mainnav sitenav mainmenu submenu relatedposts commentform".split())
+_NOT = set("ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies share sharing social related recommended recommendations widget feedback thread pagination pager sidebar sidenav aside complementary nav navbar navigation menu breadcrumb breadcrumbs search contentinfo paywall adsbygoogle adsense adslot adbox adunit topnav mainnav sitenav mainmenu submenu relatedposts commentform".split())
 _NOT_OUTSIDE = _NOT | set("header masthead banner footer topbar toolbar copyright skip top bottom sitefooter pagefooter siteheader pageheader".split())
-_COMMENT = set("comment comments commentlist reply replies disqus respond ad ads advert advertisement promo sponsored related recommended widget".split())
+_COMMENT = set("comment comments commentlist reply replies feedback thread disqus respond ad ads advert advertisement promo sponsored related recommended widget".split())
 
 
 #: What names adverts, also inside of a sentence.
@@ -57,6 +59,12 @@ _CERTAIN = _ADS | _COMMENT - {"related", "recommended", "widget"} | set("cookie
 _LAYOUT = {"has", "have", "no", "non", "not", "with", "without"}
 #: And so is "comments-open".
 _STATE = {"open", "opened", "closed", "enabled", "disabled", "allowed", "on", "off"}
+#: Words of the lists above that also stand in names of an article's own parts ("recommended-dose", "search-and-rescue"): in a
+#: longer name they count only beside other listed words and words that name a frame.
+_ORDINARY = set("alert notice notices recommended recommendations search related widget share sharing social complementary promotion replies reply respond menu navigation top bottom header banner skip comment comments copyright subscription overlay login consent feedback thread aside pager".split())
+_FRAME = set("a an the of for to in on and by with my this page site global main inner outer left right center primary secondary container wrapper wrap holder box block blocks area areas section sections panel panels pane list lists item items row col column columns group bar bars strip button buttons btn link links icon icons image title heading head headline label text-box form field input post posts article articles story stories news content region zone unit slot module component body view js ui is has c l o u b".split())
+#: Pairs of words in a name that speak of readers' comments or of consent.
+_PHRASES = {("user", "reviews"), ("customer", "reviews"), ("reader", "reviews"), ("user", "comments"), ("discussion", "thread"), ("discussion", "board"), ("cc", "window"), ("cc", "banner"), ("cc", "revoke")}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PROSE = 40  # least characters of a line of prose, most of them outside of links
 
@@ -71,10 +79,15 @@ def _names(attrs: str, words: set[str], ids: bool = True) -> set[str]:
             continue
         for token in m[2].strip("\"'").split():
             for parts in (re.split(r"[^a-z0-9]+", token.lower()), [w.lower() for w in _WORD.findall(token)]):
+                if not _PHRASES.isdisjoint(zip(parts, parts[1:], strict=False)):
+                    found.add("comments")
                 if not words.isdisjoint(parts):
                     first = next(i for i, w in enumerate(parts) if w in words)
+                    mine = words.intersection(parts)
+                    if mine <= _ORDINARY and any(w and not w.isdigit() and w not in _FRAME and w not in _NOT_OUTSIDE for w in parts):
+                        continue  # part of a longer name
                     if _LAYOUT.isdisjoint(parts[:first]) and _STATE.isdisjoint(parts[first + 1 : first + 2]):
-                        found |= words.intersection(parts)
+                        found |= mine
     return found
 
 
@@ -206,8 +219,8 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool, int]]:
             number += 1
             strong = any(e[2] and e[0] in _ASIDE for e in stack)
             around = around if article else -1
-            if names := _names(attrs, _COMMENT):
-                around = suspect(around, names, True)
+            if (names := _names(attrs, _COMMENT)) or (article and tag == "article"):  # an article within one is a comment, unless it holds the prose
+                around = suspect(around, names or {"comment"}, True)
             push((tag, number, strong or bool(article and dropped), number if not article else article, around))
             continue
         if tag in ("body", "html"):
@@ -252,7 +265,8 @@ def _returned(suspects: list[tuple[int, bool, bool]], lines: list[tuple]) -> lis
             prose[around] += prose[s]
             many[around] += many[s]
     back, left = [False] * n, sorted((s for s in range(n) if suspects[s][2] and prose[s]), key=lambda s: (suspects[s][1], -prose[s], s))
-    for _ in range(8):
+    before = -1
+    while len(left) != before:
         before = len(left)
         for s in left:
             around, certain, _ = suspects[s]
@@ -262,8 +276,6 @@ def _returned(suspects: list[tuple[int, bool, bool]], lines: list[tuple]) -> lis
                 back[s] = True
                 plain += own[s]
         left = [s for s in left if not back[s]]
-        if len(left) == before:
-            break
     return back
 
 
@@ -302,17 +314,14 @@ def main_text(page: str | None, span: int = SPAN, threshold: int = THRESHOLD) ->
         best = max(best, (sum(size[i:j]), -i, j))
         i = j
     start, end = -best[1], best[2]
-    peak = max((k for k in range(start, end) if size[k]), key=lambda k: (blocks[k], -k))
-    article = lines[peak][2]
+    held: Counter[int] = Counter()  # the region's text by article, 0 for none
+    for k in range(start, end):
+        held[lines[k][2]] += size[k]
+    article = max(held, key=lambda a: (held[a], a))
     if article:
-        # all articles of the page that hold at least a third as much as the largest
-        sizes: Counter[int] = Counter()
-        for n, (_, _, a, _, _) in zip(size, lines, strict=True):
-            sizes[a] += n
-        most = max(n for a, n in sizes.items() if a)
-        kept = [t for t, _, a, ok, _ in lines if ok and a and (a == article or 3 * sizes[a] >= most and sizes[a] >= threshold)]
+        kept = [t for t, _, a, ok, _ in lines if ok and a]
     else:
-        around = [s for s in (start, end - 1) if size[s]] or [peak]
+        around = [s for s in (start, end - 1) if size[s]] or [max(range(start, end), key=lambda k: (size[k], -k))]
         start = _grow(lines, start - 1, -1, around) + 1
         end = _grow(lines, end, 1, around)
         kept = [t for t, _, _, ok, _ in lines[start:end] if ok]

@@ -139,3 +139,82 @@ def test_columns_and_empty(spark):
     df = spark.createDataFrame([(1, None, None, "old"), (1, "u", "<p>x", "old")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in extract(df).sort("n_chars").collect()] == [(1, None, "", 0), (1, "u", "x", 1)]
     assert extract(df.limit(0)).count() == 0
+
+
+def _words(n, of="word"):
+    return (f"{of} " * n).strip() + "."
+
+
+def test_text_in_front_of_the_article():
+    """The article is chosen by its lines, not by what its first block looks forward to."""
+    paragraphs = [_words(40), _words(40, "more"), _words(24, "less")]
+    article = "<article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article>"
+    teaser = f'<div class="lead-in"><p>{_words(36, "lure")}</p></div>'
+    for page in (f"<body>{teaser}{article}</body>", f"<body><div>{teaser}{article}<p>{_words(5, 'after')}</p></div></body>"):
+        assert main_text(page) == "\n".join(paragraphs)
+
+
+@pytest.mark.parametrize("name", ['div class="alert-level"', 'section class="notice-of-change"', 'div class="recommended-dose"', 'section class="search-and-rescue"', 'div class="widget-text"', 'section id="related-work"'])
+def test_ordinary_words_in_longer_names_drop_nothing(name):
+    tag = name.split()[0]
+    for n in (2, 3):
+        ps = [_words(30, f"p{i}") for i in range(n)]
+        page = "<body><article>" + "".join(f"<{name}><p>{p}</p></{tag}>" if i == 1 else f"<p>{p}</p>" for i, p in enumerate(ps)) + "</article></body>"
+        assert main_text(page) == "\n".join(ps)
+
+
+@pytest.mark.parametrize("name", ["discussion-thread", "feedback", "user-reviews", "cc-window", "comment-list", "cookie-consent-v2", "newsletter-cta", "share-buttons", "related-posts", "alert", "search-box"])
+def test_other_names_drop(name):
+    text = [_words(40), _words(50, "more"), _words(30, "end")]
+    for inside in (True, False):
+        extra = f'<div class="{name}"><p>{_words(20, "noise")}</p></div>'
+        body = "".join(f"<p>{p}</p>" for p in text)
+        assert main_text(f"<body><article>{body}{extra if inside else ''}</article>{'' if inside else extra}</body>") == "\n".join(text)
+
+
+def test_small_articles_stay():
+    large, small = [_words(60), _words(70, "more")], "A short second article."
+    page = "<body><article>" + "".join(f"<p>{p}</p>" for p in large) + f"</article><article><p>{small}</p></article></body>"
+    assert main_text(page) == "\n".join([*large, small])
+
+
+def test_articles_within_an_article_are_comments():
+    text = [_words(40), _words(50, "more")]
+    own = "".join(f"<p>{p}</p>" for p in text)
+    comments = "".join(f"<article><p>{_words(9, f'c{i}')}</p></article>" for i in range(3))
+    assert main_text(f"<body><article>{own}<div>{comments}</div></article></body>") == "\n".join(text)
+    assert main_text(f"<body><article><article>{own}</article></article></body>") == "\n".join(text)
+
+
+def test_deeply_nested_names_come_back():
+    """Elements dropped by name come back however deep they lie in each other."""
+    text = [_words(30, f"p{i}") for i in range(4)]
+    body = "".join(f"<p>{p}</p>" for p in text)
+    for _ in range(12):
+        body = f'<div class="top">{body}</div>'
+    assert main_text(f"<body>{body}</body>") == "\n".join(text)
+
+
+def surge_and_dive(page):
+    """The plain method: from the first line whose block of three surges to the last before the text dives, of the region with the most text."""
+    lines = [(t, ok) for t, _, _, ok, _ in lines_of(page)]
+    size = [len(t) if ok else 0 for t, ok in lines]
+    blocks = [sum(size[i : i + 3]) for i in range(len(size))]
+    best, i = (0, 0, 0), 0
+    while i < len(size):
+        if blocks[i] >= min(86, max(blocks)):
+            j = next((j for j in range(i, len(size)) if not blocks[j]), len(size))
+            best, i = max(best, (sum(size[i:j]), -i, j)), j
+        i += 1
+    return "\n".join(t for t, ok in lines[-best[1] : best[2]] if ok)
+
+
+def test_given_pages_by_the_plain_method_and_without_article_tags(spark, sf):
+    """Elements confirm what surge and dive find: nearly all pages give the same by the plain method, and all without their article tags."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect() if r.html]
+    found = [main_text(p) for p in pages]
+    plain = [surge_and_dive(p) for p in pages]
+    stripped = [main_text(re.sub(r"</?(article|main)\b[^>]*>", "", p)) for p in pages]
+    assert stripped == found
+    held = sum(len(set(a.split("\n")) & set(b.split("\n"))) for a, b in zip(found, plain, strict=True)) / sum(len(a.split("\n")) for a in found)
+    assert held > 0.95, held
