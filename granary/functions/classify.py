@@ -11,6 +11,7 @@ EMPTY_ELEMENT = r"(?i)<([a-z][a-z0-9]*-[a-z0-9-]*)\b[^>]*>\s*</\1>"
 SPA_TEXTS = ("data-reactroot", "ng-version=", "<app-root", "__next_f", "data-v-app", "__sveltekit", "q:container", "astro-island")
 #: Addresses whose bodies are files (fixed value).
 DOWNLOAD = r"(?i)(?:/download(?:\?|$))|(?:/bitstreams/)|(?:\.pdf(?:\?|$))"
+#: What counts as a link and a script where a rule has thresholds for their numbers (fixed values).
 LINK, SCRIPT = r"(?i)<a\b[^>]*\bhref\s*=", r"(?i)<script\b"
 
 
@@ -30,15 +31,24 @@ def content_kind(body: Column) -> Column:
 
 
 def content_type(body: Column, suffix: Column, header: Column) -> Column:
-    """File type with precedence: PDF by magic or header, old office files, zipped office files, HTML by magic, header or suffix, else null."""
+    """File type with precedence: PDF by magic or header, old office files, zipped office files, HTML by magic, header or suffix, else null.
+
+    A zipped file is what its header or suffix says, Word before PowerPoint, else what stands in its
+    zip: Word if the directory at its end has a name under word/, PowerPoint if one under ppt/.  Files
+    packed inside of others don't count, as only names behind the directory's own marks are looked at.
+    """
     has = lambda *names: F.coalesce(suffix.isin(*names), F.lit(False))
     says = lambda p: F.coalesce(F.contains(header, F.lit(p)), F.lit(False))
-    ole, zipped = F.startswith(body, F.lit("��\x11�")), F.startswith(body, F.lit("PK"))
+    raw = F.decode(body.cast("binary"), "ISO-8859-1")  # a character for each byte
+    ole = F.startswith(body, F.lit("��\x11�")) | F.startswith(raw, F.lit("\u00d0\u00cf\u0011\u00e0"))
+    zipped, inside = F.startswith(body, F.lit("PK")), lambda folder: F.regexp_like(raw, F.lit(rf"(?s)PK\x01\x02.{{42}}{folder}/"))
     return (
         F.when(F.startswith(body, F.lit("%PDF")) | says("application/pdf"), "PDF")
-        .when(ole, F.when(says("powerpoint") | has("ppt"), "PPT").otherwise("DOC"))
-        .when(zipped & (says("presentationml") | has("pptx") | F.contains(body, F.lit("ppt/"))), "PPTX")
-        .when(zipped & (says("wordprocessingml") | has("docx") | F.contains(body, F.lit("word/"))), "DOCX")
+        .when(ole, F.when(says("presentation") | says("ms-powerpoint") | has("ppt"), "PPT").when(says("word") | has("doc"), "DOC").when(says("powerpoint"), "PPT").otherwise("DOC"))
+        .when(zipped & (says("wordprocessingml") | says("msword") | has("docx")), "DOCX")
+        .when(zipped & (says("presentationml") | says("ms-powerpoint") | has("pptx")), "PPTX")
+        .when(zipped & inside("word"), "DOCX")
+        .when(zipped & inside("ppt"), "PPTX")
         .when(looks_like_html(body) | says("text/html") | has("html", "htm"), "HTML")
     )
 
@@ -66,18 +76,18 @@ def spa_shell(body: Column) -> Column:
 
 def viewer_shell(body: Column) -> Column:
     """An HTML page that only holds a browser's PDF viewer."""
-    h = F.substring(body, 1, 2048)
+    h = _head(body, 2048)
     return looks_like_html(body) & (F.contains(h, F.lit("pdf_embedder.css")) | F.contains(h, F.lit("chrome-extension://")))
 
 
 def useless(body: Column, least: int = 512) -> Column:
-    """Not a PDF and empty, under ``least`` characters, or a viewer's shell."""
-    return F.when(F.startswith(body, F.lit("%PDF")), False).otherwise(F.coalesce(F.length(body) < least, F.lit(True)) | viewer_shell(body))
+    """Not a PDF and empty, under ``least`` bytes, or a viewer's shell."""
+    return F.when(F.startswith(body, F.lit("%PDF")), False).otherwise(F.coalesce(F.octet_length(body) < least, F.lit(True)) | viewer_shell(body))
 
 
 def acceptable_capture(body: Column, least: int = 512) -> Column:
     """A raw capture worth keeping: PDF, or neither shell nor JSON nor a tiny page."""
-    fine = ~viewer_shell(body) & ~spa_shell(body) & ~F.regexp_like(body, F.lit(r"^\s*[{\[]")) & ~(looks_like_html(body) & (F.length(body) < least))
+    fine = ~viewer_shell(body) & ~spa_shell(body) & ~F.regexp_like(body, F.lit(r"^\s*[{\[]")) & ~(looks_like_html(body) & (F.octet_length(body) < least))
     return (F.length(body) > 0) & (F.startswith(body, F.lit("%PDF")) | fine)
 
 

@@ -159,7 +159,6 @@ def extension(kind: Column) -> Column:
     return F.concat(F.lit("."), F.lower(kind))
 
 
-@F.pandas_udf(StringType())
-def decoded(c: pd.Series) -> pd.Series:
+def decoded(c: Column) -> Column:
     """Bytes as UTF-8 text, wrong ones replaced."""
-    return c.map(lambda x: None if x is None else bytes(x).decode("utf-8", "replace"))
+    return F.make_valid_utf8(c.cast("string"))

@@ -43,6 +43,7 @@ def links_in_body(pages: DataFrame, candidates: DataFrame, page: str, body: str)
 
 def discovered(found: DataFrame, visited: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parent, url, pos) links of a round -> pages not visited yet with their first parent, and the edges of all parents."""
+    found = found.where("url IS NOT NULL")
     first = found.groupBy("url").agg(F.min(F.struct("parent", "pos")).alias("_p")).join(visited.select("url"), "url", "left_anti")
     return first.select("url", F.col("_p.parent").alias("parent")), found.select(F.col("parent").alias("src"), F.col("url").alias("dst")).distinct()
 
@@ -53,16 +54,18 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return once.select("src", "dst", "type", F.lit("to").alias("side")).union(once.select(F.col("dst"), F.col("src"), "type", F.lit("from")))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, most_depth: int | None = None) -> DataFrame:
     """(seed, node, depth): every node that links lead to from each seed, at its least depth, the seed itself at 0.
 
-    Breadth first: a round joins the frontier with the edges and drops what was met before, so cycles
+    With ``most_depth`` only what is no deeper; without, all.  Breadth first: a round joins the frontier with the edges and drops what was met before, so cycles
     end.  Frontiers are tables in the shared folder; the driver sees only whether one is empty.
     """
     edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     front = kept(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
     met = [front]
-    for depth in range(1, most_rounds + 1):
+    depth = 0
+    while most_depth is None or depth < most_depth:
+        depth += 1
         step = front.join(edges, front.node == edges.src).select("seed", F.col("dst").alias("node")).distinct()
         for m in met:
             step = step.join(m.select("seed", "node"), ["seed", "node"], "left_anti")

@@ -17,7 +17,7 @@ def documents_of(tasks: DataFrame, documents: DataFrame) -> DataFrame:
     Of several documents of one url and source the one with the smallest id counts; null if there is none.
     """
     d = documents.select(F.col("document_id").alias("found"), F.col("url").alias("_u"), F.col("source").alias("_s"))
-    named = tasks.where("document_id IS NOT NULL").join(d.select("found"), F.col("document_id") == F.col("found"), "left").select("task_id", "found")
+    named = tasks.where("document_id IS NOT NULL").join(d.select("found").distinct(), F.col("document_id") == F.col("found"), "left").select("task_id", "found")
     first = d.groupBy("_u", "_s").agg(F.min("found").alias("found"))
     by_url = tasks.where("document_id IS NULL").join(first, (F.col("url") == F.col("_u")) & F.col("source").eqNullSafe(F.col("_s")), "left").select("task_id", "found")
     return named.union(by_url)

@@ -37,15 +37,15 @@ def filter_queries(table):
 
 @query(
     r"WITH q AS (SELECT conv_id AS batch, turn AS pos, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS norm, trim(text) AS query, CASE turn % 3 WHEN 0 THEN ['gap_' || conv_id % 4, 'gap_9'] WHEN 1 THEN ['gap_' || conv_id % 7] ELSE [] END AS gaps FROM conversations) "
-    r"SELECT batch, pos, query, CASE WHEN pos % 2 = 0 THEN 'coverage' ELSE 'detail' END AS purpose FROM q WHERE norm <> '' AND len(regexp_extract_all(query, '\S+')) >= 3 AND contains(norm, 'the') AND list_has_any(gaps, ['gap_1', 'gap_2']) QUALIFY row_number() OVER (PARTITION BY batch, norm ORDER BY pos) = 1"
+    r"SELECT batch, pos, query, CASE WHEN pos % 2 = 0 THEN 'coverage' ELSE 'detail' END AS purpose FROM q WHERE norm <> '' AND len(regexp_extract_all(query, '\S+')) >= 3 AND contains(norm, 'the') AND list_has_any(gaps, ['gap_1', 'gap_2']) AND norm NOT IN (SELECT norm FROM q WHERE batch % 3 = 0) QUALIFY row_number() OVER (PARTITION BY batch, norm ORDER BY pos) = 1"
 )
 def filter_followups(table):
-    """Turns as follow-up queries with gaps of their own, two gaps being open; a blank purpose is coverage."""
+    """Turns as follow-up queries with gaps of their own, two gaps being open; every third conversation was asked before; a blank purpose is coverage."""
     c = table("conversations")
     none, n = F.array().cast("array<string>"), lambda k: F.concat(F.lit("gap_"), (F.col("conv_id") % k).cast("string"))
     gaps = F.when(F.col("turn") % 3 == 0, F.array(n(4), F.lit("gap_9"))).when(F.col("turn") % 3 == 1, F.array(n(7))).otherwise(none)
     q = c.select(F.col("conv_id").alias("batch"), F.col("turn").alias("pos"), F.col("text").alias("query"), F.when(F.col("turn") % 2 == 0, " ").otherwise("detail").alias("purpose"), gaps.alias("target_gap_ids"))
-    out = e.filter_queries(q, c.where("role = 'nobody'").select(F.col("text").alias("query")), F.lit("The, Republic of"), F.lit("THE, REPUBLIC"), F.array(F.lit("gap_1"), F.lit("gap_2")))
+    out = e.filter_queries(q, c.where("conv_id % 3 = 0").select(F.col("text").alias("query")), F.lit("The, Republic of"), F.lit("THE, REPUBLIC"), F.array(F.lit("gap_1"), F.lit("gap_2")))
     return out.select("batch", "pos", "query", "purpose")
 
 

@@ -43,6 +43,33 @@ def fetch_route(table):
     return p.select("page_id", choice.alias("choice"), pdf.alias("pdf"), c.fetch_route(html, F.col("url"), F.col("page_id") % 7 == 0).alias("route"), c.successful(html, status, F.col("page_id") % 5 == 0).alias("successful"), kind.alias("kind"))
 
 
+_ENTRY = "'PK' || chr(1) || chr(2) || repeat('x', 42)"  # an entry of a zip's directory, up to its name
+_FILES = f"""CASE page_id % 12 WHEN 0 THEN '%PDF-1.7 ' || url WHEN 1 THEN 'PK' || chr(3) || chr(4) || 'ppt/media' || {_ENTRY} || 'word/document.xml' || {_ENTRY} || 'ppt/slide.xml'
+WHEN 2 THEN 'PK' || chr(3) || chr(4) || 'word/media' || {_ENTRY} || 'ppt/slide.xml' WHEN 3 THEN 'PK' || chr(3) || chr(4) || 'word/ and ppt/ in its text' WHEN 4 THEN 'PK' || chr(3) || chr(4) || {_ENTRY} || 'ppt/slide.xml'
+WHEN 5 THEN 'PK' || chr(3) || chr(4) || {_ENTRY} || 'word/document.xml' WHEN 6 THEN 'PK' || chr(3) || chr(4) WHEN 7 THEN 'plain ' || url WHEN 8 THEN html ELSE '  ' || html END AS body,
+CASE page_id % 12 WHEN 4 THEN 'Application/MSWord' WHEN 5 THEN 'application/vnd.openxmlformats-officedocument.presentationml.presentation' WHEN 6 THEN CASE page_id % 5 WHEN 0 THEN 'application/vnd.ms-powerpoint' ELSE 'application/zip' END WHEN 7 THEN CASE page_id % 5 WHEN 0 THEN 'TEXT/html; charset=x' WHEN 1 THEN 'application/pdf' ELSE 'text/plain' END ELSE '' END AS header,
+url || CASE WHEN page_id % 12 = 6 AND page_id % 5 = 1 THEN '.DOCX?x=1' WHEN page_id % 12 = 7 AND page_id % 5 = 3 THEN '.htm#top' ELSE '' END AS address"""
+
+
+@query(
+    f"WITH f AS (SELECT page_id, {_FILES} FROM pages), r AS (SELECT page_id, body, lower(header) AS h, nullif(regexp_extract(lower(regexp_replace(address, '[?#].*$', '')), '\\.(pdf|html|htm|docx|doc|pptx|ppt)$', 1), '') AS s FROM f) "
+    "SELECT page_id, CASE WHEN starts_with(body, '%PDF') OR contains(h, 'application/pdf') THEN 'PDF' "
+    "WHEN starts_with(body, 'PK') AND (contains(h, 'wordprocessingml') OR contains(h, 'msword') OR s = 'docx') THEN 'DOCX' WHEN starts_with(body, 'PK') AND (contains(h, 'presentationml') OR contains(h, 'ms-powerpoint') OR s = 'pptx') THEN 'PPTX' "
+    "WHEN starts_with(body, 'PK') AND regexp_matches(body, 'PK\\x01\\x02x{42}word/') THEN 'DOCX' WHEN starts_with(body, 'PK') AND regexp_matches(body, 'PK\\x01\\x02x{42}ppt/') THEN 'PPTX' "
+    "WHEN starts_with(ltrim(lower(body)), '<!doctype') OR contains(substr(ltrim(lower(body)), 1, 512), '<html') OR contains(h, 'text/html') OR s IN ('html', 'htm') THEN 'HTML' END AS kind FROM r"
+)
+def content_type(table):
+    """Files of all kinds by magic, header, suffix and what stands in their zips, made from pages."""
+    f = table("pages").select("page_id", *[F.expr(x) for x in _split(_FILES)])
+    headers = F.create_map(F.lit("Content-TYPE"), F.col("header"))
+    return f.select("page_id", c.content_type(F.col("body"), t.url_suffix(F.col("address")), t.header_value(headers, "content-type")).alias("kind"))
+
+
+def _split(sql: str) -> list[str]:
+    """A select list's three expressions, each ended by its name and a comma at a line's end."""
+    return [x.rstrip(",") for x in sql.replace(" AS body,\n", " AS body,\u0000").replace(" AS header,\n", " AS header,\u0000").split("\u0000")]
+
+
 @query(
     "WITH p AS (SELECT url, min(page_id) AS id, min(html) AS html FROM pages GROUP BY url) "
     "SELECT url, CASE WHEN id % 2 = 0 THEN 'cached' ELSE 'fetched' END AS origin, length(html) AS n_chars, length(html) >= 512 AS successful FROM p"

@@ -311,13 +311,14 @@ _QUEUE_SQL = f"SELECT {_QUEUE.replace(' ; ', ', ')} FROM events"
 
 
 @query(
-    f"WITH t AS ({_QUEUE_SQL}), r AS (SELECT stage_name, count(*) FILTER (WHERE status = 'running' AND event_id % 50 = 2) AS n FROM t GROUP BY 1) "
-    "SELECT stage_name, event_id, attempts + 1 AS attempts FROM t JOIN r USING (stage_name) WHERE status = 'scheduled' OR status = 'retrying' AND attempts < 3 QUALIFY row_number() OVER (PARTITION BY stage_name ORDER BY ts, event_id) <= 60 - any_value(n) OVER (PARTITION BY stage_name)"
+    f"WITH t AS ({_QUEUE_SQL}), r AS (SELECT stage_name, count(*) FILTER (WHERE status = 'running') AS n FROM t GROUP BY 1) "
+    "SELECT stage_name, event_id, attempts + 1 AS attempts FROM t JOIN r USING (stage_name) WHERE status = 'scheduled' OR status = 'retrying' AND attempts < 3 QUALIFY row_number() OVER (PARTITION BY stage_name ORDER BY ts, event_id) <= (SELECT max(n) + 60 FROM r) - any_value(n) OVER (PARTITION BY stage_name)"
 )
 def claim_within(table):
-    """Claims up to each stage's limit less what is in flight."""
-    e = _sql(table, "events", _QUEUE).where("status != 'running' OR event_id % 50 = 2")
-    return tk.claim_within(e, 60, ["ts", "event_id"]).select("stage_name", "event_id", "attempts")
+    """Claims up to each stage's limit (60 more than what is in flight at the busiest) less what is in flight there."""
+    e = _sql(table, "events", _QUEUE)
+    most = e.where("status = 'running'").groupBy("stage_name").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    return tk.claim_within(e, most + 60, ["ts", "event_id"]).select("stage_name", "event_id", "attempts")
 
 
 @query(f"WITH t AS ({_QUEUE_SQL}) SELECT user_id AS run_id, 'node' AS what, stage_name AS value, count(*) AS n FROM t WHERE status NOT IN ('completed', 'failed') GROUP BY ALL UNION ALL SELECT user_id, 'status', status, count(*) FROM t WHERE status NOT IN ('completed', 'failed') GROUP BY ALL")

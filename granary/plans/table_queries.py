@@ -63,15 +63,15 @@ def spa_shell(table):
     return made.select("page_id", c.visible_length(html).cast("long").alias("seen"), F.regexp_count(html, F.lit(c.LINK)).cast("long").alias("links"), F.regexp_count(html, F.lit(c.SCRIPT)).cast("long").alias("scripts"), c.spa_shell(html).alias("shell"))
 
 
-_VIEWERS = "CASE WHEN page_id % 5 = 0 THEN '<html><link href=\"' || CASE page_id % 2 WHEN 0 THEN 'chrome-extension://x/' ELSE '' END || 'pdf_embedder.css\">' || html WHEN page_id % 5 = 1 THEN '%PDF' || url ELSE html END"
+_VIEWERS = "CASE WHEN page_id % 10 = 3 THEN repeat('\u00e9', 150 + (page_id % 300)::INT) WHEN page_id % 20 = 10 THEN '\n \t<HTML><LINK href=\"PDF_Embedder.CSS\">' || html WHEN page_id % 5 = 0 THEN '<html><link href=\"' || CASE page_id % 2 WHEN 0 THEN 'chrome-extension://x/' ELSE '' END || 'pdf_embedder.css\">' || html WHEN page_id % 5 = 1 THEN '%PDF' || url ELSE html END"
 
 
 @query(
     f"WITH p AS (SELECT {_VIEWERS} AS h FROM pages) "
-    "SELECT CASE WHEN starts_with(h, '%PDF') THEN 'useful' WHEN length(h) < 512 OR contains(substr(h, 1, 2048), 'pdf_embedder.css') OR contains(substr(h, 1, 2048), 'chrome-extension://') THEN 'useless' ELSE 'useful' END AS verdict, count(*) AS n, sum(length(h))::BIGINT AS chars FROM p GROUP BY 1"
+    "SELECT CASE WHEN starts_with(h, '%PDF') THEN 'useful' WHEN strlen(h) < 512 OR contains(lower(substr(ltrim(h, ' ' || chr(10) || chr(9)), 1, 2048)), 'pdf_embedder.css') OR contains(lower(substr(ltrim(h, ' ' || chr(10) || chr(9)), 1, 2048)), 'chrome-extension://') THEN 'useless' ELSE 'useful' END AS verdict, count(*) AS n, sum(length(h))::BIGINT AS chars FROM p GROUP BY 1"
 )
 def useless_body(table):
-    """Pages, a fifth of them behind a browser's PDF viewer and a fifth small PDFs."""
+    """Pages, a fifth of them behind a browser's PDF viewer (some indented, in capitals), a fifth small PDFs, a tenth short texts of two bytes a character."""
     v = F.when(c.useless(F.col("html")), "useless").otherwise("useful")
     return table("pages").select(F.expr(_VIEWERS).alias("html")).groupBy(v.alias("verdict")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars"))
 

@@ -29,6 +29,8 @@ def test_content(spark):
     assert column(spark, bodies, c.content_kind) == ["pdf", "html", "html", "other"]
     page = "<html><body>" + "<p>content</p>" * 80 + "</body></html>"
     assert column(spark, ["", "<html></html>", "%PDF-1.4" + "x" * 600, page, None], c.useless) == [True, True, False, False, True]
+    shell = "\n <HTML><link href='PDF_EMBEDDER.css'>" + "x" * 600
+    assert column(spark, [shell, "é" * 300, "é" * 255], c.useless) == [True, False, True]
     shell = "<!doctype html><html><body><div id='root'></div><script></script></body></html>"
     links = "<html>" + "<a href='x'>word word word</a>" * 60 + "</html>"
     assert column(spark, [shell, "%PDF", "not html", links], c.spa_shell) == [True, False, False, False]

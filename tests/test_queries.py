@@ -17,7 +17,7 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"workflow_run"}))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, sf, name):
     df = catalog.QUERIES[name](spark, sf)
     cols = sorted(df.columns)
