@@ -24,15 +24,29 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector is there, holds no null and nothing infinite or undefined, and isn't all zeros."""
+    fine = F.forall(vector, lambda c: F.coalesce(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")), F.lit(False)))
+    return F.coalesce(fine & F.exists(vector, lambda c: c != 0), F.lit(False))
+
+
 def vector_topk(rows: DataFrame, query: list[float], k: int, id_col: str, vec_col: str, keep: Column | None = None, digits: int = 6) -> DataFrame:
     """The k rows nearest to one query by cosine: (id, score); ties to the smaller id.
 
-    A top-k node: each task keeps k rows, no full sort and no shuffle of vectors.
+    A top-k node: each task keeps k rows, no full sort and no shuffle of vectors.  Vectors that are
+    null, zero, of another length or not finite take no part; they are scaled before they are squared,
+    so that large components don't overflow.
     """
     if keep is not None:
         rows = rows.where(keep)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.select(id_col, F.round(cosine(F.col(vec_col), q), digits).alias("score")).where("score IS NOT NULL")
+    top = max((abs(x) for x in query), default=0.0)
+    if not (0 < top < float("inf")):
+        return rows.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    q = F.array(*[F.lit(float(x) / top) for x in query])
+    rows = rows.where(usable(F.col(vec_col)) & (F.size(vec_col) == len(query)))
+    most = F.array_max(F.transform(vec_col, lambda c: F.abs(c.cast("double"))))
+    scaled = F.transform(vec_col, lambda c: c.cast("double") / most)
+    scored = rows.select(id_col, F.round(cosine(scaled, q), digits).alias("score")).where("score IS NOT NULL")
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
@@ -42,36 +56,64 @@ def overlaps(column: str, wanted: list[str] | None) -> Column | None:
 
 
 _FOUND = "query_id long, id long, score double"
-QUERIES_AT_ONCE = 4096  # queries that are sent to every task, with their vectors and filters
+QUERIES_AT_ONCE = 4096  # queries that a task holds while rows pass by
+ROWS_AT_ONCE = 100_000  # rows that pass by in one task
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    n = np.sqrt((x * x).sum(1, keepdims=True))
-    return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
+    """Rows of length one; scaled first, so that nothing overflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
 
 
-def _scan(asked, k: int, digits: int, filtered: bool):
+def _scan(k: int, digits: int):
+    """Sorted (dim, qb, rb, what, id, v, labels): of each block the queries (what 0), then the rows -> each query's k best."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q, wanted = asked.value
-        q = _unit(q)
-        best_s, best_i = np.full((len(qid), 0), -np.inf), np.zeros((len(qid), 0), np.int64)
+        block, qid, q, wanted, best_s, best_i = None, [], [], [], None, None
+
+        def told() -> pa.RecordBatch:
+            ok = np.isfinite(best_s)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ok.sum(1))), pa.array(best_i[ok]), pa.array(best_s[ok])], ["query_id", "id", "score"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-                s = np.round(q @ _unit(x).T, digits)
-                s[(qid[:, None] == ids[None, :]) | np.isnan(s)] = -np.inf
-                if filtered:
-                    labels = [set(v or ()) for v in part.column(2).to_pylist()]
-                    for r, w in enumerate(wanted):
-                        if w:
-                            s[r, [w.isdisjoint(v) for v in labels]] = -np.inf
-                best_s, best_i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(ids, s.shape)], 1)
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-        ok = np.isfinite(best_s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ok.sum(1))), pa.array(best_i[ok]), pa.array(best_s[ok])], ["query_id", "id", "score"])
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], 1)
+            cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))).tolist() if len(keys) else []
+            for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                if block != tuple(keys[a, :3]):
+                    if best_s is not None:
+                        yield told()
+                    block, qid, q, wanted, best_s, best_i = tuple(keys[a, :3]), [], [], [], None, None
+                part = batch.slice(a, b - a)
+                if keys[a, 3] == 0:
+                    qid.append(part.column(4).to_numpy(zero_copy_only=False))
+                    q.append(_matrix(part.column(5)))
+                    wanted += [set(w or ()) for w in part.column(6).to_pylist()]
+                    continue
+                if isinstance(qid, list):
+                    if not qid:
+                        continue
+                    qid, q = np.concatenate(qid), np.concatenate(q)
+                    best_s, best_i = np.full((len(qid), 0), -np.inf), np.zeros((len(qid), 0), np.int64)
+                for at in range(0, part.num_rows, 1024):
+                    some = part.slice(at, 1024)
+                    ids = some.column(4).to_numpy(zero_copy_only=False)
+                    s = np.round(q @ _matrix(some.column(5)).T, digits)
+                    s[qid[:, None] == ids[None, :]] = -np.inf
+                    if any(wanted):
+                        labels = [set(v or ()) for v in some.column(6).to_pylist()]
+                        for r, w in enumerate(wanted):
+                            if w:
+                                s[r, [w.isdisjoint(v) for v in labels]] = -np.inf
+                    best_s, best_i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(ids, s.shape)], 1)
+                    order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
+                    best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
+        if best_s is not None:
+            yield told()
 
     return run
 
@@ -80,28 +122,27 @@ def vector_topk_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str, v
     """Every query's k nearest rows by cosine, but itself: (query_id, rank, id, score); ties to the smaller id.
 
     With ``label_col`` (an array of the rows) and ``wanted_col`` (an array of the queries) only rows
-    with one of a query's wanted labels count; a query that wants none is not filtered.  Exact: each
-    block of ``at_once`` queries is sent to all tasks, which scan their rows once and send k rows a
-    query on, so vectors are never shuffled.  Zero vectors are near nothing.
+    with one of a query's wanted labels count; a query that wants none is not filtered.  Exact: blocks
+    of ROWS_AT_ONCE rows meet blocks of ``at_once`` queries, each pair in a task of its own, through
+    one shuffle; a task holds its queries and their k best while its rows pass by, and sends k rows a
+    query on.  Vectors that are null, zero or not finite are near nothing, those of different lengths
+    don't meet; rows without an id take no part.
     """
     filtered = label_col is not None and wanted_col is not None
-    blocks = max(1, -(-queries.count() // at_once))
-    cols = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), *([F.col(wanted_col).alias("w")] if filtered else [])]
-    dealt = queries.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_b"), *cols)
-    given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), *([F.col(label_col).alias("labels")] if filtered else []))
-    found = None
-    for b in range(blocks):
-        t = dealt.where(F.col("_b") == b).toArrow()
-        if not t.num_rows:
-            continue
-        v = np.array(t.column("v").to_pylist(), np.float64)
-        wanted = [set(w or ()) for w in t.column("w").to_pylist()] if filtered else None
-        asked = rows.sparkSession.sparkContext.broadcast((t.column("id").to_numpy(), v, wanted))
-        part = given.mapInArrow(_scan(asked, k, digits, filtered), _FOUND)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], _FOUND)
+    labels = lambda c: F.col(c).cast("array<string>") if filtered else F.lit(None).cast("array<string>")
+    fine = usable(F.col(vec_col)) & F.col(id_col).isNotNull()
+    given = lambda df, c: df.where(fine).select(F.size(vec_col).alias("dim"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), labels(c).alias("labels"))
+    rows, queries = given(rows, label_col), given(queries, wanted_col)
+    q_blocks, r_blocks = max(1, -(-queries.count() // at_once)), max(1, -(-rows.count() // ROWS_AT_ONCE))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cols = ["dim", "qb", "rb", "what", "id", "v", "labels"]
+    asked = queries.withColumns({"qb": block(q_blocks), "what": F.lit(0)}).withColumn("rb", every(r_blocks)).select(cols)
+    offered = rows.withColumns({"rb": block(r_blocks), "what": F.lit(1)}).withColumn("qb", every(q_blocks)).select(cols)
+    keys = ["dim", "qb", "rb"]
+    met = asked.union(offered).repartition(*keys).sortWithinPartitions(*keys, "what")
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = met.mapInArrow(_scan(k, digits), _FOUND)
     return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 

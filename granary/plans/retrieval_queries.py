@@ -54,9 +54,9 @@ def bm25_filtered(spark, d):
 
 
 def hybrid_rank_fusion(spark, d):
-    """Documents, each with the vector of its number, searched by benchmark items with theirs; every second item wants one language."""
+    """All documents, some with the vector of their number, searched by benchmark items with theirs; every second item wants one language."""
     rows, v = _table(spark, d, "documents").withColumn("labels", F.expr(_LABELS)), _table(spark, d, "embeddings")
-    rows = rows.join(v.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    rows = rows.join(v.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
     items = _table(spark, d, "benchmark").join(v.withColumnRenamed("vec_id", "item_id"), "item_id")
     wanted = F.expr("CASE WHEN item_id % 2 = 0 THEN array('en') ELSE CAST(array() AS array<string>) END")
     asked = items.select((-1 - F.col("item_id")).alias("doc_id"), F.when(F.col("item_id") % 10 == 9, " ").otherwise(F.col("text")).alias("text"), "embedding", wanted.alias("wanted"))
@@ -85,7 +85,7 @@ _PLAIN = _bm25(_DOCS, "SELECT item_id, text, [] AS wanted FROM benchmark")
 _WANTED = "len(wanted) = 0 OR list_has_any(labels, wanted)"
 _SOME = _bm25(_DOCS, "SELECT item_id, text, CASE item_id % 3 WHEN 0 THEN ['en'] WHEN 1 THEN ['de', 'fr'] ELSE [] END AS wanted FROM benchmark", _WANTED, 5)
 _ITEMS = "SELECT item_id, CASE WHEN item_id % 10 = 9 THEN ' ' ELSE text END AS text, embedding, CASE WHEN item_id % 2 = 0 THEN ['en'] ELSE [] END AS wanted FROM benchmark JOIN embeddings ON vec_id = item_id"
-_WITH = "SELECT doc_id, text, [lang, coalesce(source, 'none')] AS labels, embedding FROM documents JOIN embeddings ON vec_id = doc_id"
+_WITH = "SELECT doc_id, text, [lang, coalesce(source, 'none')] AS labels, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id"
 _NEAR = f"SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS rank, e.vec_id, {_DOT} AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id"
 SQL = {
     "vector_topk": f"SELECT e.vec_id, {_DOT} AS score FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY score DESC, e.vec_id LIMIT 10",
@@ -94,5 +94,5 @@ SQL = {
     "bm25_stats": r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ts FROM documents), c AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM w), p AS (SELECT DISTINCT doc_id, unnest(ts) AS term FROM w) SELECT term, count(*) AS df, any_value(n) AS n, round(any_value(a), 6) AS avg_len FROM p, c GROUP BY term",
     "bm25_topk": f"WITH {_PLAIN} SELECT * FROM b",
     "bm25_filtered": f"WITH {_SOME} SELECT * FROM b",
-    "hybrid_rank_fusion": f"WITH k AS ({_ITEMS}), t AS ({_WITH}), {_bm25('SELECT * FROM t', 'SELECT item_id, text, wanted FROM k', _WANTED)}, v AS (SELECT q.item_id, row_number() OVER (PARTITION BY q.item_id ORDER BY {_DOT} DESC, e.doc_id) AS rank, e.doc_id FROM k q JOIN t e ON (len(q.wanted) = 0 OR list_has_any(e.labels, q.wanted)) AND trim(q.text) <> '' QUALIFY rank <= 10), u AS (SELECT item_id, doc_id, 0.7::DOUBLE / (60 + rank) AS s FROM v UNION ALL SELECT item_id, doc_id, 0.3::DOUBLE / (60 + rank) FROM b), f AS (SELECT item_id, doc_id, round(sum(s), 9) AS score FROM u GROUP BY ALL) SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM f QUALIFY rank <= 10",
+    "hybrid_rank_fusion": f"WITH k AS ({_ITEMS}), t AS ({_WITH}), {_bm25('SELECT * FROM t', 'SELECT item_id, text, wanted FROM k', _WANTED)}, v AS (SELECT q.item_id, row_number() OVER (PARTITION BY q.item_id ORDER BY {_DOT} DESC, e.doc_id) AS rank, e.doc_id FROM k q JOIN t e ON (len(q.wanted) = 0 OR list_has_any(e.labels, q.wanted)) AND trim(q.text) <> '' AND e.embedding IS NOT NULL QUALIFY rank <= 10), u AS (SELECT item_id, doc_id, 0.7::DOUBLE / (60 + rank) AS s FROM v UNION ALL SELECT item_id, doc_id, 0.3::DOUBLE / (60 + rank) FROM b), f AS (SELECT item_id, doc_id, round(sum(s), 9) AS score FROM u GROUP BY ALL) SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM f QUALIFY rank <= 10",
 }
