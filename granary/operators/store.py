@@ -8,9 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, name: str = "table") -> DataFrame:
-    """Written to the checkpoint folder of the cluster and read again: a cut in the lineage that outlives executors."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The address of a new folder below the checkpoint folder of the cluster."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
@@ -18,6 +17,11 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="granary-"))
         base = sc.getCheckpointDir()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str = "table") -> DataFrame:
+    """Written to the checkpoint folder of the cluster and read again: a cut in the lineage that outlives executors."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

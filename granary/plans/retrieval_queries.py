@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.operators import retrieval as r
+from granary.operators.store import shared_folder
+from granary.operators.text_index import TextIndex
 
 
 def _table(spark, d, name):
@@ -64,7 +66,17 @@ def hybrid_rank_fusion(spark, d):
     return found.select((-1 - F.col("query_id")).alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_each, bm25_stats, bm25_topk, bm25_filtered, hybrid_rank_fusion)}
+def text_index_topk(spark, d):
+    """A kept index of all documents, a tenth of them replaced and some deleted since, searched by benchmark items."""
+    docs = _table(spark, d, "documents")
+    index = TextIndex(spark, shared_folder(spark, "text-index")).build(docs, "doc_id", "text")
+    index.replace(docs.where("doc_id % 10 = 3").select("doc_id", F.concat_ws(" ", "source", "lang", "text").alias("text")), "doc_id", "text")
+    index.delete(docs.where("doc_id % 17 = 5").select("doc_id"), "doc_id")
+    found = index.topk(_table(spark, d, "benchmark"), 10, "item_id", "text")
+    return found.withColumnsRenamed({"id": "doc_id", "query_id": "item_id"})
+
+
+QUERIES = {f.__name__: f for f in (text_index_topk, vector_topk, vector_topk_filtered, vector_topk_each, bm25_stats, bm25_topk, bm25_filtered, hybrid_rank_fusion)}
 
 _DOT = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
 
@@ -87,12 +99,14 @@ _SOME = _bm25(_DOCS, "SELECT item_id, text, CASE item_id % 3 WHEN 0 THEN ['en']
 _ITEMS = "SELECT item_id, CASE WHEN item_id % 10 = 9 THEN ' ' ELSE text END AS text, embedding, CASE WHEN item_id % 2 = 0 THEN ['en'] ELSE [] END AS wanted FROM benchmark JOIN embeddings ON vec_id = item_id"
 _WITH = "SELECT doc_id, text, [lang, coalesce(source, 'none')] AS labels, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id"
 _NEAR = f"SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS rank, e.vec_id, {_DOT} AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id"
+_CHANGED = "SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN concat_ws(' ', source, lang, text) ELSE text END AS text, [] AS labels FROM documents WHERE doc_id % 17 <> 5"
 SQL = {
     "vector_topk": f"SELECT e.vec_id, {_DOT} AS score FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY score DESC, e.vec_id LIMIT 10",
     "vector_topk_filtered": f"{_NEAR} WHERE q.vec_id % 20 = 0 AND (q.vec_id % 60 = 0 OR e.label IN (q.label, q.label + 1)) QUALIFY rank <= 10",
     "vector_topk_each": f"{_NEAR} WHERE q.vec_id % 20 = 0 QUALIFY rank <= 10",
     "bm25_stats": r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ts FROM documents), c AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM w), p AS (SELECT DISTINCT doc_id, unnest(ts) AS term FROM w) SELECT term, count(*) AS df, any_value(n) AS n, round(any_value(a), 6) AS avg_len FROM p, c GROUP BY term",
     "bm25_topk": f"WITH {_PLAIN} SELECT * FROM b",
+    "text_index_topk": f"WITH {_bm25(_CHANGED, 'SELECT item_id, text, [] AS wanted FROM benchmark')} SELECT * FROM b",
     "bm25_filtered": f"WITH {_SOME} SELECT * FROM b",
     "hybrid_rank_fusion": f"WITH k AS ({_ITEMS}), t AS ({_WITH}), {_bm25('SELECT * FROM t', 'SELECT item_id, text, wanted FROM k', _WANTED)}, v AS (SELECT q.item_id, row_number() OVER (PARTITION BY q.item_id ORDER BY {_DOT} DESC, e.doc_id) AS rank, e.doc_id FROM k q JOIN t e ON (len(q.wanted) = 0 OR list_has_any(e.labels, q.wanted)) AND trim(q.text) <> '' AND e.embedding IS NOT NULL QUALIFY rank <= 10), u AS (SELECT item_id, doc_id, 0.7::DOUBLE / (60 + rank) AS s FROM v UNION ALL SELECT item_id, doc_id, 0.3::DOUBLE / (60 + rank) FROM b), f AS (SELECT item_id, doc_id, round(sum(s), 9) AS score FROM u GROUP BY ALL) SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM f QUALIFY rank <= 10",
 }
