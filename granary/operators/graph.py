@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.discovery import link_address
 from granary.operators.store import kept
 
 
@@ -19,12 +18,7 @@ def links(pages: DataFrame, url: str, body: str) -> DataFrame:
 
 def resolved(edges: DataFrame) -> DataFrame:
     """Adds dst, the link against its page's address."""
-
-    @F.pandas_udf("string")
-    def join(u: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([urljoin(a, b) if a is not None and b is not None else None for a, b in zip(u, h, strict=True)])
-
-    return edges.withColumn("dst", join("url", "href"))
+    return edges.withColumn("dst", link_address(F.col("url"), F.col("href")))
 
 
 def links_in_body(pages: DataFrame, candidates: DataFrame, page: str, body: str) -> DataFrame:
