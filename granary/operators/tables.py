@@ -101,10 +101,10 @@ def year_between(year: Column, start: int | None, end: int | None, first: int =
     return year.between(a, b)
 
 
-def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, chunk_index, chunk_text): a document's lines as chunks; blank ones go, and the index counts them all the same."""
+def chunked(docs: DataFrame, key: str, text: str, keep_blank: bool = False) -> DataFrame:
+    """(key, chunk_index, chunk_text): a document's lines as chunks; blank ones go unless they are kept, and the index counts them all the same."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("chunk_index", "chunk_text"))
-    return lines.where(F.regexp_like("chunk_text", F.lit(r"\S")))
+    return lines if keep_blank else lines.where(F.regexp_like("chunk_text", F.lit(r"\S")))
 
 
 def status_report(results: DataFrame, keys: list[str], order: list[str], by: str, status: str, error: str) -> DataFrame:

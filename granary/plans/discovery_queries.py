@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.operators import discovery as dc
+from granary.operators import embedding as em
 from granary.operators import graph as g
 from granary.operators import names as nm
+from granary.operators import tables as tb
+from granary.sources import links as ls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -90,3 +93,31 @@ def name_spans(table):
     names = pairs.union(b.select(F.regexp_extract("text", r"^\p{L}+", 0), F.lit("w")))
     found = nm.detected(table("documents"), names, "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), "start", F.col("end").alias("stop"), "name", "code")
+
+
+@query(
+    "WITH l AS (SELECT doc_id, i - 1 AS chunk_index, s[i] AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS x(i)), "
+    "k AS (SELECT * FROM l WHERE regexp_matches(t, '\\S') AND doc_id % 13 <> 5), "
+    "w AS (SELECT doc_id, chunk_index, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+')) AS w FROM k), "
+    "h AS (SELECT doc_id, chunk_index, ('0x' || substr(md5(w), 1, 8))::BIGINT % 16 AS b, sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::INT % 2 = 0 THEN 1 ELSE -1 END) AS n FROM w GROUP BY ALL), "
+    "z AS (SELECT doc_id, chunk_index, sqrt(sum(n * n)) AS z FROM h GROUP BY ALL) "
+    "SELECT k.doc_id, k.chunk_index, g.b::INT AS place, round(coalesce(n, 0) / coalesce(nullif(z, 0), 1), 6) AS value, CASE WHEN k.doc_id % 2 = 0 THEN 'KEN' ELSE '' END AS countries "
+    "FROM k CROSS JOIN range(16) AS g(b) LEFT JOIN h ON h.doc_id = k.doc_id AND h.chunk_index = k.chunk_index AND h.b = g.b LEFT JOIN z ON z.doc_id = k.doc_id AND z.chunk_index = k.chunk_index"
+)
+def chunk_vectors(table):
+    """Documents' lines as chunks with hashed vectors; a document in 13 has a detection too few and fails, odd ones' detections failed."""
+    chunks = tb.chunked(table("documents"), "doc_id", "text", keep_blank=True).withColumnRenamed("doc_id", "document_id")
+    found = chunks.where("document_id % 13 != 5 OR chunk_index > 0").select("document_id", "chunk_index", F.array(F.lit("KEN")).alias("countries"), F.when(F.col("document_id") % 2 == 1, "failed").alias("error"))
+    rows, _ = em.embed_chunks(chunks, found, em.Hashed(16))
+    each = rows.select(F.col("document_id").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join("countries", ",").alias("countries"), F.posexplode("embedding").alias("place", "value"))
+    return each.withColumn("value", F.round("value", 6) + 0.0)
+
+
+@query(
+    "SELECT page_id, (i - 1)::INT AS pos, h[i] AS href, CASE WHEN starts_with(h[i], '/') THEN regexp_extract(url, '^[a-z]+://[^/]*') || h[i] ELSE h[i] END AS link FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\\s[^>]*href\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1) AS h FROM pages), unnest(range(1, len(h) + 1)) AS x(i)"
+)
+def page_links(table):
+    """Pages' links through a table function in SQL, with a lateral join."""
+    p = table("pages")
+    ls.register(p.sparkSession)
+    return p.sparkSession.sql("SELECT p.page_id, l.pos, l.href, l.url AS link FROM {p} AS p, LATERAL page_links(p.url, p.html) AS l", p=p)

@@ -12,6 +12,8 @@ from granary.operators import lookups as lk
 from granary.operators import quotes
 from granary.operators import tables as tb
 from granary.operators import tasks as tk
+from granary.operators.store import shared_folder
+from granary.sources.buckets import BucketTable
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -179,6 +181,16 @@ def quote_match(table):
 # --- joins, aggregates, windows ---------------------------------------------------------------
 
 
+@query("SELECT user_id, event_type, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def bucket_upsert(table):
+    """Events upserted by user and type in three batches, one of them twice, into a table of buckets."""
+    e = table("events").select("user_id", "event_type", "event_id", "ts", F.round("value", 6).alias("value"))
+    held = BucketTable(e.sparkSession, shared_folder(e.sparkSession, "latest"), e.schema, ["user_id", "event_type"], ["ts", "event_id"])
+    for number in (0, 1, 1, 2):
+        held.upsert(e.where(F.col("event_id") % 3 == 2 - number), number)
+    return held.read().drop("ts")
+
+
 @query("SELECT user_id, event_type, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def latest_result(table):
     return tb.latest(table("events").select("user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators.tables import latest
-
 
 def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """A folder of Parquet files as a stream, ``files`` a batch."""
@@ -38,19 +36,3 @@ def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkp
     """
     q = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-
-
-def upsert_step(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A step that keeps the latest row of each key in the table at ``path``, one folder for each batch number.
-
-    A batch merges the table before it with its own rows into a new folder, so a batch that comes
-    again writes the same folder anew and nothing else is touched.
-    """
-
-    def step(rows: DataFrame, number: int) -> None:
-        spark, new = rows.sparkSession, rows
-        if number > 0:
-            new = spark.read.schema(rows.schema).parquet(f"{path}/{number - 1}").unionByName(rows)
-        latest(new, keys, [order]).write.mode("overwrite").parquet(f"{path}/{number}")
-
-    return step

@@ -16,7 +16,7 @@ from granary.operators import tables as tb
 from granary.operators import tasks as tk
 from granary.plans import workflow as wf
 from granary.plans.evidence_queries import halving
-from granary.sources import files
+from granary.sources import buckets, files
 
 
 def column(spark, values, f, kind="string"):
@@ -256,8 +256,9 @@ def test_streaming(spark, sf, tmp_path):
     beats = q.event_stream(spark, f"{tmp_path}/in").select(F.col("user_id").alias("executor_id"), F.col("ts").alias("updated_at"))
     want = {r.user_id: r.t for r in events.groupBy("user_id").agg(F.max("ts").alias("t")).collect()}
     assert {r.executor_id: r.updated_at for r in drained(spark, q.live_heartbeats(beats), "complete", "beats", f"{tmp_path}/c3").collect()} == want
-    q.each_batch(beats, q.upsert_step(f"{tmp_path}/held", ["executor_id"], "updated_at"), f"{tmp_path}/c4")
-    assert {r.executor_id: r.updated_at for r in spark.read.parquet(f"{tmp_path}/held/2").collect()} == want
+    held = buckets.BucketTable(spark, f"{tmp_path}/held", beats.schema, ["executor_id"], ["updated_at"], buckets=4)
+    q.each_batch(beats, buckets.upsert_step(held), f"{tmp_path}/c4")
+    assert {r.executor_id: r.updated_at for r in held.read().collect()} == want
 
 
 def test_context_and_cascade(spark):
