@@ -4,8 +4,7 @@
 positives are documents labelled good; the unlabelled set is web text as it comes.  With the class
 prior p the risk of a classifier is p R_P(+) + max(0, R_U(-) - p R_P(-)): the second term
 estimates the risk on negatives without any, and is kept from going below zero.  The prior is
-estimated as the share of good ones among the labels that may be learnt from: of the bad ones only
-their number is used.
+estimated from the positives and the unlabelled alone; labels of bad documents are never used.
 
 Features are computed on executors from whole texts, and describe form alone: shares of character
 classes, case, symbols at word ends, repetition of words, pairs and lines, lengths.  Two bounded
@@ -118,21 +117,8 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 12, steps:
     p, u = (np.clip((x - mean) / sd, -8, 8) for x in (pos, unl))
     w = [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.array(np.log(prior / (1 - prior)))]
     m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
-
-    def back(x, h, slope):
-        """Gradients for the sum of slope * output."""
-        d = np.outer(slope, w[2]) * (1 - h * h)
-        return [x.T @ d, d.sum(0), h.T @ slope, slope.sum()]
-
     for t in range(1, steps + 1):
-        hp, hu = np.tanh(p @ w[0] + w[1]), np.tanh(u @ w[0] + w[1])
-        sp, su = (1 / (1 + np.exp(-np.clip(h @ w[2] + w[3], -30, 30))) for h in (hp, hu))
-        below = -np.log1p(-np.clip(su, 0, 1 - 1e-9)).mean() + prior * np.log1p(-np.clip(sp, 0, 1 - 1e-9)).mean()
-        sign = 1.0 if below >= 0 else -1.0
-        good = prior * (sp - 1) / len(p) * (below >= 0)
-        slope_p, slope_u = good - sign * prior * sp / len(p), sign * su / len(u)
-        grads = [a + b for a, b in zip(back(p, hp, slope_p), back(u, hu, slope_u), strict=True)]
-        for i, g in enumerate(grads):
+        for i, g in enumerate(gradients(w, p, u, prior)):
             g = g + decay * w[i] * (i in (0, 2))
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
@@ -140,6 +126,54 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 12, steps:
     return Model([mean, sd, w[0], w[1], w[2], w[3]])
 
 
+def _out(w: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = np.tanh(x @ w[0] + w[1])
+    return h, 1 / (1 + np.exp(-np.clip(h @ w[2] + w[3], -30, 30)))
+
+
+def risks(w: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """(prior * R_P(+), R_U(-) - prior * R_P(-)) with the logistic loss: the positives' risk, and the negatives' as it is estimated without any."""
+    sp, su = _out(w, p)[1], _out(w, u)[1]
+    low = lambda s: -np.log1p(-np.clip(s, 0, 1 - 1e-9)).mean()
+    return -prior * np.log(np.clip(sp, 1e-9, 1)).mean(), low(su) - prior * low(sp)
+
+
+def gradients(w: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> list[np.ndarray]:
+    """Of the risk; where the negatives' risk is below zero, of that term alone and against it."""
+    (hp, sp), (hu, su) = _out(w, p), _out(w, u)
+    below = risks(w, p, u, prior)[1]
+    sign = 1.0 if below >= 0 else -1.0
+    good = prior * (sp - 1) / len(p) * (below >= 0)
+
+    def back(x, h, slope):
+        """Gradients for the sum of slope * output."""
+        d = np.outer(slope, w[2]) * (1 - h * h)
+        return [x.T @ d, d.sum(0), h.T @ slope, slope.sum()]
+
+    return [a + b for a, b in zip(back(p, hp, good - sign * prior * sp / len(p)), back(u, hu, sign * su / len(u)), strict=True)]
+
+
+LEAST = 8  # rows of either sample without which the prior is taken as one half
+TAIL = 0.1  # least share of the positives in a tail that the prior is read from
+
+
+def estimated_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from both samples alone.
+
+    Of any tail of scores the unlabelled hold at least the prior times the positives' share of it, so
+    the least ratio of tails, over scores that tell the two apart, is close above the prior.  Scores come
+    from a fit to the other half of the rows, and tails of under TAIL of the positives don't count.
+    """
+    if min(len(pos), len(unl)) < LEAST:
+        return 0.5
+    halves = [(pos[i::2], unl[i::2]) for i in (0, 1)]
+    models = [fit(p, u, 0.5, steps=200) for p, u in halves]
+    p = np.concatenate([models[1 - i].score(halves[i][0]) for i in (0, 1)])
+    u = np.concatenate([models[1 - i].score(halves[i][1]) for i in (0, 1)])
+    cuts = np.quantile(p, np.linspace(0, 1 - TAIL, 60))
+    return float(np.clip(min(((u >= t).mean() + 1 / len(u)) / (p >= t).mean() for t in cuts), 0.02, 0.98))
+
+
 def fold(doc_id) -> F.Column:
     """crc32 of the doc_id as text, modulo 4; the remainder 2 is held out from learning."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
@@ -160,12 +194,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     chance = F.xxhash64("doc_id", F.lit(11))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     known = known.where(fold(F.col("doc_id")) != 2)
-    n, good = known.agg(F.count("*"), F.sum("quality")).first()
-    if not good:
+    known = known.where("quality = 1")
+    if known.isEmpty():
         return None
-    prior = min(0.98, (good + 1) / (n + 2))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = known.where("quality = 1").select("doc_id").distinct().orderBy(chance, "doc_id").limit(sample).select("doc_id", F.lit(1).alias("good"))
+    chosen = known.select("doc_id").distinct().orderBy(chance, "doc_id").limit(sample).select("doc_id", F.lit(1).alias("good"))
     web = texts.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).select("doc_id").distinct().orderBy(chance, "doc_id").limit(sample).select("doc_id", F.lit(0).alias("good"))
     rows = texts.join(F.broadcast(chosen.union(web)), "doc_id").select("good", "doc_id", "text").mapInArrow(_feature_rows, "good int, doc_id long, x array<double>")
     # one row for each chosen id, however many rows it has: at most 2 * sample come to the driver
@@ -178,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     x, is_good = x[order], is_good[order]
     if is_good.all() or not is_good.any():
         return None
-    return fit(x[is_good], x[~is_good], prior)
+    return fit(x[is_good], x[~is_good], estimated_prior(x[is_good], x[~is_good]))
 
 
 def _scored(model: Model | None, unknown: float):
