@@ -154,7 +154,7 @@ def gradients(w: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -
 
 
 LEAST = 8  # rows of either sample without which the prior is taken as one half
-TAIL = 0.1  # least share of the positives in a tail that the prior is read from
+TAIL = 0.5  # least share of the positives in a tail that the prior is read from; smaller tails are noisy
 
 
 def estimated_prior(pos: np.ndarray, unl: np.ndarray) -> float:
