@@ -29,6 +29,18 @@ def live_heartbeats(beats: DataFrame) -> DataFrame:
     return beats.groupBy("executor_id").agg(F.max("updated_at").alias("updated_at"))
 
 
+def live_latest(events: DataFrame, keys: list[str], order: str, late: str | None = None, time: str | None = None) -> DataFrame:
+    """The latest row of each key so far, by ``order``, in whatever order and however often rows come; one row a key in the state.
+
+    With ``time`` (a timestamp among ``keys``' windows or the keys themselves) and ``late`` state older
+    than the watermark is forgotten.
+    """
+    if time is not None and late is not None:
+        events = events.withWatermark(time, late)
+    rest = [c for c in events.columns if c not in keys]
+    return events.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last")).select(*keys, "_last.*")
+
+
 def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Work off all there is, ``step`` (a batch's rows, its number) for each batch.
 
