@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.shared import give_back
+
 #: The byte-level pattern of public byte-level BPE vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = np.iinfo(np.int64).max
@@ -288,7 +290,7 @@ def _pass(spec: _Spec, rest: int, finish: Callable) -> Callable:
                 names, arrays = finish(coder, coder.encode(texts))
                 own = [batch.column(1 + i).slice(at, len(texts)) for i in range(rest)]
                 yield pa.RecordBatch.from_arrays([*own, *arrays], [*(batch.schema.names[1 : 1 + rest]), *names])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import shared
 from granary.llm.components import components
-from granary.llm.shared import grouped, spread_join, stored
+from granary.llm.shared import give_back, grouped, spread_join, stored
 from granary.llm.textkit import common, mix64, shingle_set
 
 BINS, BANDS, ROWS = 512, 25, 5  # bands use the first coordinates
@@ -152,7 +152,7 @@ def _confirm(num: int, den: int):
                     root[find(b)] = find(a)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.bpe import chunks
+from granary.llm.shared import give_back
 
 MARK = "▁"  # stands for a blank in pieces (fixed value of the library)
 KNOWN = 400_000  # marked words that a worker remembers
@@ -157,7 +158,7 @@ def _pass(spec: _Spec, rest: int, finish: Callable) -> Callable:
                 names, arrays = finish(model, model.encode(texts))
                 own = [batch.column(1 + i).slice(at, len(texts)) for i in range(rest)]
                 yield pa.RecordBatch.from_arrays([*own, *arrays], [*(batch.schema.names[1 : 1 + rest]), *names])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.shared import give_back
+
 #: Most rows of either sample that the fit sees.
 SAMPLE = 6_000
 GOOD = 0.7
@@ -183,6 +185,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         rows = [features(t.as_py()).tolist() for t in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["good", "doc_id", "x"])
+    give_back()
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -220,6 +223,7 @@ def _scored(model: Model | None, unknown: float):
             x = np.array([features(t.as_py()) for t in batch.column(0)]).reshape(-1, N_FEATURES)
             s = model.score(x) if model else np.full(len(x), unknown)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64())], [*batch.schema.names[1:], "score"])
+        give_back()
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,6 +63,13 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, hot_rows: in
     return dealt.join(copies, [key, "_part"]).drop("_part")
 
 
+def give_back() -> None:
+    """What a finished pass no longer needs goes back to the machine, as Python's workers live on for the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Cut a stream of batches, sorted by ``keys`` (integers or strings without nulls), into one table per key."""
     held: list[pa.RecordBatch] = []

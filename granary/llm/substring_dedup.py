@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.shared import stored
+from granary.llm.shared import give_back, stored
 from granary.llm.textkit import gram_hashes, mix64, word_hashes, words
 
 WINDOW = 35
@@ -81,6 +81,8 @@ def _sketch(window: int, gram: int):
                         held, n = [], 0
         if held:
             yield from counted(np.concatenate(held))
+        held.clear()
+        give_back()
 
     def counted(anchors: np.ndarray) -> Iterator[pa.RecordBatch]:
         for row in range(DEPTH):
@@ -203,7 +205,7 @@ def _candidates(bits, window: int, gram: int):
         if held:
             yield from send(docs, held)
         held.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
@@ -311,7 +313,7 @@ def _removed(window: int, out: pa.Schema, as_given: bool):
         if made:
             yield from pa.Table.from_batches(made).combine_chunks().to_batches()
         made.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
