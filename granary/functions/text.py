@@ -115,6 +115,11 @@ def percent_encode(c: Column) -> Column:
     return x
 
 
+def search_entry(entry: Column) -> Column:
+    """A map of a search's parts as key=value&key=value in their order, values percent-encoded, keys as they are."""
+    return F.array_join(F.transform(F.map_entries(entry), lambda e: F.concat(e["key"], F.lit("="), percent_encode(e["value"]))), "&")
+
+
 def header_value(headers: Column, name: str) -> Column:
     """A header's value in lower case, whatever the case of its name."""
     hit = F.map_values(F.map_filter(headers, lambda k, _: F.lower(k) == name.lower()))

@@ -92,6 +92,14 @@ def new_sources(found: DataFrame, known: DataFrame, order: list[str], key: str =
     return first.join(known.select(key), key, "left_anti")
 
 
+def two_letter_codes(codes: DataFrame, dimension: DataFrame, code: str = "iso3") -> DataFrame:
+    """Adds iso2: the two-letter code of a three-letter one in any case; dimension: (iso3, iso2).  An unknown code, or one without, is an error."""
+    dim = dimension.select(F.upper("iso3").alias("_c"), F.nullif(F.trim("iso2"), F.lit("")).alias("iso2"))
+    met = codes.withColumn("_c", F.upper(code)).join(dim, "_c", "left").drop("_c")
+    fail = F.raise_error(F.concat(F.lit("no two letters for "), F.coalesce(F.col(code), F.lit("null"))))
+    return met.withColumn("iso2", F.coalesce("iso2", fail.cast("string")))
+
+
 def country_names(codes: DataFrame, dimension: DataFrame, code: str = "iso3", strict: bool = True) -> DataFrame:
     """Adds country: the official name of a code in any case, or its plain name; dimension: (iso3, name, official).
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.evidence import answer_status, verdict_action
+from granary.operators.store import kept
 
 
 def gap_counts(gaps: DataFrame, key: str) -> DataFrame:
@@ -90,6 +93,35 @@ def after_verdict(statements: DataFrame, most: int) -> DataFrame:
     return statements.select("statement_id", F.when(out == "repair", fixed).otherwise(F.col("text")).alias("text"), F.when(out == "repair", F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), out.alias("action"))
 
 
+def verified(statements: DataFrame, judge: Callable[[DataFrame], DataFrame], most: int) -> tuple[DataFrame, int]:
+    """(statement_id, text) through rounds of verification -> those that are kept, as they then read, and the number of rounds.
+
+    ``judge`` takes all statements that are still open (statement_id, text, attempt) at once and gives
+    each a verdict: (statement_id, verdict, removed, repaired).  What is repaired goes on to the next
+    round, after ``most`` repairs a partly entailed statement is kept and another one dropped, so there
+    are at most ``most`` + 1 rounds.  Open statements lie in the shared folder between rounds.
+    """
+    open_, kept_, rounds = kept(statements.select("statement_id", "text", F.lit(0).alias("attempt")), "open"), [], 0
+    while not open_.isEmpty():
+        rounds += 1
+        told = open_.join(judge(open_).select("statement_id", "verdict", "removed", "repaired"), "statement_id")
+        step = kept(after_verdict(told, most), "verdicts")
+        kept_.append(step.where("action = 'keep'").select("statement_id", "text", "attempt"))
+        open_ = step.where("action = 'repair'").select("statement_id", "text", "attempt")
+    out = kept_[0] if kept_ else open_
+    for k in kept_[1:]:
+        out = out.union(k)
+    return out, rounds
+
+
+def report_rows(statements: DataFrame, claims: DataFrame, sources: DataFrame, gaps: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A report's own rows: claims (key, claim_id, source_id, ...) that its statements cite, the sources of those once each, and gaps that aren't closed."""
+    cited = statements.select(key, F.explode("claim_ids").alias("claim_id")).distinct()
+    held = claims.join(cited, "claim_id")
+    used = sources.join(held.select(key, "source_id").distinct(), "source_id")
+    return held, used, gaps.where(F.coalesce("status", F.lit("")) != "closed")
+
+
 def final_report(statements: DataFrame, claims: DataFrame, sources: DataFrame, gaps: DataFrame, key: str) -> DataFrame:
     """(key, status, statements, claims, sources, open_gaps): a report's status anew from its statements, what they cite, and the gaps that aren't closed."""
     status = answer_status(statements, key, "text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,8 +92,9 @@ def unpivoted(df: DataFrame, ids: list[str], years: list[str]) -> DataFrame:
     return df.unpivot(ids, years, "year", "value").where("value IS NOT NULL").withColumn("year", F.col("year").cast("int"))
 
 
-def year_between(year: Column, start: int | None, end: int | None, first: int = 1960, last: int = 2100) -> Column:
-    """Inclusive range with open ends; all years if both are open; ValueError if it is turned round."""
+def year_between(year: Column, start: int | None, end: int | None, first: int = 1960, last: int | None = None) -> Column:
+    """Inclusive range, an open start being ``first`` and an open end ``last`` or this year; all years if both are open; ValueError if it is turned round."""
+    last = datetime.now(UTC).year if last is None else last
     if start is None and end is None:
         return F.lit(True)
     a, b = first if start is None else start, last if end is None else end

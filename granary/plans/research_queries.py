@@ -249,6 +249,38 @@ def after_verdict(table):
     return rs.after_verdict(x, 2)
 
 
+_VERDICTS = "CASE (statement_id + attempt) % 5 WHEN 0 THEN 'entailed' WHEN 1 THEN 'partially_entailed' ELSE 'contradicted' END AS verdict ; (statement_id + attempt) % 11 = 0 AS removed ; CASE WHEN (statement_id + attempt) % 7 = 0 THEN ' ' ELSE text || '*' END AS repaired"
+
+
+@query(
+    f"WITH RECURSIVE r AS (SELECT o_orderkey AS statement_id, 'said' AS text, 0 AS attempt, 'repair' AS action FROM orders UNION ALL "
+    "SELECT statement_id, CASE WHEN a = 'repair' THEN trim(repaired) ELSE text END, CASE WHEN a = 'repair' THEN attempt + 1 ELSE attempt END, a FROM ("
+    "SELECT *, CASE WHEN verdict = 'entailed' THEN 'keep' WHEN attempt >= 2 AND verdict = 'partially_entailed' THEN 'keep' WHEN attempt >= 2 THEN 'drop' WHEN removed OR trim(repaired) = '' THEN 'drop' ELSE 'repair' END AS a "
+    f"FROM (SELECT *, {_VERDICTS.replace(' ; ', ', ')} FROM r WHERE action = 'repair') AS v) AS x) SELECT statement_id, text, attempt FROM r WHERE action = 'keep'"
+)
+def verified_statements(table):
+    """Orders as statements through up to three rounds of verification by a made-up judge."""
+    first = table("orders").select(F.col("o_orderkey").alias("statement_id"), F.lit("said").alias("text"))
+    judge = lambda open_: open_.select("statement_id", *[F.expr(x) for x in _VERDICTS.split(" ; ")])
+    return rs.verified(first, judge, 2)[0]
+
+
+@query(
+    f"WITH g AS ({_GAPS_SQL}), s AS (SELECT o_custkey AS batch, l_partkey AS claim_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey), "
+    "c AS (SELECT DISTINCT batch, claim_id, p_size AS source_id FROM s JOIN part ON p_partkey = claim_id WHERE p_size < 45) "
+    "SELECT 'claim' AS what, batch, claim_id::VARCHAR AS id FROM c UNION ALL SELECT DISTINCT 'source', batch, source_id::VARCHAR FROM c WHERE source_id < 30 UNION ALL SELECT 'gap', batch, gap_id::VARCHAR FROM g WHERE status <> 'closed'"
+)
+def report_rows(table):
+    """A customer's report as rows: the claims that its statements cite, their sources, the gaps left."""
+    part = table("part")
+    claims = part.where("p_size < 45").select(F.col("p_partkey").alias("claim_id"), F.col("p_size").alias("source_id"))
+    sources = part.where("p_size < 30").select(F.col("p_size").alias("source_id")).distinct()
+    said = table("orders").join(table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("batch"), "o_orderkey").agg(F.collect_list("l_partkey").alias("claim_ids"))
+    held, used, gaps = rs.report_rows(said, claims, sources, _sql(table, "orders", _GAPS), "batch")
+    row = lambda df, what, of: df.select(F.lit(what).alias("what"), "batch", F.col(of).cast("string").alias("id"))
+    return row(held, "claim", "claim_id").union(row(used, "source", "source_id")).union(row(gaps, "gap", "gap_id"))
+
+
 @query(
     f"WITH g AS ({_GAPS_SQL}), s AS (SELECT o_custkey AS batch, o_orderkey, o_orderkey % 3 = 0 AS q FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)), "
     "a AS (SELECT batch, bool_or(q) AS q, count(*) AS statements FROM s GROUP BY 1), "

@@ -125,8 +125,8 @@ _UNITS = "text || ' It ' || CASE doc_id % 8 WHEN 0 THEN 'fell by ' WHEN 1 THEN '
 def quantitative_flag(table):
     """Whether any sentence of a document holds a quantity; a third of them end with a figure."""
     d = table("documents").select("doc_id", F.expr(f"CASE WHEN n_chars % 3 = 0 THEN {_UNITS} ELSE text END").alias("text"))
-    s = d.select("doc_id", F.explode(t.sentences(F.col("text"))).alias("x"))
-    return s.groupBy("doc_id").agg(F.bool_or(ev.quantitative(F.col("x"))).alias("quantitative"))
+    s = d.select("doc_id", t.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    return s.select("doc_id", F.exists("s", ev.quantitative).alias("quantitative"))
 
 
 @query(
@@ -319,6 +319,22 @@ def timeseries_long(table):
     return out.where(tb.year_between(F.col("year"), 1993, 1997)).select("o_custkey", F.col("year").cast("long").alias("year"), "value")
 
 
+@query("SELECT c_custkey, substr(n_name, 1, 1) || n_nationkey AS iso2 FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def two_letter_codes(table):
+    """Customers' country codes, in lower case, to two-letter ones."""
+    code = F.concat(F.upper(F.substring("n_name", 1, 3)), F.col("n_nationkey").cast("string"))
+    n = table("nation").select("n_nationkey", code.alias("iso3"), F.concat(F.substring("n_name", 1, 1), F.col("n_nationkey").cast("string")).alias("iso2"))
+    c = table("customer").join(n.select("n_nationkey", F.lower("iso3").alias("iso3")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "iso3")
+    return lk.two_letter_codes(c, n).select("c_custkey", "iso2")
+
+
+@query("SELECT p_partkey, 'q=' || replace(replace(replace(url_encode(p_name), '+', '%20'), '*', '%2A'), '%7E', '~') || '&size=' || p_size AS entry FROM part")
+def search_entries(table):
+    """Parts as searches of two keys."""
+    entry = F.create_map(F.lit("q"), F.col("p_name"), F.lit("size"), F.col("p_size").cast("string"))
+    return table("part").select("p_partkey", t.search_entry(entry).alias("entry"))
+
+
 @query("SELECT s_suppkey, upper(substr(n_name, 1, 3)) || n_nationkey AS iso3, CASE WHEN n_nationkey % 2 = 0 THEN 'The ' || n_name ELSE n_name END AS country FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def country_dimension(table):
     """Suppliers' country codes, in lower case, to official names, or plain ones where there are none."""

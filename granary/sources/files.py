@@ -14,14 +14,16 @@ USE_CASE = f"name string, description string, data_sources array<{_SOURCE}>, met
 
 
 def use_case(spark: SparkSession, path: str) -> DataFrame:
-    """Metrics of a use-case file in order: (use_case, n, name, description, example, unit, sources).
+    """Metrics of a use-case file in order: (use_case, n, name, description, example, unit, sources); a file without a name is called by its own.
 
     Sources are the metric's exclusive ones, or else the file's and the metric's own.
     """
     raw = spark.read.schema(USE_CASE).option("multiLine", True).option("mode", "FAILFAST").json(path)
     none = F.expr(f"cast(array() AS array<{_SOURCE}>)")
     plain = lambda c: F.transform(F.coalesce(c, none), lambda x: F.named_struct(F.lit("name"), x["name"], F.lit("exclusive"), F.coalesce(x["exclusive"], F.lit(False))))
-    m = raw.select(F.col("name").alias("use_case"), plain(F.col("data_sources")).alias("defaults"), F.posexplode("metrics").alias("i", "m"))
+    stem = F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1), r"\.[^.]*$", "")
+    title = F.coalesce(F.nullif(F.trim("name"), F.lit("")), stem)
+    m = raw.select(title.alias("use_case"), plain(F.col("data_sources")).alias("defaults"), F.posexplode("metrics").alias("i", "m"))
     sources = F.transform(resolve_sources(F.col("defaults"), plain(F.col("m.data_sources"))), lambda x: x["name"])
     return m.select("use_case", (F.col("i") + 1).alias("n"), "m.name", "m.description", "m.example", "m.unit", sources.alias("sources"))
 

@@ -10,6 +10,7 @@ from granary.functions import text as t
 from granary.operators import evidence as ev
 from granary.operators import graph as g
 from granary.operators import report as rp
+from granary.operators import lookups as lk
 from granary.operators import quotes
 from granary.operators import retrieval as r
 from granary.operators import tables as tb
@@ -73,6 +74,17 @@ def test_ranges_and_years(spark):
     assert sorted(map(tuple, tb.unpivoted(wide, ["iso3"], ["2020", "2021", "2022"]).collect())) == [("KEN", 2020, 22.7), ("KEN", 2021, 21.5)]
     with pytest.raises(ValueError):
         tb.year_between(F.col("x"), 2025, 2020)
+    years = spark.createDataFrame([(1959,), (1960,), (2020,), (2024,), (2999,)], "y int")
+    within = lambda a, b: [r.y for r in years.where(tb.year_between(F.col("y"), a, b)).collect()]
+    assert within(2020, 2023) == [2020] and within(None, 1970) == [1960] and within(2020, None) == [2020, 2024] and len(within(None, None)) == 5
+    codes = spark.createDataFrame([("ken",), ("UGA",)], "iso3 string")
+    two = lambda dim: [r.iso2 for r in lk.two_letter_codes(codes, spark.createDataFrame(dim, "iso3 string, iso2 string")).orderBy("iso3").collect()]
+    assert two([("KEN", "KE"), ("UGA", "UG")]) == ["UG", "KE"]
+    for dim in ([("KEN", "KE")], [("KEN", "KE"), ("UGA", " ")]):
+        with pytest.raises(Exception, match="no two letters"):
+            two(dim)
+    entry = spark.createDataFrame([({"q": "el nino", "year": "2010"},)], "m map<string,string>")
+    assert entry.select(t.search_entry(F.col("m"))).first()[0] == "q=el%20nino&year=2010"
 
 
 def test_pages_over_queries_and_upsert(spark):
