@@ -428,5 +428,27 @@ def op12_turns(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_turns": op12_turns}
-#: DuckDB has no crc32, and SQL no comparison of audits over tables of all lengths: tested against brute force.
-SQL: dict[str, str] = {}
+_INSERTS = "(VALUES ('', 0, ''), ('', 1, 'u'), ('', 2, 'a'), ('s', 0, 's'), ('s', 1, 'u'), ('s', 2, 'a'), ('u', 0, 'u'), ('u', 1, 'a'), ('u', 2, 'u'), ('a', 0, 'a'), ('a', 1, 'u'), ('a', 2, 'a')) AS ins(st, k, st2)"
+_ROLE = "CASE WHEN op = 'K' THEN role WHEN (q - s) % 2 = 1 THEN 'user' ELSE 'assistant' END"
+#: The same by another way: the checksum bit by bit, then turn by turn the cheapest audit for each role that the repaired turns may end with.
+SQL: dict[str, str] = {
+    "op12_turns": rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') AS conv, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i::INT, 1))::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS hit FROM k),
+d AS (SELECT conv, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy FROM h, unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS c(copy)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, regexp_replace(text, '[ 	-]+$', '') AS bare FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS seen, substr(role, 1, 1) AS ini FROM r),
+g AS MATERIALIZED (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(ini) OVER (PARTITION BY conv ORDER BY i) AS before FROM f),
+t AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM g GROUP BY 1),
+w AS (SELECT conv, 0::BIGINT AS i, '' AS st, 0::BIGINT AS cost, '' AS audit FROM t UNION ALL
+SELECT conv, i, st3, c, a FROM (SELECT w.conv, w.i + 1 AS i, CASE op WHEN 'D' THEN st2 WHEN 'K' THEN ini ELSE CASE WHEN st2 = 'u' THEN 'a' ELSE 'u' END END AS st3,
+cost + 2 * k + CASE op WHEN 'D' THEN 3 WHEN 'K' THEN 0 ELSE 2 END + (op <> 'D' AND fault = 'truncated')::INT AS c, audit || repeat('I', k) || op AS a
+FROM w JOIN {_INSERTS} USING (st) JOIN g ON g.conv = w.conv AND g.i = w.i + 1 CROSS JOIN (VALUES ('D'), ('K'), ('R')) AS o(op)
+WHERE op = 'D' OR fault NOT IN ('blank', 'duplicate') AND (op = 'R' OR ini = 's' AND st2 = '' OR ini = 'u' AND st2 <> 'u' OR ini = 'a' AND st2 = 'u')) AS x QUALIFY row_number() OVER (PARTITION BY conv, st3 ORDER BY c, a) = 1),
+e AS MATERIALIZED (SELECT w.conv, min({{'cost': cost + 2 * k, 'audit': audit || repeat('I', k)}}) AS b FROM w JOIN t ON t.conv = w.conv AND t.n = w.i JOIN {_INSERTS} USING (st) WHERE st2 IN ('', 'a') GROUP BY 1),
+p AS (SELECT conv, b.audit[p] AS op, p, length(replace(b.audit[1:p], 'I', '')) AS i, length(replace(b.audit[1:p], 'D', '')) AS q FROM e, unnest(range(1, length(b.audit) + 1)) AS u(p)),
+m AS (SELECT p.*, g.role, g.text, max(CASE WHEN q = 1 AND op = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv) AS s FROM p LEFT JOIN g ON op <> 'I' AND g.conv = p.conv AND g.i = p.i),
+z AS (SELECT conv, string_agg({_ROLE} || ':' || CASE WHEN op = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS said FROM m WHERE op <> 'D' GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM k) AS c LEFT JOIN t USING (conv) LEFT JOIN e USING (conv) LEFT JOIN z USING (conv)"""
+}

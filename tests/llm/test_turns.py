@@ -190,3 +190,18 @@ def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = sorted(map(repr, (tuple(r) for r in turns.op12_turns(spark, sf).select(*COLS).collect())))
     assert got == sorted(repr(t) for t, _ in want(rows))
+
+
+def test_sql(spark, tmp_path):
+    """The query's SQL on damaged conversations of all kinds, some of them again as random rows."""
+    import duckdb
+
+    rng = random.Random(9)
+    texts, roles = ["One.", "Two!", "three", "", " \t\n", None, "Four?  ", "é…"], ["system", "user", "assistant", None, "", "usher", "tool", "assistant", "user"]
+    rows = [(rng.choice([None, *range(120)]), rng.choice([None, *range(9)]), rng.choice(roles), rng.choice(texts)) for _ in range(700)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(COLS)} FROM ({turns.SQL['op12_turns']})").fetchall()
+    got = turns.op12_turns(spark, str(tmp_path)).select(*COLS).collect()
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
