@@ -1,6 +1,8 @@
 """Search against brute force."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from granary.llm import ann
@@ -114,3 +116,28 @@ def test_bad_vectors(spark):
     assert got == [(0, 1, 7), (0, 2, 50), (50, 1, 7), (50, 2, 0)]
     assert ann.nearest(v.limit(0), v).count() == 0
     assert ann.nearest(v, v.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("centres", [0, 500])
+def test_recall_of_the_query_at_fifty_thousand(spark, tmp_path, centres):
+    """The whole query, through all its settings, on vectors that lie evenly and on clusters."""
+    rng = np.random.default_rng(11)
+    n, dim = 50_000, 64
+    x = rng.normal(size=(n, dim)).astype(np.float32)
+    if centres:
+        x = rng.normal(size=(centres, dim)).astype(np.float32)[rng.integers(0, centres, n)] + np.float32(0.35) * x
+    table = pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float32()))})
+    (tmp_path / "embeddings.parquet").mkdir()
+    for i in range(4):
+        pq.write_table(table.slice(i * n // 4, n // 4), f"{tmp_path}/embeddings.parquet/part-{i}.parquet")
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    s = u[::50] @ u.T
+    s[np.arange(0, n // 50), np.arange(0, n, 50)] = -2
+    want = np.argpartition(-s, 5, axis=1)[:, :5]
+    got: dict = {}
+    for r in ann.op9_ann(spark, str(tmp_path)).select("query_id", "vec_id").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(got) == n // 50 and all(len(v) == 5 for v in got.values())
+    hits = sum(len(got[50 * i] & set(map(int, w))) for i, w in enumerate(want))
+    assert hits >= 0.9 * 5 * len(want), hits / 5 / len(want)
