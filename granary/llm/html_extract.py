@@ -62,7 +62,7 @@ _STATE = {"open", "opened", "closed", "enabled", "disabled", "allowed", "on", "o
 #: Words of the lists above that also stand in names of an article's own parts ("recommended-dose", "search-and-rescue"): in a
 #: longer name they count only beside other listed words and words that name a frame.
 _ORDINARY = set("alert notice notices recommended recommendations search related widget share sharing social complementary promotion replies reply respond menu navigation top bottom header banner skip comment comments copyright subscription overlay login consent feedback thread aside pager".split())
-_FRAME = set("a an the of for to in on and by with my this page site global main inner outer left right center primary secondary container wrapper wrap holder box block blocks area areas section sections panel panels pane list lists item items row col column columns group bar bars strip button buttons btn link links icon icons image title heading head headline label text-box form field input post posts article articles story stories news content region zone unit slot module component body view js ui is has c l o u b".split())
+_FRAME = set("a an the of for to in on and by with my this page site global main inner outer left right center primary secondary container wrapper wrap holder box block blocks area areas section sections panel panels pane list lists item items row col column columns group bar bars strip button buttons btn link links icon icons image title heading head headline label text-box form field input post posts article articles story stories news content region zone unit slot module component body view js ui is has c l o u b reader readers user users visitor visitors customer customers guest guests public community blog facebook fb discussion add leave write new all latest recent popular more trending you your might like also read next prev previous follow us tweet email print tool tools action actions count counter meta info message messages notification close dismiss accept policy privacy legal terms offer offers cta teaser teasers card cards carousel slider feed prompt inline sticky fixed floating mobile desktop tablet large small wide narrow full dark light hidden visible default theme style shell root app layout footer".split())
 #: Pairs of words in a name that speak of readers' comments or of consent.
 _PHRASES = {("user", "reviews"), ("customer", "reviews"), ("reader", "reviews"), ("user", "comments"), ("discussion", "thread"), ("discussion", "board"), ("cc", "window"), ("cc", "banner"), ("cc", "revoke")}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}

@@ -163,7 +163,7 @@ def test_ordinary_words_in_longer_names_drop_nothing(name):
         assert main_text(page) == "\n".join(ps)
 
 
-@pytest.mark.parametrize("name", ["discussion-thread", "feedback", "user-reviews", "cc-window", "comment-list", "cookie-consent-v2", "newsletter-cta", "share-buttons", "related-posts", "alert", "search-box"])
+@pytest.mark.parametrize("name", ["discussion-thread", "feedback", "user-reviews", "cc-window", "comment-list", "cookie-consent-v2", "newsletter-cta", "share-buttons", "related-posts", "alert", "search-box", "reader-comments", "comments-area", "UserComments", "legal-notice", "related-stories-carousel", "social-follow-us", "site_search", "recommended-for-you", "alert-dismiss"])
 def test_other_names_drop(name):
     text = [_words(40), _words(50, "more"), _words(30, "end")]
     for inside in (True, False):
