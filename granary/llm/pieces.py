@@ -54,9 +54,7 @@ class Pieces:
             self.pieces.append(bytes([int(p.piece[3:5], 16)]) if byte else p.piece.replace(MARK, " ").encode())
             self.control.append(p.type == p.CONTROL)
             self.marked.append(not byte and p.piece.startswith(MARK))
-        for i, c in enumerate(self.control):
-            if c:
-                self.pieces[i] = b""
+        self.is_control = np.array(self.control, bool)
         self.pieces[self.lib.unk_id()] = spec.unk_surface.encode()
         self.prefixed = bool(norm.add_dummy_prefix)
         self.lone = np.array([self.lib.piece_to_id(MARK)], np.int32).tobytes()  # the library gives an empty text no marker
@@ -103,18 +101,22 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control ids are nothing, the first piece loses one marker, bytes that aren't UTF-8 are U+FFFD each."""
-        listed = ids.tolist()
-        if any(i < 0 for i in listed):
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and ids.min() < 0:
             raise IndexError("negative piece id")
-        raw = b"".join(map(self.pieces.__getitem__, listed))
-        if self.prefixed:
-            head = next((i for i in listed if not self.control[i]), None)
-            if head is not None and self.marked[head]:
-                raw = raw[1:]
-        try:
-            return raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return _lenient(raw)
+        # bytes on both sides of a control id don't make one character
+        cuts = np.flatnonzero(self.is_control[ids])
+        out, prefixed = [], self.prefixed
+        for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
+            listed = ids[a:b].tolist()
+            raw = b"".join(map(self.pieces.__getitem__, listed))
+            if listed and prefixed:
+                raw, prefixed = raw[self.marked[listed[0]] :], False
+            try:
+                out.append(raw.decode("utf-8"))
+            except UnicodeDecodeError:
+                out.append(_lenient(raw))
+        return "".join(out)
 
 
 def _lenient(raw: bytes) -> str:

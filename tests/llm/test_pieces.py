@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from sentencepiece import sentencepiece_model_pb2
 
@@ -47,6 +47,8 @@ def test_any_text(both, texts):
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 31999), st.integers(0, 262), st.sampled_from([259, 28705, 264])), max_size=12))
+@example([197, 1, 131])
+@example([1, 264, 1, 264, 197, 0, 131, 2])
 def test_any_ids(both, ids):
     """Ids that no text has: bytes that aren't UTF-8, control and unknown ids, markers in front."""
     mine, theirs = both
