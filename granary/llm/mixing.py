@@ -179,24 +179,36 @@ def chosen(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     # A few more documents, of those left: each the largest that fits the gap, the last the nearest, if that is nearer than none.
     firsts = fitting.where("fit > 0").select(*_UNIT, "fit")
     marked = _met(placed.withColumn("sure", sure), firsts, _UNIT).select("d.*", F.when(F.col("d.sure"), F.col("d.rows")).otherwise(F.coalesce("x.fit", F.lit(0))).alias("some"))
-    gap = stored(gap, "gaps")
     able_left = marked.where(able & (F.col("some") < F.col("rows"))).join(_sent(gap, sources), on).drop("s").where(F.col("size") < 2 * F.col("gap"))
-    left = stored(able_left.groupBy("source", "size").agg(F.min(F.struct("q", "doc_id", "_h")).alias("x")), "left")  # a row for each size
-    lasts = None
-    for i in range(MORE):
-        off = F.abs(F.col("size") - F.col("gap"))
-        near = F.min(F.struct(off.alias("off"), F.col("x"), F.col("size"))).alias("n")
-        fits = left.join(_sent(gap, sources), on).drop("s").where(F.col("size") <= F.col("gap") if i < MORE - 1 else off < F.col("gap"))
-        last = stored(fits.groupBy("source").agg(near).select("source", F.col("n.x.doc_id").alias("doc_id"), F.col("n.x._h").alias("_h"), F.col("n.size").alias("last_size")), "last")
-        lasts = last if lasts is None else lasts.union(last)
-        gap = stored(gap.join(_sent(last, sources), on, "left").select("s", (F.col("gap") - F.coalesce("last_size", F.lit(0))).alias("gap")), "gaps")
-        left = _left_anti(left, last.select("source", F.col("last_size").alias("size")), ["source", "size"])
-    more = lasts.select(*_UNIT, F.lit(1).alias("more"))
+    left = stored(able_left.groupBy("source", "size").agg(F.min(F.struct("q", "doc_id", "_h")).alias("x"), F.max("gap").alias("gap")), "left")  # a row for each size
+    more = stored(_fillers(left, sources), "more")
     done = _met(marked, F.broadcast(more) if sources <= SOURCES else more, _UNIT)
     cols = [F.col(f"d.{c}") for c in (*_UNIT, "size", "source_size", "target")]
     return done.select(*cols, F.col("d.whole").alias("_whole"), (F.col("d.some") + F.coalesce("x.more", F.lit(0))).alias("_some"), F.col("d.rows").alias("_rows"))
 
 
+def _fillers(left: DataFrame, sources: int) -> DataFrame:
+    """(source, size, x, gap) -> source, doc_id, _h and more = 1 of up to MORE documents a source that fill its gap.
+
+    All rounds are one query, a row a source from each to the next with what is still missing and the
+    picks so far: a query for each cost the driver a plan, its stages and their broadcasts each time.
+    """
+    now = left.groupBy(F.col("source").alias("s")).agg(F.max("gap").alias("now"))
+    picks: list[str] = []
+    for i in range(MORE):
+        off = F.abs(F.col("size") - F.col("now"))
+        fits = F.col("size") <= F.col("now") if i < MORE - 1 else off < F.col("now")
+        for c in picks:
+            fits = fits & ~F.col(f"{c}.size").eqNullSafe(F.col("size"))
+        near = F.min(F.when(fits, F.struct(off.alias("off"), F.col("x"), F.col("size")))).alias(f"n{i}")
+        met = left.drop("gap").join(_sent(now, sources), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        now = met.groupBy(F.col("source").alias("s")).agg(*[F.max(c).alias(c) for c in ("now", *picks)], near)
+        picks.append(f"n{i}")
+        now = now.withColumn("now", F.col("now") - F.coalesce(F.col(f"n{i}.size"), F.lit(0)))
+    found = now.select(F.col("s").alias("source"), F.explode(F.array(*picks)).alias("n")).where("n IS NOT NULL")
+    return found.select("source", F.col("n.x.doc_id").alias("doc_id"), F.col("n.x._h").alias("_h"), F.lit(1).alias("more"))
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")

@@ -118,3 +118,11 @@ def test_equal_rows_against_sql(spark, tmp_path):
     got = mixing.op8_mixing(spark, path).select("doc_id", "size", "source_size", "target", "taken").collect()
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
     assert len({r[4] for r in want if r[0] is None}) > 1
+
+
+def test_few_tables_between(spark, monkeypatch):
+    """Each table between costs the driver a plan, stages and broadcasts; with one or two for each filling document it ran out of memory."""
+    made, stored = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, name: made.append(name) or stored(df, name))
+    mixing.mix(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).count()
+    assert len(made) <= 7
