@@ -18,7 +18,9 @@ they lie about evenly on the sphere and no hashing can tell the nearest from the
 Plan: index rows and queries meet in units, (table, part of the buckets), of about UNIT rows; a query
 goes to a unit once with all the buckets it visits there.  A bucket of more than BLOCK rows is dealt
 into blocks and its queries go to each, so no bucket is met whole in one task and none is cut short.
-Inside a task candidates are scored in numpy and only the best k of each query go on.
+Inside a task candidates are scored in numpy, in single precision first and exactly if they may be among
+the best, and only the best k of each query go on.  A query's finds go on to the next setting with it:
+what doesn't reach its k-th best score is dropped there at once.
 """
 
 from __future__ import annotations
@@ -49,6 +51,7 @@ FINE, COARSE = Setting(8, 12, 2.0, 64), Setting(8, 7, 2.0, 48)
 SURE = 0.92
 BLOCK, UNIT = 4096, 1 << 16
 PAIRS = 1 << 17  # candidate pairs scored at once
+ASKED = 1 << 14  # queries that a task holds beside a unit
 HELD = 400_000  # candidates a task holds before it keeps each query's best
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -121,8 +124,12 @@ class Hashes:
         return 1 - far * far / 2
 
 
+def _given(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return _given(column, dim).astype(np.float64)
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
@@ -135,6 +142,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _single(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in single precision, made from a few rows at a time."""
+    out = np.empty(x.shape, np.float32)
+    for s in range(0, len(x), 4096):
+        out[s : s + 4096] = _unit(x[s : s + 4096].astype(np.float64))
+    return out
+
+
 def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row by row, in one fixed order of additions."""
     x, y = _scaled(x), _scaled(y)
@@ -156,14 +171,35 @@ def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def _search(dim: int, k: int):
-    """Rows sorted by (tab, part, blk), indexed ones and queries with the buckets they visit -> each query's best k of what this task saw."""
+    """Rows sorted by (tab, part, blk, ask), indexed ones (ask 0) and then slices of the queries with the buckets they visit -> each query's best k of what this task saw.
+
+    Pairs are scored in single precision first.  What can't be among a query's best k, by more than that
+    precision is off, goes no further; the rest are compared exactly.  A task holds one unit of rows and
+    one slice of queries.
+    """
+    off = (dim + 8) * 2.0**-23  # more than products of unit vectors are off in single precision
 
-    def met(key: np.ndarray, rows: np.ndarray, visits: list, asked: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query row, index row, cosine) of pairs that share a bucket and reach the query's least, from about PAIRS pairs at a time; rows and asked are unit vectors."""
+    def laid(t: pa.Table) -> tuple:
+        """Of a unit's rows, in order of their buckets: bucket, id, vector, unit vector; and how many rows share an id at most."""
+        key = t.column("buckets").combine_chunks().flatten().to_numpy()
         order = np.argsort(key, kind="stable")
-        key, rows = key[order], rows[order]
-        n = np.array([len(v) for v in visits])
-        want, owner = np.concatenate(visits), np.repeat(np.arange(len(n)), n)
+        ids, x = t.column("id").to_numpy()[order], _given(t.column("v").combine_chunks(), dim)[order]
+        return key[order], ids, x, _single(x), int(np.unique(ids, return_counts=True)[1].max())
+
+    def met(key: np.ndarray, rows: np.ndarray, want: np.ndarray, owner: np.ndarray, asked: np.ndarray, bar: np.ndarray, deep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query row, index row) of pairs that share a bucket and may be among the query's best; bar, what a query's pairs must reach, rises meanwhile."""
+        held, held_n, scored = [], 0, 0
+
+        def told() -> tuple[np.ndarray, np.ndarray]:
+            q, at, s = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((-s, q))
+            q, at, s = q[order], at[order], s[order]
+            first = np.flatnonzero(np.diff(q, prepend=-1) != 0)
+            full = first[np.diff([*first, len(q)]) >= deep]
+            bar[q[full]] = np.maximum(bar[q[full]], s[full + deep - 1] - 2 * off)
+            keep = s >= bar[q]
+            return q[keep], at[keep]
+
         by = np.argsort(want, kind="stable")
         want, owner = want[by], owner[by]
         first = np.flatnonzero(np.diff(want, prepend=~want[:1]) != 0)
@@ -171,24 +207,25 @@ def _search(dim: int, k: int):
         lo, hi = np.searchsorted(key, want[first], "left"), np.searchsorted(key, want[first], "right")
         some = hi > lo
         first, count, lo, size = first[some], count[some], lo[some], (hi - lo)[some]
-        large = count * size >= 64
-        held, held_n = [], 0
-        for f, k, at, m in zip(*(v[large].tolist() for v in (first, count, lo, size)), strict=True):
-            for s in range(f, f + k, max(1, PAIRS // m)):
-                q = owner[s : min(f + k, s + max(1, PAIRS // m))]
-                score = asked[q] @ rows[at : at + m].T
-                a, b = np.nonzero(score >= least[q][:, None])
-                held.append((q[a], order[at + b], score[a, b]))
-                held_n += len(q) * m
-                if held_n >= PAIRS:
-                    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                    held, held_n = [], 0
-        if held:
-            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        large = count * size >= 128
+        for f, c, at, m in zip(*(v[large].tolist() for v in (first, count, lo, size)), strict=True):
+            for r in range(at, at + m, BLOCK):
+                block = rows[r : min(at + m, r + BLOCK)].T
+                n = block.shape[1]
+                for s in range(f, f + c, max(1, PAIRS // n)):
+                    q = owner[s : min(f + c, s + max(1, PAIRS // n))]
+                    score = asked[q] @ block
+                    hit = np.flatnonzero(score >= bar[q][:, None])
+                    scored += score.size
+                    if len(hit):
+                        row = hit // n
+                        held.append((q[row], r + hit - row * n, score.ravel()[hit]))
+                        held_n += len(hit)
+                    if held_n and (held_n >= PAIRS // 4 or scored >= 32 * PAIRS):
+                        yield told()
+                        held, held_n, scored = [], 0, 0
         # small buckets, many at a time
         each = np.repeat(np.flatnonzero(~large), count[~large])
-        if not len(each):
-            return
         inside = np.arange(len(each)) - np.repeat(np.cumsum(count[~large]) - count[~large], count[~large])
         owner, lo, size = owner[first[each] + inside], lo[each], size[each]
         run, s = np.cumsum(size), 0
@@ -197,41 +234,45 @@ def _search(dim: int, k: int):
             m = size[s:e]
             at = np.repeat(lo[s:e], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
             q = np.repeat(owner[s:e], m)
-            yield q, order[at], np.einsum("ij,ij->i", asked[q], rows[at])
+            score = np.einsum("ij,ij->i", asked[q], rows[at])
+            hit = np.flatnonzero(score >= bar[q])
+            held.append((q[hit], at[hit], score[hit]))
+            held_n += len(hit)
+            if held_n >= PAIRS // 4:
+                yield told()
+                held, held_n = [], 0
             s = e
+        if held_n:
+            yield told()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n = 0
+        unit, index = None, None
 
         def out():
             best = _best(*(np.concatenate(x) for x in zip(*held, strict=True)), k)
             return [best], len(best[0]), pa.RecordBatch.from_arrays([pa.array(x) for x in best], schema=_FOUND)
 
-        for t in grouped(batches, ["tab", "part", "blk"]):
-            probe = t.column("probe").to_numpy() == 1
-            if probe.all() or not probe.any():
+        for t in grouped(batches, ["tab", "part", "blk", "ask"]):
+            *of, ask = (t.column(c)[0].as_py() for c in ("tab", "part", "blk", "ask"))
+            if ask == 0:
+                unit, index = of, laid(t)
                 continue
-            ids, x = t.column("id").to_numpy(), _matrix(t.column("v").combine_chunks(), dim)
-            unit = _unit(x)
-            q, c = np.flatnonzero(probe), np.flatnonzero(~probe)
+            if unit != of:
+                continue
+            key, ids, x, rows, most = index
+            asked_ids, asked = t.column("id").to_numpy(), _given(t.column("v").combine_chunks(), dim)
             lists = t.column("buckets").combine_chunks()
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            least = np.full(len(q), -8.0)  # each query's k-th best so far
-            for a, b, s in met(flat[ends[c]], unit[c], [flat[ends[r] : ends[r + 1]] for r in q], unit[q], least):
-                i, j = q[a], c[b]
-                ok = (s >= least[a]) & (ids[i] != ids[j])
-                if not ok.any():
+            least = t.column("least").combine_chunks().fill_null(-8.0).to_numpy(zero_copy_only=False)
+            # of (k + 1) * most rows, k + 1 have different ids and k another one than the query
+            for a, b in met(key, rows, lists.flatten().to_numpy(), np.repeat(np.arange(len(asked)), lists.value_lengths().to_numpy()), _single(asked), (least - off).astype(np.float32), (k + 1) * most):
+                ok = asked_ids[a] != ids[b]
+                a, b = a[ok], b[ok]
+                if not len(a):
                     continue
-                a, i, j = a[ok], i[ok], j[ok]
-                found = _best(ids[i], ids[j], _cosines(x[i], x[j]), k)
-                held.append(found)
-                n += len(found[0])
-                whose, first, count = np.unique(found[0], return_index=True, return_counts=True)
-                of = np.full(len(whose), -1)
-                of[np.searchsorted(whose, ids[i])] = a
-                full = count == k
-                least[of[full]] = np.maximum(least[of[full]], found[2][first[full] + k - 1] - 1e-9)  # less what rounding may do
+                held.append(_best(asked_ids[a], ids[b], _cosines(asked[a].astype(np.float64), x[b].astype(np.float64)), k))
+                n += len(held[-1][0])
             if n > HELD:
                 held, n, batch = out()
                 if n > HELD // 2:
@@ -275,8 +316,13 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -
     return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fit).where(fine)
 
 
+def _slice(queries: int):
+    """Which slice of at most about ASKED queries one belongs to, from 1."""
+    return (F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries // ASKED)))) + 1).cast("int").alias("ask")
+
+
 def candidates(rows: DataFrame, queries: DataFrame, hashes: Hashes, dim: int) -> DataFrame:
-    """Index rows and queries placed in the units where they meet: (tab, part, blk, probe, id, v, buckets).
+    """Index rows and queries placed in the units where they meet: (tab, part, blk, ask, id, v, buckets, least).
 
     A query's row is there once for each unit, with all the buckets that it visits in it.
     """
@@ -286,16 +332,15 @@ def candidates(rows: DataFrame, queries: DataFrame, hashes: Hashes, dim: int) ->
     index = index.select("id", "v", F.posexplode("buckets").alias("tab", "bucket"))
     # Blocks of large buckets: at most tables * rows / BLOCK of them.
     hot = stored(index.groupBy("tab", "bucket").count().where(F.col("count") > BLOCK).select("tab", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot")
-    visits = queries.mapInArrow(_visits(hashes, dim), "id long, tab int, visits array<long>").select("id", "tab", F.explode("visits").alias("bucket"))
+    visits = queries.select("id", "v").mapInArrow(_visits(hashes, dim), "id long, tab int, visits array<long>").select("id", "tab", F.explode("visits").alias("bucket"))
     if hot.isEmpty():
         index, visits = (d.withColumn("blocks", F.lit(1)) for d in (index, visits))
     else:
         index, visits = (d.join(hot, ["tab", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) for d in (index, visits))
     part = F.pmod("bucket", parts).cast("int").alias("part")
-    placed = index.select("tab", part, F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("blk"), F.lit(0).alias("probe"), "id", "v", F.array("bucket").alias("buckets"))
-    asked = visits.select("tab", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), "id", "bucket").groupBy("tab", "part", "blk", "id").agg(F.collect_list("bucket").alias("buckets"))
-    asked = asked.join(queries.groupBy("id").agg(F.collect_set("v").alias("vs")).withColumn("v", F.explode("vs")).drop("vs"), "id")
-    return placed.union(asked.select("tab", "part", "blk", F.lit(1).alias("probe"), "id", "v", "buckets"))
+    placed = index.select("tab", part, F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("blk"), F.lit(0).alias("ask"), "id", "v", F.array("bucket").alias("buckets"), F.lit(None).cast("double").alias("least"))
+    asked = visits.select("tab", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), "id", "bucket").groupBy("tab", "part", "blk", "id").agg(F.collect_set("bucket").alias("buckets"))
+    return placed.union(asked.join(queries, "id").select("tab", "part", "blk", _slice(queries.count()), "id", "v", "buckets", "least"))
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, fine: Setting = FINE, coarse: Setting = COARSE, sure: float = SURE) -> DataFrame:
@@ -319,23 +364,29 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, fine: Setting = FIN
         return once.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     def search(met: DataFrame) -> DataFrame:
-        return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_search(dim, k), found_schema)
+        return met.repartition(*keys).sortWithinPartitions(*keys, "ask").mapInArrow(_search(dim, k), found_schema)
 
-    done, left = [], queries
+    # What a query has found goes on with it: its k-th best score is what further finds must reach.
+    done, left = [], queries.select("id", "v").distinct().withColumn("least", F.lit(None).cast("double"))
+    before = None
     for setting in (fine, coarse):
         h = Hashes(dim, setting)
-        found = stored(ranked(search(candidates(rows, left, h, dim))), "found")
-        near = found.where((F.col("rank") == k) & (F.col("score") >= h.least_cosine(sure))).select("query_id")
+        found = search(candidates(rows, left, h, dim))
+        found = stored(ranked(found if before is None else found.union(before)), "found")
+        last = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+        near = last.where(F.col("least") >= h.least_cosine(sure)).select(F.col("id").alias("query_id"))
         done.append(found.join(near, "query_id", "left_semi").select("query_id", "rank", "vec_id", "score"))
-        left = stored(left.join(near.withColumnRenamed("query_id", "id"), "id", "left_anti"), "left")
+        left = stored(left.drop("least").join(near.withColumnRenamed("query_id", "id"), "id", "left_anti").join(last, "id", "left"), "left")
+        before = found.join(near, "query_id", "left_anti").select("query_id", "vec_id", "score")
         if left.isEmpty():
             break
     else:  # exactly, against all rows in blocks
         blocks = max(1, -(-rows.count() // BLOCK))
         one = [F.lit(0).alias("tab"), F.lit(0).alias("part")]
-        whole = rows.select(*one, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"), F.lit(0).alias("probe"), "id", "v", F.array(F.lit(0).cast("long")).alias("buckets"))
-        asked = left.select(*one, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), F.lit(1).alias("probe"), "id", "v", F.array(F.lit(0).cast("long")).alias("buckets"))
-        done.append(ranked(search(whole.union(asked))))
+        bucket = F.array(F.lit(0).cast("long")).alias("buckets")
+        whole = rows.select(*one, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"), F.lit(0).alias("ask"), "id", "v", bucket, F.lit(None).cast("double").alias("least"))
+        asked = left.select(*one, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), _slice(left.count()), "id", "v", bucket, "least")
+        done.append(ranked(search(whole.union(asked)).union(before)))
     out = done[0]
     for d in done[1:]:
         out = out.union(d)

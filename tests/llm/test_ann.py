@@ -141,3 +141,37 @@ def test_recall_of_the_query_at_fifty_thousand(spark, tmp_path, centres):
     assert len(got) == n // 50 and all(len(v) == 5 for v in got.values())
     hits = sum(len(got[50 * i] & set(map(int, w))) for i, w in enumerate(want))
     assert hits >= 0.9 * 5 * len(want), hits / 5 / len(want)
+
+
+def test_few_pairs_are_compared_exactly(monkeypatch):
+    """Of a bucket that all queries visit, only pairs that may be among the best are scored in double precision; before, all of them were in each query's first bucket of a unit."""
+    rng = np.random.default_rng(3)
+    x, asked = rng.normal(size=(3000, 16)), rng.normal(size=(200, 16))
+    ids = rng.permutation(3000) // 2 * 2  # every id twice, so a query's best rows may share one
+    u = asked / np.linalg.norm(asked, axis=1)[:, None]
+    s = u @ (x / np.linalg.norm(x, axis=1)[:, None]).T
+    want = {}
+    for i, row in enumerate(s):
+        best = {}
+        for v, c in zip(ids.tolist(), row.tolist(), strict=True):
+            if v != 2 * i:
+                best[v] = max(best.get(v, -2.0), c)
+        want[2 * i] = sorted(best, key=lambda v: (-best[v], v))[:5]
+    one = lambda n, kind: pa.array(np.zeros(n), kind)
+
+    def batch(ask, ids, v, least):
+        n = len(ids)
+        return pa.RecordBatch.from_pydict({"tab": one(n, pa.int32()), "part": one(n, pa.int32()), "blk": one(n, pa.int32()), "ask": pa.array([ask] * n, pa.int32()), "id": pa.array(ids, pa.int64()), "v": pa.array(list(v)), "buckets": pa.array([[7]] * n, pa.list_(pa.int64())), "least": pa.array(least, pa.float64())})
+
+    real, compared = ann._cosines, []
+    monkeypatch.setattr(ann, "_cosines", lambda a, b: compared.append(len(a)) or real(a, b))
+    asks = [2 * i for i in range(200)]
+    for least, most in (([None] * 200, 200 * 3000 // 20), ([float(np.sort(r)[-40]) for r in s], 200 * 40)):
+        compared.clear()
+        slices = [batch(1 + h, asks[h * 100 : h * 100 + 100], asked[h * 100 : h * 100 + 100], least[h * 100 : h * 100 + 100]) for h in (0, 1)]
+        found = {}
+        for b in ann._search(16, 5)(iter([batch(0, ids, x, [None] * 3000), *slices])):
+            for r in b.to_pylist():
+                found.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+        assert {q: [v for _, v in sorted(f)[:5]] for q, f in found.items()} == want
+        assert sum(compared) <= most
