@@ -1,6 +1,7 @@
 """The kept word index against the search that reads all texts."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,33 @@ def test_empty(spark):
     none = spark.createDataFrame([], TEXT)
     index = TextIndex(spark, shared_folder(spark, "index")).build(none, "id", "text")
     assert index.topk(spark.createDataFrame([(1, "w0")], "q long, text string"), 3, "q", "text").count() == 0
+
+
+def test_units_send_the_best_only(spark, monkeypatch):
+    """A unit adds its weights up and sends k rows a query on, ties to the smaller id; before, each pair of a query and a document's term was a row."""
+    monkeypatch.setattr(text_index, "PAIRS", 300)  # many steps within a unit
+    rng = np.random.default_rng(6)
+    asked = sorted({(int(q), int(c)) for q, c in zip(rng.integers(0, 9, 60), rng.integers(0, 30, 60), strict=True)})
+    weight = {(int(d), int(c)): float(rng.integers(1, 4)) for d, c in zip(rng.integers(0, 400, 3000), rng.integers(0, 40, 3000), strict=True)}
+    entries = [(d * 7, c, w) for (d, c), w in weight.items()]
+    rng.shuffle(entries)
+
+    def batch(what, rows):
+        ids, codes, w = zip(*rows, strict=True)
+        return pa.RecordBatch.from_pydict({"unit": pa.array([3] * len(rows), pa.int32()), "what": pa.array([what] * len(rows), pa.int32()), "id": pa.array([int(i) for i in ids], pa.int64()), "code": pa.array([int(c) for c in codes], pa.int64()), "w": pa.array([float(x) for x in w])})
+
+    batches = [batch(0, [(q, c, 0.0) for q, c in asked]), *(batch(1, entries[i : i + 500]) for i in range(0, len(entries), 500))]
+    got = [tuple(r.values()) for b in text_index._added_up(5, 6)(iter(batches)) for r in b.to_pylist()]
+    want = []
+    for q in {q for q, _ in asked}:
+        mine, sums = [c for x, c in asked if x == q], {}
+        for d, c, w in entries:
+            if c in mine:
+                sums[int(d)] = sums.get(int(d), 0.0) + w
+        want += [(q, d, sums[d]) for d in sorted(sums, key=lambda d: (-sums[d], d))[:5]]
+    assert sorted(got) == sorted(want)
+    monkeypatch.setattr(text_index, "UNIT", 256)
+    monkeypatch.setattr(text_index, "AT_ONCE", 2)  # several units of queries and of documents
+    docs = spark.createDataFrame(rows_of(300, 8), TEXT)
+    index = TextIndex(spark, shared_folder(spark, "index"), buckets=4).build(docs, "id", "text")
+    same(index, docs, spark.createDataFrame([(i, f"w{i} w{i + 3} w0") for i in range(7)], "q long, text string"), 6)
