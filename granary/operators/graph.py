@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.discovery import link_address
@@ -78,51 +78,119 @@ def reachable(edges: DataFrame, seeds: DataFrame, most_depth: int | None = None)
     return out
 
 
-def _crawl(out_edges: dict, kinds: dict, seed: str, max_depth: int, max_files: int, max_urls: int | None) -> list[tuple[str, int, str, int]]:
-    """Depth first in link order; a page is marked when it is first seen; budgets are looked at before each page."""
-    seen, stack, got = {seed}, [], [(seed, 0, kinds.get(seed, "html"), 0)]
-    n_files, n_urls = 0, 1
+LINKS = 1000  # links of a page that are fetched at once
+AHEAD = 256  # pages of a seed's crawl whose links are fetched before it gets there
+SENT = 100_000  # rows that may be broadcast
 
-    def push(parent: str, depth: int):
-        fresh = [c for c in dict.fromkeys(out_edges.get(parent, [])) if c not in seen]
-        seen.update(fresh)
-        stack.extend((c, depth) for c in reversed(fresh))
 
-    push(seed, 1)
-    while stack and n_files < max_files and (max_urls is None or n_urls < max_urls):
-        node, depth = stack.pop()
-        if depth > max_depth or (kind := kinds.get(node)) is None:
-            continue
-        n_urls += 1
-        if kind == "pdf":
-            n_files += 1
-        if kind in ("pdf", "html"):
-            got.append((node, depth, kind, len(got)))
-        if kind == "html" and depth < max_depth:
-            push(node, depth + 1)
-    return got
+class _Missing(Exception):
+    """Links that a crawl needs next and that weren't fetched yet."""
+
+
+def _crawl(fetched: dict, seed: str, kind: str | None, links: int, max_depth: int, max_files: int, max_urls: int | None) -> tuple[list, list, list, list]:
+    """Depth first in link order; a page is marked when it is first seen; budgets are looked at before each page.
+
+    Goes as far as the links that were fetched.  fetched: by page its parts, each (upto, [(pos, url,
+    kind)]): the links, one more than ``links`` if there are others, that none of the first ``upto``
+    pages marked.  Parts fetched earlier are good as long as all that was marked since is known.
+    Returns visits (node, depth, kind, n), pages that marked their links in order, fetched pages that
+    come soon, and what to fetch: (page, part, upto, pos and url of the last known link).
+    """
+    seen, stack, got = {seed}, [], [(seed, 0, kind, 0)]
+    n_files, n_urls, marked, known_from = 0, 1, [], 0
+
+    def good(page: str) -> bool:
+        return page in fetched and fetched[page][0][0] >= known_from
+
+    def push(page: str, depth: int) -> None:
+        nonlocal known_from
+        if not good(page):
+            raise _Missing(page, 0, len(marked), None, None)
+        parts = [found[:links] for _, found in fetched[page]]
+        fresh = [x for i, found in enumerate(parts) for x in found if i or x[1] not in seen]
+        seen.update(url for _, url, _ in fresh)
+        if len(fetched[page][-1][1]) > links:  # what else it marks isn't known
+            known_from = len(marked) + 1
+            stack.append((page, None, (page, len(parts), len(marked), *parts[-1][-1][:2])))
+        stack.extend((url, depth, kind) for _, url, kind in reversed(fresh))
+        marked.append(page)
+
+    try:
+        if max_depth > 0 and max_files > 0 and (max_urls is None or max_urls > 1):
+            push(seed, 1)
+        while stack and n_files < max_files and (max_urls is None or n_urls < max_urls):
+            node, depth, kind = stack.pop()
+            if depth is None:
+                raise _Missing(*kind)
+            n_urls += 1
+            if kind == "pdf":
+                n_files += 1
+            if kind in ("pdf", "html"):
+                got.append((node, depth, kind, len(got)))
+            if kind == "html" and depth < max_depth:
+                push(node, depth + 1)
+    except _Missing as e:
+        soon = [node for node, depth, kind in reversed(stack) if depth is not None and kind == "html" and depth < max_depth]
+        soon = soon[: AHEAD if max_urls is None else min(AHEAD, max_urls - n_urls)]
+        return got, marked, [x for x in soon if good(x)], [e.args, *((x, 0, len(marked), None, None) for x in soon if not good(x))]
+    return got, marked, [], []
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SENT else df
 
 
 def crawl(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int = 10, max_files: int = 50, max_urls: int | None = None) -> DataFrame:
     """(seed, node, depth, kind, n): the pages each seed's crawl visits, in order, under its budgets.
 
-    What a budget cuts off depends on the order of visits, so one seed's crawl is sequential; seeds
-    run side by side, each over the part of the graph that it reaches within ``max_depth``.
-    edges: (src, dst, pos); nodes: (url, kind), absent ones can't be fetched; seeds: (seed).
+    What a budget cuts off depends on the order of visits, so one seed's crawl is sequential; seeds run
+    side by side.  A crawl holds the links of the pages it visits and of at most AHEAD more, LINKS at a
+    time of each, not the graph: a round goes as far as they reach, and the links it needs next are
+    then looked for in the table, without those that visited pages marked.
+    edges: (src, dst, pos), equal links at their first place, ties by dst; nodes: (url, kind), absent
+    ones can't be fetched, of several kinds the greatest counts; seeds: (seed).  Seeds that are neither
+    a node nor have links visit nothing.
     """
-    near = reachable(edges, seeds, max_depth)
-    own = near.join(edges, near.node == edges.src).select("seed", "src", "dst", "pos")
-    kinds = own.select("seed", F.col("dst").alias("url")).union(seeds.select("seed", F.col("seed").alias("url"))).distinct().join(nodes, "url")
-    rows = own.select("seed", F.lit("edge").alias("what"), "src", "dst", "pos").union(kinds.select("seed", F.lit("node"), "url", "kind", F.lit(0)))
+    nodes = kept(nodes.where("url IS NOT NULL").groupBy("url").agg(F.max("kind").alias("kind")), "nodes")
+    some = seeds.select("seed").distinct()
+    some = some.join(_sent(kept(some.join(nodes, some.seed == nodes.url).select("seed", "kind"), "kinds")).withColumn("known", F.lit(True)), "seed", "left")
+    some = some.join(edges.join(_sent(kept(seeds.select(F.col("seed").alias("src")).distinct(), "seeds")), "src", "left_semi").select(F.col("src").alias("seed"), F.lit(True).alias("linked")).distinct(), "seed", "left")
+    some = kept(some.where("known OR linked").select("seed", F.when(F.col("known"), F.col("kind")).otherwise("html").alias("kind")), "seeds")
+    nodes, edges = nodes.where("kind IS NOT NULL"), kept(edges.select("src", "dst", F.col("pos").cast("long").alias("pos")).where("src IS NOT NULL AND dst IS NOT NULL"), "edges")
+    links = LINKS if max_urls is None else max(1, min(LINKS, max_urls))
+    row = "seed string, page string, part int, upto int, n int, pos long, url string, kind string"
+    known = some.select("seed", F.lit(None).cast("string").alias("page"), F.lit(0).alias("part"), F.lit(0).alias("upto"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("url"), "kind")
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        e = df[df.what == "edge"].sort_values(["src", "pos"], kind="stable")
-        n = df[df.what == "node"]
-        out = e.groupby("src", sort=False)["dst"].apply(list).to_dict() if len(e) else {}
-        got = _crawl(out, dict(zip(n.src, n.dst, strict=True)), key[0], max_depth, max_files, max_urls)
-        return pd.DataFrame([(key[0], *g) for g in got], columns=["seed", "node", "depth", "kind", "n"])
-
-    return rows.groupBy("seed").applyInPandas(run, "seed string, node string, depth int, kind string, n int")
+        none = df["page"].isna()
+        kind = df["kind"][none].iloc[0]
+        fetched: dict = {}
+        for (page, _, upto), part in df[~none].sort_values("n", kind="stable").groupby(["page", "part", "upto"]):  # parts in order
+            found = part[part["url"].notna()]
+            fetched.setdefault(page, []).append((upto, list(zip((None if p != p else int(p) for p in found["pos"]), found["url"], found["kind"], strict=True))))
+        got, marked, soon, need = _crawl(fetched, key[0], kind if isinstance(kind, str) else None, links, max_depth, max_files, max_urls)
+        rows = [("visit", node, depth, kind, n, 0, None, None) for node, depth, kind, n in got]
+        rows += [("marked", page, 0, None, n, 0, None, None) for n, page in enumerate(marked)] + [("soon", page, 0, None, 0, 0, None, None) for page in soon]
+        rows += [("need", page, 0, None, upto, part, pos, url) for page, part, upto, pos, url in need]
+        out = pd.DataFrame(rows, columns=["what", "node", "depth", "kind", "n", "part", "pos", "url"])
+        return out.assign(seed=key[0], pos=out["pos"].astype("Int64"))
+
+    while True:
+        at = kept(known.groupBy("seed").applyInPandas(run, "seed string, what string, node string, depth int, kind string, n int, part int, pos long, url string"), "crawled")
+        need = at.where("what = 'need'").select("seed", F.col("node").alias("src"), "part", F.col("n").alias("upto"), F.col("pos").alias("last_pos"), F.col("url").alias("last_url"))
+        if need.isEmpty():
+            return at.where("what = 'visit'").select("seed", "node", "depth", "kind", "n")
+        need, used = _sent(need), at.where("what IN ('marked', 'soon')").select("seed", F.col("node").alias("page"))
+        found = edges.join(need, "src").where(F.col("dst") != F.col("seed")).groupBy("seed", "src", "part", "upto", "last_pos", "last_url", "dst").agg(F.min("pos").alias("pos"))
+        place = lambda pos, url: F.struct(pos.isNull(), F.coalesce(pos, F.lit(0)), url)
+        found = found.where((F.col("part") == 0) | (place(F.col("pos"), F.col("dst")) > place(F.col("last_pos"), F.col("last_url"))))
+        marks = edges.join(_sent(at.where("what = 'marked'").select("seed", F.col("node").alias("src"), F.col("n").alias("nth"))), "src").groupBy("seed", "dst").agg(F.min("nth").alias("nth"))
+        fresh = kept(found.join(marks, ["seed", "dst"], "left").where(F.col("nth").isNull() | (F.col("nth") >= F.col("upto"))).select("seed", F.col("src").alias("page"), "part", "upto", "pos", F.col("dst").alias("url")), "fresh")
+        order = Window.partitionBy("seed", "page", "part", "upto").orderBy(F.col("pos").asc_nulls_last(), "url")
+        first = nodes.join(_sent(fresh), "url").withColumn("n", F.row_number().over(order)).where(F.col("n") <= links + 1)
+        asked = need.select("seed", F.col("src").alias("page"), "part", "upto").join(first, ["seed", "page", "part", "upto"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        cols = [c.split()[0] for c in row.split(", ")]
+        known = kept(known.where("page IS NULL").union(known.join(used, ["seed", "page"], "left_semi").select(cols)).union(asked.select(cols)), "known")
 
 
 def title_state(detected, inherited, ttl, depth):

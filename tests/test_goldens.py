@@ -145,6 +145,75 @@ def test_crawl(spark):
     assert depths == {"root": 0, "page1": 1, "page2": 1, "pdf2": 1, "page3": 2, "pdf1": 2, "pdf3": 3, "pdf4": 3}
 
 
+def whole_crawl(edges, kinds, seed, max_depth, max_files, max_urls):
+    """The crawl with the whole graph in memory."""
+    out = {}
+    for a, b, _ in sorted(edges, key=lambda e: (e[0], e[2] is None, e[2] or 0, e[1])):
+        out.setdefault(a, []).append(b)
+    seen, stack, got, n_files, n_urls = {seed}, [], [seed], 0, 1
+
+    def push(page, depth):
+        fresh = [c for c in dict.fromkeys(out.get(page, [])) if c not in seen]
+        seen.update(fresh)
+        stack.extend((c, depth) for c in reversed(fresh))
+
+    push(seed, 1)
+    while stack and n_files < max_files and (max_urls is None or n_urls < max_urls):
+        node, depth = stack.pop()
+        if depth > max_depth or node not in kinds:
+            continue
+        n_urls, n_files = n_urls + 1, n_files + (kinds[node] == "pdf")
+        if kinds[node] in ("pdf", "html"):
+            got.append(node)
+        if kinds[node] == "html" and depth < max_depth:
+            push(node, depth + 1)
+    return got
+
+
+def test_crawl_of_fetched_links(monkeypatch):
+    """A crawl that knows a few links of a page at a time visits what one with the whole graph does, and never holds more than these."""
+    import random
+
+    monkeypatch.setattr(g, "AHEAD", 3)
+    for seed in range(300):
+        rnd = random.Random(seed)
+        n = rnd.choice((5, 12, 30))
+        name = [f"p{i}" for i in range(n)]
+        edges = list({(a, b): (a, b, rnd.choice((None, *range(9)))) for a in name for b in rnd.sample(name, rnd.randint(0, min(n, 8)))}.values())
+        kinds = {x: rnd.choice(("html", "html", "pdf", "image")) for x in name if rnd.random() < 0.9}
+        depth, files, urls, links = rnd.randint(0, 5), rnd.randint(0, 6), rnd.choice((None, rnd.randint(0, 15))), rnd.randint(1, 4)
+        fetched, most = {}, 0
+        for _ in range(500):
+            got, marked, soon, need = g._crawl(fetched, "p0", "html", links, depth, files, urls)
+            if not need:
+                break
+            fetched = {x: fetched[x] for x in {*marked, *soon} if x in fetched}
+            for page, part, upto, pos, url in need:
+                at = {b: (p is None, p or 0, b) for a, b, p in edges if a == page and b in kinds and b != "p0"}
+                old = {b for a, b, _ in edges if a in marked[:upto]}
+                fresh = sorted(v for b, v in at.items() if b not in old and (part == 0 or v > (pos is None, pos or 0, url)))[: links + 1]
+                fetched[page] = [*(fetched[page] if part else []), (upto, [(None if x[0] else x[1], x[2], kinds[x[2]]) for x in fresh])]
+            most = max(most, len(fetched) - len(marked))
+        assert not need and [x[0] for x in got] == whole_crawl(edges, kinds, "p0", depth, files, urls), seed
+        assert most <= 4
+
+
+def test_crawl_by_rounds(spark, monkeypatch):
+    """Few links at a time, budgets that end in a large page, pages that link to marked ones, equal and missing places, seeds without links."""
+    monkeypatch.setattr(g, "LINKS", 2)
+    monkeypatch.setattr(g, "AHEAD", 2)
+    edges = [("a", f"b{i}", 9 - i % 4) for i in range(7)] + [("b1", f"b{i}", i) for i in range(7)] + [("b3", x, None) for x in ("z", "y", "gone", "a")] + [("b3", "x", 5), ("b2", "y", 1), ("b2", "w", 1), ("b2", "w", 0), (None, "a", 0), ("b2", None, 0), ("only", None, 1)]
+    kinds = {**{f"b{i}": "html" for i in range(7)}, "a": "html", "x": "pdf", "y": "pdf", "z": "image", "w": "pdf", "alone": "pdf"}
+    e = spark.createDataFrame(edges, "src string, dst string, pos int")
+    nodes = spark.createDataFrame(list(kinds.items()), "url string, kind string")
+    seeds = spark.createDataFrame([("a",), ("a",), ("b2",), ("alone",), ("only",), ("nowhere",), (None,)], "seed string")
+    got = {}
+    for r in sorted(g.crawl(e, nodes, seeds, max_depth=3, max_files=3, max_urls=9).collect(), key=lambda r: r.n):
+        got.setdefault(r.seed, []).append(r.node)
+    fit = [x for x in edges if x[0] and x[1]]
+    assert got == {s: whole_crawl(fit, kinds, s, 3, 3, 9) for s in ("a", "b2", "alone", "only")}
+
+
 def test_titles(spark):
     df = spark.createDataFrame([("New", "Old", 2, 3), (None, "Old", 2, 3), (None, "Old", 1, 3), ("Only", None, 0, 0)], "d string, i string, t int, n int")
     title, ttl = g.title_state(F.col("d"), F.col("i"), F.col("t"), F.col("n"))
