@@ -75,21 +75,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(length, pa.int32()), pa.ListArray.from_arrays(ends, terms)], ["id", "len", "terms"])
 
 
-def _cut(block: int):
-    """(key, bucket, term, shard, id, tf, len) sorted by key, a hash of term and shard -> blocks of at most ``block`` documents."""
+def _cut(block: int, buckets: int):
+    """(term, shard, id, tf, len, key) sorted by key, the term's hash -> blocks of at most ``block`` documents."""
 
     def blocks(t: pa.Table) -> pa.RecordBatch:
         words = t.column("term").combine_chunks().dictionary_encode()
-        bucket, shard, ids, tf, length = (t.column(c).to_numpy() for c in ("bucket", "shard", "id", "tf", "len"))
+        key, shard, ids, tf, length = (t.column(c).to_numpy() for c in ("key", "shard", "id", "tf", "len"))
         term = words.indices.to_numpy()
         order = np.lexsort((ids, length, -tf, shard, term))
-        bucket, shard, ids, tf, length, term = (x[order] for x in (bucket, shard, ids, tf, length, term))
+        key, shard, ids, tf, length, term = (x[order] for x in (key, shard, ids, tf, length, term))
         new = np.append(True, (term[1:] != term[:-1]) | (shard[1:] != shard[:-1]))
         place = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
         at = np.flatnonzero(place % block == 0)
         entries = pa.StructArray.from_arrays([pa.array(ids), pa.array(tf), pa.array(length)], ["id", "tf", "len"])
         entries = pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), entries)
-        columns = [words.dictionary.take(pa.array(term[at])), pa.array(shard[at]), pa.array((place[at] // block).astype(np.int32)), pa.array(tf[at]), pa.array(np.minimum.reduceat(length, at)), entries, pa.array(bucket[at])]
+        columns = [words.dictionary.take(pa.array(term[at])), pa.array(shard[at]), pa.array((place[at] // block).astype(np.int32)), pa.array(tf[at]), pa.array(np.minimum.reduceat(length, at)), entries, pa.array(np.mod(key[at], buckets).astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, ["term", "shard", "block", "most", "least", "entries", "bucket"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +229,14 @@ class TextIndex:
     def _write(self, docs: DataFrame, id_col: str, text_col: str, gone: DataFrame | None) -> None:
         gens = self.generations()
         gen = max(gens, default=-1) + 1
-        put = lambda df, name, *by: df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{name}/gen={gen}") if by else df.write.mode("overwrite").parquet(f"{self.path}/{name}/gen={gen}")
-        one = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+        out = lambda df: df.write.mode("overwrite").option("compression", "zstd")
+        put = lambda df, name, *by: (out(df).partitionBy(*by) if by else out(df)).parquet(f"{self.path}/{name}/gen={gen}")
+        given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        twice = kept(given.groupBy("id").count().where("count > 1").select("id"), "twice")
+        one = given  # texts are shuffled only where an id repeats
+        if not twice.isEmpty():
+            twice = _sent(twice)
+            one = given.join(twice, "id", "left_anti").union(given.join(twice, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
         words = one.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("ts"))
         put(words.mapInArrow(_counted, _COUNTED), "documents")
         added = self.spark.read.schema(_COUNTED).parquet(f"{self.path}/documents/gen={gen}")
@@ -239,9 +245,9 @@ class TextIndex:
         hot = df.where(F.col("df") > HOT).select("term", F.ceil(F.col("df") / HOT).cast("int").alias("shards"))
         dealt = postings.join(_sent(hot), "term", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"), F.lit(0)))
         slots = max(1, -(-(df.agg(F.sum("df")).first()[0] or 0) // (self.buckets * SLOT)))
-        placed = dealt.select(F.xxhash64("term", "shard").alias("key"), _bucket(F.col("term"), self.buckets).alias("bucket"), "term", "shard", "id", "tf", "len")
-        placed = placed.repartition("bucket", F.pmod("key", F.lit(slots))).sortWithinPartitions("key")
-        put(placed.mapInArrow(_cut(BLOCK), "term string, shard int, block int, most int, least int, entries array<struct<id long, tf int, len int>>, bucket int"), "postings", "bucket")
+        placed = dealt.select("term", "shard", "id", "tf", "len").repartition(_bucket(F.col("term"), self.buckets), F.pmod(F.xxhash64("term", "shard"), F.lit(slots)))
+        placed = placed.withColumn("key", F.xxhash64("term")).sortWithinPartitions("key")
+        put(placed.mapInArrow(_cut(BLOCK, self.buckets), "term string, shard int, block int, most int, least int, entries array<struct<id long, tf int, len int>>, bucket int"), "postings", "bucket")
         change = df.select("term", F.col("df").alias("change"))
         counts = added.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         if gone is not None and gens:

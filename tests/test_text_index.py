@@ -116,3 +116,11 @@ def test_units_send_the_best_only(spark, monkeypatch):
     docs = spark.createDataFrame(rows_of(300, 8), TEXT)
     index = TextIndex(spark, shared_folder(spark, "index"), buckets=4).build(docs, "id", "text")
     same(index, docs, spark.createDataFrame([(i, f"w{i} w{i + 3} w0") for i in range(7)], "q long, text string"), 6)
+
+
+def test_repeated_ids(spark):
+    rows = rows_of(40, 9) + [(3, "w1 w2 w2"), (3, "w5"), (7, None), (7, "w9 w9")]
+    docs = spark.createDataFrame(rows, TEXT)
+    index = TextIndex(spark, shared_folder(spark, "index"), buckets=4).build(docs, "id", "text")
+    one = docs.groupBy("id").agg(F.max("text").alias("text"))
+    same(index, one, spark.createDataFrame([(1, "w2 w5"), (2, "w9 w0")], "q long, text string"), 9)
